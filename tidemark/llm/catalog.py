@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, token_counts, token_store
 
 QUERIES = {
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op5_token_store": token_store.op5_token_store,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
 }
 
