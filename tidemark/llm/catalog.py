@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, token_counts, token_store
+from . import exact_dedup, quality, token_counts, token_store
 
 QUERIES = {
+    "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": token_counts.op3_token_counts,
     "op5_token_store": token_store.op5_token_store,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
