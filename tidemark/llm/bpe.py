@@ -18,8 +18,8 @@ import pyarrow as pa
 from .textcore import LOWER, WORD, segments, span_hashes, utf8
 
 #: Pieces remembered per Python worker; beyond it the memory is emptied and pieces are asked for again.
-MEMO_PIECES = 1_000_000
-SEGMENT = 4 << 20
+MEMO_PIECES = 500_000
+SEGMENT = 2 << 20
 
 
 def byte_alphabet() -> list[str]:

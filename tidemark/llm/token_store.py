@@ -104,10 +104,10 @@ def _encode(path: str, end_id: int, dtype: str):
     def run(batches):
         words, wide = codec(path), np.dtype(dtype).itemsize
         for b in batches:
-            rows_out: list[tuple] = []
             seen: set[bytes] = set()
             all_ids = b.column(0).to_pylist()
             for first, last, ids, at in words.encode(b.column(1)):
+                rows_out: list[tuple] = []
                 rows = at + np.arange(len(at))  # each document's ids and its end id
                 stream = np.full(int(rows[-1]), end_id, np.uint32)
                 keep = np.ones(len(stream), bool)
@@ -131,8 +131,8 @@ def _encode(path: str, end_id: int, dtype: str):
                         seen.add(root)
                         rows_out.append((RECIPE, root, None, None, b"".join(recipe)))
                     rows_out.append((DOCUMENT, root, all_ids[first + i], int(rows[i + 1] - rows[i]), None))
-            cols = list(zip(*rows_out, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROWS, strict=True)], schema=_ROWS)
+                cols = zip(*rows_out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ROWS, strict=True)], schema=_ROWS)
 
     return run
 
