@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, token_counts, token_store, toxicity
+from . import exact_dedup, packing, quality, token_counts, token_store, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": token_counts.op3_token_counts,
+    "op4_best_fit_packing": packing.op4_best_fit_packing,
     "op5_token_store": token_store.op5_token_store,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
