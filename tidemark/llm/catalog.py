@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, quality, token_counts, token_store, toxicity
+from . import exact_dedup, license_scan, packing, quality, token_counts, token_store, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_token_store": token_store.op5_token_store,
     "op6_toxicity": toxicity.op6_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op10_license_scan": license_scan.op10_license_scan,
 }
 
 ORACLES = {
