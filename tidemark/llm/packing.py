@@ -133,7 +133,7 @@ _COLS = "rid long, length long"
 def _epoch(capacity: int, level: int, last: bool):
     """One group's rows: each piece once for each individual that came in (``role``); the best individual goes out."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key, pdf):
         roles = sorted(pdf["role"].unique().tolist())
         pdf = pdf.sort_values(["role", "rid"], kind="stable")
         items = pdf[pdf["role"] == roles[0]].reset_index(drop=True)

@@ -277,7 +277,7 @@ class TokenStore:
     def verify_manifest(self) -> DataFrame:
         """part and whether its documents, as read, give the manifest's root; a part is one written file's worth of rows."""
 
-        def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def run(key, pdf):
             pdf = pdf.sort_values("start")
             ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
             leaves = [_hash(repr(x).encode()) for x in zip(ids, pdf["n_tokens"].tolist(), [bytes(r) for r in pdf["root"]], strict=True)]
