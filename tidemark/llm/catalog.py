@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, exact_dedup, license_scan, packing, quality, token_counts, token_store, toxicity
+from . import class_lm, decontaminate, exact_dedup, license_scan, packing, quality, token_counts, token_store, toxicity
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_class_lm": class_lm.op7_class_lm,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_decontamination": decontaminate.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
 }
 
