@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, exact_dedup, license_scan, packing, quality, token_counts, token_store, toxicity
+from . import class_lm, decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, token_counts, token_store, toxicity
 
 QUERIES = {
+    "op1_jaccard_join": jaccard_join.op1_jaccard_join,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
