@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Bits of one row of a bitmap table; fixed by bitmap_construct_agg.
 BITMAP_BITS = 32768
 #: Bitmaps are broadcast up to this size, and joined by bucket beyond it.
@@ -44,3 +46,18 @@ def may_hold(rows: DataFrame, key, marked: DataFrame, bits: int) -> DataFrame:
     byte = F.conv(F.hex(F.substring(F.col("__tm_bitmap"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
     joined = rows.withColumn("__tm_pos", positions(key, bits)).withColumn("__tm_bucket", F.shiftright("__tm_pos", 15)).join(side, "__tm_bucket")
     return joined.filter(F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7))) == 1).select(*columns)
+
+
+def without(rows: DataFrame, key_col: str, dropped: DataFrame) -> DataFrame:
+    """Rows whose key isn't in ``dropped`` (a written one-column frame of the same name); only rows whose bit is set are shuffled. Null keys stay."""
+    bits = size_for(dropped.count(), 16)
+    marked = written(keys_present(dropped, bits), "dropped")
+    side = F.broadcast(marked) if bits // 8 <= BROADCAST_BYTES else marked
+    columns = rows.columns
+    inside = F.col("__tm_pos").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("__tm_bitmap"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    flagged = rows.withColumn("__tm_pos", positions(F.col(key_col), bits)).withColumn("__tm_bucket", F.shiftright("__tm_pos", 15)).join(side, "__tm_bucket", "left")
+    flagged = flagged.withColumn("__tm_maybe", F.coalesce(F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7))) == 1, F.lit(False)))
+    through = flagged.filter("NOT __tm_maybe").select(*columns)
+    asked = flagged.filter("__tm_maybe").select(*columns).join(dropped.select(F.col(dropped.columns[0]).alias("__tm_key")), F.col(key_col) == F.col("__tm_key"), "left_anti")
+    return through.unionByName(asked.select(*columns))

@@ -222,36 +222,44 @@ def verify(item: np.ndarray, text: np.ndarray, place: int, most: int) -> tuple[i
     return lo + got[1] - back[1], lo + got[1], got[0]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", repeats: int = REPEATS, sampled: int = SAMPLED) -> DataFrame:
-    """One row for each item found at a place of a document: id, item_id, first_word, n_words, edits, similarity (1 - edits / item words)."""
-    spark = docs.sparkSession
+def item_blocks(benchmark: DataFrame, similarity: float, repeats: int, sampled: int):
+    """The items as broadcast blocks of bounded size, however many items there are."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     blocks = int(total // (2 * BLOCK_WORDS)) + 1  # a word has a letter and a gap at least
+    for k in range(blocks):
+        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas().drop_duplicates().sort_values("item_id")
+        words = [np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in hashed_words(pa.array([t]), ALNUM))]) for t in part["text"]]
+        yield spark.sparkContext.broadcast(ItemBlock(part["item_id"].tolist(), words, repeats, sampled, 1 - similarity + 1e-9))
+
+
+def find(b: ItemBlock, column: pa.Array) -> dict[tuple, None]:
+    """(row, item, first word, end, edits) of all hits in a column of texts."""
+    hits: dict[tuple, None] = {}
+    for first, _, words, at in hashed_words(column, ALNUM):
+        last_hit: tuple = (-1, -1, -1)
+        for row, i, place in b.candidates(words, at).tolist():
+            if (row, i) == last_hit[:2] and place < last_hit[2]:
+                continue
+            got = verify(b.words[i], words[at[row] : at[row + 1]], place, b.edits[i])
+            if got:
+                hits[first + row, i, *got] = None
+                last_hit = (row, i, got[0] + len(b.words[i]) // 2)
+    return hits
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", repeats: int = REPEATS, sampled: int = SAMPLED) -> DataFrame:
+    """One row for each item found at a place of a document: id, item_id, first_word, n_words, edits, similarity (1 - edits / item words)."""
     rows = docs.select(id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
     out = None
-    for k in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).toPandas().drop_duplicates().sort_values("item_id")
-        words = []
-        for t in part["text"]:
-            words.append(np.concatenate([np.zeros(0, np.uint64), *(h for _, _, h, _ in hashed_words(pa.array([t]), ALNUM))]))
-        block = spark.sparkContext.broadcast(ItemBlock(part["item_id"].tolist(), words, repeats, sampled, 1 - similarity + 1e-9))
+    for block in item_blocks(benchmark, similarity, repeats, sampled):
 
         def run(batches, block=block):
             b = block.value
             for batch in batches:
-                hits: dict[tuple, None] = {}
-                for first, _, words, at in hashed_words(batch.column(1), ALNUM):
-                    last_hit: tuple = (-1, -1, -1)
-                    for row, i, place in b.candidates(words, at).tolist():
-                        if (row, i) == last_hit[:2] and place < last_hit[2]:
-                            continue
-                        text = words[at[row] : at[row + 1]]
-                        got = verify(b.words[i], text, place, b.edits[i])
-                        if got:
-                            hits[first + row, i, *got] = None
-                            last_hit = (row, i, got[0] + len(b.words[i]) // 2)
+                hits = find(b, batch.column(1))
                 r, i, s, e, d = zip(*hits, strict=True) if hits else [()] * 5
                 m = np.array([len(b.words[x]) for x in i], float)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), pa.array([b.ids[x] for x in i], pa.int64()), pa.array(s, pa.int64()), pa.array(np.subtract(e, s), pa.int64()), pa.array(d, pa.int64()), pa.array(1 - np.array(d, float) / np.maximum(m, 1))], names=[id_col, "item_id", "first_word", "n_words", "edits", "similarity"])
@@ -261,5 +269,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return out
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, text_col: str = "text", repeats: int = REPEATS, sampled: int = SAMPLED) -> DataFrame:
+    """The documents that hold no item, all columns; one pass for each block of items, no shuffle."""
+    for block in item_blocks(benchmark, similarity, repeats, sampled):
+
+        def run(batches, block=block):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in find(block.value, batch.column(batch.schema.get_field_index(text_col)))]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontamination(spark, sf_dir):
     return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmaps import keys_present, keys_seen_twice, may_hold, size_for
+from .bitmaps import keys_present, keys_seen_twice, may_hold, size_for, without
 from .components import components
 from .shared import written
 from .textcore import hashed_words, mix
@@ -299,5 +299,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     return full.unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with one of each component, the one with the smallest id; all columns. Rows with a null id stay."""
+    found = jaccard_components(docs, n, percent, id_col, text_col)
+    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(), "near-copies")
+    return without(docs, id_col, gone)
+
+
 def op1_jaccard_join(spark, sf_dir):
     return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=3, percent=90)

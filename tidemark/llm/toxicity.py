@@ -213,5 +213,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return scored.select(id_col, held.alias("held_out"), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_terms: int = 512, k: int = 21, threshold: float = 0.5) -> DataFrame:
+    """The documents that score below the threshold, all columns; one pass, no shuffle."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_terms, k))
+
+    def run(batches):
+        m = model.value
+        for b in batches:
+            s = m.score(m.raw(b.column(b.schema.get_field_index(text_col)))[0])
+            yield b.filter(pa.array(s < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op6_toxicity(spark, sf_dir):
     return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
