@@ -1,14 +1,13 @@
-"""Queries over the driver tables and their DuckDB twins."""
+"""All queries over the driver tables and their DuckDB twins."""
 
 from __future__ import annotations
 
-FLAGSHIP = "corpus_month_counts"
+import importlib
 
-
-def corpus_month_counts(spark, sf_dir):
-    """Documents and distinct sources per synthetic month."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").selectExpr("date_format(add_months(date'2021-01-01', cast(doc_id % 67 as int)), 'yyyy-MM') AS month", "source").groupBy("month").agg({"*": "count"}).withColumnRenamed("count(1)", "n")
-
-
-QUERIES = {"corpus_month_counts": corpus_month_counts}
-ORACLES = {"corpus_month_counts": "SELECT strftime(DATE '2021-01-01' + to_months(CAST(doc_id % 67 AS INTEGER)), '%Y-%m') AS month, count(*) AS n FROM documents GROUP BY 1"}
+FLAGSHIP = "regime_activation"
+QUERIES: dict = {}
+ORACLES: dict = {}
+for _name in ("corpus",):
+    _m = importlib.import_module(f"tidemark.plans.{_name}")
+    QUERIES |= _m.Q
+    ORACLES |= _m.O
