@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidemark.functions.scalar import ratio
 from tidemark.operators.windows import average_rank
@@ -47,7 +48,7 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     """Two-sided p of a correlation under the t distribution; null below three pairs."""
     def one(r, n):
@@ -58,7 +59,7 @@ def pearson_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([one(a, b) for a, b in zip(r, n, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v)).astype("float64")
 
@@ -212,4 +213,4 @@ def ar_forecasts(series: DataFrame, order: str, value: str, lags: int, exog: lis
         return pd.DataFrame(out, columns=[order, "actual", "forecast"])
 
     kind = series.schema[order].dataType.simpleString()
-    return series.select(order, value, *exog).groupBy(F.lit(0)).applyInPandas(run, f"`{order}` {kind}, actual double, forecast double")
+    return series.select(order, value, *exog).groupBy().applyInPandas(run, f"`{order}` {kind}, actual double, forecast double")
