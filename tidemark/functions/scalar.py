@@ -51,7 +51,7 @@ def keyword_tokens(c: Column, stop: list[str] = (), least: int = 2, sep: str = "
     """Tokens of a separated list: trimmed, at least so long, no stop words, no numbers with units, each once. The weekly variant neither trims nor deduplicates."""
     parts = F.split(F.coalesce(c, F.lit("")), sep)
     if trim:
-        parts = F.transform(parts, F.trim)
+        parts = F.transform(parts, lambda t: F.trim(t))
     keep = F.filter(parts, lambda t: (F.length(t) >= least) & ~t.rlike(NUMERIC_UNIT) & (~t.isin(list(stop)) if stop else F.lit(True)))
     return F.array_distinct(keep) if dedup else keep
 
