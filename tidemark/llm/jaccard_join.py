@@ -15,8 +15,10 @@ Lists with one member are dropped by a bitmap before anything is shuffled by key
 every member is compared with one pivot, the set with the fewest rarer shingles before the shared
 one; components of the verified links follow. Only pairs of one list that are then still in
 different components are compared one by one, so a group of copies costs its size, not its square,
-and no link between components is lost. Candidates must pass the size filter and the position
-filter at a shared shingle; verification intersects the whole sets.
+and no link between components is lost. Candidates must pass the size filter, the position
+filter at a shared shingle and a bound on the intersection from both sets' profiles (how many
+shingles fall into each of 64 buckets), all of which are exact; verification intersects the whole
+sets, made anew from the texts of the few documents that are still in a pair.
 
 Defined cases: a null or empty text has no shingles and links with nothing; fewer words than n
 are one shingle; equal rows are in one component; the component of rows is the smallest id in it
@@ -38,13 +40,15 @@ from pyspark.sql import functions as F
 
 from .bitmaps import keys_present, keys_seen_twice, may_hold, size_for, without
 from .components import components
-from .shared import written
+from .shared import small_batches, written
 from .textcore import hashed_words, mix
 
 #: Counters of the sketch, and the rows it is sent in.
 SKETCH, SLICES = 1 << 22, 64
 #: The list length from which on subsets are not preferred any further.
-MOST_SCAN = 16.0
+MOST_SCAN = 4.0
+#: Buckets of a set's profile: how many of its shingles fall into each bounds its intersection with another.
+PROFILE = 64
 
 
 def overlap(a, b, percent: int):
@@ -191,6 +195,28 @@ class SetMaker:
         return np.concatenate(rows), np.concatenate(keys), np.concatenate(places)
 
 
+def profiles(row: np.ndarray, h: np.ndarray, n_rows: int) -> np.ndarray:
+    """Shingles of each row in each bucket, as 16-bit counts (saturated counts would not bound: such rows get none)."""
+    counts = np.bincount(row * PROFILE + ((h >> np.uint64(9)) & np.uint64(PROFILE - 1)).astype(np.int64), minlength=n_rows * PROFILE).reshape(n_rows, PROFILE)
+    counts[(counts > 65535).any(1)] = 65535
+    return counts.astype("<u2")
+
+
+def _plausible(percent: int):
+    """Pairs whose profiles allow the intersection that a link needs."""
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), "<u2").reshape(-1, PROFILE).astype(np.int64) for c in ("x", "y"))
+            least = overlap(b.column("xn").to_numpy(), b.column("yn").to_numpy(), percent)
+            full = (x == 65535).all(1) | (y == 65535).all(1)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(full | (np.minimum(x, y).sum(1) >= least)))
+
+    return run
+
+
 def _linked(percent: int):
     """Pairs with both sets: those that link, by whole intersections."""
 
@@ -211,7 +237,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """One row per document: id, n_shingles, component_id (the smallest id reachable by links, its own included)."""
     spark = docs.sparkSession
     id_kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     counts, sizes = sketch_counts(rows.select("text"), n)
     total = int(counts.sum())
     f2 = float((counts.astype(float) ** 2).sum() - total * total / SKETCH)
@@ -233,17 +259,18 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                 offsets = pa.array(np.searchsorted(kr[order], np.arange(last - first + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([
                     b.column(0)[first:last], b.column(1)[first:last], pa.array(np.bincount(row, minlength=last - first), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
+                    pa.array([p.tobytes() for p in profiles(row, h, last - first)], pa.binary()),
                     pa.ListArray.from_arrays(offsets, pa.array(keys[order].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32)))],
-                    names=["key", "id", "n", "s1", "s2", "shown", "places"])
+                    names=["key", "id", "n", "s1", "s2", "profile", "shown", "places"])
 
-    shown = written(rows.mapInArrow(show, f"key long, id {id_kind}, n long, s1 long, s2 long, shown array<long>, places array<int>"), "shown")
+    shown = written(rows.mapInArrow(show, f"key long, id {id_kind}, n long, s1 long, s2 long, profile binary, shown array<long>, places array<int>"), "shown")
     classes = written(shown.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.min("id").alias("least")), "classes")
-    postings = (shown.filter("n > 0").join(classes.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    copies = written(shown.filter("n > 0").select("key", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).filter("key <> rep").select("key").distinct(), "copies")
+    postings = (without(shown.filter("n > 0").select("key", "n", "shown", "places"), "key", copies)
         .select(F.col("key").alias("rep"), "n", F.explode(F.arrays_zip("shown", "places")).alias("x")).select(F.col("x.shown").alias("entry"), "rep", "n", F.col("x.places").alias("pos")))
-    postings = written(postings, "postings")
-    bits = size_for(postings.count(), 8)
+    bits = size_for(int(shown.agg(F.sum(F.size("shown"))).first()[0] or 0), 8)
     twice = written(keys_seen_twice(postings.select("entry"), bits), "twice")
-    postings = may_hold(postings, F.col("entry"), twice, bits)
+    postings = written(may_hold(postings, F.col("entry"), twice, bits), "postings")
     lists = postings.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "n", "rep")).alias("pivot")).filter("members > 1")
     lists = written(lists.select("entry", "members", F.col("pivot.rep").alias("p_rep"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
     postings = written(postings.join(lists, "entry"), "members")
@@ -256,15 +283,26 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         x, y = F.col(f"{a}rep"), F.col(f"{b}rep")
         return frame.filter((x != y) & fits).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct()
 
+    def of(table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+        """The table's rows with a wanted key; rows whose bit isn't set are not shuffled."""
+        some = size_for(wanted.count(), 16)
+        return may_hold(table, F.col(key), written(keys_present(wanted, some), "present"), some).join(wanted.withColumnRenamed("key", key), key, "left_semi")
+
+    def in_pairs(candidates: DataFrame) -> DataFrame:
+        return written(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
+
+    def plausible(candidates: DataFrame) -> DataFrame:
+        small = of(shown.select("key", "n", "profile"), "key", in_pairs(candidates)).dropDuplicates(["key"])
+        both = candidates.join(small.select(F.col("key").alias("a"), F.col("n").alias("xn"), F.col("profile").alias("x")), "a").join(small.select(F.col("key").alias("b"), F.col("n").alias("yn"), F.col("profile").alias("y")), "b")
+        return written(both.mapInArrow(_plausible(percent), "a long, b long"), "plausible")
+
     def verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
         both = candidates.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("y")), "b")
         return both.select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
 
     def sets_of(candidates: DataFrame) -> DataFrame:
         """The whole sets of all sets in candidate pairs, from the texts."""
-        wanted = written(candidates.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "wanted")
-        some = size_for(wanted.count(), 8)
-        near = may_hold(rows.select("key", "text"), F.col("key"), written(keys_present(wanted, some), "present"), some)
+        near = of(rows.select("key", "text"), "key", in_pairs(candidates)).dropDuplicates(["key"])
 
         def make(batches):
             m = maker.value
@@ -275,10 +313,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                     order = np.lexsort((h, row))
                     yield pa.RecordBatch.from_arrays([b.column(0)[first:last], pa.ListArray.from_arrays(offsets, pa.array(h[order].view(np.int64)))], names=["rep", "set"])
 
-        return written(near.join(wanted, "key", "left_semi").dropDuplicates(["key"]).mapInArrow(make, "rep long, set array<long>"), "sets")
+        return written(near.mapInArrow(make, "rep long, set array<long>"), "sets")
 
     star = written(pairs(postings, "", "p_"), "star")
-    links = written(verified(star, sets_of(star)), "links")
+    likely = plausible(star)
+    links = written(verified(likely, sets_of(likely)), "links")
     labels = components(links)
     in_lists = written(postings.filter("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
     open_lists = in_lists.groupBy("entry").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("entry")
@@ -287,7 +326,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     crossed = x.join(y, "entry").filter("x" + "label <> ylabel AND xrep < yrep")
     more = written(pairs(crossed, "x", "y").join(star, ["a", "b"], "left_anti"), "crossed")
     if not more.isEmpty():
-        extra = written(verified(more, sets_of(more)), "links")
+        likely = plausible(more)
+        extra = written(verified(likely, sets_of(likely)), "links")
         if not extra.isEmpty():
             labels = components(links.unionByName(extra))
 

@@ -20,6 +20,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tidemark-"))
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Bound what a Python worker holds at once: Arrow batches of 8 MB, unless the session asks for other than Spark's default."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(key) in ("67108864b", "64m", "64MB"):
+        df.sparkSession.conf.set(key, "8m")
+    return df
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
@@ -37,6 +45,3 @@ def remove(spark: SparkSession, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-
-def source_path(df: DataFrame) -> list[str]:
-    return df.inputFiles()
