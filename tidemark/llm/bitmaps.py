@@ -28,9 +28,10 @@ def bitmap(marks: DataFrame) -> DataFrame:
         F.bitmap_construct_agg(F.col("__tm_pos").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("__tm_bitmap"))
 
 
-def keys_seen_twice(keys: DataFrame, bits: int) -> DataFrame:
+def keys_seen_twice(keys: DataFrame, bits: int, hashes: int = 1) -> DataFrame:
     """The bitmap of keys (the frame's one column) that may occur in two rows: only positions are shuffled, counted before that."""
-    pos = keys.select(positions(F.col(keys.columns[0]), bits).alias("__tm_pos"))
+    key = F.col(keys.columns[0])
+    pos = keys.select(F.explode(F.array(*[positions(key, bits, i) for i in range(hashes)])).alias("__tm_pos"))
     return bitmap(pos.groupBy("__tm_pos").count().filter("count > 1"))
 
 
@@ -38,26 +39,30 @@ def keys_present(keys: DataFrame, bits: int) -> DataFrame:
     return bitmap(keys.select(positions(F.col(keys.columns[0]), bits).alias("__tm_pos")))
 
 
+def flag(rows: DataFrame, key, marked: DataFrame, bits: int, hashes: int = 1, out: str = "__tm_maybe") -> DataFrame:
+    """The rows with ``out``: whether all bits of the key are set. Rows are shuffled only if the bitmap is too large to broadcast."""
+    small = bits // 8 <= BROADCAST_BYTES
+    columns, holds = rows.columns, F.lit(True)
+    for i in range(hashes):
+        side = marked.select(F.col("__tm_bucket").alias(f"__tm_b{i}"), F.col("__tm_bitmap").alias(f"__tm_m{i}"))
+        rows = rows.withColumn(f"__tm_p{i}", positions(key, bits, i)).withColumn(f"__tm_b{i}", F.shiftright(f"__tm_p{i}", 15))
+        rows = rows.join(F.broadcast(side) if small else side, f"__tm_b{i}", "left")
+        inside = F.col(f"__tm_p{i}").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
+        byte = F.conv(F.hex(F.substring(F.col(f"__tm_m{i}"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
+        holds = holds & F.coalesce(F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7))) == 1, F.lit(False))
+    return rows.select(*columns, holds.alias(out))
+
+
 def may_hold(rows: DataFrame, key, marked: DataFrame, bits: int) -> DataFrame:
     """The rows whose key's bit is set."""
-    side = F.broadcast(marked) if bits // 8 <= BROADCAST_BYTES else marked
-    columns = rows.columns
-    inside = F.col("__tm_pos").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("__tm_bitmap"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    joined = rows.withColumn("__tm_pos", positions(key, bits)).withColumn("__tm_bucket", F.shiftright("__tm_pos", 15)).join(side, "__tm_bucket")
-    return joined.filter(F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7))) == 1).select(*columns)
+    return flag(rows, key, marked, bits).filter("__tm_maybe").drop("__tm_maybe")
 
 
 def without(rows: DataFrame, key_col: str, dropped: DataFrame) -> DataFrame:
-    """Rows whose key isn't in ``dropped`` (a written one-column frame of the same name); only rows whose bit is set are shuffled. Null keys stay."""
+    """Rows whose key isn't in ``dropped`` (a written one-column frame); only rows whose bit is set are shuffled. Null keys stay."""
     bits = size_for(dropped.count(), 16)
-    marked = written(keys_present(dropped, bits), "dropped")
-    side = F.broadcast(marked) if bits // 8 <= BROADCAST_BYTES else marked
-    columns = rows.columns
-    inside = F.col("__tm_pos").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("__tm_bitmap"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    flagged = rows.withColumn("__tm_pos", positions(F.col(key_col), bits)).withColumn("__tm_bucket", F.shiftright("__tm_pos", 15)).join(side, "__tm_bucket", "left")
-    flagged = flagged.withColumn("__tm_maybe", F.coalesce(F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7))) == 1, F.lit(False)))
-    through = flagged.filter("NOT __tm_maybe").select(*columns)
-    asked = flagged.filter("__tm_maybe").select(*columns).join(dropped.select(F.col(dropped.columns[0]).alias("__tm_key")), F.col(key_col) == F.col("__tm_key"), "left_anti")
-    return through.unionByName(asked.select(*columns))
+    flagged = flag(rows, F.col(key_col), written(keys_present(dropped, bits), "dropped"), bits)
+    through = flagged.filter("NOT __tm_maybe").drop("__tm_maybe")
+    gone = dropped.select(F.col(dropped.columns[0]).alias("__tm_key"))
+    asked = flagged.filter("__tm_maybe").drop("__tm_maybe").join(gone, F.col(key_col) == F.col("__tm_key"), "left_anti")
+    return through.unionByName(asked)

@@ -17,12 +17,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import flag, keys_seen_twice, size_for
 from .shared import written
 
-#: Bits of one row of the filter table; fixed by bitmap_construct_agg.
-BITMAP_BITS = 32768
-#: The filter is broadcast up to this size, and joined by bucket beyond it.
-BROADCAST_BYTES = 32 << 20
+#: Bits of the filter for each row, and positions of each row.
+BITS_PER_ROW, HASHES = 16, 2
 
 
 def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -30,46 +29,11 @@ def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.withColumn("__tm_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
 
 
-def _position(i: int, bits: int):
-    return F.xxhash64(F.col("__tm_sha"), F.lit(i)).bitwiseAND(F.lit(bits - 1))
-
-
-def repeat_filter(digests: DataFrame, rows: int, bits_per_row: int = 16, hashes: int = 2) -> tuple[DataFrame, int]:
-    """The bits that two rows or more set: (bucket, bitmap) rows of 4 KB each, and the number of bits."""
-    bits = 1 << max(16, (max(rows, 1) * bits_per_row - 1).bit_length())
-    set_twice = (
-        digests.select(F.explode(F.array(*[_position(i, bits) for i in range(hashes)])).alias("__tm_pos"))
-        .groupBy("__tm_pos").count().filter("count > 1")
-    )
-    bucket = F.shiftright("__tm_pos", 15)
-    return (
-        set_twice.groupBy(bucket.alias("__tm_bucket"))
-        .agg(F.bitmap_construct_agg(F.col("__tm_pos").bitwiseAND(F.lit(BITMAP_BITS - 1))).alias("__tm_bitmap")),
-        bits,
-    )
-
-
-def flag_repeats(rows: DataFrame, marked: DataFrame, bits: int, hashes: int = 2) -> DataFrame:
-    """Add ``__tm_maybe``: false only for rows whose digest surely occurs once."""
-    small = bits // 8 <= BROADCAST_BYTES
-    maybe = F.lit(True)
-    for i in range(hashes):
-        side = marked.select(F.col("__tm_bucket").alias(f"__tm_b{i}"), F.col("__tm_bitmap").alias(f"__tm_m{i}"))
-        rows = rows.withColumn(f"__tm_p{i}", _position(i, bits)).withColumn(f"__tm_b{i}", F.shiftright(f"__tm_p{i}", 15))
-        rows = rows.join(F.broadcast(side) if small else side, f"__tm_b{i}", "left")
-        inside = F.col(f"__tm_p{i}").bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int")
-        byte = F.conv(F.hex(F.substring(F.col(f"__tm_m{i}"), F.shiftright(inside, 3) + 1, F.lit(1))), 16, 10).cast("int")
-        bit = F.call_function("getbit", byte, inside.bitwiseAND(F.lit(7)))
-        maybe = maybe & F.coalesce(bit == 1, F.lit(False))
-    rows = rows.withColumn("__tm_maybe", maybe)
-    return rows.drop(*[f"__tm_{k}{i}" for k in "pbm" for i in range(hashes)])
-
-
 def _plan(docs: DataFrame, id_col: str, text_col: str):
     digests = written(with_digest(docs.select(id_col, text_col), text_col).select(F.col(id_col).alias("__tm_id"), "__tm_sha"), "digests")
-    marked, bits = repeat_filter(digests, digests.count())
-    marked = written(marked, "bloom")
-    flagged = flag_repeats(digests, marked, bits)
+    bits = size_for(digests.count(), BITS_PER_ROW)
+    marked = written(keys_seen_twice(digests.select("__tm_sha"), bits, HASHES), "bloom")
+    flagged = flag(digests, F.col("__tm_sha"), marked, bits, HASHES)
     groups = written(
         flagged.filter("__tm_maybe").groupBy("__tm_sha")
         .agg(F.max("__tm_id").alias("__tm_keep"), F.count(F.lit(1)).alias("__tm_size")).filter("__tm_size > 1"),
@@ -93,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their copies, all columns; rows without a possible copy are not shuffled."""
     _, marked, bits, _, groups = _plan(docs, id_col, text_col)
-    rows = flag_repeats(with_digest(docs, text_col), marked, bits)
+    rows = flag(with_digest(docs, text_col), F.col("__tm_sha"), marked, bits, HASHES)
     alone = rows.filter("NOT __tm_maybe")
     again = rows.filter("__tm_maybe").join(groups, "__tm_sha", "left").filter(
         F.col("__tm_size").isNull() | F.col(id_col).eqNullSafe(F.col("__tm_keep"))).dropDuplicates([id_col, "__tm_sha"])
