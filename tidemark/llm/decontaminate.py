@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textcore import ALNUM, hashed_words, mix
 
 #: Repeats and sampled steps of each walk.
@@ -251,7 +252,7 @@ def find(b: ItemBlock, column: pa.Array) -> dict[tuple, None]:
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", repeats: int = REPEATS, sampled: int = SAMPLED) -> DataFrame:
     """One row for each item found at a place of a document: id, item_id, first_word, n_words, edits, similarity (1 - edits / item words)."""
-    rows = docs.select(id_col, text_col)
+    rows = small_batches(docs.select(id_col, text_col))
     kind = rows.schema[id_col].dataType.simpleString()
     out = None
     for block in item_blocks(benchmark, similarity, repeats, sampled):
@@ -279,7 +280,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float =
                 clean[[row for row, *_ in find(block.value, batch.column(batch.schema.get_field_index(text_col)))]] = False
                 yield batch.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = small_batches(docs).mapInArrow(run, docs.schema)
     return docs
 
 

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import small_batches
 from .textcore import ALNUM, hashed_words, mix
 
 #: The phrases and labels of the contract.
@@ -81,7 +82,7 @@ def template_table(spark, phrases: dict[str, str], templates: dict[str, str]) ->
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Per document: id, n_words, n_base, first_word, last_word, base_labels, labels, score; and the verified spans (id, label, first and last word, cover)."""
     spark = docs.sparkSession
-    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = small_batches(docs).select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
 
     def grams(batches):

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import small_batches, written
 from .textcore import LOWER, WORD, mix, segments, span_hashes, utf8, word_spans
 
 STATISTICS = ("log_bytes", "log_words", "upper", "digit", "stop", "exclaim", "bar", "sign", "high", "word_length", "repeated_words", "twice_running", "repeated_pairs", "repeated_lines", "line_words", "odd_ends")
@@ -81,7 +81,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``stats`` (array of doubles) of every row; no shuffle."""
-    rows = docs.select(id_col, text_col)
+    rows = small_batches(docs.select(id_col, text_col))
 
     def run(batches):
         for b in batches:

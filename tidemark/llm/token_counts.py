@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bpe import Codec, codec, tokenizer_path
+from .shared import small_batches
 from .textcore import WORD, utf8
 
 #: Texts longer than this are cut into chunks (anywhere, also inside a word or a character).
@@ -98,7 +99,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
             n_bytes, n_tokens = transducer.counts(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_bytes, pa.int64()), pa.array(n_tokens, pa.int64()), pa.array(n_tokens > limit)], names)
 
-    rows = docs.select(id_col, text_col)
+    rows = small_batches(docs.select(id_col, text_col))
     names = [id_col, "n_bytes", "n_tokens", "over_limit"]
     kind = rows.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

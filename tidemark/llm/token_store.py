@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import codec, tokenizer_path
-from .shared import new_path
+from .shared import new_path, small_batches
 from .textcore import mix
 
 WINDOW = 16
@@ -176,7 +176,7 @@ class TokenStore:
     def write(cls, docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
         spark = docs.sparkSession
         dtype = "<u2" if max(codec(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, end_id, dtype), _sql(_ROWS))
+        rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, end_id, dtype), _sql(_ROWS))
         place = F.when(F.col("kind") == DOCUMENT, F.xxhash64("doc_id", "n_tokens")).otherwise(F.xxhash64("key"))
         (rows.withColumn("place", place).repartition("place").drop("place").mapInArrow(_once, _sql(_ROWS))
             .write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/objects"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import bounded_sample, pav
-from .shared import written
+from .shared import small_batches, written
 from .textcore import ALNUM, LOWER, segments, span_hashes, utf8, word_spans
 
 BLOCK = 128
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")
     known = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).withColumn("fold", fold).filter("fold != 0 AND label IN (0, 1)").dropDuplicates([id_col])
     sample = written(bounded_sample(known, id_col, max_labelled), "toxicity-labels")  # at most max_labelled rows of 16 bytes: broadcast
-    rows = docs.select(F.col(id_col).cast("long").alias(id_col), text_col).join(F.broadcast(sample), id_col).select(id_col, "label", "fold", text_col)
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), text_col).join(F.broadcast(sample), id_col).select(id_col, "label", "fold", text_col)
 
     def counted(batches):
         for b in batches:
