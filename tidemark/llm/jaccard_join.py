@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .bitmaps import keys_present, keys_seen_twice, may_hold, size_for, without
 from .components import components
-from .shared import small_batches, written
+from .shared import drop_written, small_batches, written
 from .textcore import hashed_words, mix
 
 #: Counters of the sketch, and the rows it is sent in.
@@ -263,17 +263,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                     pa.ListArray.from_arrays(offsets, pa.array(keys[order].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(places[order].astype(np.int32)))],
                     names=["key", "id", "n", "s1", "s2", "profile", "shown", "places"])
 
-    shown = written(rows.mapInArrow(show, f"key long, id {id_kind}, n long, s1 long, s2 long, profile binary, shown array<long>, places array<int>"), "shown")
+    keyed = written(rows.mapInArrow(show, f"key long, id {id_kind}, n long, s1 long, s2 long, profile binary, shown array<long>, places array<int>"), "shown")
+    shown = written(keyed.select("key", "id", "n", "s1", "s2", "profile"), "sets")  # outlives the keys
     classes = written(shown.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"), F.min("id").alias("least")), "classes")
     copies = written(shown.filter("n > 0").select("key", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).filter("key <> rep").select("key").distinct(), "copies")
-    postings = (without(shown.filter("n > 0").select("key", "n", "shown", "places"), "key", copies)
+    postings = (without(keyed.filter("n > 0").select("key", "n", "shown", "places"), "key", copies)
         .select(F.col("key").alias("rep"), "n", F.explode(F.arrays_zip("shown", "places")).alias("x")).select(F.col("x.shown").alias("entry"), "rep", "n", F.col("x.places").alias("pos")))
-    bits = size_for(int(shown.agg(F.sum(F.size("shown"))).first()[0] or 0), 8)
+    bits = size_for(int(keyed.agg(F.sum(F.size("shown"))).first()[0] or 0), 8)
     twice = written(keys_seen_twice(postings.select("entry"), bits), "twice")
-    postings = written(may_hold(postings, F.col("entry"), twice, bits), "postings")
+    repeated = written(may_hold(postings, F.col("entry"), twice, bits), "postings")
+    drop_written(keyed, twice, copies)
+    postings = repeated
     lists = postings.groupBy("entry").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("pos", "n", "rep")).alias("pivot")).filter("members > 1")
     lists = written(lists.select("entry", "members", F.col("pivot.rep").alias("p_rep"), F.col("pivot.n").alias("p_n"), F.col("pivot.pos").alias("p_pos")), "lists")
     postings = written(postings.join(lists, "entry"), "members")
+    drop_written(repeated, lists)
 
     def pairs(frame: DataFrame, a: str, b: str) -> DataFrame:
         """Distinct pairs that pass the size filter, and the position filter at a shared key."""
@@ -317,11 +321,14 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
 
     star = written(pairs(postings, "", "p_"), "star")
     likely = plausible(star)
-    links = written(verified(likely, sets_of(likely)), "links")
+    sets = sets_of(likely)
+    links = written(verified(likely, sets), "links")
+    drop_written(sets)
     labels = components(links)
     in_lists = written(postings.filter("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
     open_lists = in_lists.groupBy("entry").agg((F.min("label") != F.max("label")).alias("open")).filter("open").select("entry")
     rest = written(in_lists.join(open_lists, "entry", "left_semi").select("entry", "rep", "n", "pos", "label"), "open")
+    drop_written(postings, in_lists)
     x, y = (rest.select("entry", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "pos", "label"))) for p in "xy")
     crossed = x.join(y, "entry").filter("x" + "label <> ylabel AND xrep < yrep")
     more = written(pairs(crossed, "x", "y").join(star, ["a", "b"], "left_anti"), "crossed")

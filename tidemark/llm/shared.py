@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,3 +46,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing reads any more, and let the driver's JVM notice which shuffles are dead, so their files go too."""
+    if not frames:
+        return
+    spark = frames[0].sparkSession
+    for f in frames:
+        for path in {p.rsplit("/", 1)[0] for p in f.inputFiles()}:
+            remove(spark, path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
