@@ -289,6 +289,45 @@ def test_exchange_finds_planted_classes():
     assert len(set(cls[1:7])) == 1 and len(set(cls[7:])) == 1 and cls[1] != cls[7]
 
 
+def test_exchange_step_moves_each_word_to_its_best_class():
+    from tidemark.llm.class_lm import best_classes, likelihood
+
+    rng = np.random.default_rng(3)
+    n, c = 30, 5
+    table = rng.poisson(0.7, (n, n)).astype(float)
+    cls = rng.integers(1, c, n)
+    cls[0] = 0
+    member = np.eye(c)
+    grouped = lambda x: member[x].T @ table @ member[x]
+    got = best_classes(grouped(cls), cls, table @ member[cls], table.T @ member[cls], np.diag(table))
+    for i in range(n):
+        each = [likelihood(grouped(np.where(np.arange(n) == i, k, cls))) for k in range(1, c)]
+        assert got[i] == (1 + int(np.argmax(each)) if i else 0)
+
+
+def test_classes_of_words_beyond_the_start(spark):
+    """Two kinds of words, all of one ending and more than the start keeps alone: passes over all words part them, with counts broadcast or joined."""
+    from tidemark.llm import class_lm
+
+    rng = np.random.default_rng(4)
+    kinds = [[f"{k}{i}xyz" for i in range(400)] for k in "ab"]
+    often = np.repeat([4 / 1000, 1 / 1000], 200)
+    texts = [" ".join(kinds[j % 2][rng.choice(400, p=often)] for j in range(40)) for _ in range(600)]
+    swapped = " ".join(kinds[0][i] for i in range(40))  # never seen: the first kind after itself
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, swapped])], "doc_id long, text string")
+    held = [i for i in range(601) if zlib.crc32(str(i).encode()) % 7 == 2]
+    before = class_lm.HEAD
+    try:
+        for head in (before, 512):
+            class_lm.HEAD = head
+            report = []
+            got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in class_lm.score_texts(frame, report=report).collect()}
+            assert max(report) > report[0]
+            assert np.mean([got[i] for i in held if i < 600]) > got[600] + 0.5
+    finally:
+        class_lm.HEAD = before
+
+
 def test_exact_dedup(spark, odd, none):
     import hashlib
 
