@@ -9,7 +9,7 @@ a few false positives, are shuffled by their SHA-256 and grouped exactly.
 Defined cases: a null text counts as empty; a null id sorts below all others; rows with
 equal id and equal text are all ``kept`` in the decisions, and ``drop_exact_copies`` leaves
 one of them; an empty table gives an empty result; other columns pass through unread,
-whatever they are called (internal names begin with ``__tm_``).
+whatever they are called (internal names avoid them).
 """
 
 from __future__ import annotations
@@ -17,55 +17,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 from .bitmaps import flag, keys_seen_twice, size_for
-from .shared import written
+from .shared import col, fresh, written
 
 #: Bits of the filter for each row, and positions of each row.
 BITS_PER_ROW, HASHES = 16, 2
+#: At most so many of the largest groups are broadcast; groups beyond them are shuffled, so small that no task is held up.
+HOT = 100_000
 
 
-def with_digest(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add ``__tm_sha``, the SHA-256 of the text in UTF-8 (null: empty), as 32 bytes."""
-    return docs.withColumn("__tm_sha", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256)))
+def digest(text_col: str):
+    """The SHA-256 of the text in UTF-8 (null: empty), as 32 bytes."""
+    return F.unhex(F.sha2(F.coalesce(col(text_col), F.lit("")).cast("binary"), 256))
 
 
 def _plan(docs: DataFrame, id_col: str, text_col: str):
-    digests = written(with_digest(docs.select(id_col, text_col), text_col).select(F.col(id_col).alias("__tm_id"), "__tm_sha"), "digests")
-    bits = size_for(digests.count(), BITS_PER_ROW)
-    marked = written(keys_seen_twice(digests.select("__tm_sha"), bits, HASHES), "bloom")
-    flagged = flag(digests, F.col("__tm_sha"), marked, bits, HASHES)
-    groups = written(
-        flagged.filter("__tm_maybe").groupBy("__tm_sha")
-        .agg(F.max("__tm_id").alias("__tm_keep"), F.count(F.lit(1)).alias("__tm_size")).filter("__tm_size > 1"),
-        "groups",
-    )
-    return digests, marked, bits, flagged, groups
+    """Digests with the flag of a possible copy; the filter; the exact groups of at least two rows, the hot ones (by size) apart."""
+    digests = written(docs.select(col(id_col).alias("id"), digest(text_col).alias("sha")), "digests")
+    n = digests.count()
+    bits = size_for(n, BITS_PER_ROW)
+    marked = written(keys_seen_twice(digests.select("sha"), bits, HASHES), "bloom")
+    flagged, maybe = flag(digests, F.col("sha"), marked, bits, HASHES)
+    groups = flagged.filter(F.col(maybe)).groupBy("sha").agg(F.max("id").alias("keep"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    groups = written(groups.withColumn("hot", F.col("size") > max(1000, n // HOT)), "groups")  # at most HOT hot ones
+    return marked, bits, flagged.withColumnRenamed(maybe, "maybe"), groups
+
+
+def _grouped(rows: DataFrame, id_col: str, sha: str, groups: DataFrame, only_kept: bool = False) -> tuple[DataFrame, str, str]:
+    """The rows with their group's id that stays and its size (null without a group), and the names of both: hot groups by broadcast, the rest by a join on the digest, in which rows of hot groups are spread by their ids."""
+    keep, size, spread, hot_keep, hot_size = fresh(rows.columns, "keep", "size", "spread", "hot_keep", "hot_size")
+    named = lambda which, k, n, key: groups.filter(which).select(F.col("sha").alias(key), F.col("keep").alias(k), F.col("size").alias(n))
+    kept = lambda k, n: F.col(n).isNull() | col(id_col).eqNullSafe(F.col(k)) if only_kept else F.lit(True)
+    found = rows.join(F.broadcast(named("hot", hot_keep, hot_size, sha)), sha, "left").filter(kept(hot_keep, hot_size))
+    elsewhere = F.concat(F.col(sha), F.coalesce(col(id_col).cast("string"), F.lit("")).cast("binary"))
+    found = found.withColumn(spread, F.when(F.col(hot_size).isNull(), F.col(sha)).otherwise(elsewhere)).join(named("NOT hot", keep, size, spread), spread, "left").filter(kept(keep, size))
+    first = F.when(F.col(hot_size).isNotNull(), F.col(hot_keep)).otherwise(F.col(keep))
+    return found.withColumns({keep: first, size: F.coalesce(hot_size, size)}).drop(spread, hot_keep, hot_size), keep, size
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One decision per row: id, keep_id, group_size, kept, text_sha256; the largest id of equal texts stays."""
-    _, _, _, flagged, groups = _plan(docs, id_col, text_col)
-    alone = flagged.filter("NOT __tm_maybe").select("__tm_id", "__tm_sha", F.col("__tm_id").alias("__tm_keep"), F.lit(1).cast("long").alias("__tm_size"))
-    rest = flagged.filter("__tm_maybe").join(groups, "__tm_sha", "left").select(
-        "__tm_id", "__tm_sha", F.when(F.col("__tm_size").isNull(), F.col("__tm_id")).otherwise(F.col("__tm_keep")).alias("__tm_keep"),
-        F.coalesce("__tm_size", F.lit(1).cast("long")).alias("__tm_size"))
+    _, _, flagged, groups = _plan(docs, id_col, text_col)
+    alone = flagged.filter("NOT maybe").select("id", "sha", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    rest = _grouped(flagged.filter("maybe").drop("maybe"), "id", "sha", groups)[0].select(
+        "id", "sha", F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep")).alias("keep"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
     return alone.unionByName(rest).select(
-        F.col("__tm_id").alias(id_col), F.col("__tm_keep").alias("keep_id"), F.col("__tm_size").alias("group_size"),
-        F.col("__tm_id").eqNullSafe(F.col("__tm_keep")).alias("kept"), F.lower(F.hex("__tm_sha")).alias("text_sha256"))
+        F.col("id").alias(id_col), F.col("keep").alias("keep_id"), F.col("size").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their copies, all columns; rows without a possible copy are not shuffled."""
-    _, marked, bits, _, groups = _plan(docs, id_col, text_col)
-    rows = flag(with_digest(docs, text_col), F.col("__tm_sha"), marked, bits, HASHES)
-    alone = rows.filter("NOT __tm_maybe")
-    again = rows.filter("__tm_maybe").join(groups, "__tm_sha", "left").filter(
-        F.col("__tm_size").isNull() | F.col(id_col).eqNullSafe(F.col("__tm_keep"))).dropDuplicates([id_col, "__tm_sha"])
-    return alone.select(*docs.columns).unionByName(again.select(*docs.columns))
+    marked, bits, _, groups = _plan(docs, id_col, text_col)
+    (sha,) = fresh(docs.columns, "sha")
+    rows, maybe = flag(docs.select("*", digest(text_col).alias(sha)), F.col(sha), marked, bits, HASHES)
+    columns = [col(c) for c in docs.columns]
+    again = _grouped(rows.filter(col(maybe)), id_col, sha, groups, only_kept=True)[0].dropDuplicates([id_col, sha])  # rows may be equal in id and text
+    return rows.filter(~col(maybe)).select(*columns).unionByName(again.select(*columns))
 
 
 def op8_exact_dedup(spark, sf_dir):
-    return exact_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return exact_dedup(settle(spark).read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 ORACLE = """

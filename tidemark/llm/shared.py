@@ -1,12 +1,14 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Tables that cut lineage, in the folder that driver and executors share; sums in trees; names of our own."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -21,14 +23,6 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tidemark-"))
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """Bound what a Python worker holds at once: Arrow batches of 8 MB, unless the session asks for other than Spark's default."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if df.sparkSession.conf.get(key) in ("67108864b", "64m", "64MB"):
-        df.sparkSession.conf.set(key, "8m")
-    return df
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{uuid.uuid4().hex}"
 
@@ -40,21 +34,49 @@ def written(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a written table through Hadoop's own file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-
 def drop_written(*frames: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing reads any more, and let the driver's JVM notice which shuffles are dead, so their files go too."""
-    if not frames:
-        return
-    spark = frames[0].sparkSession
+    """Delete tables made by ``written`` that nothing reads any more, through Hadoop's own file system."""
     for f in frames:
+        spark = f.sparkSession
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         for path in {p.rsplit("/", 1)[0] for p in f.inputFiles()}:
-            remove(spark, path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def col(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, lengthened until they are unlike all that are taken (Spark ignores case)."""
+    seen = {c.lower() for c in taken}
+    out = []
+    for n in names:
+        while n.lower() in seen:
+            n += "_"
+        seen.add(n.lower())
+        out.append(n)
+    return out
+
+
+def map_rows(df: DataFrame, run: Callable) -> DataFrame:
+    """``mapInArrow`` over whole rows that keeps the schema, whatever the columns are called: ``run`` finds them by place."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
+#: Partial sums of at most so many partitions travel, and so many meet in one group: two levels, whatever the input.
+MOST_PARTS, FAN = 1 << 14, 1 << 7
+
+
+def tree_sum(frame: DataFrame, partial: Callable, add: Callable[[list[bytes]], bytes]) -> DataFrame:
+    """(slot, sums): what ``partial`` yields for each partition as (slot int, sums binary) rows, added up by slot."""
+    kinds = "slot int, sums binary"
+
+    def merge(key, table):
+        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([add(table.column("sums").to_pylist())], pa.binary())})
+
+    parts = frame.coalesce(MOST_PARTS).mapInArrow(partial, kinds).withColumn("some", F.floor(F.spark_partition_id() / FAN))
+    return parts.groupBy("slot", "some").applyInArrow(merge, kinds).groupBy("slot").applyInArrow(merge, kinds)
