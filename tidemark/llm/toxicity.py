@@ -1,36 +1,43 @@
 """Toxicity by votes of the nearest labelled examples under exact TF-IDF cosine.
 
-A bounded sample of labelled rows (``max_labelled``, chosen by a hash of the id) gives the terms
-(those that tell the labels apart best by chi-square, ``max_terms``), their IDF and the examples.
-The examples stand in an inverted index in blocks of ``BLOCK``; each term knows its largest weight
-in each block, so the sum of these bounds every cosine in the block, and only blocks whose bound
-reaches the k-th best cosine found so far are read: the k nearest are exact. Votes weigh by
-distance; isotonic regression on a fold that is not in the index turns them into probabilities.
-The nearest examples and their cosines are the evidence.
-
-Defined cases: a null or empty text, or one without any term of the index, has no neighbours and
-gets the calibrated share of label 1 among the examples; equal cosines rank by example id; without
-labels of both kinds every score is the share of label 1 (0 without labels); repeated rows are
-scored one by one; a null id is held in and never learnt from; other columns are not read.
+A bounded sample of labelled rows (at most ``max_labelled`` rows and ``max_postings`` different words
+of rows together, both in the order of a hash of the id) are the examples. Every word of every
+example is a term; none is selected. A term's weight is 1 + ln(count) times its inverse document
+frequency. By default that is delta TF-IDF (Martineau and Finin 2009): the distance between the
+term's inverse document frequencies among examples of either label, so that words which both kinds
+share weigh little; ``delta=False`` takes the plain inverse document frequency.
+
+The examples stand in an inverted index in blocks of ``BLOCK``; postings lie by term and block, and
+each (term, block) cell knows its largest weight. A query's terms are read in waves, largest bound
+first. After each wave the k-th best cosine so far rules out every block whose best partial cosine
+plus the maxima of its unread cells stays below it; cells of such blocks are never read. Blocks that
+are left are read whole, so the k nearest and their cosines are exact. Votes weigh by distance;
+isotonic regression on a fold that is not in the index turns them into probabilities. The nearest
+examples and their cosines are the evidence.
+
+Defined cases: a null or empty text, or one without any word of the examples, has no neighbours and
+gets the calibrated share of label 1 among the examples; words that no example has don't count;
+equal cosines rank by example id; without labels of both kinds every score is the share of label 1
+(0 without labels); repeated rows are scored one by one; ids are numbers (others, like nulls, are
+held in and never learnt from); other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 from .quality import bounded_sample, pav
-from .shared import small_batches, written
+from .shared import map_rows, written
 from .textcore import ALNUM, LOWER, segments, span_hashes, utf8, word_spans
 
-BLOCK = 128
-#: Besides each word, its beginnings of so many bytes are terms: stems, where words are inflected or compounded.
-STEMS = (5, 6, 7, 8)
-#: Terms must tell the labels apart at least this well (chi-square with one degree of freedom, 1 in 1000).
-LEAST_CHI = 10.8
+BLOCK = 64
+#: Postings after which the bounds are looked at again.
+WAVES = (2_000, 12_000, 60_000)
 
 
 def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None):
@@ -40,20 +47,12 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None):
         low = LOWER[data[offsets[first] : offsets[last]]]
         rows = offsets[first : last + 1] - offsets[first]
         starts, ends = word_spans(low, rows[:-1], ALNUM)
-        row_of = np.searchsorted(rows, starts, "right") - 1
-        of_parts, word_parts = [], []
-        for stem in (0, *STEMS):
-            long = slice(None) if not stem else ends - starts > stem
-            words = span_hashes(low, starts[long], ends[long] if not stem else starts[long] + stem) + np.uint64(stem)
-            of = row_of[long]
-            if vocabulary is not None:
-                place = np.searchsorted(vocabulary, words)
-                place[place == len(vocabulary)] = 0
-                hit = vocabulary[place] == words if len(vocabulary) else np.zeros(len(words), bool)
-                of, words = of[hit], place[hit]
-            of_parts.append(of)
-            word_parts.append(words)
-        of, words = np.concatenate(of_parts), np.concatenate(word_parts)
+        of, words = np.searchsorted(rows, starts, "right") - 1, span_hashes(low, starts, ends)
+        if vocabulary is not None:
+            place = np.searchsorted(vocabulary, words)
+            place[place == len(vocabulary)] = 0
+            hit = vocabulary[place] == words if len(vocabulary) else np.zeros(len(words), bool)
+            of, words = of[hit], place[hit]
         order = np.lexsort((words, of))
         of, words = of[order], words[order]
         new = np.ones(len(of), bool)
@@ -62,53 +61,76 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None):
         yield first, last, of[begin], words[begin], np.diff(np.append(begin, len(of)))
 
 
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of all runs, one after the other."""
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+
+
+def inverse_frequency(df: np.ndarray, positive: np.ndarray, n: int, n_positive: int, delta: bool) -> np.ndarray:
+    """The weight of terms that stand in ``df`` of n examples, ``positive`` of them with label 1 (of ``n_positive``)."""
+    if not delta:
+        return np.log((1 + n) / (1 + df)) + 1
+    return np.abs(np.log((n_positive + 1) / (positive + 1)) - np.log((n - n_positive + 1) / (df - positive + 1)))
+
+
 class BlockMaxIndex:
-    """Examples as unit TF-IDF vectors, in blocks, each term with its postings and its maximum in every block."""
+    """Examples as unit TF-IDF vectors, in blocks: cells of a term and a block hold postings and know their maximum."""
 
     def __init__(self, terms: np.ndarray, idf: np.ndarray, ids: np.ndarray, labels: np.ndarray):
         self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
         self.blocks = max(1, -(-len(ids) // BLOCK))
+        self.read = self.all = 0  # postings, for tests
 
     def weigh(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
         norm = np.sqrt(np.bincount(rows, w * w, minlength=n))
-        return w / norm[rows]
+        return np.divide(w, norm[rows], out=np.zeros(len(w)), where=norm[rows] > 0)
 
     def load(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
         """Take the examples' (row, term, count) pairs."""
         w = self.weigh(rows, terms, counts, len(self.ids))
         order = np.lexsort((rows, terms))
-        self.posting, self.weight = rows[order], w[order]
-        self.ptr = np.searchsorted(terms[order], np.arange(len(self.terms) + 1))
-        self.largest = np.zeros((len(self.terms), self.blocks))
-        np.maximum.at(self.largest, (terms, rows // BLOCK), w)
+        rows, terms, w = rows[order], terms[order], w[order]
+        block = rows // BLOCK
+        first = np.flatnonzero(np.append(True, (terms[1:] != terms[:-1]) | (block[1:] != block[:-1]))) if len(rows) else np.zeros(0, np.int64)
+        self.example, self.weight = rows.astype(np.int32), w
+        self.cell_block, self.cell_at = block[first].astype(np.int32), np.append(first, len(rows)).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(terms[first], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.most = np.zeros(len(self.terms))
+        np.maximum.at(self.most, terms[first], self.cell_most)
 
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, nearest first."""
-        none = np.zeros(0, np.int64), np.zeros(0)
-        bound = w @ self.largest[terms]
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        if not len(order):
-            return none
-        at = [slice(self.ptr[t], self.ptr[t + 1]) for t in terms.tolist()]
-        posting = np.concatenate([self.posting[s] for s in at])
-        part = np.concatenate([self.weight[s] * x for s, x in zip(at, w.tolist(), strict=True)])
-        block = posting // BLOCK
-        found_p, found_s, kth = none[0], none[1], 0.0
-        for some in (order[:4], order[4:]):
-            wanted = np.zeros(self.blocks, bool)
-            wanted[some[bound[some] >= kth - 1e-9]] = True
-            read = wanted[block]
-            cos = np.bincount(posting[read], part[read], minlength=len(self.ids))
-            p = np.flatnonzero(cos > 0)
-            found_p, found_s = np.concatenate([found_p, p]), np.concatenate([found_s, cos[p]])
-            if len(found_p) > k:
-                kth = np.partition(found_s, -k)[-k]
-                keep = found_s >= kth
-                found_p, found_s = found_p[keep], found_s[keep]
-        best = np.lexsort((self.ids[found_p], -np.round(found_s, 12)))[:k]
-        return found_p[best], np.minimum(found_s[best], 1.0)
+        order = np.argsort(-w * self.most[terms], kind="stable")
+        terms, w = terms[order], w[order]
+        begin, many = self.cells[terms].astype(np.int64), np.diff(self.cells)[terms].astype(np.int64)
+        cell = spread(begin, many)
+        block, weight = self.cell_block[cell], np.repeat(w, many)
+        bound, size = weight * self.cell_most[cell], self.cell_at[cell + 1] - self.cell_at[cell]
+        upto = np.concatenate([[0], np.cumsum(many)])  # cells up to each term
+        read_after = np.concatenate([[0], np.cumsum(size)])[upto]
+        self.all += int(read_after[-1])
+        stops = np.unique(np.append(np.searchsorted(read_after[:-1], WAVES), len(terms)))
+        cos, alive = np.zeros(self.blocks * BLOCK), np.ones(self.blocks, bool)
+        at = 0
+        for stop in stops.tolist():
+            wave = slice(upto[at], upto[stop])
+            on = alive[block[wave]]
+            c, n = cell[wave][on], size[wave][on]
+            posting = spread(self.cell_at[c].astype(np.int64), n)
+            cos += np.bincount(self.example[posting], np.repeat(weight[wave][on], n) * self.weight[posting], minlength=len(cos))
+            self.read += len(posting)
+            at = stop
+            if stop < len(terms) and len(cos) > k:
+                kth = np.partition(cos, -k)[-k]
+                rest = slice(upto[stop], None)
+                left = np.bincount(block[rest], bound[rest], minlength=self.blocks)
+                alive &= cos.reshape(-1, BLOCK).max(1) + left >= kth - 1e-9
+        kth = np.partition(cos, -k)[-k] - 1e-9 if len(cos) > k else 0.0
+        found = np.flatnonzero((cos > 0) & (cos >= kth))
+        best = found[np.lexsort((self.ids[found], -np.round(cos[found], 12)))[:k]]
+        return best, np.minimum(cos[best], 1.0)
 
 
 class ToxicityModel:
@@ -123,81 +145,90 @@ class ToxicityModel:
         far = max(0.0, 1.0 - cos[0])  # few or distant neighbours leave room for the prior
         return float((w @ self.index.labels[places] + far * self.prior) / (w.sum() + far))
 
+    def votes(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int):
+        """Vote, places and cosines of each of n texts, from their (row, term, count) pairs."""
+        w = self.index.weigh(rows, terms, counts, n)
+        at = np.searchsorted(rows, np.arange(n + 1)).tolist()
+        for i, j in zip(at[:-1], at[1:], strict=True):
+            places, cos = self.index.nearest(terms[i:j], w[i:j], self.k) if j > i else (np.zeros(0, np.int64), np.zeros(0))
+            yield self.vote(places, cos), places, cos
+
     def raw(self, column: pa.Array, evidence: int = 0):
         """Votes of each text, and its nearest examples' ids and cosines."""
         votes, ids, cosines = np.full(len(column), self.prior), [[]] * len(column), [[]] * len(column)
         if self.index is None or not len(self.index.terms):
             return votes, ids, cosines
         for first, last, rows, terms, counts in term_counts(column, self.index.terms):
-            w = self.index.weigh(rows, terms, counts, last - first)
-            at = np.searchsorted(rows, np.arange(last - first + 1))
-            for i in np.flatnonzero(np.diff(at)).tolist():
-                places, cos = self.index.nearest(terms[at[i] : at[i + 1]], w[at[i] : at[i + 1]], self.k)
-                votes[first + i] = self.vote(places, cos)
+            for i, (vote, places, cos) in enumerate(self.votes(rows, terms, counts, last - first), first):
+                votes[i] = vote
                 if evidence:
-                    ids[first + i] = self.index.ids[places[:evidence]].tolist()
-                    cosines[first + i] = cos[:evidence].tolist()
+                    ids[i], cosines[i] = self.index.ids[places[:evidence]].tolist(), cos[:evidence].tolist()
         return votes, ids, cosines
 
     def score(self, votes: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(votes, self.knots, self.values), 0, 1)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_labelled: int, max_terms: int, k: int) -> ToxicityModel:
-    fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")
-    known = labels.select(F.col(id_col).cast("long").alias(id_col), F.col(label_col).cast("int").alias("label")).withColumn("fold", fold).filter("fold != 0 AND label IN (0, 1)").dropDuplicates([id_col])
-    sample = written(bounded_sample(known, id_col, max_labelled), "toxicity-labels")  # at most max_labelled rows of 16 bytes: broadcast
-    rows = small_batches(docs).select(F.col(id_col).cast("long").alias(id_col), text_col).join(F.broadcast(sample), id_col).select(id_col, "label", "fold", text_col)
+def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_labelled: int, max_postings: int, k: int, delta: bool) -> ToxicityModel:
+    fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)).cast("int")
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).withColumn("fold", fold).filter("fold != 0 AND label IN (0, 1)").dropDuplicates(["id"])
+    sample = written(bounded_sample(known, "id", max_labelled), "toxicity-labels")  # at most max_labelled rows of 16 bytes: broadcast
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "fold", "text")
 
     def counted(batches):
         for b in batches:
-            terms: list = []
-            counts: list = []
             for first, last, of, t, n in term_counts(b.column(3)):
-                at = np.searchsorted(of, np.arange(last - first + 1)).tolist()
-                t = t.astype(np.int64)
-                terms += [t[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-                counts += [n[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(3)), pa.array(terms, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], names=[id_col, "label", "fold", "terms", "counts"])
-
-    vectors = written(rows.mapInArrow(counted, f"`{id_col}` long, label int, fold int, terms array<long>, counts array<long>"), "toxicity-terms")
-    whole = vectors.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).first()
-    n, y = whole["n"], whole["y"] or 0
+                at = pa.array(np.searchsorted(of, np.arange(last - first + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(at, pa.array(t.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*(b.column(i)[first:last] for i in range(3)), *lists], names=["id", "label", "fold", "terms", "counts"])
+
+    vectors = written(rows.mapInArrow(counted, "id long, label int, fold int, terms array<long>, counts array<int>"), "toxicity-terms")
+    order = F.struct(F.xxhash64("id", F.lit(11)), "id")
+    sizes = vectors.select(order.alias("at"), F.size("terms").cast("long").alias("n"), "label").toPandas()  # at most max_labelled rows
+    y, n = int(sizes["label"].sum()), len(sizes)
     if not n or y in (0, n):
         return ToxicityModel(None, y / n if n else 0.0, k)
-    a, df = F.col("pos"), F.col("df")
-    miss = F.lit(float(n)) * a - df * F.lit(float(y))
-    chi = miss * miss * F.lit(n / (y * (n - y))) / (df * F.greatest(F.lit(float(n)) - df, F.lit(0.5)))
-    best = (vectors.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"), F.sum("label").cast("double").alias("pos"))
-        .filter("df >= 3").withColumn("chi", chi).filter(F.col("chi") >= LEAST_CHI).orderBy(F.desc("chi"), "term").limit(max_terms).select("term", "df").toPandas())
-    terms = best["term"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(terms)
-    terms, idf = terms[order], np.log((1 + n) / (1 + best["df"].to_numpy()[order])) + 1
-    chosen = {int(t): i for i, t in enumerate(terms.view(np.int64).tolist())}
-
-    def kept(frames):
-        for f in frames:
-            pick = [[(chosen[t], c) for t, c in zip(ts.tolist(), cs.tolist(), strict=True) if t in chosen] for ts, cs in zip(f["terms"], f["counts"], strict=True)]
-            yield pd.DataFrame({"id": f[id_col], "label": f["label"], "fold": f["fold"], "terms": [[x for x, _ in p] for p in pick], "counts": [[x for _, x in p] for p in pick]})
-
-    got = vectors.mapInPandas(kept, "id long, label int, fold int, terms array<int>, counts array<long>").toPandas().sort_values("id", kind="stable")
-    inside = got[got["fold"] != 4] if (got["fold"] != 4).any() else got
-    index = BlockMaxIndex(terms, idf, inside["id"].to_numpy(), inside["label"].to_numpy(float))
-    flat = lambda f: (np.repeat(np.arange(len(f)), [len(t) for t in f["terms"]]), np.concatenate([np.asarray(t, np.int64) for t in f["terms"]] or [np.zeros(0, np.int64)]), np.concatenate([np.asarray(c, float) for c in f["counts"]] or [np.zeros(0)]))
-    index.load(*flat(inside))
-    model = ToxicityModel(index, float(inside["label"].mean()), k)
-    held = got[got["fold"] == 4]
-    if len(held):
-        r, t, c = flat(held)
-        w, at = index.weigh(r, t, c, len(held)), np.searchsorted(r, np.arange(len(held) + 1))
-        votes = np.array([model.vote(*index.nearest(t[i:j], w[i:j], k)) if j > i else model.prior for i, j in zip(at[:-1], at[1:], strict=True)])
-        model.knots, model.values = pav(votes, held["label"].to_numpy(float))
+    if sizes["n"].sum() > max_postings:
+        sizes = sizes.sort_values("at", key=lambda c: c.map(tuple))
+        last = sizes["at"][(sizes["n"].cumsum() <= max_postings).to_numpy()].iloc[-1:]
+        vectors = vectors.filter(F.xxhash64("id", F.lit(11)) <= int(last.iloc[0][0])) if len(last) else vectors.limit(0)
+    got = vectors.orderBy("id").toArrow().combine_chunks()
+    if not got.num_rows:
+        return ToxicityModel(None, y / n, k)
+    ids, label, folds = (got.column(c).to_numpy() for c in ("id", "label", "fold"))
+    lists = got.column("terms").combine_chunks() if isinstance(got.column("terms"), pa.ChunkedArray) else got.column("terms")
+    of = np.repeat(np.arange(got.num_rows), np.diff(lists.offsets.to_numpy()))
+    hashes, counts = lists.flatten().to_numpy().view(np.uint64), got.column("counts").combine_chunks().flatten().to_numpy().astype(float)
+    inside = folds != 4 if (folds != 4).any() else np.ones(len(folds), bool)
+    index, held = _index(ids, label, of, hashes, counts, inside, delta)
+    model = ToxicityModel(index, float(label[inside].mean()), k)
+    if (~inside).any():
+        model.knots, model.values = pav(np.array([v for v, _, _ in model.votes(*held, int((~inside).sum()))]), label[~inside].astype(float))
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_terms: int = 512, k: int = 21, threshold: float = 0.5, evidence: int = 3) -> DataFrame:
-    """Every document with held_out, score, predicted, and its nearest examples' ids and cosines; all its other columns pass through."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_terms, k))
+def _index(ids, label, of, hashes, counts, inside, delta):
+    """The index of the examples, and the (row, term, count) pairs of those that calibrate."""
+    mine = inside[of]
+    terms, places = np.unique(hashes[mine], return_inverse=True)
+    df = np.bincount(places, minlength=len(terms))
+    positive = np.bincount(places, label[of[mine]], minlength=len(terms))
+    index = BlockMaxIndex(terms, inverse_frequency(df, positive, int(inside.sum()), int(label[inside].sum()), delta), ids[inside], label[inside].astype(float))
+    index.load((np.cumsum(inside) - 1)[of[mine]], places, counts[mine])
+    place = np.searchsorted(terms, hashes[~mine])
+    place[place == len(terms)] = 0
+    hit = terms[place] == hashes[~mine] if len(terms) else np.zeros(len(place), bool)
+    rows, place, c = (np.cumsum(~inside) - 1)[of[~mine]][hit], place[hit], counts[~mine][hit]
+    order = np.lexsort((place, rows))
+    return index, (rows[order], place[order], c[order])
+
+
+MAX_LABELLED, MAX_POSTINGS, NEAREST, THRESHOLD = 8_000, 3_000_000, 21, 0.5
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_postings: int = MAX_POSTINGS, k: int = NEAREST, threshold: float = THRESHOLD, evidence: int = 3, delta: bool = True) -> DataFrame:
+    """id, held_out, score, predicted, and the ids and cosines of the nearest examples of every document."""
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_postings, k, delta))
 
     def run(batches):
         m = model.value
@@ -213,18 +244,20 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     return scored.select(id_col, held.alias("held_out"), "score", "predicted", "evidence_ids", "evidence_cosines")
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 20_000, max_terms: int = 512, k: int = 21, threshold: float = 0.5) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_postings: int = MAX_POSTINGS, k: int = NEAREST, threshold: float = THRESHOLD, delta: bool = True) -> DataFrame:
     """The documents that score below the threshold, all columns; one pass, no shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_terms, k))
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_postings, k, delta))
+
+    at = docs.columns.index(text_col)
 
     def run(batches):
         m = model.value
         for b in batches:
-            s = m.score(m.raw(b.column(b.schema.get_field_index(text_col)))[0])
+            s = m.score(m.raw(b.column(at))[0])
             yield b.filter(pa.array(s < threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_rows(docs, run)
 
 
 def op6_toxicity(spark, sf_dir):
-    return score_toxicity(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_toxicity(settle(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
