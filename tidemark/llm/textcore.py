@@ -100,14 +100,3 @@ def hashed_words(column: pa.Array, is_word: np.ndarray = WORD, most: int = SEGME
         starts, ends = word_spans(part, rows[:-1], is_word)
         hashes = span_hashes(part, starts, ends)
         yield first, last, hashes, np.searchsorted(starts, rows)
-
-
-def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of the k-word shingles of one word sequence; fewer words are one shingle, none give none."""
-    if len(words) == 0:
-        return words
-    k_used = min(k, len(words))
-    out = np.full(len(words) - k_used + 1, 0x243F6A8885A308D3 + k_used, np.uint64)
-    for i in range(k_used):
-        out = mix(out * np.uint64(_P) + words[i : len(words) - k_used + 1 + i])
-    return out
