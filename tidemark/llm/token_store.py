@@ -6,15 +6,20 @@ passages give equal chunks wherever they stand. Files (Parquet, in the folder of
 * ``chunks``: hash (blake2b, 16 bytes), ids (little-endian, ``width`` bytes each), each once;
 * ``recipes``: root (Merkle root over chunk hashes), hashes (16 bytes each), each once;
 * ``documents``: id, n_tokens, root, start, part: in ascending id order, range-partitioned;
-* ``manifest``: part, documents, n_tokens, root (Merkle root over the part's document rows).
-
-Reading back checks each chunk against its hash, each recipe against its root and each part
-against the manifest. The CRC of a document comes from the CRCs of its chunks as read, joined by
-the CRC's own algebra, so payloads are not moved again; ``reconstruct`` gives the ids themselves.
-
-Defined cases: a null text counts as empty and holds the end id alone; equal ids are ordered by
-their root and counted one after the other; a null id sorts first; an empty table gives an empty
-store; other columns are not read.
+* ``manifest``: part, documents, n_tokens, root (Merkle root over blocks of the part's document rows);
+* ``root``: one row for the whole store: parts, documents, n_tokens, root (Merkle root over the parts').
+
+Reading back checks everything: each chunk against its hash, each recipe against its root, each
+document's token count against its chunks, and, before any of that, the document rows against the
+manifest and the manifest against the store's root, block by block (``verify``). The CRC of a
+document comes from the CRCs of its chunks as read, joined by the CRC's own algebra, so payloads are
+not moved again; ``reconstruct`` gives the ids themselves. A chunk or a recipe that very many
+documents share is unique on its own side of each join, and both sides are shuffled for that join
+alone, so Spark can split the other side.
+
+Defined cases: a null text counts as empty and holds the end id alone; ids are numbers (others
+become null); equal ids are ordered by their root and counted one after the other; a null id sorts
+first; an empty table gives an empty store; other columns are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +33,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 from .bpe import codec, tokenizer_path
-from .shared import new_path, small_batches
+from .shared import new_path
 from .textcore import mix
 
 WINDOW = 16
@@ -149,21 +156,36 @@ def _once(batches):
         yield b.filter(pa.array(keep, pa.bool_()))
 
 
+#: Document rows under one node of a part's Merkle tree.
+BLOCK_ROWS = 1024
+
+
+def _leaf(doc_id, n_tokens, root) -> bytes:
+    return _hash(repr((doc_id, n_tokens, root)).encode())
+
+
 def _ordered(batches):
-    """Documents of one range partition: their starts within it; at its end a manifest row with its Merkle root."""
-    start, leaves, part, n = 0, [], None, 0
-    schema = pa.schema([("row", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("start", pa.int64())])
+    """Documents of one range partition: their places and starts within it; at its end a manifest row with its Merkle root."""
+    start, leaves, blocks, part, n = 0, [], [], None, 0
+    schema = pa.schema([("row", pa.string()), ("part", pa.int32()), ("place", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("root", pa.binary()), ("start", pa.int64())])
     for b in batches:
         if not b.num_rows:
             continue
         part = b.column(0)[0].as_py()
         tokens = b.column(2).to_numpy(zero_copy_only=False)
         starts = start + np.concatenate([[0], np.cumsum(tokens)[:-1]])
+        yield pa.RecordBatch.from_arrays([pa.array(["documents"] * b.num_rows), b.column(0), pa.array(np.arange(n, n + b.num_rows)), b.column(1), b.column(2), b.column(3), pa.array(starts, pa.int64())], schema=schema)
         start, n = start + int(tokens.sum()), n + b.num_rows
-        leaves += [_hash(repr(x).encode()) for x in zip(b.column(1).to_pylist(), tokens.tolist(), b.column(3).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(["documents"] * b.num_rows), b.column(0), b.column(1), b.column(2), b.column(3), pa.array(starts, pa.int64())], schema=schema)
+        leaves += [_leaf(*x) for x in zip(b.column(1).to_pylist(), tokens.tolist(), b.column(3).to_pylist(), strict=True)]
+        while len(leaves) >= BLOCK_ROWS:
+            blocks.append(merkle_root(leaves[:BLOCK_ROWS]))
+            leaves = leaves[BLOCK_ROWS:]
     if n:
-        yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([start], pa.int64()), pa.array([merkle_root(leaves)], pa.binary()), pa.array([0], pa.int64())], schema=schema)
+        blocks += [merkle_root(leaves)] if leaves else []
+        yield pa.RecordBatch.from_arrays([pa.array(["manifest"]), pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([None], pa.int64()), pa.array([start], pa.int64()), pa.array([merkle_root(blocks)], pa.binary()), pa.array([0], pa.int64())], schema=schema)
+
+
+_INDEX = "part int, place long, doc_id long, n_tokens long, root binary, start long"
 
 
 class TokenStore:
@@ -176,32 +198,38 @@ class TokenStore:
     def write(cls, docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
         spark = docs.sparkSession
         dtype = "<u2" if max(codec(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, end_id, dtype), _sql(_ROWS))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, end_id, dtype), _sql(_ROWS))
         place = F.when(F.col("kind") == DOCUMENT, F.xxhash64("doc_id", "n_tokens")).otherwise(F.xxhash64("key"))
         (rows.withColumn("place", place).repartition("place").drop("place").mapInArrow(_once, _sql(_ROWS))
             .write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/objects"))
         found = spark.read.schema(_sql(_ROWS)).parquet(f"{store}/objects").filter(F.col("kind") == DOCUMENT)
         (found.select("doc_id", "n_tokens", F.col("key").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
             .select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "root")
-            .mapInArrow(_ordered, "row string, part int, doc_id long, n_tokens long, root binary, start long")
+            .mapInArrow(_ordered, f"row string, {_INDEX}")
             .write.partitionBy("row").parquet(f"{store}/index"))
-        return cls(spark, store, dtype)
+        out = cls(spark, store, dtype)
+        parts = out.manifest().orderBy("part").toLocalIterator()  # one row for each written part
+        n, documents, tokens, roots = 0, 0, 0, []
+        for r in parts:
+            n, documents, tokens, roots = n + 1, documents + r["documents"], tokens + r["n_tokens"], [*roots, bytes(r["root"])]
+        spark.createDataFrame([(n, documents, tokens, bytearray(merkle_root(roots)))], "parts long, documents long, n_tokens long, root binary").write.parquet(f"{store}/root")
+        return out
 
     def _objects(self, kind: int) -> DataFrame:
         return self.spark.read.schema(_sql(_ROWS)).parquet(f"{self.path}/objects").filter(F.col("kind") == kind)
 
     def _index(self, row: str) -> DataFrame:
-        return self.spark.read.schema("part int, doc_id long, n_tokens long, root binary, start long, row string").parquet(f"{self.path}/index").filter(F.col("row") == row)
+        return self.spark.read.schema(f"{_INDEX}, row string").parquet(f"{self.path}/index").filter(F.col("row") == row)
 
     def manifest(self) -> DataFrame:
         """One row per part: documents, n_tokens, root; and base, the ids in all parts before it."""
-        rows = self._index("manifest").select("part", F.col("doc_id").alias("documents"), "n_tokens", "root")
+        rows = self._index("manifest").select("part", F.col("place").alias("documents"), "n_tokens", "root")
         before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file part
         return rows.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
     def documents(self) -> DataFrame:
-        bases = self.manifest().select("part", "base")
-        return self._index("documents").join(F.broadcast(bases), "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "root", "part")
+        bases = self.manifest().select("part", "base")  # Spark broadcasts it while it is small
+        return self._index("documents").join(bases, "part").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "root", "part")
 
     def recipes(self) -> DataFrame:
         """root, k, hash of each recipe, checked against its root."""
@@ -274,17 +302,30 @@ class TokenStore:
         parts = docs.join(self.recipes(), "root").join(self._objects(CHUNK).select(F.col("key").alias("hash"), "body"), "hash")
         return parts.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "body"))).alias("parts")).select("doc_id", "parts").mapInArrow(run, "doc_id long, ids array<long>")
 
-    def verify_manifest(self) -> DataFrame:
-        """part and whether its documents, as read, give the manifest's root; a part is one written file's worth of rows."""
+    def verify(self) -> TokenStore:
+        """Check the document rows against the manifest and the manifest against the store's root; raise where they differ."""
+
+        def block(key, table):
+            rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "doc_id", "n_tokens", "root")), strict=True), key=lambda x: x[0])
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int64()), "n": pa.array([len(rows)], pa.int64()), "tokens": pa.array([sum(x[2] for x in rows)], pa.int64()), "root": pa.array([merkle_root([_leaf(*x[1:]) for x in rows])], pa.binary())})
 
-        def run(key, pdf):
-            pdf = pdf.sort_values("start")
-            ids = [None if pd.isna(x) else int(x) for x in pdf["doc_id"]]
-            leaves = [_hash(repr(x).encode()) for x in zip(ids, pdf["n_tokens"].tolist(), [bytes(r) for r in pdf["root"]], strict=True)]
-            return pd.DataFrame({"part": [key[0]], "found": [merkle_root(leaves)]})
+        def part(key, table):
+            rows = sorted(zip(*(table.column(c).to_pylist() for c in ("block", "n", "tokens", "root")), strict=True))
+            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(x[1] for x in rows)], pa.int64()), "tokens": pa.array([sum(x[2] for x in rows)], pa.int64()), "found": pa.array([merkle_root([x[3] for x in rows])], pa.binary())})
 
-        found = self._index("documents").groupBy("part").applyInPandas(run, "part int, found binary")
-        return self.manifest().join(found, "part", "left").select("part", F.col("root").eqNullSafe(F.col("found")).alias("whole"))
+        blocks = self._index("documents").groupBy("part", F.floor(F.col("place") / BLOCK_ROWS).alias("block")).applyInArrow(block, "part int, block long, n long, tokens long, root binary")
+        found = blocks.groupBy("part").applyInArrow(part, "part int, n long, tokens long, found binary")
+        same = F.col("root").eqNullSafe(F.col("found")) & F.col("documents").eqNullSafe(F.col("n")) & F.col("n_tokens").eqNullSafe(F.col("tokens"))
+        both = self.manifest().join(found, "part", "full").select("part", "n", "tokens", "found", same.alias("whole"))
+        n, documents, tokens, roots = 0, 0, 0, []
+        for r in both.orderBy("part").toLocalIterator():  # one row for each written part
+            if not r["whole"]:
+                raise ValueError(f"part {r['part']} of the store doesn't match the manifest")
+            n, documents, tokens, roots = n + 1, documents + r["n"], tokens + r["tokens"], [*roots, bytes(r["found"])]
+        whole = self.spark.read.parquet(f"{self.path}/root").collect()
+        if [(r["parts"], r["documents"], r["n_tokens"], bytes(r["root"])) for r in whole] != [(n, documents, tokens, merkle_root(roots))]:
+            raise ValueError("the store's manifest doesn't match its root")
+        return self
 
 
 def _sql(schema: pa.Schema) -> str:
@@ -293,5 +334,5 @@ def _sql(schema: pa.Schema) -> str:
 
 
 def op5_token_store(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return TokenStore.write(docs, new_path(spark, "store"), tokenizer_path()).checksums()
+    docs = settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    return TokenStore.write(docs, new_path(spark, "store"), tokenizer_path()).verify().checksums()
