@@ -8,8 +8,8 @@ displaced pieces, largest first. Between epochs each island sends its elite to i
 the end the islands of a shard meet. Bins that are then still not well filled are taken apart and
 their pieces dealt anew among all shards of the next level, so slack is pooled over all data.
 
-Defined cases: a null or empty text is one piece that holds the end id alone; rows with equal
-ids are packed one by one; an empty table gives no pieces; other columns are not read.
+Defined cases: a null or empty text is one piece that holds the end id alone; ids are numbers
+(others become null); rows with equal ids are packed one by one; an empty table gives no pieces; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import settle
+
 from .bpe import codec, tokenizer_path
-from .shared import small_batches, written
+from .shared import written
 
 SHARD_PIECES, ISLANDS, LEVELS = 2000, 2, 3
 POPULATION, GENERATIONS = 6, 8
@@ -48,7 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
                         out.append((all_ids[first + i], k, s // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -185,4 +187,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = 204
 
 
 def op4_best_fit_packing(spark, sf_dir):
-    return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack_documents(settle(spark).read.parquet(f"{sf_dir}/documents.parquet"))

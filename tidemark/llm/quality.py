@@ -9,8 +9,12 @@ on these calibrates the scores.
 ``max_labelled`` bounds the labelled rows that are fitted (chosen by a hash of the id); all rows
 are scored. Statistics come from whole texts and nothing else.
 
-Defined cases: a null or empty text has statistics 0 and gets the score the model gives them;
-without any label of both kinds every score is the share of label 1 (0.5 without labels); a row
+Beyond the range of the fitted rows a kernel's features mean nothing, so each statistic counts as the
+nearer end of its range there.
+
+Defined cases: a text without words (null, empty, white space) has nothing to judge and scores 0; a
+text of one letter or of any length is judged within the range of the fitted rows;
+without labels of both kinds all other scores are the share of label 1 (0.5 without labels); a row
 with a null id is held in, never fitted and scored; repeated ids are scored one by one; other
 columns are not read.
 """
@@ -23,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import small_batches, written
+from tidemark.session import settle
+
+from .shared import written
 from .textcore import LOWER, WORD, mix, segments, span_hashes, utf8, word_spans
 
 STATISTICS = ("log_bytes", "log_words", "upper", "digit", "stop", "exclaim", "bar", "sign", "high", "word_length", "repeated_words", "twice_running", "repeated_pairs", "repeated_lines", "line_words", "odd_ends")
@@ -81,7 +87,7 @@ def statistics(column: pa.Array) -> np.ndarray:
 
 def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and ``stats`` (array of doubles) of every row; no shuffle."""
-    rows = small_batches(docs.select(id_col, text_col))
+    rows = docs.select(id_col, text_col)
 
     def run(batches):
         for b in batches:
@@ -107,26 +113,29 @@ def pav(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class QualityModel:
     """Scores rows of STATISTICS; small enough to travel inside a task."""
 
-    def __init__(self, mean, scale, seed: int = 7, width: float = 4.0):
+    def __init__(self, mean, scale, low=None, high=None, seed: int = 7, width: float = 4.0):
         rng = np.random.default_rng(seed)
         self.mean, self.scale = np.asarray(mean, float), np.asarray(scale, float)
+        self.low, self.high = (np.full(len(self.mean), x) if e is None else np.asarray(e, float) for e, x in ((low, -np.inf), (high, np.inf)))
         self.w = rng.normal(size=(len(self.mean), FEATURES)) / width
         self.b = rng.uniform(0, 2 * np.pi, FEATURES)
         self.weights, self.knots, self.values = np.zeros(FEATURES + len(self.mean) + 1), np.zeros(1), np.full(1, 0.5)
 
     def lift(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
+        z = np.clip((np.clip(x, self.low, self.high) - self.mean) / self.scale, -6, 6)
         return np.column_stack([np.ones(len(z)), z, np.sqrt(2 / FEATURES) * np.cos(z @ self.w + self.b) * 4])
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return np.clip(np.interp(self.lift(x) @ self.weights, self.knots, self.values), 0, 1)
+        s = np.clip(np.interp(self.lift(x) @ self.weights, self.knots, self.values), 0, 1)
+        return np.where(x[:, STATISTICS.index("log_words")] > 0, s, 0.0)
 
 
 def fit(labelled: DataFrame, ridge: float = 1.0) -> QualityModel:
     """Fit on rows (stats, label 0/1, fold): sums of each partition travel, rows stay."""
     k = len(STATISTICS)
-    m = labelled.agg(*[f(F.get("stats", F.lit(i))).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop))], F.avg("label").alias("y"), F.count("label").alias("n")).first()
-    model = QualityModel([m[f"m{i}"] or 0 for i in range(k)], [m[f"s{i}"] or 1 for i in range(k)])
+    m = labelled.agg(*[f(F.get("stats", F.lit(i))).alias(f"{n}{i}") for i in range(k) for n, f in (("m", F.avg), ("s", F.stddev_pop), ("low", F.min), ("high", F.max))], F.avg("label").alias("y"), F.count("label").alias("n")).first()
+    each = lambda n, other: [m[f"{n}{i}"] if m[f"{n}{i}"] else other for i in range(k)]
+    model = QualityModel(each("m", 0), each("s", 1), each("low", 0), each("high", 0))
     if not m["n"] or m["y"] in (0, 1):
         model.values = np.full(1, 0.5 if not m["n"] else float(m["y"]))
         return model
@@ -190,4 +199,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
 
 
 def op2_quality_classifier(spark, sf_dir):
-    return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(settle(spark).read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
