@@ -23,7 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import drop_written, small_batches, written
+from tidemark.session import settle
+
+from .shared import drop_written, tree_sum, written
 from .textcore import LOWER, WORD, mix, segments, span_hashes, utf8, word_spans
 
 #: The start of the clustering: words alone, groups of endings; then passes over all training words.
@@ -54,6 +56,10 @@ def tokens(column: pa.Array):
         yield first, last, out, ending, at
 
 
+def word_hash(word: str) -> int:
+    return int(next(tokens(pa.array([word])))[2][0])
+
+
 def exchange(bigrams: np.ndarray, classes: int, passes: int = 6) -> np.ndarray:
     """Classes of units by the exchange algorithm; unit 0 stays alone in class 0."""
     n_units = len(bigrams)
@@ -233,13 +239,14 @@ def before(at: np.ndarray) -> np.ndarray:
     return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, report: list | None = None) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held: int = 2, report: list | None = None, model: dict | None = None) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose crc32(id) mod folds isn't ``held``.
 
-    ``report`` gets the likelihood of the classes before and after each pass."""
+    ``report`` gets the likelihood of the classes before and after each pass; ``model`` the model itself, for corpora
+    that fit on the driver: class and count of every training word's hash, class bigrams, and ``start``, the class of an unseen word."""
     spark = docs.sparkSession
     out_of = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)) == held, F.lit(False))
-    train = small_batches(docs).filter(~out_of).select(text_col)
+    train = docs.filter(~out_of).select(text_col)
 
     def count(batches):
         for b in batches:
@@ -298,7 +305,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     units_of = spark.sparkContext.broadcast(Heads(head, head_n, unit, 1 + WORDS + np.arange(ENDINGS)))
 
     def square(size, pairs, frame):
-        """The sum of square count tables of fixed size: one row a used table row and partition, then two levels."""
+        """The sum of square count tables of fixed size, one row of sums a used table row."""
 
         def some(batches):
             total = np.zeros(size * size, np.int64)
@@ -306,16 +313,11 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total += pairs(b)
             table = total.reshape(size, size)
             used = np.flatnonzero(table.any(1))
-            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i].astype("<i8").tobytes() for i in used.tolist()], pa.binary())], names=["unit", "row"])
-
-        def add(key, table):
-            total = np.sum([np.frombuffer(x, "<i8") for x in table.column("row").to_pylist()], axis=0)
-            return pa.table({"unit": pa.array([key[0].as_py()], pa.int32()), "row": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i].astype("<i8").tobytes() for i in used.tolist()], pa.binary())], names=["slot", "sums"])
 
-        parts = frame.mapInArrow(some, "unit int, row binary").withColumn("some", F.shiftright(F.spark_partition_id(), 7))
         table = np.zeros((size, size))
-        for r in parts.groupBy("unit", "some").applyInArrow(add, "unit int, row binary").groupBy("unit").applyInArrow(add, "unit int, row binary").toLocalIterator():
-            table[r["unit"]] = np.frombuffer(r["row"], "<i8")
+        for r in tree_sum(frame, some, lambda rows: np.sum([np.frombuffer(x, "<i8") for x in rows], axis=0).astype("<i8").tobytes()).toLocalIterator():
+            table[r["slot"]] = np.frombuffer(r["sums"], "<i8")
         return table
 
     def class_pairs(heads, size):
@@ -410,6 +412,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if worse:
             break
     g, heads, tail = kept
+    if model is not None:
+        rest = tail.toPandas()
+        model |= {"cls": dict(zip(head.tolist(), heads.value.cls.tolist())) | dict(zip(rest["word"].tolist(), rest["cls"].tolist())), "count": dict(zip(head.tolist(), head_n.tolist())) | dict(zip(rest["word"].tolist(), rest["n"].tolist())), "bigrams": g, "start": lambda word: int(of_ending[next(tokens(pa.array([word])))[3][0]])}
     by_class = tail.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).toPandas()
     n_class = np.bincount(heads.value.cls, head_n, CLASSES) + np.bincount(by_class["cls"].to_numpy(np.int64), by_class["n"].to_numpy(float), CLASSES)
     v_class = np.bincount(heads.value.cls, minlength=CLASSES) + np.bincount(by_class["cls"].to_numpy(np.int64), by_class["v"].to_numpy(float), CLASSES)
@@ -433,4 +438,4 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op7_class_lm(spark, sf_dir):
-    return score_texts(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return score_texts(settle(spark).read.parquet(f"{sf_dir}/documents.parquet"))
