@@ -11,7 +11,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     #: What a Python worker holds at once.
-    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     #: A written table ends the shuffles it came from: their files go with the job.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
