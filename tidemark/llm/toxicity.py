@@ -8,12 +8,13 @@ term's inverse document frequencies among examples of either label, so that word
 share weigh little; ``delta=False`` takes the plain inverse document frequency.
 
 The examples stand in an inverted index in blocks of ``BLOCK``; postings lie by term and block, and
-each (term, block) cell knows its largest weight. A query's terms are read in waves, largest bound
-first. After each wave the k-th best cosine so far rules out every block whose best partial cosine
-plus the maxima of its unread cells stays below it; cells of such blocks are never read. Blocks that
-are left are read whole, so the k nearest and their cosines are exact. Votes weigh by distance;
-isotonic regression on a fold that is not in the index turns them into probabilities. The nearest
-examples and their cosines are the evidence.
+each (term, block) cell knows its largest weight. A query's terms are read in waves: rarer terms,
+largest bound first, and at last the frequent ones (in more than one example in ``FREQUENT``), whose
+cells are kept dense, as counts and in single precision for a first look. After each wave the k-th best cosine so far rules out every block
+whose best partial cosine plus the maxima of its unread cells stays below it, and in the last wave
+every example by itself; what is ruled out is never read. The rest is read whole, so the k nearest
+and their cosines are exact. Votes weigh by distance; isotonic regression on a fold that is not in
+the index turns them into probabilities. The nearest examples and their cosines are the evidence.
 
 Defined cases: a null or empty text, or one without any word of the examples, has no neighbours and
 gets the calibrated share of label 1 among the examples; words that no example has don't count;
@@ -32,12 +33,13 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 from .quality import bounded_sample, pav
-from .shared import map_rows, written
+from .shared import lean, map_rows, written
 from .textcore import ALNUM, LOWER, segments, span_hashes, utf8, word_spans
 
-BLOCK = 64
-#: Postings after which the bounds are looked at again.
-WAVES = (2_000, 12_000, 60_000)
+BLOCK, FREQUENT = 64, 32
+#: Postings of rarer terms after which the bounds are looked at for the first time.
+FIRST_WAVE = 6_000
+_LOGS = np.concatenate([[0.0], 1 + np.log(np.arange(1, 1 << 16))])
 
 
 def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None):
@@ -63,7 +65,7 @@ def term_counts(column: pa.Array, vocabulary: np.ndarray | None = None):
 
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The places of all runs, one after the other."""
-    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(lengths.sum())
+    return np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
 
 
 def inverse_frequency(df: np.ndarray, positive: np.ndarray, n: int, n_positive: int, delta: bool) -> np.ndarray:
@@ -80,6 +82,7 @@ class BlockMaxIndex:
         self.terms, self.idf, self.ids, self.labels = terms, idf, ids, labels
         self.blocks = max(1, -(-len(ids) // BLOCK))
         self.read = self.all = 0  # postings, for tests
+        self.buffer: np.ndarray | None = None
 
     def weigh(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray, n: int) -> np.ndarray:
         w = (1 + np.log(counts)) * self.idf[terms]
@@ -88,7 +91,22 @@ class BlockMaxIndex:
 
     def load(self, rows: np.ndarray, terms: np.ndarray, counts: np.ndarray) -> None:
         """Take the examples' (row, term, count) pairs."""
-        w = self.weigh(rows, terms, counts, len(self.ids))
+        n, v = len(self.ids), len(self.terms)
+        w = self.weigh(rows, terms, counts, n)
+        raw = (1 + np.log(counts)) * self.idf[terms]
+        size = np.sqrt(np.bincount(rows, raw * raw, minlength=n))
+        self.inverse_norm = np.zeros(self.blocks * BLOCK)
+        self.inverse_norm[:n] = np.divide(1, size, out=np.zeros(n), where=size > 0)
+        largest = np.zeros(v)
+        np.maximum.at(largest, terms, counts)
+        often = (np.bincount(terms, minlength=v) > n / FREQUENT) & (largest < len(_LOGS))
+        self.dense = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+        self.counts = np.zeros((int(often.sum()), self.blocks * BLOCK), np.uint16)
+        on = often[terms]
+        self.counts[self.dense[terms[on]], rows[on]] = counts[on]
+        self.screen = np.stack([(_LOGS[c] * self.inverse_norm).astype(np.float32) for c in self.counts]) if len(self.counts) else np.zeros((0, self.blocks * BLOCK), np.float32)
+        self.dense_most = np.stack([(_LOGS[c] * self.inverse_norm).reshape(-1, BLOCK).max(1) for c in self.counts]) if len(self.counts) else np.zeros((0, self.blocks))
+        rows, terms, w = rows[~on], terms[~on], w[~on]
         order = np.lexsort((rows, terms))
         rows, terms, w = rows[order], terms[order], w[order]
         block = rows // BLOCK
@@ -96,41 +114,65 @@ class BlockMaxIndex:
         self.example, self.weight = rows.astype(np.int32), w
         self.cell_block, self.cell_at = block[first].astype(np.int32), np.append(first, len(rows)).astype(np.int32)
         self.cell_most = np.maximum.reduceat(w, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(terms[first], np.arange(len(self.terms) + 1)).astype(np.int32)
-        self.most = np.zeros(len(self.terms))
+        self.cells = np.searchsorted(terms[first], np.arange(v + 1)).astype(np.int32)
+        self.most = np.zeros(v)
         np.maximum.at(self.most, terms[first], self.cell_most)
 
+    def screened(self, row: np.ndarray, share: np.ndarray) -> np.ndarray:
+        """The frequent terms' part of all cosines, in single precision."""
+        share, out = share.astype(np.float32), np.zeros(self.screen.shape[1], np.float32)
+        if self.buffer is None:
+            self.buffer = np.zeros((128, self.screen.shape[1]), np.float32)
+        for i in range(0, len(row), 128):
+            part = self.buffer[: len(row[i : i + 128])]
+            np.take(self.screen, row[i : i + 128], axis=0, out=part, mode="clip")
+            out += share[i : i + 128] @ part
+        return out
+
     def nearest(self, terms: np.ndarray, w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a positive cosine, nearest first."""
+        row = self.dense[terms]
+        often = row >= 0
+        row, share = row[often], w[often] * self.idf[terms[often]]
+        left_dense = share @ self.dense_most[row]
+        terms, w = terms[~often], w[~often]
         order = np.argsort(-w * self.most[terms], kind="stable")
         terms, w = terms[order], w[order]
-        begin, many = self.cells[terms].astype(np.int64), np.diff(self.cells)[terms].astype(np.int64)
-        cell = spread(begin, many)
-        block, weight = self.cell_block[cell], np.repeat(w, many)
-        bound, size = weight * self.cell_most[cell], self.cell_at[cell + 1] - self.cell_at[cell]
-        upto = np.concatenate([[0], np.cumsum(many)])  # cells up to each term
-        read_after = np.concatenate([[0], np.cumsum(size)])[upto]
-        self.all += int(read_after[-1])
-        stops = np.unique(np.append(np.searchsorted(read_after[:-1], WAVES), len(terms)))
-        cos, alive = np.zeros(self.blocks * BLOCK), np.ones(self.blocks, bool)
-        at = 0
-        for stop in stops.tolist():
-            wave = slice(upto[at], upto[stop])
-            on = alive[block[wave]]
-            c, n = cell[wave][on], size[wave][on]
-            posting = spread(self.cell_at[c].astype(np.int64), n)
-            cos += np.bincount(self.example[posting], np.repeat(weight[wave][on], n) * self.weight[posting], minlength=len(cos))
+        begin, end = self.cells[terms], self.cells[terms + 1]
+        upto = np.cumsum(self.cell_at[end] - self.cell_at[begin])  # a term's postings follow one another
+        self.all += int(upto[-1] if len(upto) else 0) + len(row) * len(self.ids)
+        cos, kth, n = np.zeros(self.blocks * BLOCK), -1.0, len(terms)
+        stop = min(int(np.searchsorted(upto, FIRST_WAVE)) + 1, n) if n else 0
+        if stop:
+            many = self.cell_at[end[:stop]] - self.cell_at[begin[:stop]]
+            posting = spread(self.cell_at[begin[:stop]], many)
+            cos += np.bincount(self.example[posting], np.repeat(w[:stop], many) * self.weight[posting], minlength=len(cos))
             self.read += len(posting)
-            at = stop
-            if stop < len(terms) and len(cos) > k:
+        if stop < n:
+            cell = spread(begin[stop:], end[stop:] - begin[stop:])
+            weight, block = np.repeat(w[stop:], end[stop:] - begin[stop:]), self.cell_block[cell]
+            if len(cos) > k:
                 kth = np.partition(cos, -k)[-k]
-                rest = slice(upto[stop], None)
-                left = np.bincount(block[rest], bound[rest], minlength=self.blocks)
-                alive &= cos.reshape(-1, BLOCK).max(1) + left >= kth - 1e-9
-        kth = np.partition(cos, -k)[-k] - 1e-9 if len(cos) > k else 0.0
-        found = np.flatnonzero((cos > 0) & (cos >= kth))
-        best = found[np.lexsort((self.ids[found], -np.round(cos[found], 12)))[:k]]
-        return best, np.minimum(cos[best], 1.0)
+                left = np.bincount(block, weight * self.cell_most[cell], minlength=self.blocks) + left_dense
+                alive = cos.reshape(-1, BLOCK).max(1) + left >= kth - 1e-9
+                on = alive[block]
+                cell, weight = cell[on], weight[on]
+            many = self.cell_at[cell + 1] - self.cell_at[cell]
+            posting = spread(self.cell_at[cell], many)
+            cos += np.bincount(self.example[posting], np.repeat(weight, many) * self.weight[posting], minlength=len(cos))
+            self.read += len(posting)
+        kth = np.partition(cos, -k)[-k] if len(cos) > k else 0.0
+        found = np.flatnonzero(cos + np.repeat(left_dense, BLOCK) >= kth - 1e-9)
+        self.read += len(row) * len(found)
+        if len(row) and len(cos) > k and 8 * len(found) > len(cos):  # many are left: single precision tells most of them apart, with a wide margin
+            near = cos + self.screened(row, share)
+            found = np.flatnonzero(near >= np.partition(near, -k)[-k] - 1e-5)
+        cos = cos[found]
+        if len(row):
+            cos = cos + share @ _LOGS[self.counts[row[:, None], found]] * self.inverse_norm[found]
+        found, cos = found[cos > 0], cos[cos > 0]
+        best = np.lexsort((self.ids[found], -np.round(cos, 12)))[:k]
+        return found[best], np.minimum(cos[best], 1.0)
 
 
 class ToxicityModel:
@@ -182,7 +224,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_co
                 lists = [pa.ListArray.from_arrays(at, pa.array(t.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(n.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays([*(b.column(i)[first:last] for i in range(3)), *lists], names=["id", "label", "fold", "terms", "counts"])
 
-    vectors = written(rows.mapInArrow(counted, "id long, label int, fold int, terms array<long>, counts array<int>"), "toxicity-terms")
+    vectors = written(rows.mapInArrow(lean(counted), "id long, label int, fold int, terms array<long>, counts array<int>"), "toxicity-terms")
     order = F.struct(F.xxhash64("id", F.lit(11)), "id")
     sizes = vectors.select(order.alias("at"), F.size("terms").cast("long").alias("n"), "label").toPandas()  # at most max_labelled rows
     y, n = int(sizes["label"].sum()), len(sizes)
@@ -223,7 +265,7 @@ def _index(ids, label, of, hashes, counts, inside, delta):
     return index, (rows[order], place[order], c[order])
 
 
-MAX_LABELLED, MAX_POSTINGS, NEAREST, THRESHOLD = 8_000, 3_000_000, 21, 0.5
+MAX_LABELLED, MAX_POSTINGS, NEAREST, THRESHOLD = 5_000, 3_000_000, 21, 0.5
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_postings: int = MAX_POSTINGS, k: int = NEAREST, threshold: float = THRESHOLD, evidence: int = 3, delta: bool = True) -> DataFrame:
@@ -239,7 +281,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 
     rows = docs.select(id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
-    scored = rows.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
+    scored = rows.mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int, evidence_ids array<long>, evidence_cosines array<double>")
     held = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)) == 0, F.lit(False))
     return scored.select(id_col, held.alias("held_out"), "score", "predicted", "evidence_ids", "evidence_cosines")
 
