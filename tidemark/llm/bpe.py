@@ -18,7 +18,7 @@ import pyarrow as pa
 from .textcore import LOWER, WORD, segments, span_hashes, utf8
 
 #: Pieces remembered per Python worker; beyond it the memory is emptied and pieces are asked for again.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 150_000
 SEGMENT = 2 << 20
 
 

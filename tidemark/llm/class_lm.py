@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-from .shared import drop_written, tree_sum, written
+from .shared import drop_written, lean, tree_sum, written
 from .textcore import LOWER, WORD, mix, segments, span_hashes, utf8, word_spans
 
 #: The start of the clustering: words alone, groups of endings; then passes over all training words.
@@ -263,7 +263,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 last[codes] = ending
                 yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(last), pa.array(np.bincount(codes, n, len(found)).astype(np.int64))], names=["word", "ending", "n"])
 
-    counts = written(train.mapInArrow(count, "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")), "lm-counts")
+    counts = written(train.mapInArrow(lean(count), "word long, ending int, n long").groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n")), "lm-counts")
     sizes = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("v"), F.sum("n").alias("n")).toPandas().sort_values("power")
     n, v = int(sizes["n"].sum()), int(sizes["v"].sum())
     above = sizes["v"][::-1].cumsum()[::-1]
@@ -299,7 +299,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:last], b.column(1)[first:last], blob(seq.astype("<i4"), at * 4), pa.ListArray.from_arrays(pa.array(lists), pa.array(w[begin], pa.int64())), blob(tails, lists)], names=[id_col, "held_out", "seq", "rare", "ending"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = written(docs.select(id_col, out_of.alias("held_out"), text_col).mapInArrow(encode, f"`{id_col}` {kind}, held_out boolean, seq binary, rare array<long>, ending binary").withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
+    rows = written(docs.select(id_col, out_of.alias("held_out"), text_col).mapInArrow(lean(encode), f"`{id_col}` {kind}, held_out boolean, seq binary, rare array<long>, ending binary").withColumn("rid", F.monotonically_increasing_id()), "lm-rows")
     none = F.lit(None).cast("array<struct<slot:int,n:bigint,cls:int>>").alias("found")
     learn = rows.filter(~F.col("held_out")).select("seq", "rare", "ending", none)
     units_of = spark.sparkContext.broadcast(Heads(head, head_n, unit, 1 + WORDS + np.arange(ENDINGS)))
@@ -394,7 +394,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for step in range(PASSES + 1):
         frame = resolved(fit, tail).drop("rid") if step else learn  # the start's classes follow from the endings
         if step < PASSES:
-            vec = written(frame.mapInArrow(vectors(heads), ROWS).repartition("word").sortWithinPartitions("word").mapInArrow(merge, ROWS), "lm-vectors")
+            vec = written(frame.mapInArrow(lean(vectors(heads)), ROWS).repartition("word").sortWithinPartitions("word").mapInArrow(lean(merge), ROWS), "lm-vectors")
             g = square(CLASSES, of_words, vec)
         else:
             g = square(CLASSES, class_pairs(heads, CLASSES), frame)
@@ -404,7 +404,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if not worse:
             kept = (g, heads, tail)
         if step < PASSES and not worse:
-            moved = written(vec.mapInArrow(moves(g), "word long, n long, cls int"), "lm-classes")
+            moved = written(vec.mapInArrow(lean(moves(g)), "word long, n long, cls int"), "lm-classes")
             cls = moved.filter(F.col("n") >= least).select("word", "cls").toPandas().sort_values("word")["cls"].to_numpy(np.int64)
             heads, tail = spark.sparkContext.broadcast(Heads(head, head_n, cls, of_ending)), moved.filter(F.col("n") < least)
         if step < PASSES:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-from .shared import col, drop_written, map_rows, written
+from .shared import col, drop_written, lean, map_rows, written
 from .textcore import ALNUM, hashed_words, mix
 
 #: The share of occurrences at the limit of similarity that candidates must catch; sampled steps of each walk; the widest window; simulated occurrences.
@@ -336,7 +336,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
                 m = np.array([len(b.words[x]) for x in i], float)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(r, pa.int64())), pa.array([b.ids[x] for x in i], pa.int64()), pa.array(s, pa.int64()), pa.array(np.subtract(e, s), pa.int64()), pa.array(d, pa.int64()), pa.array(1 - np.array(d, float) / np.maximum(m, 1))], names=[id_col, "item_id", "first_word", "n_words", "edits", "similarity"])
 
-        found = rows.mapInArrow(run, f"`{id_col}` {kind}, item_id long, first_word long, n_words long, edits long, similarity double")
+        found = rows.mapInArrow(lean(run), f"`{id_col}` {kind}, item_id long, first_word long, n_words long, edits long, similarity double")
         if blocks > 1:
             found = written(found, "contaminated")
             block.destroy()

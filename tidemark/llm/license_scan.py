@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-from .shared import col, written
+from .shared import col, lean, written
 from .textcore import ALNUM, hashed_words, mix
 
 #: The phrases and labels of the contract.
@@ -153,7 +153,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                 yield pa.RecordBatch.from_arrays([b.column(0)[first:last], b.column(1)[first:last], pa.array(np.diff(at), pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["key", "id", "n_words", "grams"])
 
     table = F.broadcast(template_table(spark, phrases, templates))
-    rolled = rows.mapInArrow(grams, f"key long, id {kind}, n_words long, grams array<long>")
+    rolled = rows.mapInArrow(lean(grams), f"key long, id {kind}, n_words long, grams array<long>")
     twos = F.greatest(F.col("n_words") - GRAMS[0] + 1, F.lit(0))  # the text's first row, its pairs, then its longer grams
     pos = F.when(F.col("i") <= twos, F.col("i") - 1).otherwise(F.col("i") - 1 - twos).cast("long")
     placed = rolled.select("key", "id", "n_words", F.posexplode("grams").alias("i", "gram")).join(table, "gram")

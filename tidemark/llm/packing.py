@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 from .bpe import codec, tokenizer_path
-from .shared import written
+from .shared import lean, written
 
 SHARD_PIECES, ISLANDS, LEVELS = 2000, 2, 3
 POPULATION, GENERATIONS = 6, 8
@@ -50,7 +50,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
                         out.append((all_ids[first + i], k, s // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_col).mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:

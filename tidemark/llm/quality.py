@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import settle
 
-from .shared import written
+from .shared import lean, written
 from .textcore import LOWER, WORD, mix, segments, span_hashes, utf8, word_spans
 
 STATISTICS = ("log_bytes", "log_words", "upper", "digit", "stop", "exclaim", "bar", "sign", "high", "word_length", "repeated_words", "twice_running", "repeated_pairs", "repeated_lines", "line_words", "odd_ends")
@@ -94,7 +94,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             x = statistics(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))], names=[id_col, "stats"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, stats array<double>")
+    return rows.mapInArrow(lean(run), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, stats array<double>")
 
 
 def pav(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -194,7 +194,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
     kind = stats.schema[id_col].dataType.simpleString()
-    scored = stats.mapInArrow(run, f"`{id_col}` {kind}, score double, predicted int")
+    scored = stats.mapInArrow(lean(run), f"`{id_col}` {kind}, score double, predicted int")
     return scored.select(id_col, F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 

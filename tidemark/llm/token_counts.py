@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 from .bpe import Codec, codec, tokenizer_path
-from .shared import col
+from .shared import col, lean
 from .textcore import WORD, segments, span_hashes, utf8
 from .transducer import Transducer
 
@@ -159,7 +159,7 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, id_col: str = "d
     body = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).cast("binary").alias("body"))
     starts = body.select("id", "body", F.explode(F.sequence(F.lit(0), F.greatest(F.octet_length("body") - 1, F.lit(0)), F.lit(chunk))).alias("at"))
     chunks = starts.select("id", (F.col("at") == 0).alias("first"), (F.col("at") + chunk >= F.octet_length("body")).alias("last"), F.substring("body", F.col("at") + 1, F.lit(chunk)).alias("chunk"))
-    return chunks.mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return chunks.mapInArrow(lean(run), f"`{id_col}` {kind}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def op3_token_counts(spark, sf_dir):

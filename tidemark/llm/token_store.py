@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 from .bpe import codec, tokenizer_path
-from .shared import new_path
+from .shared import lean, new_path
 from .textcore import mix
 
 WINDOW = 16
@@ -198,14 +198,14 @@ class TokenStore:
     def write(cls, docs: DataFrame, store: str, tokenizer: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> TokenStore:
         spark = docs.sparkSession
         dtype = "<u2" if max(codec(tokenizer).tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(_encode(tokenizer, end_id, dtype), _sql(_ROWS))
+        rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(_encode(tokenizer, end_id, dtype)), _sql(_ROWS))
         place = F.when(F.col("kind") == DOCUMENT, F.xxhash64("doc_id", "n_tokens")).otherwise(F.xxhash64("key"))
-        (rows.withColumn("place", place).repartition("place").drop("place").mapInArrow(_once, _sql(_ROWS))
+        (rows.withColumn("place", place).repartition("place").drop("place").mapInArrow(lean(_once), _sql(_ROWS))
             .write.partitionBy("kind").option("compression", "zstd").parquet(f"{store}/objects"))
         found = spark.read.schema(_sql(_ROWS)).parquet(f"{store}/objects").filter(F.col("kind") == DOCUMENT)
         (found.select("doc_id", "n_tokens", F.col("key").alias("root")).repartitionByRange("doc_id", "root").sortWithinPartitions("doc_id", "root")
             .select(F.spark_partition_id().alias("part"), "doc_id", "n_tokens", "root")
-            .mapInArrow(_ordered, f"row string, {_INDEX}")
+            .mapInArrow(lean(_ordered), f"row string, {_INDEX}")
             .write.partitionBy("row").parquet(f"{store}/index"))
         out = cls(spark, store, dtype)
         parts = out.manifest().orderBy("part").toLocalIterator()  # one row for each written part
@@ -246,7 +246,7 @@ class TokenStore:
                     out += leaves
                 yield pa.RecordBatch.from_arrays([pa.array(roots, pa.binary()), pa.array(k, pa.int64()), pa.array(out, pa.binary())], names=["root", "k", "hash"])
 
-        return self._objects(RECIPE).select("key", "body").mapInArrow(run, "root binary, k long, hash binary")
+        return self._objects(RECIPE).select("key", "body").mapInArrow(lean(run), "root binary, k long, hash binary")
 
     def chunks(self) -> DataFrame:
         """hash, n_ids and crc (of the ids as 4 bytes each) of each chunk as read, checked against its hash."""
@@ -263,7 +263,7 @@ class TokenStore:
                     crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["hash", "n_ids", "crc"])
 
-        return self._objects(CHUNK).select("key", "body").mapInArrow(run, "hash binary, n_ids long, crc long")
+        return self._objects(CHUNK).select("key", "body").mapInArrow(lean(run), "hash binary, n_ids long, crc long")
 
     def checksums(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
@@ -284,7 +284,7 @@ class TokenStore:
                 out = np.bitwise_xor.reduceat(moved, ends - lengths)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total[ends] - total[ends - lengths], pa.int64()), pa.array(out.astype(np.int64))], names=["root", "read", "ids_crc32"])
 
-        sums = lists.mapInArrow(run, "root binary, read long, ids_crc32 long")
+        sums = lists.mapInArrow(lean(run), "root binary, read long, ids_crc32 long")
         short = F.when(F.col("read").eqNullSafe(F.col("n_tokens")), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a document isn't whole in the store")).cast("long"))
         return self.documents().join(sums, "root", "left").select("doc_id", "start", short.alias("n_tokens"), "ids_crc32")
 
@@ -300,7 +300,7 @@ class TokenStore:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
         parts = docs.join(self.recipes(), "root").join(self._objects(CHUNK).select(F.col("key").alias("hash"), "body"), "hash")
-        return parts.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "body"))).alias("parts")).select("doc_id", "parts").mapInArrow(run, "doc_id long, ids array<long>")
+        return parts.groupBy("doc_id", "start").agg(F.sort_array(F.collect_list(F.struct("k", "body"))).alias("parts")).select("doc_id", "parts").mapInArrow(lean(run), "doc_id long, ids array<long>")
 
     def verify(self) -> TokenStore:
         """Check the document rows against the manifest and the manifest against the store's root; raise where they differ."""
