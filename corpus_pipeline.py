@@ -6,8 +6,13 @@
 4. benchmark decontamination: documents that hold a benchmark item within 0.8 word similarity go.
 5. best-fit packing: what is left becomes sequences of at most 2048 tokens.
 
-Each stage works on all rows its predecessor kept. Nulls, empty texts, repeated rows and empty
-tables are as each operator's module states.
+Each stage works on all rows its predecessor kept. Defined cases: a null text counts as empty; an
+empty text is never toxic or contaminated, stays once in the exact stage (the largest id; nulls
+lowest), links with nothing and is packed as its end id alone. Of rows equal in id and text one
+stays; rows with equal ids and different texts are judged one by one; a row with a null id is judged
+like any other and comes last where a group keeps one row. Extra columns pass through the first four
+stages whatever they are called. Empty tables give an empty result; without labels nothing is
+toxic, without benchmark items nothing is contaminated. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -20,25 +25,29 @@ from tidemark.llm.jaccard_join import drop_near_copies
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.shared import written
 from tidemark.llm.toxicity import drop_toxic
+from tidemark.session import settle
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, settle(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return drop_near_copies(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, settle(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    settle(spark)
     return pack_documents(docs)
 
 
@@ -50,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = settle(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
