@@ -65,3 +65,15 @@ def test_stream_scores_arriving_documents(spark, tmp_path):
     q.stop()
     r = spark.sql("SELECT * FROM weekly").collect()
     assert len(r) == 1 and r[0]["n_docs"] == 3 and r[0]["n_valid"] == 2 and r[0]["topic_0"] == pytest.approx(0.5)
+
+
+def test_shared_strings(tmp_path):
+    import io
+    import zipfile
+
+    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/sharedStrings.xml", f'<sst {space}><si><t>a</t></si><si/><si><t/></si><si><r><t>b </t></r><r><t>&amp; c</t></r><rPh><t>hint</t></rPh></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><dimension ref="A1:D2"/><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="D1" t="s"><v>3</v></c></row><row><c t="s"><v>1</v></c><c t="inlineStr"><is><t>x</t></is></c><c><v>1.5</v></c><c/></row></sheetData></worksheet>')
+    assert list(R.sheet_rows(out.getvalue())) == [["a", None, None, "b & c"], ["", "x", "1.5", None]]

@@ -5,15 +5,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Newspaper idiom and words of the calendar, which carry no topic.
+BOILERPLATE = [
+    "기자", "관계자", "서울경제", "매일경제", "한국경제", "서울경제신문", "매경",
+    "연합뉴스", "뉴스", "신문", "특파원", "사진", "제공", "무단", "전재", "재배포",
+    "금지", "저작권", "이메일", "구독", "기사", "보도", "인터뷰", "설명", "밝혔",
+    "이날", "지난해", "올해", "내년", "지난달", "이번", "최근", "당시", "현재",
+    "대표", "사장", "회장", "부회장", "이사", "위원장", "장관", "차관", "청장",
+    "오전", "오후", "이상", "이하", "가운데", "경우", "부분", "상황", "가능성",
+]
+CALENDAR = [
+    "상반기", "하반기", "연초", "연말", "연중", "새해", "명절", "설날", "추석",
+    "연휴", "겨울", "여름", "가을", "성수기", "비수기", "정기", "총회", "주주총회",
+    "동기", "당기", "잠정", "지난", "임기", "선임", "신임", "의결", "안건", "승진",
+]
+STOP_WORDS = (*BOILERPLATE, *CALENDAR)
 #: Fixed value: a token that is a number with or without one of these units carries no topic.
-NUMERIC_UNIT = r"^\d+(?:\.\d+)?\s*(?:일|월|년|분기|주|차|%|명|건|원|억|조)?$"
+NUMERIC_UNIT = r"(?U)^\d+(?:\.\d+)?\s*(?:일|월|년|분기|주|차|%|명|건|원|억|조)?$"
 #: Letters of the four languages of the driver's documents.
 LETTERS = "[^a-zà-öø-ÿœß]+"
 
 
+#: White space at both ends: Unicode's, and the four separators among the control signs.
+ENDS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+
+
+def strip(c: Column) -> Column:
+    """All white space off both ends, wide and unbreakable spaces too."""
+    return F.regexp_replace(c, ENDS, "")
+
+
 def strip_all(c: Column) -> Column:
-    """All white space off both ends; null becomes empty."""
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    """``strip``; null becomes empty."""
+    return strip(F.coalesce(c, F.lit("")))
 
 
 def safe_date(c: Column, pattern: str = "yyyyMMdd") -> Column:
@@ -44,14 +68,14 @@ def contains_any(c: Column, tokens: list[str]) -> Column:
 
 def category_root(c: Column, sep: str = ">") -> Column:
     """The first level of a hierarchical category."""
-    return F.trim(F.split(F.coalesce(c, F.lit("")), sep)[0])
+    return strip(F.split(F.coalesce(c, F.lit("")), sep)[0])
 
 
-def keyword_tokens(c: Column, stop: list[str] = (), least: int = 2, sep: str = ",", trim: bool = True, dedup: bool = True) -> Column:
+def keyword_tokens(c: Column, stop: list[str] = STOP_WORDS, least: int = 2, sep: str = ",", trim: bool = True, dedup: bool = True) -> Column:
     """Tokens of a separated list: trimmed, at least so long, no stop words, no numbers with units, each once. The weekly variant neither trims nor deduplicates."""
     parts = F.split(F.coalesce(c, F.lit("")), sep)
     if trim:
-        parts = F.transform(parts, lambda t: F.trim(t))
+        parts = F.transform(parts, strip)
     keep = F.filter(parts, lambda t: (F.length(t) >= least) & ~t.rlike(NUMERIC_UNIT) & (~t.isin(list(stop)) if stop else F.lit(True)))
     return F.array_distinct(keep) if dedup else keep
 
@@ -86,10 +110,21 @@ def joined_or_none(parts: Column, sep: str = ";") -> Column:
     return F.coalesce(F.nullif(F.array_join(parts, sep), F.lit("")), F.lit("none"))
 
 
-def typed_kind(c: Column) -> Column:
-    """How a text cell would be stored: id-like digits beyond 15 stay text."""
-    return (F.when(c.isNull() | (F.trim(c) == ""), "empty").when(c.rlike(r"^-?\d{16,}$"), "text").when(c.rlike(r"^-?\d+$"), "integer")
-        .when(c.rlike(r"^-?\d*\.\d+(?:[eE][-+]?\d+)?$"), "number").when(F.lower(c).isin("true", "false"), "boolean").otherwise("text"))
+#: How a number is written, and the endings of fields that hold identifiers.
+NUMBER = r"\A[+-]?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?\z"
+ID_ENDINGS = ("_id", "_ids", "_code", "_hash", "_sha256")
+
+
+def typed_kind(c: Column, field: Column) -> Column:
+    """How a text cell would be stored: fields of identifiers, leading zeros, more than 15 digits and infinite numbers stay text."""
+    name = F.lower(field)
+    is_id = name == "id"
+    for ending in ID_ENDINGS:
+        is_id = is_id | name.endswith(ending)
+    finite = F.abs(c.try_cast("double")) < float("inf")
+    return (F.when(c.isNull() | (c == ""), "empty").when(F.coalesce(is_id, F.lit(False)) | ~c.rlike(NUMBER), "text")
+        .when(c.rlike("[.eE]"), F.when(F.coalesce(finite, F.lit(False)), "number").otherwise("text"))
+        .when(F.length(F.regexp_replace(c, r"^[+-]+", "")) <= 15, "integer").otherwise("text"))
 
 
 def signed(c: Column, digits: int = 2) -> Column:

@@ -10,12 +10,13 @@ from tidemark.operators.windows import first_by_rank
 
 #: Flags that exclude an article.
 EXCLUDED = ["예외", "중복"]
-TEXT = ["source", "title", "category1", "category2", "keywords", "url"]
+#: The columns that are filled and stripped.
+TEXT = ["source", "title", "url", "keywords", "features", "content"]
 
 
 def clean_articles(raw: DataFrame) -> DataFrame:
     """Text columns filled and stripped, dates parsed (null where unreadable), month key."""
-    d = raw.withColumns({c: strip_all(F.col(c)) for c in TEXT if c in raw.columns})
+    d = raw.withColumns({c: strip_all(F.col(c)) for c in TEXT if c in raw.columns} | {c: F.coalesce(c, F.lit("")) for c in ("exclude_flag",) if c in raw.columns})
     return d.withColumn("date", safe_date(F.col("date"))).withColumn("month", month_key(F.col("date")))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import category_root, clip, hash_order, month_key, ratio, strip_all, typed_kind, words
+from tidemark.functions.scalar import STOP_WORDS, category_root, clip, hash_order, month_key, ratio, strip_all, typed_kind, words
 from tidemark.operators import text as T
 from tidemark.operators.windows import first_by_rank
 from tidemark.plans.base import docs, sql, table, tokens
@@ -98,6 +98,21 @@ def tfidf_long(spark, d):
     return T.tfidf(tokens(spark, d), vocab_train_top(spark, d), n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
 
+FIT = "f AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train') WHERE rank <= 5)"
+
+
+@query(sql("tokens", f""", v AS ({VOCAB}), {FIT}, n AS (SELECT count(*) AS n FROM f), c AS (SELECT term, count(*) AS fit_df FROM tokens JOIN f USING (doc_id) GROUP BY 1),
+ w AS (SELECT doc_id, idx, ln((1 + n.n) / (1 + coalesce(fit_df, 0))) + 1 AS idf FROM tokens JOIN v USING (term) LEFT JOIN c USING (term), n)
+ SELECT doc_id, idx, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""))
+def tfidf_sample_idf(spark, d):
+    """TF-IDF as the topic model takes it: the vocabulary from all training documents, inverse document frequencies from the fit sample alone."""
+    fit = stratified_sample(spark, d).select("doc_id")
+    n = fit.count()  # five documents a month
+    df = T.document_frequency(tokens(spark, d).join(F.broadcast(fit), "doc_id", "left_semi"))
+    vocab = vocab_train_top(spark, d).select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
+    return T.tfidf(tokens(spark, d), vocab, n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+
+
 TOPS = "SELECT lang, term, rank FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rank FROM tokens JOIN v USING (term) GROUP BY lang, term) WHERE rank <= 10"
 
 
@@ -175,11 +190,21 @@ def stable_dedup_sorted(spark, d):
     return c.groupBy("conv_id", "role").agg(F.min(F.struct("turn", "text")).alias("first"), F.count(F.lit(1)).alias("n")).select("conv_id", "first.turn", "role", "n")
 
 
-@query("SELECT source, count(*) AS n, sha256(string_agg(CAST(doc_id AS VARCHAR), chr(10) ORDER BY doc_id)) AS ids_sha256 FROM documents GROUP BY 1")
+def _hash_level(inner: str, key: str, order: str) -> str:
+    return f"SELECT source, {key} AS k, sum(n) AS n, sha256(string_agg(h, chr(10) ORDER BY {order})) AS h FROM ({inner}) GROUP BY 1, 2"
+
+
+IDS = "SELECT source, doc_id AS k, 1 AS n, CAST(doc_id AS VARCHAR) AS h FROM documents"
+
+
+@query("SELECT source, CAST(n AS BIGINT) AS n, h AS ids_sha256 FROM (" + _hash_level(_hash_level(_hash_level(IDS, "k // 4096", "k"), "k // 4096", "k"), "0", "k") + ")")
 def text_hash(spark, d):
-    """A digest of each source's sorted ids."""
-    g = table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("doc_id")).alias("ids"))
-    return g.select("source", "n", F.sha2(F.array_join(F.transform("ids", lambda x: x.cast("string")), "\n").cast("binary"), 256).alias("ids_sha256"))
+    """A digest of each source's sorted ids: hashes of ranges of 4096 ids, of 4096 ranges, and of those, so no task holds all ids."""
+    rows = table(spark, d, "documents").select("source", F.col("doc_id").alias("k"), F.lit(1).cast("long").alias("n"), F.col("doc_id").cast("string").alias("h"))
+    for key in (F.floor(F.col("k") / 4096), F.floor(F.col("k") / 4096), F.lit(0).cast("long")):
+        parts = rows.groupBy("source", key.alias("range")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("k", "h"))).alias("parts"))
+        rows = parts.select("source", F.col("range").alias("k"), "n", F.sha2(F.array_join(F.col("parts.h"), "\n").cast("binary"), 256).alias("h"))
+    return rows.select("source", "n", F.col("h").alias("ids_sha256"))
 
 
 @query(sql("docs", ", s AS (SELECT month, doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train'), f AS (SELECT * FROM s WHERE rank <= 5), v AS (SELECT month, doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('1042-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train' AND doc_id NOT IN (SELECT doc_id FROM f)) SELECT month, doc_id, rank FROM v WHERE rank <= 2"))
@@ -245,8 +270,49 @@ def html_unescape_text(spark, d):
     return T.unescape_html(table(spark, d, "pages"), "page_id", "html")
 
 
-@query("SELECT CASE WHEN regexp_full_match(v, '-?[0-9]{16,}') THEN 'text' WHEN regexp_full_match(v, '-?[0-9]+') THEN 'integer' WHEN regexp_full_match(v, '-?[0-9]*[.][0-9]+([eE][-+]?[0-9]+)?') THEN 'number' ELSE 'text' END AS kind, count(*) AS n FROM (SELECT CAST(p_partkey AS VARCHAR) AS v FROM part UNION ALL SELECT p_brand FROM part UNION ALL SELECT printf('%.2f', p_retailprice) FROM part) GROUP BY 1")
+CELLS = " UNION ALL ".join(f"SELECT '{f}' AS field, {v} AS v FROM part" for f, v in (
+    ("size", "CAST(p_size AS VARCHAR)"), ("part_id", "CAST(p_partkey AS VARCHAR)"), ("padded", "lpad(CAST(p_partkey AS VARCHAR), 8, '0')"), ("long", "'12345678901' || CAST(p_partkey + 10000 AS VARCHAR)"), ("brand", "p_brand"), ("price", "printf('%.2f', p_retailprice)"),
+    ("signed", "'+' || CAST(p_size AS VARCHAR)"), ("power", "CAST(p_size AS VARCHAR) || 'e5'"), ("huge", "CAST(p_size AS VARCHAR) || 'e999'"), ("bare", "'.' || CAST(p_size AS VARCHAR)"), ("flag", "CASE WHEN p_size > 25 THEN 'true' ELSE '' END")))
+
+
+@query(f"""SELECT field, CASE WHEN v = '' THEN 'empty' WHEN lower(field) = 'id' OR regexp_matches(lower(field), '(_id|_ids|_code|_hash|_sha256)$') THEN 'text'
+ WHEN NOT regexp_full_match(v, '[+-]?(0|[1-9][0-9]*)([.][0-9]+)?([eE][+-]?[0-9]+)?') THEN 'text' WHEN regexp_matches(v, '[.eE]') THEN CASE WHEN isfinite(TRY_CAST(v AS DOUBLE)) THEN 'number' ELSE 'text' END
+ WHEN length(ltrim(v, '+-')) <= 15 THEN 'integer' ELSE 'text' END AS kind, count(*) AS n FROM ({CELLS}) GROUP BY 1, 2""")
 def typed_cells(spark, d):
-    part = table(spark, d, "part")
-    cells = part.select(F.explode(F.array(F.col("p_partkey").cast("string"), "p_brand", F.format_string("%.2f", "p_retailprice"))).alias("v"))
-    return cells.groupBy(typed_kind(F.col("v")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+    """How cells of a report are typed: padded numbers, long digits, identifiers and infinite numbers stay text."""
+    size, key = F.col("p_size").cast("string"), F.col("p_partkey").cast("string")
+    cells = {"size": size, "part_id": key, "padded": F.lpad(key, 8, "0"), "long": F.concat(F.lit("12345678901"), (F.col("p_partkey") + 10000).cast("string")), "brand": F.col("p_brand"), "price": F.format_string("%.2f", "p_retailprice"),
+        "signed": F.concat(F.lit("+"), size), "power": F.concat(size, F.lit("e5")), "huge": F.concat(size, F.lit("e999")), "bare": F.concat(F.lit("."), size), "flag": F.when(F.col("p_size") > 25, "true").otherwise("")}
+    rows = table(spark, d, "part").select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("v")) for f, v in cells.items()])).alias("c"))
+    return rows.groupBy(F.col("c.field").alias("field"), typed_kind(F.col("c.v"), F.col("c.field")).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+WIDE = r"[\s\x{001C}-\x{001F}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x0B]"
+
+
+@query(f"""SELECT doc_id, title, url, keywords, length(content) AS content_length, month FROM (SELECT doc_id, trim(lang) AS title, '' AS url, lang || ', x' AS keywords,
+ regexp_replace(regexp_replace(coalesce(text, ''), '^{WIDE}+', ''), '{WIDE}+$', '') AS content, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE strftime(DATE '2021-01-01' + to_months(CAST(doc_id % 24 AS INTEGER)), '%Y-%m') END AS month FROM documents)""")
+def clean_articles(spark, d):
+    """Articles filled and stripped (ideographic and unbreakable spaces too), dates parsed or null."""
+    from tidemark.operators.corpus import clean_articles as clean
+
+    day = F.date_format(F.add_months(F.lit("2021-01-01").cast("date"), (F.col("doc_id") % 24).cast("int")), "yyyyMMdd")
+    raw = table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, "unreadable").otherwise(day).alias("date"), "source", F.concat(F.lit("\u3000\t"), "lang", F.lit("\u00a0")).alias("title"),
+        F.lit(None).cast("string").alias("url"), F.concat(F.lit(" "), "lang", F.lit(", x\u2003")).alias("keywords"), F.col("text").alias("content"), F.lit(None).cast("string").alias("features"), F.lit(None).cast("string").alias("exclude_flag"))
+    return clean(raw).select("doc_id", "title", "url", "keywords", F.length("content").alias("content_length"), "month")
+
+
+def _words(names):
+    return ", ".join(f"'{w}'" for w in names)
+
+
+@query(f"""SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(list_transform(string_split(k, ','), lambda x: trim(x, ' ' || chr(12288))), lambda x: length(x) >= 2 AND x NOT IN ({_words(STOP_WORDS)})
+ AND NOT regexp_full_match(x, '[0-9]+([.][0-9]+)?\\s*(일|월|년|분기|주|차|%|명|건|원|억|조)?')))) AS token
+ FROM (SELECT p_name || ',기자,' || p_brand || ',상반기, 금리' || chr(12288) || ',' || p_size || '일,금리,' || p_size || ' %,주주총회,' || p_size AS k FROM part)) GROUP BY 1""")
+def tokens_with_stop_lists(spark, d):
+    """Keyword lists to tokens: stripped, each once, without idiom, calendar words and numbers with units."""
+    from tidemark.functions.scalar import keyword_tokens
+
+    size = F.col("p_size").cast("string")
+    k = F.concat(F.col("p_name"), F.lit(",기자,"), F.col("p_brand"), F.lit(",상반기, 금리\u3000,"), size, F.lit("일,금리,"), size, F.lit(" %,주주총회,"), size)
+    return table(spark, d, "part").select(F.explode(keyword_tokens(k)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import zipfile
 from pathlib import Path
+from xml.etree.ElementTree import iterparse
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -46,31 +46,52 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+def _tag(node) -> str:
+    return node.tag.rpartition("}")[2]
+
+
+def _text(node) -> str:
+    """The text of a shared or inline string: plain or in runs; phonetic hints are no part of it."""
+    out = []
+    for part in node:
+        if _tag(part) == "t":
+            out.append(part.text or "")
+        elif _tag(part) == "r":
+            out += [t.text or "" for t in part if _tag(t) == "t"]
+    return "".join(out)
+
+
 def sheet_rows(content: bytes, sheet: int = 1):
-    """Rows of a worksheet as lists of text: shared and inline strings, entities resolved; checked against the declared range."""
+    """Rows of a worksheet as lists of text, parsed as a stream: shared and inline strings; checked against the declared range."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = set(z.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            for si in re.findall(r"<si\b[^>]*>(.*?)</si>|<si/>", z.read("xl/sharedStrings.xml").decode("utf-8"), re.S):
-                shared.append(html.unescape("".join(re.findall(r"<t\b[^>]*>(.*?)</t>", si, re.S))))
-        body = z.read(f"xl/worksheets/sheet{sheet}.xml").decode("utf-8")
-    count = 0
-    for row in re.finditer(r"<row\b[^>]*?(?:/>|>(.*?)</row>)", body, re.S):
-        cells: list = []
-        for m in re.finditer(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row[1] or "", re.S):
-            ref, kind = re.search(r'\br="([A-Z]+)\d+"', m[1]), re.search(r'\bt="(\w+)"', m[1])
-            at = _column(ref[1]) if ref else len(cells)
-            cells += [None] * (at + 1 - len(cells))
-            inner = m[2] or ""
-            if kind and kind[1] == "inlineStr":
-                cells[at] = html.unescape("".join(re.findall(r"<t\b[^>]*>(.*?)</t>", inner, re.S)))
-            elif v := re.search(r"<v\b[^>]*>(.*?)</v>", inner, re.S):
-                cells[at] = shared[int(v[1])] if kind and kind[1] == "s" else html.unescape(v[1])
-        count += 1
-        yield cells
-    if (dim := re.search(r'<dimension ref="[A-Z]+(\d+):[A-Z]+(\d+)"', body)) and count not in (int(dim[2]), int(dim[2]) - int(dim[1]) + 1):
-        raise ValueError(f"{count} rows; the sheet declares {dim[0]}")
+        shared: list[str] = []
+        if "xl/sharedStrings.xml" in z.namelist():
+            with z.open("xl/sharedStrings.xml") as f:
+                for _, node in iterparse(f):
+                    if _tag(node) == "si":
+                        shared.append(_text(node))
+                        node.clear()
+        declared, count = None, 0
+        with z.open(f"xl/worksheets/sheet{sheet}.xml") as f:
+            for _, node in iterparse(f):
+                if _tag(node) == "dimension":
+                    declared = node.get("ref", "")
+                elif _tag(node) == "row":
+                    cells: list = []
+                    for cell in node:
+                        at = _column(cell.get("r")) if cell.get("r") else len(cells)
+                        cells += [None] * (at + 1 - len(cells))
+                        inner = {_tag(part): part for part in cell}
+                        if cell.get("t") == "inlineStr":
+                            cells[at] = _text(inner["is"]) if "is" in inner else ""
+                        elif "v" in inner and inner["v"].text is not None:
+                            cells[at] = shared[int(inner["v"].text)] if cell.get("t") == "s" else inner["v"].text
+                    node.clear()
+                    count += 1
+                    yield cells
+    first, last = ([int(re.sub("[^0-9]", "", x) or 0) for x in declared.split(":")] if declared and ":" in declared else [0, 0])
+    if last and count not in (last, last - first + 1):
+        raise ValueError(f"{count} rows; the sheet declares {declared}")
 
 
 def xlsx(spark: SparkSession, path: str, columns: dict[str, str] = ARTICLE_COLUMNS) -> DataFrame:
