@@ -390,9 +390,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return run
 
     fit = rows.filter(~F.col("held_out")).select("rid", "seq", "rare", "ending")
+    whole = None
     kept = None  # the best classes so far: their bigrams, head classes, and the rest as a table
     for step in range(PASSES + 1):
-        frame = resolved(fit, tail).drop("rid") if step else learn  # the start's classes follow from the endings
+        if step == PASSES:  # all rows: what the last pass gives is scored as it is read here
+            whole = written(resolved(rows, tail), "lm-resolved")
+            frame = whole.filter(~F.col("held_out"))
+        else:  # the start's classes follow from the endings; written, so that the shuffles before and after it don't add up
+            frame = written(resolved(fit, tail).drop("rid"), "lm-resolved") if step else learn
         if step < PASSES:
             vec = written(frame.mapInArrow(lean(vectors(heads)), ROWS).repartition("word").sortWithinPartitions("word").mapInArrow(lean(merge), ROWS), "lm-vectors")
             g = square(CLASSES, of_words, vec)
@@ -408,7 +413,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             cls = moved.filter(F.col("n") >= least).select("word", "cls").toPandas().sort_values("word")["cls"].to_numpy(np.int64)
             heads, tail = spark.sparkContext.broadcast(Heads(head, head_n, cls, of_ending)), moved.filter(F.col("n") < least)
         if step < PASSES:
-            drop_written(vec)
+            drop_written(vec, *([frame] if step else []))
         if worse:
             break
     g, heads, tail = kept
@@ -433,8 +438,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.diff(at), pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(b.num_rows, n), pa.int64()), pa.array(base), pa.array(logs)],
                 names=[id_col, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return resolved(rows, tail).select(id_col, "held_out", "seq", "rare", "ending", "found").mapInArrow(
-        score, f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    if whole is not None and worse:  # it has classes that aren't kept
+        drop_written(whole)
+        whole = None
+    scored = resolved(rows, tail) if whole is None else whole
+    return scored.select(id_col, "held_out", "seq", "rare", "ending", "found").mapInArrow(
+        lean(score), f"`{id_col}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op7_class_lm(spark, sf_dir):
