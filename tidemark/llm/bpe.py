@@ -18,7 +18,7 @@ import pyarrow as pa
 from .textcore import LOWER, WORD, segments, span_hashes, utf8
 
 #: Pieces remembered per Python worker; beyond it the memory is emptied and pieces are asked for again.
-MEMO_PIECES = 150_000
+MEMO_PIECES = 500_000
 SEGMENT = 2 << 20
 
 
@@ -56,7 +56,7 @@ class Codec:
         self.forget()
 
     def forget(self) -> None:
-        self.memo: dict[int, int] = {}
+        self.known, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of pieces, and their numbers
         self.ids = np.zeros(1 << 16, np.uint32)
         self.starts = np.zeros(1 << 16, np.int64)
         self.used = 0
@@ -68,16 +68,18 @@ class Codec:
         return [t.id for t in self.model.tokenize(text)]
 
     def _learn(self, hashes: np.ndarray, pieces: list[bytes], hard: np.ndarray) -> None:
-        n = len(self.memo)
+        n = len(self.known)
         if n + len(pieces) + 1 >= len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros(n + len(pieces) + 2, np.int64)])
-        for h, p, is_hard in zip(hashes.tolist(), pieces, hard.tolist(), strict=True):
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known, self.numbers = np.insert(self.known, at, hashes[order]), np.insert(self.numbers, at, n + order)
+        for p, is_hard in zip(pieces, hard.tolist(), strict=True):
             got = self._ask(p, is_hard)
             if self.used + len(got) > len(self.ids):
                 self.ids = np.concatenate([self.ids, np.zeros(max(len(got), len(self.ids)), np.uint32)])
             self.ids[self.used : self.used + len(got)] = got
             self.used += len(got)
-            self.memo[h] = n
             n += 1
             self.starts[n] = self.used
 
@@ -120,17 +122,20 @@ class Codec:
         low, starts, ends, hard = self.pieces(data, rows[:-1])
         hashes = span_hashes(low, starts, ends) + hard.astype(np.uint64)
         codes, found = pd.factorize(hashes)
-        if len(self.memo) + len(found) > MEMO_PIECES:
+        if len(self.known) + len(found) > MEMO_PIECES:
             self.forget()
-        get = self.memo.get
-        numbers = np.array([get(h, -1) for h in found.tolist()], np.int64)
+        numbers = np.full(len(found), -1, np.int64)
+        if len(self.known):
+            place = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+            hit = self.known[place] == found
+            numbers[hit] = self.numbers[place[hit]]
         new = np.flatnonzero(numbers < 0)
         if len(new):
             first = np.full(len(found), -1, np.int64)
             first[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
             at = first[new]
             raw = low.tobytes()
-            base = len(self.memo)
+            base = len(self.known)
             self._learn(found[new], [raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)], hard[at])
             numbers[new] = np.arange(base, base + len(new))
         return numbers[codes], np.searchsorted(starts, rows)
