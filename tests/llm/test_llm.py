@@ -442,8 +442,10 @@ def test_license_scan(spark, odd, none):
 
 
 def test_pipeline(spark, tmp_path):
+    import __spark_entry__ as entry
     import corpus_pipeline as P
 
+    assert entry.queries()["pipeline"] is P.run
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     from tidemark.llm.decontaminate import contaminated

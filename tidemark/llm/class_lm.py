@@ -195,6 +195,8 @@ def summed(words: np.ndarray, cls: np.ndarray, codes: np.ndarray, n: np.ndarray)
     return words[first], cls[first], codes[first], np.add.reduceat(n, first) if len(first) else n
 
 
+#: Tokens whose bigrams a task counts together before they travel.
+GATHER = 1 << 20
 SAME = 2 * CLASSES  # codes of a word's counts: class after, CLASSES + class before, itself after itself
 ROWS = "word long, cls int, narrow boolean, counts binary"
 
@@ -316,7 +318,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([table[i].astype("<i8").tobytes() for i in used.tolist()], pa.binary())], names=["slot", "sums"])
 
         table = np.zeros((size, size))
-        for r in tree_sum(frame, some, lambda rows: np.sum([np.frombuffer(x, "<i8") for x in rows], axis=0).astype("<i8").tobytes()).toLocalIterator():
+        for r in tree_sum(frame, some, lambda rows: np.sum([np.frombuffer(x, "<i8") for x in rows], axis=0).astype("<i8").tobytes()).collect():
             table[r["slot"]] = np.frombuffer(r["sums"], "<i8")
         return table
 
@@ -341,18 +343,29 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return frame.join(found, "rid", "left")
 
     def vectors(heads):
+        def counted(held):
+            words, cls, prev = (np.concatenate(x) for x in zip(*held, strict=True))
+            codes, found = pd.factorize(words)
+            of = np.zeros(len(found), np.int64)
+            of[codes] = cls
+            same = words[prev] == words
+            each, key = pd.factorize(np.concatenate([codes[prev] * 256 + cls, codes * 256 + CLASSES + cls[prev], codes[same] * 256 + SAME]))
+            order = np.argsort(key)
+            key, times = key[order], np.bincount(each, minlength=len(key))[order]
+            w = key >> 8
+            return packed(found[w], of[w], key & 255, times)
+
         def run(batches):
+            held, n = [], 0
             for b in batches:
                 words, cls, _, at = heads.value.read(b)
-                prev = before(at)
-                codes, found = pd.factorize(words)
-                of = np.zeros(len(found), np.int64)
-                of[codes] = cls
-                same = words[prev] == words
-                key = np.concatenate([codes[prev] * 256 + cls, codes * 256 + CLASSES + cls[prev], codes[same] * 256 + SAME])
-                key, times = np.unique(key, return_counts=True)
-                w = key >> 8
-                yield packed(found[w], of[w], key & 255, times)
+                held.append((words, cls, before(at) + n))
+                n += len(words)
+                if n >= GATHER:
+                    yield counted(held)
+                    held, n = [], 0
+            if n:
+                yield counted(held)
 
         return run
 

@@ -168,7 +168,7 @@ def sketch_counts(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         return pack(total)
 
     counts, words_of = np.zeros((SLICES, SKETCH // SLICES), np.uint32), np.zeros(WORD_COUNTS, np.int64)
-    for r in tree_sum(texts, count, add).toLocalIterator():  # SLICES + 1 rows of fixed size
+    for r in tree_sum(texts, count, add).collect():  # SLICES + 1 rows of fixed size
         if r["slot"] < SLICES:
             counts[r["slot"]] = np.minimum(unpack(r["sums"]), 0xFFFFFFFF)
         else:

@@ -151,7 +151,7 @@ def fit(labelled: DataFrame, ridge: float = 1.0) -> QualityModel:
 
     d = FEATURES + k + 1
     grams: dict[int, np.ndarray] = {}
-    for r in labelled.mapInPandas(sums, "fold int, sums binary").toLocalIterator():
+    for r in labelled.mapInPandas(sums, "fold int, sums binary").collect():
         grams[r["fold"]] = grams.get(r["fold"], 0) + np.frombuffer(r["sums"]).reshape(d + 1, d + 1)
     whole = sum(grams.values())
     penalty = ridge * np.diag(np.r_[1e-6, np.ones(d - 1)])

@@ -208,7 +208,7 @@ class TokenStore:
             .mapInArrow(lean(_ordered), f"row string, {_INDEX}")
             .write.partitionBy("row").parquet(f"{store}/index"))
         out = cls(spark, store, dtype)
-        parts = out.manifest().orderBy("part").toLocalIterator()  # one row for each written part
+        parts = out.manifest().orderBy("part").collect()  # one row for each written part
         n, documents, tokens, roots = 0, 0, 0, []
         for r in parts:
             n, documents, tokens, roots = n + 1, documents + r["documents"], tokens + r["n_tokens"], [*roots, bytes(r["root"])]
@@ -318,7 +318,7 @@ class TokenStore:
         same = F.col("root").eqNullSafe(F.col("found")) & F.col("documents").eqNullSafe(F.col("n")) & F.col("n_tokens").eqNullSafe(F.col("tokens"))
         both = self.manifest().join(found, "part", "full").select("part", "n", "tokens", "found", same.alias("whole"))
         n, documents, tokens, roots = 0, 0, 0, []
-        for r in both.orderBy("part").toLocalIterator():  # one row for each written part
+        for r in both.orderBy("part").collect():  # one row for each written part
             if not r["whole"]:
                 raise ValueError(f"part {r['part']} of the store doesn't match the manifest")
             n, documents, tokens, roots = n + 1, documents + r["n"], tokens + r["tokens"], [*roots, bytes(r["found"])]
