@@ -213,3 +213,45 @@ def test_bootstrap_doesnt_depend_on_partitions(spark):
     a = stats.block_bootstrap(df, "t", "x", "y", [4], 50).collect()
     b = stats.block_bootstrap(df.repartition(13), "t", "x", "y", [4], 50).collect()
     assert a[0]["replicates"] == 50 and all(math.isclose(p, q, abs_tol=1e-9) for p, q in zip(a[0], b[0], strict=True))
+
+
+def test_coefficient_comparison(spark):
+    cols = "variable string, beta double, r2 double, p_holm double"
+    base = spark.createDataFrame([("a", 1.0, 0.5, 0.01), ("b", -1.0, 0.5, 0.2), ("c", 2.0, 0.5, None)], cols)
+    other = spark.createDataFrame([("a", -0.5, 0.4, 0.02), ("b", -2.0, 0.4, 0.04), ("c", 0.0, 0.4, 0.01), ("d", 1.0, 0.4, 0.01)], cols)
+    got = {r["variable"]: r for r in stats.compare_coefficients(base, other, ["variable"]).collect()}
+    assert (got["a"]["beta_difference"], got["a"]["sign_preserved"], got["a"]["significance_preserved"]) == (-1.5, False, True)
+    assert (got["b"]["sign_preserved"], got["b"]["significance_preserved"]) == (True, False)
+    assert (got["c"]["sign_preserved"], got["c"]["significance_preserved"]) == (False, True)  # an unknown p counts as unchanged
+    assert got["d"]["beta_difference"] is None and got["d"]["significance_preserved"] is None
+
+
+def test_slopes_are_adjusted_within_their_regression(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 2))
+    y = 0.4 * x[:, 0] + rng.normal(size=60)
+    df = spark.createDataFrame([("s", i, float(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(60)], "g string, t int, y double, a double, b double")
+    got = {r["variable"]: r for r in stats.ols_table(df, ["g"], "t", "y", ["a", "b"]).collect()}
+    assert got["const"]["p_holm"] is None and got["const"]["p"] is not None
+    low, high = sorted((got["a"], got["b"]), key=lambda r: r["p"])
+    assert math.isclose(low["p_holm"], min(1, 2 * low["p"])) and math.isclose(high["p_holm"], max(low["p_holm"], high["p"]))
+
+
+def test_largest_difference_and_ranks(spark):
+    rows = [("g", "a", 1.0, 2.0), ("g", "b", 2.0, 3.0), ("g", "c", 3.0, 3.5), ("g", "d", None, 9.0)]
+    r = stats.compare_series(spark.createDataFrame(rows, "k string, month string, x double, y double"), ["k"], "month", "x", "y").first()
+    assert (r["n"], r["largest"], r["largest_at"]) == (3, 1.0, "a")  # the first of two equal differences
+    assert math.isclose(r["rho"], 1.0) and math.isclose(r["bias"], 2.5 / 3)
+
+
+def test_rendered_cells(spark):
+    shown = spark.createDataFrame([("m1", "1.23", ""), ("m2", "1.24", "0.00"), ("m3", "5.00", "1.00"), ("m4", "x", "1.00")], "month string, a string, b string")
+    value = spark.createDataFrame([("m1", 1.2345, None), ("m2", 1.2345, None), ("m4", 5.0, 1.0), ("m5", 1.0, 1.0)], "month string, a double, b double")
+    got = {(r["month"], r["column"]): r["ok"] for r in audit.recheck(shown, value, ["month"], ["a", "b"], 2).collect()}
+    assert got == {("m1", "a"): True, ("m1", "b"): True, ("m2", "a"): False, ("m2", "b"): False, ("m3", "a"): False, ("m3", "b"): False, ("m4", "a"): False, ("m4", "b"): True, ("m5", "a"): False, ("m5", "b"): False}
+
+
+def test_diversity(spark):
+    t = spark.createDataFrame([("x", "a", 1), ("x", "b", 2), ("y", "a", 1), ("y", "c", 2)], "topic string, term string, rank int")
+    got = {(r["k"], r["topic"]): (r["redundancy"], r["diversity"]) for r in text.diversity(t, "topic", [1, 2]).collect()}
+    assert got == {(1, "x"): (1.0, 0.5), (1, "y"): (1.0, 0.5), (2, "x"): (0.5, 0.75), (2, "y"): (0.5, 0.75)}

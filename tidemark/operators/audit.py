@@ -35,6 +35,19 @@ def verdict(rows: DataFrame) -> DataFrame:
     return rows.unionByName(rows.agg(status.alias("status")).select(F.lit("overall").alias("name"), "status"))
 
 
+def recheck(shown: DataFrame, computed: DataFrame, keys: list[str], columns: list[str], digits: int) -> DataFrame:
+    """Every rendered cell against its recomputed value: keys, column, shown text, value and ``ok``.
+
+    A cell is right when its text is the value within half a unit of the last digit, or empty where the value is null;
+    a row that only one side has is wrong in all its cells."""
+    cell = lambda c, kind: F.struct(F.lit(c).alias("column"), F.col(c).cast(kind).alias("v"))
+    long = lambda df, kind, name: df.select(*keys, F.explode(F.array(*[cell(c, kind) for c in columns])).alias("c"), F.lit(True).alias(f"has_{name}")).select(*keys, "c.column", F.col("c.v").alias(name), f"has_{name}")
+    j = long(shown, "string", "shown").join(long(computed, "double", "value"), [*keys, "column"], "full")
+    near = F.abs(F.col("shown").try_cast("double") - F.col("value")) <= 0.5 * 10**-digits * (1 + 1e-6) + 1e-9
+    ok = F.col("has_shown") & F.col("has_value") & F.when(F.col("value").isNull(), F.coalesce(F.col("shown"), F.lit("")) == "").otherwise(near)
+    return j.select(*keys, "column", "shown", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
 def file_hash(path: str | Path) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

@@ -59,9 +59,9 @@ def forward_events(series: DataFrame, order: str, event: str, warn: Column, keys
     return series.withColumns({"warning": F.coalesce(warn, F.lit(False)), "evaluable": two.isNotNull(), "hit": F.coalesce(one | two, F.lit(False)), "lead": F.when(one, 1).when(two, 2)})
 
 
-def event_recall(series: DataFrame, order: str, event: str, warn: Column) -> DataFrame:
+def event_recall(series: DataFrame, order: str, event: str, warn: Column, keys: list[str] = ()) -> DataFrame:
     """Each event with whether a warning stood one or two rows before it."""
-    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
     s = series.withColumn("__w", F.coalesce(warn, F.lit(False)))
     b1, b2 = F.coalesce(F.lag("__w", 1).over(w), F.lit(False)), F.coalesce(F.lag("__w", 2).over(w), F.lit(False))
     return s.withColumns({"warned": b1 | b2, "lead": F.when(b1, 1).when(b2, 2)}).filter(F.col(event)).drop("__w")

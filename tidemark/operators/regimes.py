@@ -110,6 +110,18 @@ def single_vs_multi(act: DataFrame) -> DataFrame:
     return g.select("*", (100 * ratio(F.col("multi"), F.col("months"))).alias("multi_pct"), (100 * ratio(F.col("omitted"), F.col("active"))).alias("omitted_pct"))
 
 
+def agreement(base: DataFrame, other: DataFrame, regimes: list[str], threshold: float = 0.5) -> DataFrame:
+    """How far two panels of z scores activate alike, per split, in percent: single cells, the strongest regime, several at once."""
+    on = lambda z: F.coalesce(F.col(z) >= threshold, F.lit(False))
+    known = F.col("regime").isin(list(regimes))
+    cells = base.filter(known).select("month", "period", "regime", F.col("z").alias("__a")).join(other.select("month", "regime", F.col("z").alias("__b")), ["month", "regime"])
+    cells = cells.groupBy("month", "period").agg(F.count(F.lit(1)).alias("cells"), F.count_if(on("__a") == on("__b")).alias("same"))
+    a, b = (activation(z, regimes, threshold).select("month", F.col("argmax").alias(f"top_{n}"), (F.col("n_active") >= 2).alias(f"multi_{n}")) for n, z in (("a", base), ("b", other)))
+    j = cells.join(a, "month").join(b, "month").withColumn("split", overlapping_splits(F.col("period")))
+    g = j.groupBy("split").agg(F.count(F.lit(1)).alias("months"), F.sum("cells").alias("cells"), F.sum("same").alias("same"), F.count_if(F.col("top_a") == F.col("top_b")).alias("top"), F.count_if(F.col("multi_a") == F.col("multi_b")).alias("multi"))
+    return g.select("split", "months", "cells", (100 * ratio(F.col("same"), F.col("cells"))).alias("cell_pct"), (100 * ratio(F.col("top"), F.col("months"))).alias("argmax_pct"), (100 * ratio(F.col("multi"), F.col("months"))).alias("multi_pct"))
+
+
 def combinations(act: DataFrame) -> DataFrame:
     return act.groupBy("period", F.col("active").alias("combination")).agg(F.count(F.lit(1)).alias("months"))
 

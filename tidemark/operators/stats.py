@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions.scalar import ratio
-from tidemark.operators.windows import average_rank
+from tidemark.operators.panels import forward_events
+from tidemark.operators.windows import average_rank, holm
 
 
 def betainc(a: float, b: float, x: float) -> float:
@@ -134,7 +135,9 @@ def ols_hac(y: np.ndarray, x: np.ndarray, maxlags: int) -> dict:
 
 
 def ols_table(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str], maxlags: int = 3) -> DataFrame:
-    """One row per coefficient of each group's regression; groups are series, not corpora."""
+    """One row per coefficient of each group's regression; groups are series, not corpora.
+
+    ``p_holm`` adjusts the slopes of one regression among themselves; the constant's is null."""
 
     def run(key, pdf):
         pdf = pdf.dropna(subset=[y, *xs]).sort_values(order)
@@ -144,7 +147,27 @@ def ols_table(df: DataFrame, keys: list[str], order: str, y: str, xs: list[str],
         return pd.DataFrame(head | {"variable": ["const", *xs], "n": fit["n"], "beta": fit["beta"], "se": fit["se"], "p": fit["p"], "low": fit["low"], "high": fit["high"], "vif": [None, *fit["vif"]]} | same)
 
     kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.select(*keys, order, y, *xs).groupBy(*keys).applyInPandas(run, f"{kinds}, variable string, n long, beta double, se double, p double, low double, high double, vif double, r2 double, adj_r2 double, f double, wald double, f_p double")
+    table = df.select(*keys, order, y, *xs).groupBy(*keys).applyInPandas(run, f"{kinds}, variable string, n long, beta double, se double, p double, low double, high double, vif double, r2 double, adj_r2 double, f double, wald double, f_p double")
+    return holm(table.withColumn("__slope_p", F.when(F.col("variable") != "const", F.col("p"))), "__slope_p", keys, tie=["variable"]).drop("__slope_p")
+
+
+def compare_coefficients(base: DataFrame, other: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
+    """Coefficients of ``other`` against those of ``base`` with the same keys: differences of slope and R2, whether the
+    sign stays, whether significance after Holm stays (a null p on either side counts as unchanged). Coefficients that
+    ``base`` lacks have nulls."""
+    b = base.select(*keys, F.col("beta").alias("__beta"), F.col("r2").alias("__r2"), F.col("p_holm").alias("__p"))
+    known = F.col("__beta").isNotNull()
+    stays = F.coalesce((F.col("p_holm") < alpha) == (F.col("__p") < alpha), F.lit(True))
+    return other.join(b, keys, "left").select(*keys, (F.col("beta") - F.col("__beta")).alias("beta_difference"), (F.col("r2") - F.col("__r2")).alias("r2_difference"), (F.signum("beta") == F.signum("__beta")).alias("sign_preserved"), F.when(known, stays).alias("significance_preserved"))
+
+
+def compare_series(df: DataFrame, keys: list[str], order: str, x: str, y: str) -> DataFrame:
+    """Two series of each group: means, bias, distances, where the largest difference is (first on a tie), both correlations. Incomplete pairs don't count."""
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, order, F.col(x).alias("x"), F.col(y).alias("y"), (F.col(y) - F.col(x)).alias("e"))
+    both = both.withColumns({"rx": average_rank(F.col("x"), keys), "ry": average_rank(F.col("y"), keys)})
+    largest = F.min(F.struct((-F.abs("e")).alias("low"), F.col(order).alias("at")))
+    g = both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"), F.avg("e").alias("bias"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), largest.alias("__l"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho"))
+    return g.select(*keys, "n", "mean_x", "mean_y", "bias", "mae", "rmse", (-F.col("__l.low")).alias("largest"), F.col("__l.at").alias("largest_at"), "r", "rho")
 
 
 def block_bootstrap(series: DataFrame, order: str, x: str, y: str, blocks: list[int], replicates: int, seed: int = 42) -> DataFrame:
@@ -178,6 +201,14 @@ def confusion(df: DataFrame, predicted: Column, actual: Column, keys: list[str]
     return c.withColumn("balanced_accuracy", (F.col("recall") + F.col("specificity")) / 2)
 
 
+def warning_table(series: DataFrame, order: str, event: str, warn: Column, keys: list[str]) -> DataFrame:
+    """Warnings against events in the next two rows of each group: months, counts, rates, the events' own rate and the gain of precision over it."""
+    c = confusion(forward_events(series, order, event, warn, keys).filter("evaluable"), F.col("warning"), F.col("hit"), keys)
+    months = F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")
+    base = ratio(F.col("tp") + F.col("fn"), months)
+    return c.select(*keys, months.alias("months"), "tp", "fp", "fn", "tn", "precision", "recall", "specificity", base.alias("base_rate"), (F.col("precision") - base).alias("gain"))
+
+
 def errors(df: DataFrame, error: str, keys: list[str]) -> DataFrame:
     """rmse, mae and bias of each group; null if any prediction is missing."""
     whole = F.count(error) == F.count(F.lit(1))

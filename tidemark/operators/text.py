@@ -90,6 +90,16 @@ def coherence_cv(pairs: DataFrame, topic: str) -> DataFrame:
     return cos.groupBy(topic).agg(F.avg("cos").alias("c_v"))
 
 
+def diversity(topics: DataFrame, topic: str, ks: list[int]) -> DataFrame:
+    """k, topic, the share of its k first terms that other topics' have too, and the share of distinct terms among all topics' k first."""
+    sizes = F.explode(F.array(*map(F.lit, ks))).alias("k")
+    t = topics.select(topic, "term", "rank", sizes).filter(F.col("rank") <= F.col("k"))
+    held = t.groupBy("k", "term").agg(F.count(F.lit(1)).alias("held"))
+    all_k = held.groupBy("k").agg(ratio(F.count(F.lit(1)), F.sum("held")).alias("diversity"))
+    g = t.join(F.broadcast(held), ["k", "term"]).groupBy("k", topic).agg(F.avg((F.col("held") > 1).cast("double")).alias("redundancy"))
+    return g.join(F.broadcast(all_k), "k").select("k", topic, "redundancy", "diversity", (1 - F.col("diversity")).alias("overall_redundancy"))
+
+
 def topk_jaccard(sets: DataFrame, key: str, items: str) -> DataFrame:
     """a < b, common items and Jaccard of each pair of a few sets."""
     a, b = (sets.select(F.col(key).alias(k), F.col(items).alias(f"{k}_items")) for k in "ab")

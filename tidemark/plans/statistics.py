@@ -167,12 +167,12 @@ def direction_confusion(spark, d):
     return S.confusion(p, F.col("p"), F.col("a"), ["model"]).select("model", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "specificity", "balanced_accuracy")])
 
 
-WARN = DER + ", wz AS (SELECT shares.month, (share - avg(share) FILTER (shares.period = 'Train') OVER ()) / stddev_samp(share) FILTER (shares.period = 'Train') OVER () AS z FROM shares WHERE regime = 'urgent'), ev AS (SELECT der.month, z, ret < -3 AS event, CASE WHEN der.month <= '1998-12' THEN 'Train' ELSE 'Eval' END AS period FROM der JOIN wz USING (month) WHERE ret IS NOT NULL), th AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7]) AS threshold), fw AS (SELECT threshold, month, period, z >= threshold AS warning, event, lead(event) OVER w AS e1, lead(event, 2) OVER w AS e2, lag(z >= threshold) OVER w AS w1, lag(z >= threshold, 2) OVER w AS w2 FROM ev, th WINDOW w AS (PARTITION BY threshold ORDER BY month))"
+WARN = DER + ", wz AS (SELECT shares.month, (share - avg(share) FILTER (shares.period = 'Train') OVER ()) / stddev_samp(share) FILTER (shares.period = 'Train') OVER () AS z FROM shares WHERE regime = 'urgent'), ev AS (SELECT der.month, z, ret <= -3 AS event, CASE WHEN der.month <= '1998-12' THEN 'Train' ELSE 'Eval' END AS period FROM der JOIN wz USING (month) WHERE ret IS NOT NULL), th AS (SELECT unnest([0.3, 0.4, 0.5, 0.6, 0.7]) AS threshold), fw AS (SELECT threshold, month, period, z >= threshold AS warning, event, lead(event) OVER w AS e1, lead(event, 2) OVER w AS e2, lag(z >= threshold) OVER w AS w1, lag(z >= threshold, 2) OVER w AS w2 FROM ev, th WINDOW w AS (PARTITION BY threshold ORDER BY month))"
 
 
 def _warnings(spark, d):
     z = regime_zscores(shares(spark, d)).filter("regime = 'urgent'").select("month", "z")
-    return derivatives(spark, d).filter("ret IS NOT NULL").select("month", "period", (F.col("ret") < -3).alias("event")).join(z, "month")
+    return derivatives(spark, d).filter("ret IS NOT NULL").select("month", "period", (F.col("ret") <= -3).alias("event")).join(z, "month")
 
 
 CONF = "SELECT {keys}, count(*) FILTER (warning AND (e1 OR e2)) AS tp, count(*) FILTER (warning AND NOT (e1 OR e2)) AS fp, count(*) FILTER (NOT warning AND (e1 OR e2)) AS fn, count(*) FILTER (NOT warning AND NOT (e1 OR e2)) AS tn FROM fw WHERE e2 IS NOT NULL {more} GROUP BY ALL"
