@@ -255,3 +255,46 @@ def test_diversity(spark):
     t = spark.createDataFrame([("x", "a", 1), ("x", "b", 2), ("y", "a", 1), ("y", "c", 2)], "topic string, term string, rank int")
     got = {(r["k"], r["topic"]): (r["redundancy"], r["diversity"]) for r in text.diversity(t, "topic", [1, 2]).collect()}
     assert got == {(1, "x"): (1.0, 0.5), (1, "y"): (1.0, 0.5), (2, "x"): (0.5, 0.75), (2, "y"): (0.5, 0.75)}
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_nmf_ways_agree(spark, bound):
+    """One task and Spark's sums run the same iterations; the start is the library's definition by a dense decomposition."""
+    rng = np.random.default_rng(3)
+    x = rng.random((60, 3)) @ rng.random((3, 12)) * (rng.random((60, 12)) < 0.7)
+    rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "doc_id int, idx array<int>, w array<double>").repartition(20)
+    model = topics.fit_nmf(df, 12, 3, 1, task_cells=bound)
+    u, s, vt = np.linalg.svd(x, full_matrices=False)
+    h = np.zeros((3, 12))
+    h[0] = np.sqrt(s[0]) * np.abs(vt[0])
+    for i in (1, 2):
+        pairs = [(np.maximum(e * u[:, i], 0), np.maximum(e * vt[i], 0)) for e in (1, -1)]
+        a, b = max(pairs, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
+        h[i] = np.sqrt(s[i] * np.linalg.norm(a) * np.linalg.norm(b)) * b / np.linalg.norm(b)
+    w = topics.nnls_rows(x @ h.T, h @ h.T, np.zeros((60, 3)), 2000)
+    assert model.objective[0] == pytest.approx(((x - w @ h) ** 2).sum(), rel=1e-3)
+    again = topics.fit_nmf(df, 12, 3, 20, task_cells=bound)
+    assert len(again.objective) > 1 and again.objective[-1] < model.objective[0]
+    assert (topics.fit_nmf(df.limit(0), 12, 3, 2, task_cells=bound).h == 0).all()
+
+
+def test_matched_bases():
+    a = np.array([[4.0, 3, 0, 0], [0, 0, 2, 1]])
+    m = topics.match_bases(a, a[::-1])
+    assert [(x["left"], x["right"]) for x in m] == [(0, 1), (1, 0)] and all(x["cosine"] == pytest.approx(1) and x["weighted_jaccard"] == pytest.approx(1) and x["margin"] == pytest.approx(1) for x in m)
+
+
+def test_stability_and_convergence(spark):
+    rows = [(i, list(range(0, 4)) if i % 2 else list(range(4, 8)), [0.5] * 4) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id int, idx array<int>, w array<double>")
+    got = topics.stability(df, 8, 2, subsamples=2, restarts=2, max_iter=50).collect()
+    assert sorted((r["kind"], r["run_a"], r["run_b"]) for r in got) == [("base-restart", 0, 3), ("base-restart", 0, 4), ("base-subsample", 0, 1), ("base-subsample", 0, 2), ("restart", 3, 4), ("subsample", 1, 2)]
+    assert all(r["least_cosine"] > 0.99 and r["from_90"] == 2 for r in got)
+    c = topics.convergence(df, 8, 2, [5, 10]).collect()
+    assert [r["max_iter"] for r in c] == [5, 10] and all(r["converged"] and r["same_order"] and r["h_change"] < 1e-6 for r in c)
+
+
+def test_sparse_counts(spark):
+    v = topics.count_vectors(spark.createDataFrame([(1, [0, 3]), (2, [])], "doc_id int, idx array<int>"), 5).orderBy("doc_id").collect()
+    assert [(r["features"].size, dict(zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True))) for r in v] == [(5, {0: 1.0, 3: 1.0}), (5, {})]

@@ -18,12 +18,28 @@ def rows_of(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     return weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("x")).select(key, F.col("x.idx").alias("idx"), F.col("x.weight").alias("w"))
 
 
+#: Non-zero cells that one task solves for alone (16 bytes each); larger samples are summed by Spark jobs.
+TASK_CELLS = 20_000_000
+
+
 def _csr(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     idx, w = batch.column("idx"), batch.column("w")
     rows = np.repeat(np.arange(len(idx)), np.diff(idx.offsets.to_numpy()))
     return rows, idx.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy().astype(float)
 
 
+def _times(csr, n: int, dense: np.ndarray) -> np.ndarray:
+    """X times a dense matrix with one row per term."""
+    rows, idx, w = csr
+    return np.column_stack([np.bincount(rows, w * col[idx], n) for col in np.ascontiguousarray(dense.T)])
+
+
+def _transposed_times(csr, dense: np.ndarray, n_terms: int) -> np.ndarray:
+    """X' times a dense matrix with one row per document."""
+    rows, idx, w = csr
+    return np.column_stack([np.bincount(idx, w * col[rows], n_terms) for col in np.ascontiguousarray(dense.T)])
+
+
 def nnls_rows(xh: np.ndarray, hh: np.ndarray, start: np.ndarray, sweeps: int = 200, tol: float = 1e-10) -> np.ndarray:
     """min |x - w H| with w >= 0 for every row, by cyclic coordinate descent; rows don't touch each other."""
     w = start.copy()
@@ -41,15 +57,37 @@ def nnls_rows(xh: np.ndarray, hh: np.ndarray, start: np.ndarray, sweeps: int = 2
     return w
 
 
-def nndsvd(gram: np.ndarray, n: int, k: int) -> np.ndarray:
-    """The non-negative start of H from the eigenvectors of X'X (Boutsidis and Gallopoulos 2008)."""
-    values, vectors = np.linalg.eigh(gram)
+def nndsvd(total, n_terms: int, k: int, rounds: int = 6, extra: int = 10, seed: int = 0) -> np.ndarray:
+    """The non-negative start of H (Boutsidis and Gallopoulos 2008) from a randomised decomposition.
+
+    X'X is only ever multiplied with k + ``extra`` vectors, so nothing is as large as the square of
+    the vocabulary; of the positive and negative parts of a pair of singular vectors the heavier
+    pair counts, for which one more pass sums the parts of the left vectors."""
+    p = min(n_terms, k + extra)
+    q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, p)))[0]
+    for _ in range(rounds):
+        got = total(lambda csr, n, q=q: [_transposed_times(csr, _times(csr, n, q), n_terms)])
+        if got is None:
+            return np.zeros((k, n_terms))
+        y = got[0]
+        values, u = np.linalg.eigh((q.T @ y + y.T @ q) / 2)
+        vectors = q @ u
+        q = np.linalg.qr(y)[0]
     order = np.argsort(values)[::-1][:k]
-    h = np.zeros((k, len(gram)))
-    for i, j in enumerate(order):
-        v, s = vectors[:, j], np.sqrt(max(values[j], 0))
-        plus, minus = np.maximum(v, 0), np.maximum(-v, 0)
-        h[i] = np.sqrt(s) * (plus if (plus @ plus) >= (minus @ minus) else minus)
+    s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
+    plus, minus = total(lambda csr, n: [(lambda left: np.stack([(np.maximum(left, 0) ** 2).sum(0), (np.maximum(-left, 0) ** 2).sum(0)]))(_times(csr, n, v))])[0]
+    h = np.zeros((k, n_terms))
+    for i in range(len(order)):
+        if s[i] <= 0:
+            continue
+        if i == 0:
+            h[0] = np.sqrt(s[0]) * np.abs(v[:, 0])
+            continue
+        up, down = np.maximum(v[:, i], 0), np.maximum(-v[:, i], 0)
+        a, b = np.sqrt(plus[i]) / s[i] * np.linalg.norm(up), np.sqrt(minus[i]) / s[i] * np.linalg.norm(down)
+        part, m = (up, a) if a >= b else (down, b)
+        if m > 0:
+            h[i] = np.sqrt(s[i] * m) * part / np.linalg.norm(part)
     return np.where(h > 1e-8, h, 0)
 
 
@@ -60,9 +98,7 @@ class TopicModel:
         self.h, self.objective, self.converged = h, objective, converged
 
     def project(self, rows: np.ndarray, idx: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        xh = np.zeros((n, len(self.h)))
-        np.add.at(xh, rows, w[:, None] * self.h.T[idx])
-        return nnls_rows(xh, self.h @ self.h.T, np.zeros((n, len(self.h))))
+        return nnls_rows(_times((rows, idx, w), n, self.h.T), self.h @ self.h.T, np.zeros((n, len(self.h))))
 
     def table(self, spark, vocab: DataFrame) -> DataFrame:
         """topic, idx, term, weight of the basis."""
@@ -71,79 +107,116 @@ class TopicModel:
         return long.join(F.broadcast(vocab.select("idx", "term")), "idx")
 
 
-def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, seed: int | None = None) -> TopicModel:
-    """X ~ W H by alternating non-negative least squares: one Spark job per outer iteration.
-
-    Given H, rows of W are independent, so each partition solves its own and sends only W'W, W'X and
-    its squared error; partitions are summed in two levels and the driver sweeps H, a K x V matrix
-    of fixed size. ``seed`` None starts from NNDSVD of the Gram matrix of the vocabulary's terms."""
-    spark, rows = rows.sparkSession, rows.persist()  # read once, not in every iteration
-
-    def sums(make):
-        def run(batches):
-            total = None
-            for b in batches:
-                part = make(b)
-                total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
-            if total is not None:
-                yield pa.RecordBatch.from_pydict({"part": [0], "sums": [np.concatenate([np.ravel(x) for x in total]).astype("<f8").tobytes()]})
-
-        def add(key, table):
-            out = np.sum([np.frombuffer(x) for x in table.column("sums").to_pylist()], axis=0)
-            return pa.table({"part": pa.array([0], pa.int64()), "sums": pa.array([out.tobytes()], pa.binary())})
-
-        parts = rows.mapInArrow(run, "part long, sums binary").withColumn("part", F.shiftright(F.spark_partition_id(), 5).cast("long"))
-        got = parts.groupBy("part").applyInArrow(add, "part long, sums binary").groupBy(F.col("part") * 0).applyInArrow(add, "part long, sums binary").collect()
-        return np.frombuffer(got[0]["sums"]) if got else None
-
-    def gram(b):
-        r, i, w = _csr(b)
-        n, g = b.num_rows, np.zeros((n_terms, n_terms))
-        for lo in range(0, n, 512):
-            use = (r >= lo) & (r < lo + 512)
-            x = np.zeros((min(512, n - lo), n_terms))
-            x[r[use] - lo, i[use]] = w[use]
-            g += x.T @ x
-        return [g]
+def _alternate(total, n_terms: int, k: int, max_iter: int, tol: float, seed: int | None) -> TopicModel:
+    """Alternating least squares where ``total(make)`` sums ``make(csr, n)`` over all blocks of documents; None without documents.
 
+    Given H, rows of W are independent: a block solves its own and gives W'W, W'X and its squared error. The fit
+    has converged when the projected gradient of H is at most ``tol`` of the first one."""
     if seed is None:
-        flat = sums(gram)
-        if flat is None:
-            return TopicModel(np.zeros((k, n_terms)), [], True)
-        h = nndsvd(flat.reshape(n_terms, n_terms), 0, k)
+        h = nndsvd(total, n_terms, k)
         h = np.where(h.any(1, keepdims=True), h, 1.0 / n_terms)
     else:
         h = np.abs(np.random.default_rng(seed).normal(size=(k, n_terms))) * 0.1
     objective: list[float] = []
-    converged = False
+    first = None
     for _ in range(max_iter):
-        basis = spark.sparkContext.broadcast(h)
-
-        def step(b, basis=basis):
-            m = TopicModel(basis.value, [], False)
-            r, i, w = _csr(b)
-            ww = m.project(r, i, w, b.num_rows)
-            wx = np.zeros((len(m.h), n_terms))
-            np.add.at(wx.T, i, w[:, None] * ww[r])
-            err = (w @ w) - 2 * (wx * m.h).sum() + ((ww.T @ ww) * (m.h @ m.h.T)).sum()
-            return [ww.T @ ww, wx, np.array([err])]
-
-        flat = sums(step)
-        basis.unpersist()
-        if flat is None:
-            return TopicModel(h, [], True)
-        wtw, wtx = flat[: k * k].reshape(k, k), flat[k * k : -1].reshape(k, n_terms)
-        objective.append(float(flat[-1]))
-        h = nnls_rows(wtx.T, wtw, h.T.copy(), sweeps=20).T
-        if len(objective) > 1 and objective[-2] - objective[-1] <= tol * objective[0]:
-            converged = True
-            break
-    rows.unpersist()
-    return TopicModel(h, objective, converged)
 
+        def step(csr, n, h=h):
+            hh = h @ h.T
+            ww = nnls_rows(_times(csr, n, h.T), hh, np.zeros((n, k)), tol=1e-8)
+            wx, wtw = _transposed_times(csr, ww, n_terms), ww.T @ ww
+            return [wtw, wx, np.array([csr[2] @ csr[2] - 2 * (wx.T * h).sum() + (wtw * hh).sum()])]
+
+        got = total(step)
+        if got is None:
+            return TopicModel(np.zeros((k, n_terms)), [], True)
+        wtw, xtw, error = got
+        objective.append(float(error[0]))
+        gradient = wtw @ h - xtw.T
+        slope = float(np.abs(np.where(h > 0, gradient, np.minimum(gradient, 0))).sum())
+        first = slope if first is None else first
+        if slope <= tol * first:
+            return TopicModel(h, objective, True)
+        h = nnls_rows(xtw, wtw, h.T.copy(), sweeps=20).T
+    return TopicModel(h, objective, False)
+
+
+def _summed(parts):
+    out = None
+    for p in parts:
+        out = p if out is None else [x + y for x, y in zip(out, p, strict=True)]
+    return out
+
+
+def _in_task(table: pa.Table, n_terms: int, k: int, max_iter: int, tol: float, seed: int | None) -> TopicModel:
+    """The whole fit over one task's documents."""
+    blocks = [(_csr(b), b.num_rows) for b in table.combine_chunks().to_batches(max_chunksize=8192)]
+    return _alternate(lambda make: _summed(make(csr, n) for csr, n in blocks), n_terms, k, max_iter, tol, seed)
+
+
+FITTED = "run long, h binary, objective array<double>, converged boolean"
+
+
+def fit_runs(rows: DataFrame, n_terms: int, k: int, seeds: list[int | None], max_iter: int, tol: float = 1e-4) -> dict[int, TopicModel]:
+    """A model for each ``run`` of (run, idx, w), all at once, each in a task of its own; run r starts from ``seeds[r]``.
 
-def transform(rows: DataFrame, model: TopicModel, key: str = "doc_id") -> DataFrame:
-    """key, topics (shares summing to 1) and valid: documents without weight on any topic are not valid."""
+    Every run must hold at most ``TASK_CELLS`` cells, which the caller has counted."""
+
+    def solve(key, table):
+        r = key[0].as_py()
+        m = _in_task(table, n_terms, k, max_iter, tol, seeds[r])
+        return pa.table({"run": pa.array([r], pa.int64()), "h": pa.array([m.h.astype("<f8").tobytes()], pa.binary()), "objective": pa.array([m.objective], pa.list_(pa.float64())), "converged": [m.converged]})
+
+    got = rows.select(F.col("run").cast("long").alias("run"), "idx", "w").groupBy("run").applyInArrow(solve, FITTED).collect()  # a K x V basis each
+    return {r["run"]: TopicModel(np.frombuffer(r["h"]).reshape(k, n_terms).copy(), list(r["objective"]), r["converged"]) for r in got}
+
+
+def cells(rows: DataFrame) -> int:
+    return rows.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()[0]
+
+
+def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, seed: int | None = None, task_cells: int = TASK_CELLS) -> TopicModel:
+    """X ~ W H by alternating non-negative least squares; ``seed`` None starts from NNDSVD.
+
+    A sample of up to ``task_cells`` non-zero cells is solved by one task. Beyond, each sum is a Spark
+    job: partitions send K x V sums, which are added in groups of 16 until one is left, and the driver
+    sweeps H. Both ways run the same iterations. Without rows the basis is zero."""
+    spark, rows = rows.sparkSession, rows.select("idx", "w").persist()  # read once, not in every iteration
+    try:
+        if cells(rows) <= task_cells:
+            model = fit_runs(rows.withColumn("run", F.lit(0)), n_terms, k, [seed], max_iter, tol).get(0)
+            return model or TopicModel(np.zeros((k, n_terms)), [], True)
+
+        def total(make):
+            def run(batches):
+                got = _summed(make(_csr(b), b.num_rows) for b in batches)
+                if got is not None:
+                    yield pa.RecordBatch.from_pydict({"sums": [[x.astype("<f8").tobytes() for x in got]], "shapes": [[",".join(map(str, x.shape)) for x in got]]})
+
+            def read(row_sums, row_shapes):
+                return [np.frombuffer(x).reshape([int(n) for n in d.split(",")]) for x, d in zip(row_sums, row_shapes, strict=True)]
+
+            def add(key, table):
+                sums, shapes = table.column("sums").to_pylist(), table.column("shapes").to_pylist()
+                out = _summed(read(s, d) for s, d in zip(sums, shapes, strict=True))
+                return pa.table({"part": [key[0].as_py() // 16], "sums": [[x.tobytes() for x in out]], "shapes": [shapes[0]]}, schema=pa.schema([("part", pa.int64()), ("sums", pa.list_(pa.binary())), ("shapes", pa.list_(pa.string()))]))
+
+            kind, left = "sums array<binary>, shapes array<string>", rows.rdd.getNumPartitions()
+            parts = rows.mapInArrow(run, kind).withColumn("part", F.floor(F.spark_partition_id() / 16).cast("long"))
+            while True:
+                parts, left = parts.groupBy("part").applyInArrow(add, "part long, " + kind), -(-left // 16)
+                if left <= 1:
+                    break
+            got = parts.collect()
+            return read(got[0]["sums"], got[0]["shapes"]) if got else None
+
+        return _alternate(total, n_terms, k, max_iter, tol, seed)
+    finally:
+        rows.unpersist()
+
+
+def transform(rows: DataFrame, model: TopicModel, key: str = "doc_id", raw: bool = False) -> DataFrame:
+    """key, topics (shares summing to 1, or the weights themselves if ``raw``) and valid: documents without weight on any topic are not valid."""
     basis = rows.sparkSession.sparkContext.broadcast(model)
     kind = rows.schema[key].dataType.simpleString()
 
@@ -151,7 +224,7 @@ def transform(rows: DataFrame, model: TopicModel, key: str = "doc_id") -> DataFr
         for b in batches:
             w = basis.value.project(*_csr(b), b.num_rows)
             total = w.sum(1, keepdims=True)
-            share = np.divide(w, total, out=np.zeros_like(w), where=total > 0)
+            share = w if raw else np.divide(w, total, out=np.zeros_like(w), where=total > 0)
             yield pa.RecordBatch.from_arrays([b.column(key), pa.array(list(share), pa.list_(pa.float64())), pa.array(total[:, 0] > 0)], names=[key, "topics", "valid"])
 
     return rows.mapInArrow(run, f"`{key}` {kind}, topics array<double>, valid boolean")
@@ -173,10 +246,11 @@ def fit_lda(rows: DataFrame, n_terms: int, k: int, max_iter: int = 10, seed: int
 
 
 def count_vectors(rows: DataFrame, n_terms: int, key: str = "doc_id") -> DataFrame:
-    from pyspark.ml.functions import array_to_vector
+    """Sparse binary vectors of the terms that stand in each row."""
+    from pyspark.ml.feature import CountVectorizerModel
 
-    dense = F.transform(F.sequence(F.lit(0), F.lit(n_terms - 1)), lambda i: F.array_contains("idx", i).cast("double"))
-    return rows.select(key, array_to_vector(dense).alias("features"))
+    model = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_terms)], inputCol="__words", outputCol="features", minTF=1.0, binary=True)
+    return model.transform(rows.select(key, F.col("idx").cast("array<string>").alias("__words"))).select(key, "features")
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:
@@ -229,33 +303,71 @@ def align(left: DataFrame, right: DataFrame, key: str, values: str) -> DataFrame
     return pairs.groupBy().applyInPandas(run, "left int, right int, cosine double")
 
 
-def basis_frame(spark, model: TopicModel) -> DataFrame:
-    return spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(model.h)], "topic int, v array<double>")
-
-
-def stability(rows: DataFrame, n_terms: int, k: int, runs: int = 3, share: float = 0.8, max_iter: int = 20) -> DataFrame:
-    """Refits on hash-chosen subsamples, aligned pairwise: run a < run b, topic pair, cosine."""
-    spark = rows.sparkSession
-    models = []
-    for r in range(runs):
-        part = rows.filter(F.conv(F.substring(hash_order(F.col("doc_id"), 100 + r), 1, 6), 16, 10).cast("long") < int(share * (1 << 24)))
-        models.append(basis_frame(spark, fit_nmf(part, n_terms, k, max_iter)))
-    out = None
-    for a, b in itertools.combinations(range(runs), 2):
-        one = align(models[a], models[b], "topic", "v").select(F.lit(a).alias("run_a"), F.lit(b).alias("run_b"), "*")
-        out = one if out is None else out.unionByName(one)
+def match_bases(a: np.ndarray, b: np.ndarray) -> list[dict]:
+    """Topics of two bases matched one to one for the largest total cosine.
+
+    Each pair has its cosine, the Jaccard similarity of its 10 and 20 heaviest terms (ties by index), the weighted one over
+    the union of the 20 heaviest with weights renormalised there, the next best topic and the margin to it."""
+    unit = lambda h: h / np.maximum(np.linalg.norm(h, axis=1, keepdims=True), 1e-15)
+    cosine = np.clip(unit(a) @ unit(b).T, 0, 1)
+    tops = lambda h, n: [np.argsort(-row, kind="stable")[:n] for row in h]
+    (a10, b10), (a20, b20) = ((tops(a, n), tops(b, n)) for n in (10, 20))
+    jaccard = lambda x, y: len(np.intersect1d(x, y)) / max(1, len(np.union1d(x, y)))
+    out = []
+    for i, j in enumerate(hungarian(-cosine)):
+        both = np.union1d(a20[i], b20[j])
+        x, y = a[i, both], b[j, both]
+        x, y = x / (x.sum() or 1), y / (y.sum() or 1)
+        most = np.maximum(x, y).sum()
+        rest = np.delete(np.arange(len(b)), j)
+        second = int(rest[np.argmax(cosine[i, rest])]) if len(rest) else None
+        next_best = None if second is None else float(cosine[i, second])
+        out.append({"left": i, "right": int(j), "cosine": float(cosine[i, j]), "jaccard_10": jaccard(a10[i], b10[j]), "jaccard_20": jaccard(a20[i], b20[j]), "weighted_jaccard": float(np.minimum(x, y).sum() / most) if most > 0 else 0.0,
+            "second": second, "margin": None if next_best is None else float(cosine[i, j]) - next_best})
     return out
 
 
-def convergence(rows: DataFrame, n_terms: int, k: int, limits: list[int]) -> DataFrame:
-    """For each iteration limit: iterations used, squared error, convergence, largest change of H against the limit before."""
-    out, before = [], None
+def stability(rows: DataFrame, n_terms: int, k: int, subsamples: int = 10, share: float = 0.8, restarts: int = 11, max_iter: int = 400) -> DataFrame:
+    """A base model, refits on hash-chosen subsamples and random restarts on all rows; each against the base and within its kind.
+
+    One row per pair of runs: kind, run_a, run_b (0 is the base), mean, least and largest cosine of the matched topics,
+    their mean Jaccard similarities, and how many pairs reach 0.8 and 0.9. All runs are fitted at once where the sample
+    fits a task, else one after the other."""
+    names = ["base"] + ["subsample"] * subsamples + ["restart"] * restarts
+    seeds = [r if kind == "restart" else None for r, kind in enumerate(names)]
+    in_run = lambda r: F.conv(F.substring(hash_order(F.col("doc_id"), 100 + r), 1, 6), 16, 10).cast("long") < int(share * (1 << 24))
+    keep = [in_run(r) if kind == "subsample" else F.lit(True) for r, kind in enumerate(names)]
+    rows = rows.select("doc_id", "idx", "w").persist()
+    if cells(rows) <= TASK_CELLS:
+        runs = F.explode(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in enumerate(keep)]), lambda r: r.isNotNull()))
+        models = fit_runs(rows.select(runs.alias("run"), "idx", "w"), n_terms, k, seeds, max_iter)
+    else:
+        models = {r: fit_nmf(rows.filter(c), n_terms, k, max_iter, seed=seeds[r]) for r, c in enumerate(keep)}
+    rows.unpersist()
+    h = [models[r].h if r in models else np.zeros((k, n_terms)) for r in range(len(names))]
+    out = []
+    for a, b in itertools.combinations(range(len(names)), 2):
+        if a and names[a] != names[b]:
+            continue
+        m = match_bases(h[a], h[b])
+        cos = [x["cosine"] for x in m]
+        mean = lambda c: float(np.mean([x[c] for x in m]))  # noqa: B023, E731
+        out.append((names[b] if a else f"base-{names[b]}", a, b, float(np.mean(cos)), min(cos), max(cos), mean("jaccard_10"), mean("jaccard_20"), mean("weighted_jaccard"), sum(x >= 0.8 for x in cos), sum(x >= 0.9 for x in cos)))
+    return rows.sparkSession.createDataFrame(out, "kind string, run_a int, run_b int, mean_cosine double, least_cosine double, largest_cosine double, jaccard_10 double, jaccard_20 double, weighted_jaccard double, from_80 int, from_90 int")
+
+
+def convergence(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol: float = 1e-4) -> DataFrame:
+    """For each iteration limit: iterations used, squared error, convergence, and against the first limit the largest and
+    mean change of the basis, its relative Frobenius distance and the similarities of the matched topics."""
+    out, base = [], None
     for m in limits:
-        model = fit_nmf(rows, n_terms, k, m, tol=1e-7)
-        delta = None if before is None else float(np.abs(model.h - before).max())
-        out.append((m, len(model.objective), model.objective[-1] if model.objective else None, model.converged, delta))
-        before = model.h
-    return rows.sparkSession.createDataFrame(out, "max_iter int, iterations int, error double, converged boolean, h_change double")
+        model = fit_nmf(rows, n_terms, k, m, tol)
+        base = model.h if base is None else base
+        d, size = np.abs(model.h - base), np.linalg.norm(base)
+        match = match_bases(base, model.h)
+        cos = [x["cosine"] for x in match]
+        out.append((m, len(model.objective), model.objective[-1] if model.objective else None, model.converged, float(d.max()), float(d.mean()), float(np.linalg.norm(d) / size) if size else None, float(np.mean(cos)), min(cos), float(np.mean([x["jaccard_20"] for x in match])), all(x["left"] == x["right"] for x in match)))
+    return rows.sparkSession.createDataFrame(out, "max_iter int, iterations int, error double, converged boolean, h_change double, h_mean_change double, h_distance double, mean_cosine double, least_cosine double, jaccard_20 double, same_order boolean")
 
 
 def keyword_clusters(series: DataFrame, n_clusters: int) -> DataFrame:

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.config import MAX_DF_RATIO, N_TOPICS, NMF_MAX_ITER, PER_MONTH_SAMPLE, TOP_N_VOCAB
+from tidemark.functions.scalar import hash_order
 from tidemark.operators import text as T
 from tidemark.operators import topics as M
+from tidemark.operators.windows import first_by_rank
 from tidemark.plans.base import docs, table, tokens
-from tidemark.plans.corpus import stratified_sample
 
 Q, O = {}, {}
-#: Terms and topics of the driver's corpus: a bounded vocabulary is the model's parameter.
-TERMS, TOPICS = 200, 4
+#: Least document frequency: the driver's corpora are smaller than the published one's 200.
+LEAST_DF = 5
 
 
 def query(f):
@@ -19,74 +21,96 @@ def query(f):
     return f
 
 
-def _rows(spark, d):
+def _rows(spark, d, chosen):
+    """The vocabulary of all training documents and every document's weights, inverse document frequencies from ``chosen`` alone."""
     train = docs(spark, d).filter("period = 'Train'")
-    vocab = T.vocabulary(tokens(spark, d).filter("period = 'Train'"), train.count(), 5, 0.5, TERMS)
-    return vocab, M.rows_of(T.tfidf(tokens(spark, d), vocab, train.count()))
+    vocab = T.vocabulary(tokens(spark, d).filter("period = 'Train'"), train.count(), LEAST_DF, MAX_DF_RATIO, TOP_N_VOCAB).persist()
+    df = T.document_frequency(tokens(spark, d).join(chosen.select("doc_id"), "doc_id", "left_semi"))
+    fit = vocab.select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
+    return vocab, M.rows_of(T.tfidf(tokens(spark, d), fit, chosen.count()))
 
 
-def _fit(spark, d, **kw):
-    vocab, rows = _rows(spark, d)
-    sample = rows.join(stratified_sample(spark, d).select("doc_id"), "doc_id", "left_semi")
-    return vocab, rows, sample, M.fit_nmf(sample, TERMS, TOPICS, **{"max_iter": 15} | kw)
+def _sample(spark, d):
+    """The published number of training documents a month, by hash."""
+    return first_by_rank(docs(spark, d).filter("period = 'Train'").select("doc_id", "month"), ["month"], [hash_order(F.col("doc_id")), F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id")
+
+
+def _prepared(spark, d):
+    chosen = _sample(spark, d)
+    vocab, rows = _rows(spark, d, chosen)
+    return vocab, vocab.count(), rows, rows.join(chosen, "doc_id", "left_semi")
 
 
 @query
 def nmf_topics(spark, d):
     """Monthly topic shares of all documents under a basis fitted on the training sample."""
-    _, rows, _, model = _fit(spark, d)
-    shares = M.transform(rows, model)
-    return M.mean_shares(docs(spark, d).select("doc_id", "month").join(shares, "doc_id", "left"), "month", TOPICS)
+    _, terms, rows, sample = _prepared(spark, d)
+    shares = M.transform(rows, M.fit_nmf(sample, terms, N_TOPICS, NMF_MAX_ITER))
+    return M.mean_shares(docs(spark, d).select("doc_id", "month").join(shares, "doc_id", "left"), "month", N_TOPICS)
 
 
 @query
 def nmf_top_terms(spark, d):
     """The 25 heaviest terms of each topic, ties by index: a report of fixed length."""
-    from tidemark.operators.windows import first_by_rank
-
-    vocab, _, _, model = _fit(spark, d)
+    vocab, terms, _, sample = _prepared(spark, d)
+    model = M.fit_nmf(sample, terms, N_TOPICS, NMF_MAX_ITER)
     return first_by_rank(model.table(spark, vocab), ["topic"], [F.desc("weight"), F.col("idx")], 25)
 
 
+def _lda(spark, d):
+    _, terms, rows, sample = _prepared(spark, d)
+    return M.fit_lda(sample, terms, N_TOPICS, 10), M.count_vectors(rows, terms)
+
+
 @query
 def lda_topics(spark, d):
     """Topic shares by online LDA on binary counts."""
     from pyspark.ml.functions import vector_to_array
 
-    _, rows, sample, _ = _fit(spark, d, max_iter=1)
-    model = M.fit_lda(sample, TERMS, TOPICS, 10)
-    return model.transform(M.count_vectors(rows, TERMS)).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+    model, vectors = _lda(spark, d)
+    return model.transform(vectors).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+
+
+@query
+def lda_perplexity(spark, d):
+    """Bound on the perplexity of a word, for training and evaluation documents apart."""
+    import math
+
+    model, vectors = _lda(spark, d)
+    parts = vectors.join(docs(spark, d).select("doc_id", "period"), "doc_id")
+    bounds = [(p, model.logPerplexity(parts.filter(F.col("period") == p).select("features"))) for p in ("Train", "Eval")]
+    return spark.createDataFrame([(p, float(b), math.exp(min(b, 700.0))) for p, b in bounds], "period string, log_perplexity double, perplexity double")
 
 
 @query
 def topic_stability(spark, d):
-    _, _, sample, _ = _fit(spark, d, max_iter=1)
-    return M.stability(sample, TERMS, TOPICS, 3, 0.8, 8)
+    """Ten subsamples and eleven random restarts at the published size, matched with the base and within their kind."""
+    _, terms, _, sample = _prepared(spark, d)
+    return M.stability(sample, terms, N_TOPICS, max_iter=NMF_MAX_ITER)
 
 
 @query
 def nmf_convergence(spark, d):
-    _, _, sample, _ = _fit(spark, d, max_iter=1)
-    return M.convergence(sample, TERMS, TOPICS, [4, 8, 12])
+    _, terms, _, sample = _prepared(spark, d)
+    return M.convergence(sample, terms, N_TOPICS, [400, 800, 1200])
 
 
 @query
 def exploratory_topics(spark, d):
     """First documents of each month instead of a random sample; raw weights are averaged before they are normalised."""
-    from tidemark.operators.windows import first_by_rank
-
-    vocab, rows = _rows(spark, d)
-    first = first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], 5)
-    part = rows.join(first.select("doc_id", "month"), "doc_id")
-    model = M.fit_nmf(part.drop("month"), TERMS, TOPICS, 8)
-    return M.mean_shares(M.transform(part.drop("month"), model).join(first.select("doc_id", "month"), "doc_id"), "month", TOPICS)
+    first = first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id", "month")
+    vocab, rows = _rows(spark, d, first)
+    part = rows.join(first.select("doc_id"), "doc_id", "left_semi")
+    weights = M.transform(part, M.fit_nmf(part, vocab.count(), N_TOPICS, NMF_MAX_ITER), raw=True)
+    return M.mean_shares(first.join(weights, "doc_id", "left"), "month", N_TOPICS)
 
 
 @query
 def keyword_clusters(spark, d):
-    """Twelve clusters of the most frequent terms by their monthly movement."""
+    """Twelve clusters of the terms whose monthly share varies, by their movement; at most the capped vocabulary's terms."""
+    from tidemark.plans.corpus import term_cv_filter, term_month_matrix
+
     n = docs(spark, d).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    vocab = T.vocabulary(tokens(spark, d).filter("period = 'Train'"), docs(spark, d).filter("period = 'Train'").count(), 5, 0.5, 120)
-    df = tokens(spark, d).join(F.broadcast(vocab.select("term")), "term", "left_semi").groupBy("term", "month").agg(F.count(F.lit(1)).alias("df"))
-    grid = vocab.select("term").crossJoin(n).join(df, ["term", "month"], "left")
+    terms = term_cv_filter(spark, d).select("term")
+    grid = terms.crossJoin(n).join(term_month_matrix(spark, d), ["term", "month"], "left")
     return M.keyword_clusters(grid.select("term", "month", (F.coalesce("df", F.lit(0)) / F.col("n")).alias("share")), 12)
