@@ -298,3 +298,32 @@ def test_stability_and_convergence(spark):
 def test_sparse_counts(spark):
     v = topics.count_vectors(spark.createDataFrame([(1, [0, 3]), (2, [])], "doc_id int, idx array<int>"), 5).orderBy("doc_id").collect()
     assert [(r["features"].size, dict(zip(r["features"].indices.tolist(), r["features"].values.tolist(), strict=True))) for r in v] == [(5, {0: 1.0, 3: 1.0}), (5, {})]
+
+
+def test_clusters_follow_movement(spark):
+    rows = [(f"t{i}", f"2024-{m:02d}", (m if i % 2 else 13 - m) * (i + 1) / 100) for i in range(6) for m in range(1, 13)]
+    got = {r["term"]: (r["cluster"], r["peak_month"]) for r in topics.keyword_clusters(spark.createDataFrame(rows, "term string, month string, share double"), 2).collect()}
+    assert {v[1] for k, v in got.items() if int(k[1:]) % 2} == {"2024-12"} and {v[1] for k, v in got.items() if not int(k[1:]) % 2} == {"2024-01"} and len({v[0] for v in got.values()}) == 2
+
+
+def test_lda_tells_planted_topics_apart(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    df = spark.createDataFrame([(i, list(range(0, 6)) if i % 2 else list(range(6, 12))) for i in range(200)], "doc_id int, idx array<int>")
+    model = topics.fit_lda(df, 12, 2, 30)
+    v = topics.count_vectors(df, 12)
+    best = {(r["doc_id"] % 2, int(np.argmax(r["t"]))) for r in model.transform(v).select("doc_id", vector_to_array("topicDistribution").alias("t")).collect()}
+    assert len(best) == 2 and len({b for _, b in best}) == 2 and math.exp(model.logPerplexity(v)) < 12
+
+
+def test_cases_are_distinct_months(spark):
+    act = spark.createDataFrame([("m1", "a", "a;b", 3.0), ("m2", "a", "a;b", 2.0), ("m3", "b", "b;c", 1.0)], "month string, hurdle string, active string, z double")
+    order = [F.desc("z")]
+    got = regimes.select_cases(act, [("one", F.col("z") > 0, order), ("none", F.col("z") > 9, order), ("two", F.col("z") > 0, order, "one"), ("three", F.col("z") > 0, order, "none")]).collect()
+    assert [(r["rule"], r["month"]) for r in got] == [("one", "m1"), ("two", "m3"), ("three", "m2")]
+
+
+def test_manifest_counts_rows_without_part(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "source string, n int")
+    got = {r["part"]: (r["rows"], r["most"], r["total_ok"]) for r in audit.manifest(df, "source", [F.max("n").alias("most")]).collect()}
+    assert got == {"a": (2, 2, False), "all": (3, 3, False)}

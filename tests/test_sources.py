@@ -77,3 +77,21 @@ def test_shared_strings(tmp_path):
         z.writestr("xl/sharedStrings.xml", f'<sst {space}><si><t>a</t></si><si/><si><t/></si><si><r><t>b </t></r><r><t>&amp; c</t></r><rPh><t>hint</t></rPh></si></sst>')
         z.writestr("xl/worksheets/sheet1.xml", f'<worksheet {space}><dimension ref="A1:D2"/><sheetData><row><c r="A1" t="s"><v>0</v></c><c r="D1" t="s"><v>3</v></c></row><row><c t="s"><v>1</v></c><c t="inlineStr"><is><t>x</t></is></c><c><v>1.5</v></c><c/></row></sheetData></worksheet>')
     assert list(R.sheet_rows(out.getvalue())) == [["a", None, None, "b & c"], ["", "x", "1.5", None]]
+
+
+def test_append_keeps_the_schema(spark, tmp_path):
+    path = f"{tmp_path}/grown"
+    R.append_parquet(spark.createDataFrame([(1, "a", 9)], "n int, id string, extra int"), path, "id string, n long")
+    R.append_parquet(spark.createDataFrame([("b", "2")], "id string, n string"), path, "id string, n long")
+    got = spark.read.parquet(path)
+    assert [f.simpleString() for f in got.schema] == ["id:string", "n:bigint"] and sorted(map(tuple, got.collect())) == [("a", 1), ("b", 2)]
+    with pytest.raises(ValueError):
+        R.append_parquet(spark.createDataFrame([("c",)], "id string"), path, "id string, n long")
+
+
+def test_workbook_glossary(spark, tmp_path):
+    import zipfile
+
+    book = R.write_xlsx({"one": spark.createDataFrame([(1,)], "share int")}, tmp_path / "g.xlsx", {"share": "part of the month"})
+    with zipfile.ZipFile(book) as z:
+        assert "part of the month" in z.read("xl/worksheets/sheet1.xml").decode() and 'name="glossary" sheetId="1"' in z.read("xl/workbook.xml").decode()

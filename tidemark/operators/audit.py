@@ -48,6 +48,14 @@ def recheck(shown: DataFrame, computed: DataFrame, keys: list[str], columns: lis
     return j.select(*keys, "column", "shown", "value", F.coalesce(ok, F.lit(False)).alias("ok"))
 
 
+def manifest(rows: DataFrame, part: str, facts: list, total: str = "all") -> DataFrame:
+    """Rows and facts of each part and of all parts, and whether the parts' rows add up to the table's; rows without a part count in the total alone."""
+    whole = rows.agg(F.count(F.lit(1)).alias("rows"), *facts).select(F.lit(total).alias("part"), "*")
+    parts = rows.filter(F.col(part).isNotNull()).groupBy(F.col(part).alias("part")).agg(F.count(F.lit(1)).alias("rows"), *facts)
+    sums = rows.agg((F.count(F.lit(1)) == F.count(part)).alias("total_ok"))
+    return parts.unionByName(whole).crossJoin(F.broadcast(sums))
+
+
 def file_hash(path: str | Path) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

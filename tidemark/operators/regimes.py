@@ -126,11 +126,24 @@ def combinations(act: DataFrame) -> DataFrame:
     return act.groupBy("period", F.col("active").alias("combination")).agg(F.count(F.lit(1)).alias("months"))
 
 
-def select_cases(act: DataFrame, rules: list[tuple[str, Column, list[Column]]]) -> DataFrame:
-    """One month for each rule in turn, by the rule's filter and order, never one already chosen. At most one row per rule."""
-    chosen = None
-    for name, keep, order in rules:
-        rest = act.filter(keep) if chosen is None else act.filter(keep).join(F.broadcast(chosen.select("month")), "month", "left_anti")
-        one = rest.orderBy(*order, "month").limit(1).select(F.lit(name).alias("rule"), "month", "hurdle", "active")
-        chosen = one if chosen is None else chosen.unionByName(one)
-    return chosen
+def with_runner_up(act: DataFrame, z: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Activations with the second largest z of the month, the sum of the active ones, and whether the month's combination is the most frequent pair (ties by name)."""
+    ranked = first_by_rank(z.filter(F.col("z").isNotNull()), ["month"], [F.desc("z"), F.col("regime")], 2).groupBy("month").agg(F.max(F.when(F.col("rank") == 2, F.col("z"))).alias("second_z"))
+    total = z.groupBy("month").agg(F.sum(F.when(F.col("z") >= threshold, F.col("z"))).alias("sum_active_z"))
+    top = act.filter("n_active = 2").groupBy("active").agg(F.count(F.lit(1)).alias("__n")).orderBy(F.desc("__n"), "active").limit(1).select("active", F.lit(True).alias("frequent"))
+    out = act.join(ranked, "month", "left").join(total, "month", "left").join(F.broadcast(top), "active", "left")
+    return out.withColumn("frequent", F.coalesce("frequent", F.lit(False)))
+
+
+def select_cases(act: DataFrame, rules: list[tuple]) -> DataFrame:
+    """One month for each rule in turn, by the rule's filter and order, never one already chosen. At most one row per rule.
+
+    A rule is (name, filter, order) or (name, filter, order, earlier rule whose combination it may not repeat). Each
+    choice, a single row, is taken to the driver, so later rules don't compute it again."""
+    picked: list = []
+    for name, keep, order, *other in rules:
+        rest = act.filter(keep & ~F.col("month").isin([r["month"] for r in picked]))
+        if other:
+            rest = rest.filter(~F.col("active").isin([r["active"] for r in picked if r["rule"] == other[0]]))
+        picked += rest.orderBy(*order, "month").limit(1).select(F.lit(name).alias("rule"), "month", "hurdle", "active").collect()
+    return act.sparkSession.createDataFrame(picked, "rule string, month string, hurdle string, active string")

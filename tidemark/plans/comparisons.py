@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tidemark.config import TRAIN_END
 from tidemark.functions.scalar import month_key, ratio
 from tidemark.operators import audit as A
 from tidemark.operators import panels as P
 from tidemark.operators import regimes as R
 from tidemark.operators import stats as S
 from tidemark.operators import text as T
-from tidemark.plans.base import REGIMES, months, shares, ship_months, slug, sql, table
-from tidemark.plans.corpus import TOPS, VOCAB, _topics
+from tidemark.plans.base import REGIMES, docs, months, shares, ship_months, slug, sql, table, tokens
+from tidemark.plans.corpus import TOPS, VOCAB, _topics, stratified_sample, vocab_train_top
 from tidemark.plans.panels import DER, derivatives
 
 Q, O = {}, {}
@@ -145,3 +146,27 @@ def report_recheck(spark, d):
     o = table(spark, d, "orders").groupBy(month_key(F.col("o_orderdate")).alias("month")).agg((F.sum("o_totalprice") / F.count("o_totalprice")).alias("level"))
     computed = ship_months(spark, d).select("month", "revenue").join(o, "month")
     return A.recheck(report, computed, ["month"], ["level", "revenue"], 2).groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("ok")).alias("wrong"))
+
+
+@query(sql("tokens z", f""", v AS ({VOCAB}), f AS (SELECT period FROM (SELECT period, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS r FROM docs WHERE period = 'Train') WHERE r <= 5),
+ c AS (SELECT term, count(*) AS n FROM tokens WHERE period = 'Train' GROUP BY 1), m AS (SELECT regime, avg(share) AS mean, stddev_samp(share) AS sd FROM z WHERE period = 'Train' GROUP BY 1)
+ SELECT 'split' AS audit, count(*) AS checked, count(*) FILTER ((period = 'Train') <> (month <= '2024-12')) AS leaks FROM docs UNION ALL SELECT 'vocabulary', count(*), count(*) FILTER (v.df <> coalesce(c.n, 0)) FROM v LEFT JOIN c ON c.term = v.term
+ UNION ALL SELECT 'fit sample', count(*), count(*) FILTER (period <> 'Train') FROM f UNION ALL SELECT 'z scores', count(*), count(*) FILTER (abs(z - (share - mean) / sd) > 1e-9) FROM z JOIN m USING (regime)"""))
+def leakage_audit(spark, d):
+    """What was learned, checked against the training period: rows looked at and rows that leak, recomputed another way."""
+    all_docs, t = docs(spark, d), tokens(spark, d)
+    leaks = lambda c: [F.count(F.lit(1)).alias("checked"), F.count_if(F.coalesce(c, F.lit(False))).alias("leaks")]
+    split = all_docs.agg(*leaks((F.col("period") == "Train") != (F.col("month") <= TRAIN_END)))
+    again = T.document_frequency(t.filter("period = 'Train'")).select("term", F.col("df").alias("again"))
+    vocab = vocab_train_top(spark, d).join(again, "term", "left").agg(*leaks(F.col("df") != F.coalesce("again", F.lit(0))))
+    sample = stratified_sample(spark, d).join(all_docs.select("doc_id", "period"), "doc_id").agg(*leaks(F.col("period") != "Train"))
+    s = shares(spark, d)
+    moments = s.filter("period = 'Train'").groupBy("regime").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"))
+    z = R.regime_zscores(s).join(F.broadcast(moments), "regime").agg(*leaks(F.abs(F.col("z") - (F.col("share") - F.col("mean")) / F.col("sd")) > 1e-9))
+    return A.checks(*[f.select(F.lit(n).alias("audit"), "checked", "leaks") for n, f in (("split", split), ("vocabulary", vocab), ("fit sample", sample), ("z scores", z))])
+
+
+@query("SELECT coalesce(source, 'all') AS part, count(*) AS rows, count(DISTINCT lang) AS langs, min(doc_id) AS first, max(doc_id) AS last, true AS total_ok FROM documents GROUP BY ROLLUP (source) HAVING source IS NOT NULL OR grouping(source) = 1")
+def source_manifest(spark, d):
+    """Every source's rows and range, and the total, which must be the sum of the parts."""
+    return A.manifest(table(spark, d, "documents"), "source", [F.count_distinct("lang").alias("langs"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")])

@@ -111,6 +111,22 @@ def case_selection_rules(spark, d):
     return R.select_cases(_act(spark, d), [("most active", F.col("n_active") >= 2, [F.desc("n_active")]), ("strongest", one, [F.desc("max_z")]), ("omitted", F.col("n_omitted") > 0, [F.desc("n_omitted"), F.col("max_z")]), ("quiet", F.col("n_active") == 0, [F.col("max_z")])])
 
 
+NOT = " AND month NOT IN (SELECT month FROM c{0})"
+BEST = "ORDER BY second_z DESC, sum_active_z DESC, month LIMIT 1)"
+
+
+@query(sql("z", ACT + ", runner AS (SELECT month, max(z) FILTER (r = 2) AS second_z, sum(z) FILTER (z >= 0.5) AS sum_active_z FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY z DESC, regime) AS r FROM z WHERE z IS NOT NULL) GROUP BY 1), several AS (SELECT * FROM acts LEFT JOIN runner USING (month) WHERE n_active >= 2), common_pair AS (SELECT active FROM several WHERE n_active = 2 GROUP BY 1 ORDER BY count(*) DESC, active LIMIT 1)"
+    + ", c1 AS (SELECT 'three' AS rule, * FROM several WHERE n_active = 3 " + BEST + ", c2 AS (SELECT 'pair' AS rule, * FROM several WHERE active = 'urgent;high'" + NOT.format(1) + " " + BEST + ", c3 AS (SELECT 'frequent pair' AS rule, * FROM several WHERE period = 'Train' AND active IN (SELECT active FROM common_pair)" + NOT.format(1) + NOT.format(2) + " " + BEST
+    + ", c4 AS (SELECT 'evaluation' AS rule, * FROM several WHERE period = 'Eval'" + "".join(map(NOT.format, (1, 2, 3))) + " " + BEST + ", c5 AS (SELECT 'other combination' AS rule, * FROM several WHERE period = 'Eval' AND active NOT IN (SELECT active FROM c4)" + "".join(map(NOT.format, (1, 2, 3, 4))) + " " + BEST
+    + " SELECT rule, month, hurdle, active FROM (FROM c1 UNION ALL FROM c2 UNION ALL FROM c3 UNION ALL FROM c4 UNION ALL FROM c5)"))
+def case_months(spark, d):
+    """Five months by the published kinds of rule: three regimes at once, a given pair, the most frequent pair in training, evaluation, evaluation with another combination; the largest second z first."""
+    a = R.with_runner_up(_act(spark, d), R.regime_zscores(shares(spark, d))).filter("n_active >= 2")
+    order = [F.desc("second_z"), F.desc("sum_active_z")]
+    late = F.col("period") == "Eval"
+    return R.select_cases(a, [("three", F.col("n_active") == 3, order), ("pair", F.col("active") == "urgent;high", order), ("frequent pair", (F.col("period") == "Train") & F.col("frequent"), order), ("evaluation", late, order), ("other combination", late, order, "evaluation")])
+
+
 EVID = ", " + CLAIMS + ", e AS (SELECT doc_id, month, domain, count(*) AS n FROM tokens JOIN claims USING (term) GROUP BY 1, 2, 3), s AS (SELECT doc_id, month, sum(n) FILTER (domain = 'thermal') / sum(n) AS a, sum(n) FILTER (domain = 'motion') / sum(n) AS b FROM e GROUP BY 1, 2)"
 
 

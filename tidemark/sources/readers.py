@@ -156,6 +156,14 @@ def write_parquet(df: DataFrame, path: str, partition: list[str] = ()) -> None:
     (w.partitionBy(*partition) if partition else w).parquet(path)
 
 
+def append_parquet(df: DataFrame, path: str, schema: StructType | str) -> None:
+    """Add rows to zstd Parquet of a fixed schema: columns are taken by name and cast, a missing one raises before anything is written."""
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if missing := [f.name for f in schema if f.name not in df.columns]:
+        raise ValueError(f"the rows lack {missing}")
+    df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema]).write.mode("append").option("compression", "zstd").parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with header; one file only where the frame is a small report."""
     (df.coalesce(1) if one_file else df).write.mode("errorifexists").option("header", "true").csv(path)
@@ -197,9 +205,15 @@ def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
 SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
 
 
-def write_xlsx(sheets: dict[str, DataFrame], path: str | Path) -> Path:
-    """A workbook with one sheet per report: numbers as numbers, ids and long digits as text, rows streamed; limits of the format raise."""
+def write_xlsx(sheets: dict[str, DataFrame], path: str | Path, glossary: dict[str, str] | None = None) -> Path:
+    """A workbook with one sheet per report: numbers as numbers, ids and long digits as text, rows streamed; limits of the format raise.
+
+    ``glossary`` explains columns; its first sheet lists each sheet's columns with their meaning, empty where none is given."""
     target = versioned(path)
+    if glossary is not None:
+        spark = next(iter(sheets.values())).sparkSession
+        terms = [(name, c, glossary.get(c, "")) for name, df in sheets.items() for c in df.columns]
+        sheets = {"glossary": spark.createDataFrame(terms, "sheet string, column string, meaning string").coalesce(1)} | sheets
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         n = len(sheets)
         z.writestr("[Content_Types].xml", '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>' + "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(n)) + "</Types>")
