@@ -28,3 +28,18 @@ def numbered(rows: DataFrame, group: str, order: list[Column], label: str = "num
     each = each.select(group, part, start, F.coalesce(F.sum(number).over(earlier), F.lit(0)).alias(before))
     out = laid.join(F.broadcast(each), [group, part]).withColumn(number, F.col(before) + F.col(at) - F.col(start))
     return out.drop(at, part, start, before), number
+
+
+def kth_largest(rows: DataFrame, value: str, k: int, bins: int = 4096) -> int:
+    """The k-th largest of a column of whole numbers, repeats counted (1 <= k <= their number): counts of bins are summed by all tasks, round after round within the bin that holds it."""
+    low, high = rows.agg(F.min(value), F.max(value)).head()
+    above = 0
+    while low < high:
+        step = (high - low) // bins + 1
+        found = rows.filter(F.col(value).between(low, high)).groupBy(F.expr(f"(`{value}` - {low}) div {step}").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+        for r in sorted(found, key=lambda r: -r["bin"]):
+            if above + r["n"] >= k:
+                low, high = r["low"], r["high"]
+                break
+            above += r["n"]
+    return low
