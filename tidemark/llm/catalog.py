@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import class_lm, decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, resampling, sharding, token_counts, token_store, toxicity
+from . import class_lm, conversations, decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, resampling, sharding, token_counts, token_store, toxicity
 
 QUERIES = {
     "op1_jaccard_join": jaccard_join.op1_jaccard_join,
@@ -15,11 +15,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_license_scan": license_scan.op10_license_scan,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_importance_resampling": resampling.op12_importance_resampling,
     "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
     "op8_exact_dedup": exact_dedup.ORACLE,
+    "op11_conversation_repair": conversations.ORACLE,
     "op13_sharding": sharding.ORACLE,
 }
