@@ -21,9 +21,10 @@ shards some shards stay empty; other columns are never read, whatever they are c
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
@@ -47,11 +48,18 @@ def coordinate(docs: DataFrame, name: str) -> Column:
     return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("long")
 
 
+def _small(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few rows, written into the plan as one literal."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema}>>")))
+
+
 def _bins(points: DataFrame, open_: dict, dims: int) -> dict:
     """For each open node its bins in order: (weight, least value, largest value)."""
     room = max(16, BINS // len(open_))
     asked = [(n, o["dim"], o["value"], o["low"], o["high"], (o["high"] - o["low"]) // room + 1) for n, o in open_.items()]
-    asked = points.sparkSession.createDataFrame(asked, "first int, dim int, value long, low long, high long, step long")
+    asked = _small(points.sparkSession, asked, "first int, dim int, value long, low long, high long, step long")
     place = reduce(lambda x, i: x.when(F.col("dim") == i, F.col(f"c{i}")), range(dims), F)  # F.when starts the chain
     v = F.when(F.col("value").isNull(), F.col("place")).otherwise(F.col("hash"))
     inside = points.join(F.broadcast(asked), "first").withColumn("place", place).withColumn("v", v)
@@ -84,7 +92,7 @@ def _cuts(points: DataFrame, nodes: dict, dims: int) -> list[tuple]:
 
 
 def kd_tree(groups: DataFrame, dims: int, shards: int | None = SHARDS, target_bytes: int | None = None) -> DataFrame:
-    """The written groups (sha, weight, hash, c0, c1...) with their shard in column ``first``."""
+    """The written groups (sha, weight, hash, c0, c1..., first: 0) with their shard in column ``first``."""
     spark = groups.sparkSession
     total = groups.agg(F.sum("weight")).head()[0] or 0
     k = max(1, shards or -(-total // max(1, target_bytes)))
@@ -101,9 +109,9 @@ def kd_tree(groups: DataFrame, dims: int, shards: int | None = SHARDS, target_by
         if len(alone) < most or most >= k:
             break
         most *= 4
-    own = spark.createDataFrame([(bytearray(s), k - 1 - i) for i, s in enumerate(alone)], "sha binary, own int")
+    own = _small(spark, [(s.hex(), k - 1 - i) for i, s in enumerate(alone)], "sha string, own int").withColumn("sha", F.unhex("sha"))
     marked = groups.join(F.broadcast(own), "sha", "left")
-    points = marked.filter("own IS NULL").drop("own").withColumn("first", F.lit(0))
+    points = marked.filter("own IS NULL").drop("own")
     sizes, root = {0: k - len(alone)}, None
     while any(n > 1 for n in sizes.values()):
         ends = [f(f"c{i}").alias(f"{a}{i}") for i in range(dims) for a, f in (("low", F.min), ("high", F.max))]
@@ -121,13 +129,13 @@ def kd_tree(groups: DataFrame, dims: int, shards: int | None = SHARDS, target_by
             nodes[n] = {"dim": dim, "low": r[f"low{dim}"], "high": r[f"high{dim}"], "weight": r["weight"], "shards": sizes[n]}
             new |= {n: sizes[n] // 2, n + sizes[n] // 2: sizes[n] - sizes[n] // 2}
         if nodes:
-            cuts = spark.createDataFrame(_cuts(points, nodes, dims), "first int, dim int, value long, cut long, inclusive boolean, left int")
+            cuts = _small(spark, _cuts(points, nodes, dims), "first int, dim int, value long, cut long, inclusive boolean, left int")
             place = reduce(lambda x, i: x.when(F.col("dim") == i, F.col(f"c{i}")), range(dims), F)
             goes_left = (place < F.col("value")) | ((place == F.col("value")) & ((F.col("hash") < F.col("cut")) | (F.col("inclusive") & (F.col("hash") == F.col("cut")))))
             points = points.join(F.broadcast(cuts), "first", "left").withColumn("first", F.when(F.col("dim").isNull() | goes_left, F.col("first")).otherwise(F.col("first") + F.col("left")))
             points = points.drop("dim", "value", "cut", "inclusive", "left")
         sizes = new
-    return points.unionByName(marked.filter("own IS NOT NULL").withColumnRenamed("own", "first").select(*points.columns))
+    return points.unionByName(marked.filter("own IS NOT NULL").drop("first").withColumnRenamed("own", "first").select(*points.columns))
 
 
 def shard_rows(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int | None = None, dimensions: tuple[str, ...] = DIMENSIONS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,7 +147,7 @@ def shard_rows(docs: DataFrame, shards: int | None = SHARDS, target_bytes: int |
         *[coordinate(docs, d).alias(c) for d, c in zip(dimensions, places, strict=True)]), "shard-rows")
     hashed = F.conv(F.substring(F.hex("sha"), 1, 15), 16, 10).cast("long")
     groups = rows.groupBy("sha").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("rows"), *[F.min(c).alias(c) for c in places])
-    groups = written(groups.withColumn("hash", hashed), "shard-groups")
+    groups = written(groups.withColumns({"hash": hashed, "first": F.lit(0)}), "shard-groups")
     many = max(1000, (groups.agg(F.sum("rows")).head()[0] or 0) // HOT)  # at most HOT groups have more rows
     placed = written(kd_tree(groups, len(dimensions), shards, target_bytes).select("sha", F.col("first").alias("shard"), (F.col("rows") > many).alias("hot")), "shard-leaves")
     hot = placed.filter("hot").select("sha", F.col("shard").alias("hot_shard"))
