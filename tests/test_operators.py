@@ -327,3 +327,65 @@ def test_manifest_counts_rows_without_part(spark):
     df = spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "source string, n int")
     got = {r["part"]: (r["rows"], r["most"], r["total_ok"]) for r in audit.manifest(df, "source", [F.max("n").alias("most")]).collect()}
     assert got == {"a": (2, 2, False), "all": (3, 3, False)}
+
+
+def test_running_grid_equals_least_squares(spark):
+    rng = np.random.default_rng(5)
+    n, first = 60, 35
+    y, x = np.cumsum(rng.normal(size=n)), rng.normal(size=n)
+    y[7] = np.nan
+    rows = [(i, None if np.isnan(y[i]) else float(y[i]), float(x[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, "t int, y double, x double").repartition(7)
+    models = [("ar1", "y", [("y", 1)], True), ("ar2x", "y", [("y", 1), ("y", 2), ("x", 1), ("x", 2)], True), ("ar2x fixed", "y", [("y", 1), ("y", 2), ("x", 1), ("x", 2)], False), ("x", "x", [("y", 3)], False)]
+    got = {(r["model"], r["t"]): r["forecast"] for r in stats.forecast_grid(df, "t", models, first).collect()}
+    col = {"y": y, "x": x}
+    for name, target, lags, expanding in models:
+        a = np.column_stack([np.ones(n), *[np.concatenate([[np.nan] * k, col[c][: n - k]]) for c, k in lags]])
+        for t in range(first, n):
+            use = np.arange(t if expanding else first)
+            use = use[np.isfinite(a[use]).all(1) & np.isfinite(col[target][use])]
+            assert math.isclose(got[name, t], a[t] @ np.linalg.lstsq(a[use], col[target][use], rcond=None)[0], rel_tol=1e-7, abs_tol=1e-9)
+    old = {r["t"]: r["forecast"] for r in stats.ar1_forecasts(df.filter("y IS NOT NULL"), "t", "y", first).collect()}
+    new = {r["t"]: r["forecast"] for r in stats.forecast_grid(df.filter("y IS NOT NULL"), "t", models[:1], first).collect()}
+    assert old.keys() == new.keys() and all(math.isclose(old[t], new[t], rel_tol=1e-8) for t in old)
+
+
+def test_no_model_of_the_grid_sees_the_future(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(50, 2))
+    later = base.copy()
+    later[40:] = 1e6
+    models = [(f"{p} {e}", "a", [("a", k) for k in range(1, p + 1)] + [("b", 1)], e) for p in (1, 2) for e in (True, False)]
+    f = lambda v: {(r["model"], r["t"]): r["forecast"] for r in stats.forecast_grid(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(v)], "t int, a double, b double"), "t", models, 30).filter("t <= 40").collect()}
+    assert f(base) == f(later)
+
+
+def test_grid_without_a_solution_is_null(spark):
+    df = spark.createDataFrame([(i, 1.0, None) for i in range(10)], "t int, y double, x double")
+    assert {r["forecast"] for r in stats.forecast_grid(df, "t", [("flat", "y", [("y", 1)], True), ("none", "y", [("x", 1)], True)], 6).collect()} == {None}
+
+
+def test_unit_root_probabilities():
+    from tidemark.operators import unitroot
+
+    for t, p in zip(unitroot.ADF_CRITICAL, (0.01, 0.05, 0.10), strict=True):
+        assert abs(unitroot.adf_p(t) - p) < 0.0015
+    assert [unitroot.kpss_p(t) for t in unitroot.KPSS_CRITICAL] == [0.01, 0.05, 0.10] and unitroot.kpss_p(9) == 0.01 and unitroot.kpss_p(0) == 0.10
+    assert unitroot.adf_p(-20) == 0 and unitroot.adf_p(3) == 1
+    p = [unitroot.adf_p(t / 10) for t in range(-60, 20)]
+    assert p == sorted(p)
+
+
+def test_bootstrap_by_prefix_moments(spark):
+    import hashlib
+
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=23) + 100, rng.normal(size=23) * 1e3
+    got = stats.block_bootstrap(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "t int, x double, y double"), "t", "x", "y", [5], 40).collect()[0]
+    r = []
+    for rep in range(40):
+        take = [int(hashlib.md5(f"42-5-{rep}-{slot}".encode()).hexdigest()[:8], 16) % 19 + k for slot in range(5) for k in range(5)][:23]
+        r.append(np.corrcoef(x[take], y[take])[0, 1])
+    assert math.isclose(got["low95"], np.quantile(r, 0.025), rel_tol=1e-9) and math.isclose(got["high99"], np.quantile(r, 0.995), rel_tol=1e-9)
+    flat = spark.createDataFrame([(i, 1.0, float(i)) for i in range(8)], "t int, x double, y double")
+    assert stats.block_bootstrap(flat, "t", "x", "y", [2], 5).collect()[0]["high95"] == 0

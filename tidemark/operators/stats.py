@@ -174,19 +174,29 @@ def block_bootstrap(series: DataFrame, order: str, x: str, y: str, blocks: list[
     """Moving-block bootstrap of a correlation: block, r, percentile intervals, two-sided p.
 
     Starts are hashes of (seed, block, replicate, slot), so any engine draws the same; a replicate
-    without variance counts as 0. Each replicate joins positions, nothing is collected."""
-    pos = series.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)) - 1).select("pos", F.col(x).alias("x"), F.col(y).alias("y"))
-    n = pos.count()
+    without variance counts as 0. The series' running moments are one row for each position, so a block,
+    however long, is the difference of two of them, and a replicate the sum of its blocks."""
+    w = Window.partitionBy(F.lit(0)).orderBy(order)
+    mean = series.agg(F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    s = series.select(order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).crossJoin(F.broadcast(mean)).select(order, (F.col("x") - F.col("mx")).alias("x"), (F.col("y") - F.col("my")).alias("y"))
+    moments = {"sx": F.col("x"), "sy": F.col("y"), "sxx": F.col("x") * F.col("x"), "syy": F.col("y") * F.col("y"), "sxy": F.col("x") * F.col("y")}
+    upto = s.select(F.row_number().over(w).alias("pos"), *[F.sum(m).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias(k) for k, m in moments.items()])
+    n = series.count()
     spark = series.sparkSession
+    upto = upto.unionByName(spark.range(1).select(F.lit(0).alias("pos"), *[F.lit(0.0).alias(k) for k in moments]))
     grid = None
     for b in blocks:
         slots = -(-n // b)
         one = spark.range(replicates * slots).select(F.lit(b).alias("block"), F.floor(F.col("id") / slots).alias("rep"), (F.col("id") % slots).alias("slot"))
         grid = one if grid is None else grid.unionByName(one)
     digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(str(seed)), "block", "rep", "slot").cast("binary")), 1, 8), 16, 10).cast("long")
-    drawn = grid.withColumn("start", F.pmod(digest, F.lit(n) - F.col("block") + 1))
-    steps = drawn.select("block", "rep", "slot", "start", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("k")).filter(F.col("slot") * F.col("block") + F.col("k") < n)
-    reps = steps.select("block", "rep", (F.col("start") + F.col("k")).cast("int").alias("pos")).join(F.broadcast(pos), "pos").groupBy("block", "rep").agg(F.coalesce(F.nanvl(F.corr("x", "y"), F.lit(0.0)), F.lit(0.0)).alias("r"))
+    start = F.pmod(digest, F.lit(n) - F.col("block") + 1).cast("int")
+    drawn = grid.withColumn("from", start).withColumn("to", (F.col("from") + F.least(F.col("block"), F.lit(n) - F.col("slot") * F.col("block"))).cast("int"))
+    at = lambda end: upto.select(F.col("pos").alias(end), *[F.col(k).alias(f"{end}_{k}") for k in moments])
+    sums = drawn.join(at("from"), "from").join(at("to"), "to").groupBy("block", "rep").agg(F.sum(F.col("to") - F.col("from")).alias("n"), *[F.sum(F.col(f"to_{k}") - F.col(f"from_{k}")).alias(k) for k in moments])
+    vx, vy, c = (F.col("n") * F.col(f"s{a}{b}") - F.col(f"s{a}") * F.col(f"s{b}") for a, b in ("xx", "yy", "xy"))
+    flat = (vx <= 1e-12 * F.col("n") * F.col("sxx")) | (vy <= 1e-12 * F.col("n") * F.col("syy"))
+    reps = sums.select("block", "rep", F.when(flat, 0.0).otherwise(F.coalesce(ratio(c, F.sqrt(F.greatest(vx, F.lit(0.0))) * F.sqrt(F.greatest(vy, F.lit(0.0)))), F.lit(0.0))).alias("r"))
     q = lambda p: F.percentile("r", F.lit(p))
     two = F.least(F.lit(1.0), 2 * F.least(F.avg((F.col("r") <= 0).cast("double")), F.avg((F.col("r") >= 0).cast("double"))))
     return reps.groupBy("block").agg(F.count(F.lit(1)).alias("replicates"), q(0.025).alias("low95"), q(0.975).alias("high95"), q(0.005).alias("low99"), q(0.995).alias("high99"), two.alias("p"))
@@ -217,31 +227,54 @@ def errors(df: DataFrame, error: str, keys: list[str]) -> DataFrame:
 
 
 def ar1_forecasts(series: DataFrame, order: str, value: str, first: int, expanding: bool = True) -> DataFrame:
-    """One-step AR(1) forecasts from position ``first`` on: estimated on all earlier rows, or on those before ``first``."""
+    """One-step AR(1) forecasts from position ``first`` on: estimated on all earlier rows, or on those before ``first``. One window, running moments."""
     w = Window.partitionBy(F.lit(0)).orderBy(order)
-    s = series.select(order, F.col(value).alias("y"), F.row_number().over(w).alias("pos"), F.lag(value).over(w).alias("prev"))
-    target = s.filter(F.col("pos") > first).select(order, F.col("pos").alias("at"), F.col("y").alias("actual"), F.col("prev").alias("last"))
-    past = s.filter(F.col("prev").isNotNull()).select("pos", "y", "prev")
-    j = target.join(F.broadcast(past), F.col("pos") < (F.col("at") if expanding else F.lit(first + 1)))
-    fit = j.groupBy(order, "at", "actual", "last").agg(F.regr_slope("y", "prev").alias("b"), F.regr_intercept("y", "prev").alias("a"))
+    s = series.select(order, F.col(value).alias("actual"), F.row_number().over(w).alias("pos"), F.lag(value).over(w).alias("last"))
+    y = F.col("actual") if expanding else F.when(F.col("pos") <= first, F.col("actual"))
+    past = w.rowsBetween(Window.unboundedPreceding, -1)
+    fit = s.withColumns({"b": F.regr_slope(y, F.col("last")).over(past), "a": F.regr_intercept(y, F.col("last")).over(past)}).filter(F.col("pos") > first)
     return fit.select(order, "actual", (F.col("a") + F.col("b") * F.col("last")).alias("forecast"))
 
 
+def solved(matrix: Column, size: int) -> Column:
+    """The solution of symmetric equations, rows of ``size`` coefficients and a right side, by elimination in expressions; null where a pivot vanishes."""
+
+    def eliminate(m, p):
+        pivot = F.get(m, p)
+        unit = F.transform(pivot, lambda v: F.try_divide(v, F.get(pivot, p)))
+        return F.transform(m, lambda row, i: F.when(i == p, unit).otherwise(F.zip_with(row, unit, lambda v, u: v - F.get(row, p) * u)))
+
+    whole = F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), matrix, eliminate)
+    return F.transform(whole, lambda row: F.get(row, F.lit(size)))
+
+
+def forecast_grid(series: DataFrame, order: str, models: list[tuple[str, str, list[tuple[str, int]], bool]], first: int, keys: list[str] = ()) -> DataFrame:
+    """One-step least-squares forecasts of many models over one or many series: keys, model, order, actual, forecast.
+
+    A model is (name, target column, lagged columns as (column, lag), expanding): estimated with a constant on
+    all rows before the forecast's, or on the first ``first`` rows for all forecasts. The outer products of each
+    row's regressors and target are summed as they run, once for all models, lags and targets, and solved at each
+    row; incomplete rows don't count, and a forecast without more complete rows than coefficients, without
+    all its lags or with dependent regressors is null."""
+    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.partitionBy(F.lit(0)).orderBy(order)
+    size = 1 + max(len(lags) for _, _, lags, _ in models)
+    offered = []
+    for name, target, lags, expanding in models:
+        x = [F.lit(1.0), *[F.lag(c, k).over(w).cast("double") for c, k in lags]]
+        offered.append(F.struct(F.lit(name).alias("model"), F.lit(expanding).alias("expanding"), F.lit(len(x)).alias("k"), F.array(*x, *[F.lit(0.0)] * (size - len(x))).alias("x"), F.col(target).cast("double").alias("y")))
+    rows = series.select(*keys, order, F.row_number().over(w).alias("pos"), F.array(*offered).alias("m")).select(*keys, order, "pos", F.explode("m").alias("m")).select(*keys, order, "pos", "m.*")
+    rows = rows.withColumn("whole", F.forall("x", lambda v: v.isNotNull())).withColumn("used", F.col("whole") & F.col("y").isNotNull() & (F.col("expanding") | (F.col("pos") <= first)))
+    past = Window.partitionBy(*keys, "model").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    cell = lambda i: F.col("y") if i == size else F.get("x", F.lit(i))
+    sums = {f"s{i}_{j}": F.coalesce(F.sum(F.when(F.col("used"), cell(i) * cell(j))).over(past), F.lit(0.0)) for i in range(size) for j in range(i, size + 1)}
+    run = rows.withColumns(sums | {"n": F.count_if(F.col("used")).over(past)}).filter(F.col("pos") > first)
+    own = lambda i: F.when(F.col("k") <= i, 1.0).otherwise(F.col(f"s{i}_{i}"))  # noqa: E731  a place without a regressor has coefficient 0
+    matrix = F.array(*[F.array(*[own(i) if i == j else F.col(f"s{min(i, j)}_{max(i, j)}") for j in range(size + 1)]) for i in range(size)])
+    value = F.aggregate(F.zip_with("b", "x", lambda b, v: b * v), F.lit(0.0), lambda s, v: s + v)
+    known = F.col("whole") & (F.col("n") > F.col("k"))
+    return run.withColumn("b", solved(matrix, size)).select(*keys, "model", order, F.col("y").alias("actual"), F.when(known, value).alias("forecast"))
+
+
 def ar_forecasts(series: DataFrame, order: str, value: str, lags: int, exog: list[str], first: int, expanding: bool = True) -> DataFrame:
-    """One-step AR(p) forecasts with lagged exogenous columns, by least squares over one series."""
-
-    def run(pdf):
-        pdf = pdf.sort_values(order).reset_index(drop=True)
-        y = pdf[value].to_numpy(float)
-        cols = [np.ones(len(y)), *(pdf[value].shift(k).to_numpy(float) for k in range(1, lags + 1)), *(pdf[c].shift(1).to_numpy(float) for c in exog)]
-        x = np.column_stack(cols)
-        out = []
-        for t in range(first, len(y)):
-            use = np.arange(t if expanding else first)
-            use = use[np.isfinite(x[use]).all(1) & np.isfinite(y[use])]
-            ok = len(use) > x.shape[1] and np.isfinite(x[t]).all()
-            out.append((pdf[order][t], y[t], float(x[t] @ np.linalg.lstsq(x[use], y[use], rcond=None)[0]) if ok else None))
-        return pd.DataFrame(out, columns=[order, "actual", "forecast"])
-
-    kind = series.schema[order].dataType.simpleString()
-    return series.select(order, value, *exog).groupBy().applyInPandas(run, f"`{order}` {kind}, actual double, forecast double")
+    """One-step AR(p) forecasts with exogenous columns of one row before."""
+    return forecast_grid(series, order, [("ar", value, [*[(value, k) for k in range(1, lags + 1)], *[(c, 1) for c in exog]], expanding)], first).drop("model")

@@ -2,13 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Asymptotic critical values with a constant at 1, 5 and 10 percent.
 ADF_CRITICAL, KPSS_CRITICAL = (-3.43, -2.86, -2.57), (0.739, 0.463, 0.347)
 
+#: The published response surface of the ADF statistic with a constant (its range, where the two polynomials meet, their coefficients by rising power).
+ADF_RANGE, ADF_MEET, ADF_LOW, ADF_HIGH = (-18.83, 2.74), -1.61, (2.1659, 1.4412, 0.038269), (1.7339, 0.93202, -0.12745, -0.010368)
+#: Published points of the KPSS statistic around a level, and their probabilities.
+KPSS_POINTS, KPSS_P = (0.347, 0.463, 0.574, 0.739), (0.10, 0.05, 0.025, 0.01)
+
+
+def adf_p(t: float) -> float:
+    """p of an ADF statistic: a normal probability of a polynomial in it; 0 and 1 outside the surface's range."""
+    if not ADF_RANGE[0] < t < ADF_RANGE[1]:
+        return float(t >= ADF_RANGE[1])
+    z = sum(c * t**k for k, c in enumerate(ADF_LOW if t <= ADF_MEET else ADF_HIGH))
+    return math.erfc(-z / math.sqrt(2)) / 2
+
+
+def kpss_p(t: float) -> float:
+    """p of a KPSS statistic between its published points, their ends beyond them."""
+    return float(np.interp(t, KPSS_POINTS, KPSS_P))
+
 
 def adf(y: np.ndarray, max_lag: int | None = None) -> tuple[float, int]:
     """The t statistic of the level in the differenced regression with a constant, and its number of lags (least AIC up to ``max_lag`` on a common sample)."""
@@ -44,11 +65,19 @@ def kpss(y: np.ndarray) -> tuple[float, int]:
 
 
 def unit_roots(series: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    """series, test, statistic, lags, rejected at 5 percent; each group is one short series."""
+    """series, test, statistic, lags, p, rejected at 5 percent (by the critical values); each group is one short series."""
 
     def run(k, pdf):
         y = pdf.sort_values(order)[value].to_numpy(float)
         rows = [("adf aic", *adf(y)), ("adf lag 0", *adf(y, 0)), ("kpss", *kpss(y))]
-        return pd.DataFrame([(k[0], t, s, p, bool(s < ADF_CRITICAL[1] if t != "kpss" else s > KPSS_CRITICAL[1])) for t, s, p in rows], columns=[key, "test", "statistic", "lags", "rejected"])
+        return pd.DataFrame([(k[0], t, s, n, kpss_p(s) if t == "kpss" else adf_p(s), bool(s < ADF_CRITICAL[1] if t != "kpss" else s > KPSS_CRITICAL[1])) for t, s, n in rows], columns=[key, "test", "statistic", "lags", "p", "rejected"])
+
+    return series.select(key, order, value).groupBy(key).applyInPandas(run, f"`{key}` {series.schema[key].dataType.simpleString()}, test string, statistic double, lags int, p double, rejected boolean")
+
 
-    return series.select(key, order, value).groupBy(key).applyInPandas(run, f"`{key}` {series.schema[key].dataType.simpleString()}, test string, statistic double, lags int, rejected boolean")
+def stationarity(tests: DataFrame, key: str, alpha: float = 0.05) -> DataFrame:
+    """One verdict per series: stationary where both ADF tests reject, stationary at lag 0 only (short samples choose too many lags), or not rejected."""
+    p = lambda t: F.max(F.when(F.col("test") == t, F.col("p")))
+    g = tests.groupBy(key).agg(p("adf aic").alias("p_aic"), F.max(F.when(F.col("test") == "adf aic", F.col("lags"))).alias("lags"), p("adf lag 0").alias("p_lag_0"), p("kpss").alias("p_kpss"))
+    verdict = F.when((F.col("p_aic") < alpha) & (F.col("p_lag_0") < alpha), "stationary").when(F.col("p_lag_0") < alpha, "stationary at lag 0 only").otherwise("not rejected")
+    return g.withColumn("verdict", verdict)

@@ -106,13 +106,13 @@ def ols_multivariate(spark, d):
     return S.ols_table(derivatives(spark, d).select("month", "ret", "period").withColumn("split", overlapping_splits(F.col("period"))).join(wide, "month"), ["split"], "month", "ret", ["urgent", "high", "medium", "low"], 3)
 
 
-BOOT = ", s AS (SELECT row_number() OVER (ORDER BY month) - 1 AS pos, n AS x, level AS y, count(*) OVER () AS total FROM months), g AS (SELECT block, rep, slot, CAST('0x' || substr(md5('42-' || block || '-' || rep || '-' || slot), 1, 8) AS BIGINT) % ((SELECT max(total) FROM s) - block + 1) AS start FROM (SELECT unnest([2, 4, 8]) AS block), (SELECT unnest(range(200)) AS rep), (SELECT unnest(range(200)) AS slot) WHERE slot * block < (SELECT max(total) FROM s)), k AS (SELECT block, rep, start + k AS pos FROM g, (SELECT unnest(range(8)) AS k) WHERE k < block AND slot * block + k < (SELECT max(total) FROM s)), r AS (SELECT block, rep, corr(x, y) AS r FROM k JOIN s USING (pos) GROUP BY 1, 2)"
+BOOT = ", s AS (SELECT row_number() OVER (ORDER BY month) - 1 AS pos, n AS x, level AS y, count(*) OVER () AS total FROM months), g AS (SELECT block, rep, slot, CAST('0x' || substr(md5('42-' || block || '-' || rep || '-' || slot), 1, 8) AS BIGINT) % ((SELECT max(total) FROM s) - block + 1) AS start FROM (SELECT unnest([2, 4, 8]) AS block), (SELECT unnest(range(2000)) AS rep), (SELECT unnest(range(200)) AS slot) WHERE slot * block < (SELECT max(total) FROM s)), k AS (SELECT block, rep, start + k AS pos FROM g, (SELECT unnest(range(8)) AS k) WHERE k < block AND slot * block + k < (SELECT max(total) FROM s)), r AS (SELECT block, rep, corr(x, y) AS r FROM k JOIN s USING (pos) GROUP BY 1, 2)"
 
 
 @query(sql("months", BOOT + " SELECT block, count(*) AS replicates, round(quantile_cont(r, 0.025), 6) AS low95, round(quantile_cont(r, 0.975), 6) AS high95, round(quantile_cont(r, 0.005), 6) AS low99, round(quantile_cont(r, 0.995), 6) AS high99, round(least(1.0, 2 * least(avg(CAST(r <= 0 AS DOUBLE)), avg(CAST(r >= 0 AS DOUBLE)))), 6) AS p FROM r GROUP BY 1"))
 def block_bootstrap_ci(spark, d):
     m = months(spark, d).withColumn("nn", F.col("n").cast("double"))
-    b = S.block_bootstrap(m, "month", "nn", "level", [2, 4, 8], 200)
+    b = S.block_bootstrap(m, "month", "nn", "level", [2, 4, 8], 2000)
     return b.select("block", "replicates", *[F.round(c, 6).alias(c) for c in ("low95", "high95", "low99", "high99", "p")])
 
 
@@ -141,6 +141,63 @@ def ar2_exogenous_forecast(spark, d):
     return S.ar_forecasts(_returns(spark, d), "month", "ret", 2, ["vol3"], 47)
 
 
+#: name, target, lagged columns, expanding: returns on their two and steps on their one last values, each with and without the shares of a regime, each with both windows.
+GRID_MODELS = [(f"{target} {kind} {'expanding' if e else 'fixed'}", target, [(target, k) for k in range(1, p + 1)] + [(x, k) for k in range(1, p + 1)] * (kind == "news"), e)
+    for target, p, x in (("ret", 2, "urgent"), ("step", 1, "high")) for kind in (f"ar{p}", "news") for e in (True, False)]
+
+
+def _grid_series(spark, d):
+    z = regime_zscores(shares(spark, d)).groupBy("month").pivot("regime", ["urgent", "high"]).agg(F.first("z"))
+    return derivatives(spark, d).filter("ret IS NOT NULL").select("month", "ret", "step").join(z, "month")
+
+
+def _grid(spark, d):
+    s = _grid_series(spark, d)
+    g = S.forecast_grid(s, "month", GRID_MODELS, 47)
+    zero = g.filter(F.col("model").isin([f"{t} ar{p} expanding" for t, p in (("ret", 2), ("step", 1))])).select(F.concat(F.split("model", " ")[0], F.lit(" zero")).alias("model"), "month", "actual", F.lit(0.0).alias("forecast"))
+    return g.unionByName(zero)
+
+
+def _grid_sql():
+    """The same grid: designs as lists, all earlier pairs joined, elimination as recursion."""
+    designs = " UNION ALL ".join(f"SELECT '{n}' AS model, {e} AS expanding, month, pos, CAST({t} AS DOUBLE) AS y, [1.0::DOUBLE, {', '.join(f'CAST(lag({c}, {k}) OVER w AS DOUBLE)' for c, k in lags)}] AS a FROM gs WINDOW w AS (ORDER BY month)" for n, t, lags, e in GRID_MODELS)
+    return DER + f""", gs AS (SELECT *, row_number() OVER (ORDER BY month) AS pos FROM (SELECT month, ret, step, max(z) FILTER (regime = 'urgent') AS urgent, max(z) FILTER (regime = 'high') AS high FROM der JOIN z USING (month) WHERE ret IS NOT NULL GROUP BY 1, 2, 3)),
+ ds AS MATERIALIZED ({designs}), ok AS MATERIALIZED (SELECT * FROM ds WHERE y IS NOT NULL AND len(list_filter(a, lambda v: v IS NULL)) = 0),
+ ce AS (SELECT t.model, t.month, i, j, sum(p.a[i] * CASE WHEN j > len(p.a) THEN p.y ELSE p.a[j] END) AS s FROM ok t JOIN ok p ON p.model = t.model AND p.pos < CASE WHEN t.expanding THEN t.pos ELSE 48 END, (SELECT unnest(range(1, 6)) AS i), (SELECT unnest(range(1, 7)) AS j) WHERE t.pos > 47 AND i <= len(t.a) AND j <= len(t.a) + 1 GROUP BY 1, 2, 3, 4),
+ mx AS (SELECT model, month, list(r ORDER BY i) AS m FROM (SELECT model, month, i, list(s ORDER BY j) AS r FROM ce GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ el(model, month, p, m) AS (SELECT model, month, CAST(1 AS BIGINT), m FROM mx UNION ALL SELECT model, month, p + 1, list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 2), lambda j: CASE WHEN i = p THEN m[i][j] / m[p][p] ELSE m[i][j] - m[i][p] / m[p][p] * m[p][j] END)) FROM el WHERE p <= len(m)),
+ gr AS (SELECT ds.model, ds.month, y AS actual, list_sum(list_transform(range(1, len(m) + 1), lambda i: m[i][len(m) + 1] * a[i])) AS forecast FROM ds LEFT JOIN el ON el.model = ds.model AND el.month = ds.month AND p = len(m) + 1 WHERE pos > 47),
+ gz AS (SELECT * FROM gr UNION ALL SELECT split_part(model, ' ', 1) || ' zero', month, actual, 0.0 FROM gr WHERE model IN ('ret ar2 expanding', 'step ar1 expanding'))"""
+
+
+@query(sql("months z", _grid_sql() + " SELECT model, month, round(actual, 6) AS actual, round(forecast, 6) AS forecast FROM gz").replace("WITH ", "WITH RECURSIVE ", 1))
+def forecast_grid(spark, d):
+    """Eight models over two targets and every evaluated month, and the zero forecasts: one pass of running sums."""
+    return _grid(spark, d).select("model", "month", F.round("actual", 6).alias("actual"), F.round("forecast", 6).alias("forecast"))
+
+
+@query(sql("months z", _grid_sql() + """, gm AS (SELECT model, split_part(model, ' ', 1) AS target, count(*) AS n, CASE WHEN count(forecast) = count(*) THEN sqrt(avg((forecast - actual) ** 2)) END AS rmse, CASE WHEN count(forecast) = count(*) THEN avg(abs(forecast - actual)) END AS mae, CASE WHEN count(forecast) = count(*) THEN avg(forecast - actual) END AS bias FROM gz GROUP BY 1, 2)
+ SELECT m.model, m.n, round(m.rmse, 6) AS rmse, round(m.mae, 6) AS mae, round(m.bias, 6) AS bias, round(100 * (b.rmse - m.rmse) / b.rmse, 6) AS improvement FROM gm m JOIN gm b ON b.model = m.target || ' zero'""").replace("WITH ", "WITH RECURSIVE ", 1))
+def forecast_grid_errors(spark, d):
+    """Errors of each model of the grid and its improvement on the zero forecast of its target."""
+    m = S.errors(_grid(spark, d).withColumn("error", F.col("forecast") - F.col("actual")).withColumn("target", F.split("model", " ")[0]), "error", ["target", "model"])
+    base = m.filter("model LIKE '% zero'").select("target", F.col("rmse").alias("base"))
+    return m.join(F.broadcast(base), "target").select("model", "n", *[F.round(c, 6).alias(c) for c in ("rmse", "mae", "bias")], F.round(improvement(F.col("base"), F.col("rmse")), 6).alias("improvement"))
+
+
+@query(sql("months z", _grid_sql() + """, fl AS (SELECT model, coalesce(forecast < 0, false) AS p, actual < 0 AS a FROM gr WHERE model LIKE 'ret %' UNION ALL SELECT 'always up', false, actual < 0 FROM gr WHERE model = 'ret ar2 expanding' UNION ALL SELECT 'always down', true, actual < 0 FROM gr WHERE model = 'ret ar2 expanding'),
+ fc AS (SELECT model, count(*) FILTER (p AND a) AS tp, count(*) FILTER (p AND NOT a) AS fp, count(*) FILTER (NOT p AND a) AS fn, count(*) FILTER (NOT p AND NOT a) AS tn FROM fl GROUP BY 1)
+ SELECT model, tp, fp, fn, tn, round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(tn / nullif(tn + fp, 0), 6) AS specificity, round((tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2, 6) AS balanced_accuracy FROM fc""").replace("WITH ", "WITH RECURSIVE ", 1))
+def forecast_grid_falls(spark, d):
+    """How the grid's returns and the two constant guesses call falls."""
+    g = _grid(spark, d).filter("model LIKE 'ret %' AND model <> 'ret zero'")
+    guess = g.filter("model = 'ret ar2 expanding'")
+    p = g.select("model", (F.col("forecast") < 0).alias("p"), (F.col("actual") < 0).alias("a"))
+    for name, down in (("always up", False), ("always down", True)):
+        p = p.unionByName(guess.select(F.lit(name).alias("model"), F.lit(down).alias("p"), (F.col("actual") < 0).alias("a")))
+    return S.confusion(p, F.col("p"), F.col("a"), ["model"]).select("model", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "specificity", "balanced_accuracy")])
+
+
 def _models(spark, d):
     e, f = (S.ar1_forecasts(_returns(spark, d), "month", "ret", 47, x) for x in (True, False))
     zero = e.select("month", "actual", F.lit(0.0).alias("forecast"))
@@ -249,10 +306,22 @@ def topic_alignment_hungarian(spark, d):
     return align(_centroids(spark, d, e.filter("vec_id % 2 = 0")), _centroids(spark, d, e.filter("vec_id % 2 = 1")), "label", "v")
 
 
-@query()
-def unit_root_tests(spark, d):
-    """ADF and KPSS statistics of the price level and of returns."""
+def _unit_roots(spark, d):
     from tidemark.operators.unitroot import unit_roots
 
-    s = P.stack(derivatives(spark, d).select("month", "level", "ret"), ["month"], ["level", "ret"], "series", "v").filter("v IS NOT NULL")
+    s = P.stack(derivatives(spark, d).select("month", "level", "ret", "step", "yoy"), ["month"], ["level", "ret", "step", "yoy"], "series", "v").filter("v IS NOT NULL")
     return unit_roots(s, "series", "month", "v")
+
+
+@query()
+def unit_root_tests(spark, d):
+    """ADF and KPSS statistics and p values of the price level, returns, steps and yearly changes."""
+    return _unit_roots(spark, d)
+
+
+@query()
+def stationarity_verdicts(spark, d):
+    """Which of the series are stationary by both ADF tests, by the one without lags alone, or by none."""
+    from tidemark.operators.unitroot import stationarity
+
+    return stationarity(_unit_roots(spark, d), "series")
