@@ -288,11 +288,61 @@ def test_matched_bases():
 def test_stability_and_convergence(spark):
     rows = [(i, list(range(0, 4)) if i % 2 else list(range(4, 8)), [0.5] * 4) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id int, idx array<int>, w array<double>")
-    got = topics.stability(df, 8, 2, subsamples=2, restarts=2, max_iter=50).collect()
-    assert sorted((r["kind"], r["run_a"], r["run_b"]) for r in got) == [("base-restart", 0, 3), ("base-restart", 0, 4), ("base-subsample", 0, 1), ("base-subsample", 0, 2), ("restart", 3, 4), ("subsample", 1, 2)]
+    got = topics.stability(df, 8, 2, topics.study_runs(2, 1, 0, 2), max_iter=50).collect()
+    assert sorted((r["kind"], r["run_a"], r["run_b"]) for r in got) == [("base-nndsvda", 0, 3), ("base-random", 0, 4), ("base-random", 0, 5), ("base-subsample", 0, 1), ("base-subsample", 0, 2), ("random", 4, 5), ("subsample", 1, 2)]
     assert all(r["least_cosine"] > 0.99 and r["from_90"] == 2 for r in got)
-    c = topics.convergence(df, 8, 2, [5, 10]).collect()
-    assert [r["max_iter"] for r in c] == [5, 10] and all(r["converged"] and r["same_order"] and r["h_change"] < 1e-6 for r in c)
+    c = topics.convergence(df, 8, 2, [5, 10], [20]).collect()
+    assert [(r["base_iter"], r["max_iter"]) for r in c] == [(5, 5), (5, 10), (10, 10)] and all(r["converged"] and r["same_order"] and r["h_change"] < 1e-6 for r in c)
+
+
+@pytest.mark.parametrize("bound", [0, 1_000_000])
+def test_a_continued_fit_equals_separate_fits(spark, bound):
+    rng = np.random.default_rng(8)
+    x = rng.random((40, 3)) @ rng.random((3, 9)) * (rng.random((40, 9)) < 0.8)
+    df = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)], "doc_id int, idx array<int>, w array<double>").coalesce(2)
+    for start in ("nndsvd", "nndsvdar"):
+        steps = topics.fit_nmf_steps(df, 9, 3, [1, 2, 4], 0.0, start, 3, bound)
+        for m, n in zip(steps, (1, 2, 4), strict=True):
+            alone = topics.fit_nmf(df, 9, 3, n, 0.0, start, 3, bound)
+            assert np.allclose(m.h, alone.h) and len(m.objective) == n and np.allclose(m.objective, alone.objective)
+    assert len(topics.convergence(df, 9, 3, [1, 2], [3], tol=0.0).collect()) == 6
+
+
+def test_filled_starts_have_no_zeros(spark):
+    total = lambda make: make((np.array([0, 0, 1]), np.array([0, 1, 2]), np.array([1.0, 2.0, 3.0])), 2)
+    plain, filled, jittered = (topics._first_basis(total, 4, 2, s, 1) for s in topics.STARTS[:3])
+    assert (plain == 0).any() and (filled > 0).all() and (filled[plain == 0] == 6 / 8).all() and 0 < jittered[plain == 0].max() < 6 / 800
+
+
+def test_an_unstable_topic_shows(spark):
+    vocab = spark.createDataFrame([(i, t) for i, t in enumerate(("rate", "chip", "home"))], "idx int, term string")
+    base = np.array([[1.0, 0, 0], [0, 1.0, 0.1]])
+    moved = np.array([[0, 1.0, 0.95], [1.0, 0, 0]])  # topics change places, the second becomes ambiguous
+    weights, matched = topics.bases_table(spark, [base, base, moved], vocab)
+    claims = spark.createDataFrame([("rate", "macro", "m"), ("chip", "tech", "t"), ("home", "estate", "e")], "term string, domain string, grp string")
+    mapped = regimes.mapped_runs(weights, claims, matched)
+    got = {(r["base_topic"], r["kind"]): (r["runs"], r["status_rate"], r["domain_rate"], r["reproduced_rate"]) for r in regimes.reproduction(mapped, {0: "base", 1: "same", 2: "random"}).collect()}
+    assert got == {(0, "same"): (1, 1, 1, 1), (1, "same"): (1, 1, 1, 1), (0, "random"): (1, 1, 1, 1), (1, "random"): (1, 0, 0, 0)}
+    formed = {r["run"]: (r["assigned"], r["regimes"], r["reproduced"], r["of_base"]) for r in regimes.regimes_formed(mapped, {0: "base", 1: "same", 2: "random"}).collect()}
+    assert formed == {0: (2, "macro;tech", 2, 2), 1: (2, "macro;tech", 2, 2), 2: (1, "macro", 1, 2)}
+
+
+def test_chains_join_what_the_nearest_pairs_join():
+    rng = np.random.default_rng(9)
+    for n, k in ((1, 1), (2, 1), (5, 2), (40, 7), (90, 12)):
+        x = rng.normal(size=(n, 6))
+        d = ((x[:, None] - x[None]) ** 2).sum(2) ** 0.5
+        e, size, label, live = d.copy(), np.ones(n), np.arange(n), n
+        np.fill_diagonal(e, np.inf)
+        while live > k:
+            i, j = sorted(np.unravel_index(np.argmin(e), e.shape))
+            row = (e[i] * size[i] + e[j] * size[j]) / (size[i] + size[j])
+            e[i], e[:, i], e[i, i] = row, row, np.inf
+            e[j], e[:, j] = np.inf, np.inf
+            size[i] += size[j]
+            label[label == j] = i
+            live -= 1
+        assert topics.average_linkage(d.copy(), k).tolist() == label.tolist()
 
 
 def test_sparse_counts(spark):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 #: Vocabulary: least document frequency, largest share of documents, cap.
 MIN_DF, MAX_DF_RATIO, TOP_N_VOCAB = 200, 0.15, 30_000
+#: Terms of the keyword study.
+KEYWORD_TERMS = 3000
 #: Topic model and its fit sample.
 N_TOPICS, PER_MONTH_SAMPLE, SEED, NMF_MAX_ITER, NMF_TOL = 14, 3000, 42, 400, 1e-4
 #: Topic mapping: a topic is residual under this share, ambiguous from this ratio of second to best on.

@@ -73,6 +73,36 @@ def domain_support(mapping: DataFrame, groups: DataFrame, domains: DataFrame, sp
     return out.select("domain", "topics", F.coalesce(F.array_join("groups", ";"), F.lit("")).alias("groups"), status.otherwise("supported").alias("support"))
 
 
+def mapped_runs(weights: DataFrame, claims: DataFrame, matched: DataFrame) -> DataFrame:
+    """All runs' topics mapped in one table, with the base topic each matches: run, topic, base_topic, cosine, status, domain (null unless assigned), best_share.
+
+    A topic without any weight is residual."""
+    both = weights.select(F.struct("run", "topic").alias("topic"), "term", "weight")
+    m = map_topics(both, claims).select("topic.*", "status", F.when(F.col("status") == "assigned", F.col("best")).alias("domain"), "best_share")
+    return matched.join(m, ["run", "topic"], "left").withColumn("status", F.coalesce("status", F.lit("residual")))
+
+
+def _kinds(kinds: dict[int, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair]), F.col("run"))
+
+
+def reproduction(mapped: DataFrame, kinds: dict[int, str], base: int = 0) -> DataFrame:
+    """For each base topic and kind of run: runs, the shares in which its match has its status, its domain and both, and the mean cosine of the matches."""
+    b = mapped.filter(F.col("run") == base).select("base_topic", F.col("status").alias("base_status"), F.col("domain").alias("base_domain"))
+    j = mapped.filter(F.col("run") != base).withColumn("kind", _kinds(kinds)).join(F.broadcast(b), "base_topic")  # a few topics
+    status, domain = F.col("status") == F.col("base_status"), F.col("domain").eqNullSafe(F.col("base_domain"))
+    rate = lambda c: F.avg(c.cast("double"))
+    return j.groupBy("base_topic", "base_status", "base_domain", "kind").agg(F.count(F.lit(1)).alias("runs"), rate(status).alias("status_rate"), rate(domain).alias("domain_rate"), rate(status & domain).alias("reproduced_rate"), F.avg("cosine").alias("mean_cosine"))
+
+
+def regimes_formed(mapped: DataFrame, kinds: dict[int, str], base: int = 0) -> DataFrame:
+    """For each run: assigned topics, the regimes they form, and how many of the base's are among them."""
+    g = mapped.groupBy("run").agg(F.count_if(F.col("status") == "assigned").alias("assigned"), F.array_sort(F.collect_set("domain")).alias("domains"))
+    own = g.filter(F.col("run") == base).select(F.col("domains").alias("base_domains"))
+    j = g.crossJoin(F.broadcast(own))
+    return j.select("run", _kinds(kinds).alias("kind"), "assigned", F.size("domains").cast("long").alias("formed"), joined_or_none(F.col("domains")).alias("regimes"), F.size(F.array_intersect("domains", "base_domains")).cast("long").alias("reproduced"), F.size("base_domains").cast("long").alias("of_base"))
+
+
 def regime_panel(topic_shares: DataFrame, mapping: DataFrame) -> DataFrame:
     """month, period, regime, share: assigned topics summed by regime, all others as ``residual``; shares of a month sum to 1."""
     m = mapping.select("topic", F.when(F.col("status") == "assigned", F.col("best")).otherwise("residual").alias("regime"))

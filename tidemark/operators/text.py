@@ -107,14 +107,28 @@ def topk_jaccard(sets: DataFrame, key: str, items: str) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).select("a", "b", common.alias("common"), F.round(ratio(common, F.size(F.array_union("a_items", "b_items"))), 6).alias("jaccard"))
 
 
-def weighted_jaccard(weights: DataFrame, key: str, a: str, b: str, k: int, value: str = "n") -> DataFrame:
-    """sum(min)/sum(max) over the union of both top-k lists, weights renormalised there."""
-    tops = first_by_rank(weights, [key], [F.desc(value), F.col("term")], k).select("term").distinct()
-    x, y = (F.coalesce(F.sum(F.when(F.col(key) == v, F.col(value))), F.lit(0)) for v in (a, b))
-    g = weights.join(F.broadcast(tops), "term", "left_semi").groupBy("term").agg(x.alias("x"), y.alias("y"))
-    total = g.agg(F.sum("x").alias("sx"), F.sum("y").alias("sy"))
-    s = g.crossJoin(F.broadcast(total)).select((F.col("x") / F.col("sx")).alias("x"), (F.col("y") / F.col("sy")).alias("y"))
-    return s.agg(ratio(F.sum(F.least("x", "y")), F.sum(F.greatest("x", "y"))).alias("weighted_jaccard"), F.count(F.lit(1)).alias("terms"))
+def weighted_jaccard(weights: DataFrame, key: str, k: int, value: str = "n") -> DataFrame:
+    """a < b, sum(min)/sum(max) over the union of both top-k lists, weights renormalised there: for every two of a few sets."""
+    best = first_by_rank(weights, [key], [F.desc(value), F.col("term")], k).select(key, "term")
+    names = best.select(key).distinct()
+    a, b = (names.select(F.col(key).alias(c)) for c in "ab")
+    two = a.join(F.broadcast(b), F.col("a") < F.col("b"))
+    union = two.join(best, F.col("a") == F.col(key)).select("a", "b", "term").unionByName(two.join(best, F.col("b") == F.col(key)).select("a", "b", "term")).distinct()
+    w = lambda c, v: weights.select(F.col(key).alias(c), "term", F.col(value).alias(v))
+    g = union.join(w("a", "x"), ["a", "term"], "left").join(w("b", "y"), ["b", "term"], "left").select("a", "b", F.coalesce("x", F.lit(0)).alias("x"), F.coalesce("y", F.lit(0)).alias("y"))
+    pair = Window.partitionBy("a", "b")  # at most 2k rows
+    s = g.select("a", "b", ratio(F.col("x"), F.sum("x").over(pair)).alias("x"), ratio(F.col("y"), F.sum("y").over(pair)).alias("y"))
+    return s.groupBy("a", "b").agg(ratio(F.sum(F.least("x", "y")), F.sum(F.greatest("x", "y"))).alias("weighted_jaccard"), F.count(F.lit(1)).alias("terms"))
+
+
+def terms_diff(tops: DataFrame, key: str, base: str) -> DataFrame:
+    """key, term, change: terms that each other set has beyond the base's (added) and those of the base's that it lacks (removed)."""
+    own = tops.filter(F.col(key) == base).select("term")
+    others = tops.filter(F.col(key) != base).select(key, "term")
+    added = others.join(F.broadcast(own), "term", "left_anti").withColumn("change", F.lit("added"))
+    lists = others.groupBy(key).agg(F.collect_set("term").alias("has")).crossJoin(F.broadcast(own.agg(F.collect_set("term").alias("base"))))
+    removed = lists.select(key, F.explode(F.array_except("base", "has")).alias("term"), F.lit("removed").alias("change"))
+    return added.select(key, "term", "change").unionByName(removed)
 
 
 def cosine_matrix(vectors: DataFrame, key: str, values: str) -> DataFrame:

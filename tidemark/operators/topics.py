@@ -107,19 +107,32 @@ class TopicModel:
         return long.join(F.broadcast(vocab.select("idx", "term")), "idx")
 
 
-def _alternate(total, n_terms: int, k: int, max_iter: int, tol: float, seed: int | None) -> TopicModel:
-    """Alternating least squares where ``total(make)`` sums ``make(csr, n)`` over all blocks of documents; None without documents.
+#: Starts of a fit: the decomposition as it is; its zeros filled with the mean weight; with random shares of a hundredth of it; or all random.
+STARTS = ("nndsvd", "nndsvda", "nndsvdar", "random")
+
+
+def _first_basis(total, n_terms: int, k: int, start: str, seed: int | None) -> np.ndarray:
+    rng = np.random.default_rng(seed)
+    if start == "random":
+        return np.abs(rng.normal(size=(k, n_terms))) * 0.1
+    h = nndsvd(total, n_terms, k)
+    if start != "nndsvd":
+        got = total(lambda csr, n: [np.array([csr[2].sum(), float(n)])])
+        mean = got[0][0] / (max(1.0, got[0][1]) * n_terms) if got else 0.0
+        h = np.where(h > 0, h, mean if start == "nndsvda" else rng.random(h.shape) * mean / 100)
+    return np.where(h.any(1, keepdims=True), h, 1.0 / n_terms)
+
+
+def _alternate(total, n_terms: int, k: int, limits: list[int], tol: float, start: str = "nndsvd", seed: int | None = None) -> list[TopicModel]:
+    """Alternating least squares where ``total(make)`` sums ``make(csr, n)`` over all blocks of documents; the model as it stands at each of the rising limits of iterations.
 
     Given H, rows of W are independent: a block solves its own and gives W'W, W'X and its squared error. The fit
-    has converged when the projected gradient of H is at most ``tol`` of the first one."""
-    if seed is None:
-        h = nndsvd(total, n_terms, k)
-        h = np.where(h.any(1, keepdims=True), h, 1.0 / n_terms)
-    else:
-        h = np.abs(np.random.default_rng(seed).normal(size=(k, n_terms))) * 0.1
+    has converged when the projected gradient of H is at most ``tol`` of the first one; later limits then have the
+    same model. Without documents all bases are zero."""
+    h = _first_basis(total, n_terms, k, start, seed)
     objective: list[float] = []
-    first = None
-    for _ in range(max_iter):
+    first, models = None, []
+    for i in range(max(limits)):
 
         def step(csr, n, h=h):
             hh = h @ h.T
@@ -129,16 +142,18 @@ def _alternate(total, n_terms: int, k: int, max_iter: int, tol: float, seed: int
 
         got = total(step)
         if got is None:
-            return TopicModel(np.zeros((k, n_terms)), [], True)
+            return [TopicModel(np.zeros((k, n_terms)), [], True)] * len(limits)
         wtw, xtw, error = got
         objective.append(float(error[0]))
         gradient = wtw @ h - xtw.T
         slope = float(np.abs(np.where(h > 0, gradient, np.minimum(gradient, 0))).sum())
         first = slope if first is None else first
         if slope <= tol * first:
-            return TopicModel(h, objective, True)
+            return models + [TopicModel(h, objective, True)] * (len(limits) - len(models))
         h = nnls_rows(xtw, wtw, h.T.copy(), sweeps=20).T
-    return TopicModel(h, objective, False)
+        if i + 1 in limits:
+            models.append(TopicModel(h, objective[:], False))
+    return models
 
 
 def _summed(parts):
@@ -148,44 +163,52 @@ def _summed(parts):
     return out
 
 
-def _in_task(table: pa.Table, n_terms: int, k: int, max_iter: int, tol: float, seed: int | None) -> TopicModel:
+def _in_task(table: pa.Table, n_terms: int, k: int, limits: list[int], tol: float, start: str, seed: int | None) -> list[TopicModel]:
     """The whole fit over one task's documents."""
     blocks = [(_csr(b), b.num_rows) for b in table.combine_chunks().to_batches(max_chunksize=8192)]
-    return _alternate(lambda make: _summed(make(csr, n) for csr, n in blocks), n_terms, k, max_iter, tol, seed)
+    return _alternate(lambda make: _summed(make(csr, n) for csr, n in blocks), n_terms, k, limits, tol, start, seed)
 
 
-FITTED = "run long, h binary, objective array<double>, converged boolean"
+FITTED = "run long, step int, h binary, objective array<double>, converged boolean"
 
 
-def fit_runs(rows: DataFrame, n_terms: int, k: int, seeds: list[int | None], max_iter: int, tol: float = 1e-4) -> dict[int, TopicModel]:
-    """A model for each ``run`` of (run, idx, w), all at once, each in a task of its own; run r starts from ``seeds[r]``.
+def fit_runs(rows: DataFrame, n_terms: int, k: int, starts: list[tuple[str, int | None]], limits: list[int], tol: float = 1e-4) -> dict[int, list[TopicModel]]:
+    """The models at each limit of iterations for each ``run`` of (run, idx, w), all at once, each in a task of its own; run r starts as ``starts[r]`` says.
 
     Every run must hold at most ``TASK_CELLS`` cells, which the caller has counted."""
 
     def solve(key, table):
         r = key[0].as_py()
-        m = _in_task(table, n_terms, k, max_iter, tol, seeds[r])
-        return pa.table({"run": pa.array([r], pa.int64()), "h": pa.array([m.h.astype("<f8").tobytes()], pa.binary()), "objective": pa.array([m.objective], pa.list_(pa.float64())), "converged": [m.converged]})
+        got = _in_task(table, n_terms, k, limits, tol, *starts[r])
+        return pa.table({"run": pa.array([r] * len(got), pa.int64()), "step": pa.array(range(len(got)), pa.int32()), "h": pa.array([m.h.astype("<f8").tobytes() for m in got], pa.binary()), "objective": pa.array([m.objective for m in got], pa.list_(pa.float64())), "converged": [m.converged for m in got]})
 
     got = rows.select(F.col("run").cast("long").alias("run"), "idx", "w").groupBy("run").applyInArrow(solve, FITTED).collect()  # a K x V basis each
-    return {r["run"]: TopicModel(np.frombuffer(r["h"]).reshape(k, n_terms).copy(), list(r["objective"]), r["converged"]) for r in got}
+    out: dict[int, list[TopicModel]] = {}
+    for r in sorted(got, key=lambda r: (r["run"], r["step"])):
+        out.setdefault(r["run"], []).append(TopicModel(np.frombuffer(r["h"]).reshape(k, n_terms).copy(), list(r["objective"]), r["converged"]))
+    return out
 
 
 def cells(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()[0]
 
 
-def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, seed: int | None = None, task_cells: int = TASK_CELLS) -> TopicModel:
-    """X ~ W H by alternating non-negative least squares; ``seed`` None starts from NNDSVD.
+def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None, task_cells: int = TASK_CELLS) -> TopicModel:
+    """X ~ W H by alternating non-negative least squares; without rows the basis is zero."""
+    return fit_nmf_steps(rows, n_terms, k, [max_iter], tol, start, seed, task_cells)[0]
+
+
+def fit_nmf_steps(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None, task_cells: int = TASK_CELLS) -> list[TopicModel]:
+    """The models of one fit at each of the rising limits of iterations: what separate fits would give, for the work of the longest.
 
     A sample of up to ``task_cells`` non-zero cells is solved by one task. Beyond, each sum is a Spark
     job: partitions send K x V sums, which are added in groups of 16 until one is left, and the driver
-    sweeps H. Both ways run the same iterations. Without rows the basis is zero."""
+    sweeps H. Both ways run the same iterations."""
     spark, rows = rows.sparkSession, rows.select("idx", "w").persist()  # read once, not in every iteration
     try:
         if cells(rows) <= task_cells:
-            model = fit_runs(rows.withColumn("run", F.lit(0)), n_terms, k, [seed], max_iter, tol).get(0)
-            return model or TopicModel(np.zeros((k, n_terms)), [], True)
+            models = fit_runs(rows.withColumn("run", F.lit(0)), n_terms, k, [(start, seed)], limits, tol).get(0)
+            return models or [TopicModel(np.zeros((k, n_terms)), [], True)] * len(limits)
 
         def total(make):
             def run(batches):
@@ -210,7 +233,7 @@ def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: flo
             got = parts.collect()
             return read(got[0]["sums"], got[0]["shapes"]) if got else None
 
-        return _alternate(total, n_terms, k, max_iter, tol, seed)
+        return _alternate(total, n_terms, k, limits, tol, start, seed)
     finally:
         rows.unpersist()
 
@@ -327,25 +350,35 @@ def match_bases(a: np.ndarray, b: np.ndarray) -> list[dict]:
     return out
 
 
-def stability(rows: DataFrame, n_terms: int, k: int, subsamples: int = 10, share: float = 0.8, restarts: int = 11, max_iter: int = 400) -> DataFrame:
-    """A base model, refits on hash-chosen subsamples and random restarts on all rows; each against the base and within its kind.
+def study_runs(subsamples: int = 10, filled: int = 1, jittered: int = 5, restarts: int = 5) -> list[tuple[str, str, int | None]]:
+    """(kind, start, seed) of every run of a stability study: the base, subsamples, and other starts on all rows."""
+    out: list[tuple[str, str, int | None]] = [("base", "nndsvd", None), *[("subsample", "nndsvd", None)] * subsamples]
+    for kind, n in (("nndsvda", filled), ("nndsvdar", jittered), ("random", restarts)):
+        out += [(kind, kind, len(out) + i) for i in range(n)]
+    return out
 
-    One row per pair of runs: kind, run_a, run_b (0 is the base), mean, least and largest cosine of the matched topics,
-    their mean Jaccard similarities, and how many pairs reach 0.8 and 0.9. All runs are fitted at once where the sample
-    fits a task, else one after the other."""
-    names = ["base"] + ["subsample"] * subsamples + ["restart"] * restarts
-    seeds = [r if kind == "restart" else None for r, kind in enumerate(names)]
+
+def fit_study(rows: DataFrame, n_terms: int, k: int, runs: list[tuple[str, str, int | None]], share: float = 0.8, max_iter: int = 400) -> list[np.ndarray]:
+    """The basis of each run; subsamples are chosen by hashes of the ids. All runs are fitted at once where the sample fits a task, else one after the other."""
     in_run = lambda r: F.conv(F.substring(hash_order(F.col("doc_id"), 100 + r), 1, 6), 16, 10).cast("long") < int(share * (1 << 24))
-    keep = [in_run(r) if kind == "subsample" else F.lit(True) for r, kind in enumerate(names)]
+    keep = [in_run(r) if kind == "subsample" else F.lit(True) for r, (kind, _, _) in enumerate(runs)]
     rows = rows.select("doc_id", "idx", "w").persist()
     if cells(rows) <= TASK_CELLS:
-        runs = F.explode(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in enumerate(keep)]), lambda r: r.isNotNull()))
-        models = fit_runs(rows.select(runs.alias("run"), "idx", "w"), n_terms, k, seeds, max_iter)
+        each = F.explode(F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in enumerate(keep)]), lambda r: r.isNotNull()))
+        models = {r: m[0] for r, m in fit_runs(rows.select(each.alias("run"), "idx", "w"), n_terms, k, [x[1:] for x in runs], [max_iter]).items()}
     else:
-        models = {r: fit_nmf(rows.filter(c), n_terms, k, max_iter, seed=seeds[r]) for r, c in enumerate(keep)}
+        models = {r: fit_nmf(rows.filter(c), n_terms, k, max_iter, start=runs[r][1], seed=runs[r][2]) for r, c in enumerate(keep)}
     rows.unpersist()
-    h = [models[r].h if r in models else np.zeros((k, n_terms)) for r in range(len(names))]
-    out = []
+    return [models[r].h if r in models else np.zeros((k, n_terms)) for r in range(len(runs))]
+
+
+def stability(rows: DataFrame, n_terms: int, k: int, runs: list[tuple[str, str, int | None]], share: float = 0.8, max_iter: int = 400) -> DataFrame:
+    """A base model, refits on subsamples and from other starts; each against the base and within its kind.
+
+    One row per pair of runs: kind, run_a, run_b (0 is the base), mean, least and largest cosine of the matched topics,
+    their mean Jaccard similarities, and how many pairs reach 0.8 and 0.9."""
+    h = fit_study(rows, n_terms, k, runs, share, max_iter)
+    names, out = [kind for kind, _, _ in runs], []
     for a, b in itertools.combinations(range(len(names)), 2):
         if a and names[a] != names[b]:
             continue
@@ -356,18 +389,72 @@ def stability(rows: DataFrame, n_terms: int, k: int, subsamples: int = 10, share
     return rows.sparkSession.createDataFrame(out, "kind string, run_a int, run_b int, mean_cosine double, least_cosine double, largest_cosine double, jaccard_10 double, jaccard_20 double, weighted_jaccard double, from_80 int, from_90 int")
 
 
-def convergence(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol: float = 1e-4) -> DataFrame:
-    """For each iteration limit: iterations used, squared error, convergence, and against the first limit the largest and
-    mean change of the basis, its relative Frobenius distance and the similarities of the matched topics."""
-    out, base = [], None
-    for m in limits:
-        model = fit_nmf(rows, n_terms, k, m, tol)
-        base = model.h if base is None else base
+def bases_table(spark, h: list[np.ndarray], vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All runs' bases as one table (run, topic, term, weight), and the topic of each run that matches each topic of the first (run, topic, base_topic, cosine)."""
+    k = len(h[0])
+    cells = [pd.DataFrame({"run": r, "topic": t, "idx": i, "weight": x[t, i]}) for r, x in enumerate(h) for t in range(k) for i in [np.flatnonzero(x[t])] if len(i)]
+    long = spark.createDataFrame(pd.concat(cells) if cells else [], "run int, topic int, idx int, weight double")
+    matched = [(r, m["right"], m["left"], m["cosine"]) for r, x in enumerate(h) for m in match_bases(h[0], x)]
+    return long.join(vocab.select("idx", "term"), "idx").select("run", "topic", "term", "weight"), spark.createDataFrame(matched, "run int, topic int, base_topic int, cosine double")
+
+
+def convergence(rows: DataFrame, n_terms: int, k: int, limits: list[int], further: list[int] = (), tol: float = 1e-4) -> DataFrame:
+    """One continued fit seen at every two limits of iterations, each limit against itself too: iterations used and squared
+    error at the later, convergence, the largest and mean change of the basis between the two, its relative Frobenius
+    distance and the similarities of the matched topics. ``further`` limits are only gone to where the last of ``limits`` hasn't converged."""
+    every = [*limits, *further]
+    models = fit_nmf_steps(rows, n_terms, k, every, tol)
+    if models[len(limits) - 1].converged:
+        models = models[: len(limits)]
+    out = []
+    for i, j in itertools.combinations_with_replacement(range(len(models)), 2):
+        base, model = models[i].h, models[j]
         d, size = np.abs(model.h - base), np.linalg.norm(base)
         match = match_bases(base, model.h)
         cos = [x["cosine"] for x in match]
-        out.append((m, len(model.objective), model.objective[-1] if model.objective else None, model.converged, float(d.max()), float(d.mean()), float(np.linalg.norm(d) / size) if size else None, float(np.mean(cos)), min(cos), float(np.mean([x["jaccard_20"] for x in match])), all(x["left"] == x["right"] for x in match)))
-    return rows.sparkSession.createDataFrame(out, "max_iter int, iterations int, error double, converged boolean, h_change double, h_mean_change double, h_distance double, mean_cosine double, least_cosine double, jaccard_20 double, same_order boolean")
+        out.append((every[i], every[j], len(model.objective), model.objective[-1] if model.objective else None, model.converged, float(d.max()), float(d.mean()), float(np.linalg.norm(d) / size) if size else None, float(np.mean(cos)), min(cos), float(np.mean([x["jaccard_10"] for x in match])), float(np.mean([x["jaccard_20"] for x in match])), float(np.mean([x["weighted_jaccard"] for x in match])), all(x["left"] == x["right"] for x in match)))
+    return rows.sparkSession.createDataFrame(out, "base_iter int, max_iter int, iterations int, error double, converged boolean, h_change double, h_mean_change double, h_distance double, mean_cosine double, least_cosine double, jaccard_10 double, jaccard_20 double, weighted_jaccard double, same_order boolean")
+
+
+def average_linkage(d: np.ndarray, n_clusters: int) -> np.ndarray:
+    """Labels of average-linkage clusters from a square of distances, by chains of nearest neighbours: quadratic.
+
+    A chain ends at two clusters that are each other's nearest, which average linkage joins sooner or later; the joins in
+    the order of their distances are the tree, of which the last ``n_clusters - 1`` are undone. The square is overwritten."""
+    n = len(d)
+    np.fill_diagonal(d, np.inf)
+    size, live, chain, joins = np.ones(n), np.ones(n, bool), [], []
+    while len(joins) < n - 1:
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            i = chain[-1]
+            j = int(np.argmin(d[i]))
+            if len(chain) > 1 and d[i, chain[-2]] <= d[i, j]:
+                j = chain[-2]
+                break
+            chain.append(j)
+        del chain[-2:]
+        joins.append((float(d[i, j]), i, j))
+        row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
+        i, j = min(i, j), max(i, j)
+        d[i], d[:, i], d[i, i] = row, row, np.inf
+        d[j], d[:, j] = np.inf, np.inf
+        size[i] += size[j]
+        live[j] = False
+        d[i, ~live] = np.inf
+    root = np.arange(n)
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for _, i, j in sorted(joins, key=lambda x: x[0])[: max(0, n - n_clusters)]:
+        a, b = find(i), find(j)
+        root[max(a, b)] = min(a, b)
+    return np.array([find(x) for x in range(n)], int)
 
 
 def keyword_clusters(series: DataFrame, n_clusters: int) -> DataFrame:
@@ -382,18 +469,7 @@ def keyword_clusters(series: DataFrame, n_clusters: int) -> DataFrame:
         x = m.to_numpy()
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         x = np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-        d = 1 - x @ x.T
-        np.fill_diagonal(d, np.inf)
-        size, label, live = np.ones(len(x)), np.arange(len(x)), len(x)
-        while live > n_clusters:
-            i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-            row = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[i], d[:, i] = row, row
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            size[i] += size[j]
-            label[label == j] = i
-            live -= 1
+        label = average_linkage(1 - x @ x.T, n_clusters)
         names = {c: n for n, c in enumerate(dict.fromkeys(label.tolist()))}
         mean = pdf.assign(cluster=pdf["term"].map(dict(zip(m.index, label.tolist(), strict=True)))).groupby(["cluster", "month"])["z"].mean()
         peak = {c: mean[c].sort_index().idxmax() for c in names}

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import iso_week_key, month_key, words
+from tidemark.tables import stored
 
 TRAIN_MONTHS, MONTHS = 48, 67
 
@@ -25,6 +26,17 @@ def tokens(spark, d, least: int = 3) -> DataFrame:
     return docs(spark, d).select("doc_id", "month", "period", "source", "lang", F.explode(words(F.col("text"), least)).alias("term"))
 
 
+def corpus(spark, d, least: int = 3) -> DataFrame:
+    """Documents with their distinct words as an array, cut into words once and stored: what all counts of a query read."""
+    kept = docs(spark, d).select("doc_id", "month", "period", "source", "lang", words(F.col("text"), least).alias("terms"))
+    return stored(kept, "corpus")
+
+
+def exploded(corpus: DataFrame) -> DataFrame:
+    """Each distinct word of each document of ``corpus``."""
+    return corpus.select("doc_id", "month", "period", "source", "lang", F.explode("terms").alias("term"))
+
+
 def months(spark, d) -> DataFrame:
     """Orders by month: number, sum and mean of prices; 80 months."""
     return table(spark, d, "orders").groupBy(month_key(F.col("o_orderdate")).alias("month")).agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("total"), F.avg("o_totalprice").alias("level")).withColumn("period", F.when(F.col("month") <= "1998-12", "Train").otherwise("Eval"))

@@ -11,8 +11,8 @@ from tidemark.operators import panels as P
 from tidemark.operators import regimes as R
 from tidemark.operators import stats as S
 from tidemark.operators import text as T
-from tidemark.plans.base import REGIMES, docs, months, shares, ship_months, slug, sql, table, tokens
-from tidemark.plans.corpus import TOPS, VOCAB, _topics, stratified_sample, vocab_train_top
+from tidemark.plans.base import REGIMES, corpus, docs, exploded, months, shares, ship_months, slug, sql, table
+from tidemark.plans.corpus import TOPS, VOCAB, stratified_sample, tops, vocabulary
 from tidemark.plans.panels import DER, derivatives
 
 Q, O = {}, {}
@@ -129,7 +129,7 @@ TOPS20 = TOPS.replace("rank <= 10", "rank <= 20")
 @query(sql("tokens", f", v AS ({VOCAB}), t AS ({TOPS20}), h AS (SELECT k, lang, count(*) OVER (PARTITION BY k, term) AS held, row_number() OVER (PARTITION BY k, term) AS nth FROM t, (SELECT unnest([10, 20]) AS k) WHERE rank <= k), a AS (SELECT k, count(*) FILTER (nth = 1) / count(*) AS diversity FROM h GROUP BY 1) SELECT h.k, lang, round(avg(CAST(held > 1 AS DOUBLE)), 6) AS redundancy, round(any_value(diversity), 6) AS diversity, round(1 - any_value(diversity), 6) AS overall_redundancy FROM h JOIN a ON a.k = h.k GROUP BY 1, 2"))
 def topic_diversity(spark, d):
     """Diversity and redundancy of the 10 and 20 first terms; languages play topics."""
-    return T.diversity(_topics(spark, d, 20), "lang", [10, 20]).select("k", "lang", *r6("redundancy", "diversity", "overall_redundancy"))
+    return T.diversity(tops(corpus(spark, d), 20), "lang", [10, 20]).select("k", "lang", *r6("redundancy", "diversity", "overall_redundancy"))
 
 
 @query("SELECT o_orderpriority AS priority, o_orderstatus AS status, count(*) AS n, strftime(min(o_orderdate), '%Y-%m') AS first_month FROM orders GROUP BY 1, 2")
@@ -154,11 +154,12 @@ def report_recheck(spark, d):
  UNION ALL SELECT 'fit sample', count(*), count(*) FILTER (period <> 'Train') FROM f UNION ALL SELECT 'z scores', count(*), count(*) FILTER (abs(z - (share - mean) / sd) > 1e-9) FROM z JOIN m USING (regime)"""))
 def leakage_audit(spark, d):
     """What was learned, checked against the training period: rows looked at and rows that leak, recomputed another way."""
-    all_docs, t = docs(spark, d), tokens(spark, d)
+    all_docs = corpus(spark, d)
+    t = exploded(all_docs)
     leaks = lambda c: [F.count(F.lit(1)).alias("checked"), F.count_if(F.coalesce(c, F.lit(False))).alias("leaks")]
     split = all_docs.agg(*leaks((F.col("period") == "Train") != (F.col("month") <= TRAIN_END)))
     again = T.document_frequency(t.filter("period = 'Train'")).select("term", F.col("df").alias("again"))
-    vocab = vocab_train_top(spark, d).join(again, "term", "left").agg(*leaks(F.col("df") != F.coalesce("again", F.lit(0))))
+    vocab = vocabulary(all_docs).join(again, "term", "left").agg(*leaks(F.col("df") != F.coalesce("again", F.lit(0))))
     sample = stratified_sample(spark, d).join(all_docs.select("doc_id", "period"), "doc_id").agg(*leaks(F.col("period") != "Train"))
     s = shares(spark, d)
     moments = s.filter("period = 'Train'").groupBy("regime").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"))

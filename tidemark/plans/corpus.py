@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalar import STOP_WORDS, category_root, clip, hash_order, month_key, ratio, strip_all, typed_kind, words
 from tidemark.operators import text as T
 from tidemark.operators.windows import first_by_rank
-from tidemark.plans.base import docs, sql, table, tokens
+from tidemark.config import KEYWORD_TERMS, TOP_N_VOCAB
+from tidemark.plans.base import corpus, docs, exploded, sql, table
+from tidemark.tables import stored
 
 Q, O = {}, {}
 
@@ -53,30 +55,49 @@ def category_root_flags(spark, d):
 
 @query(sql("tokens", "SELECT term, count(*) AS df, round(count(*) / (SELECT count(*) FROM docs), 6) AS ratio FROM tokens GROUP BY 1"))
 def token_df_ratio(spark, d):
-    n = docs(spark, d).agg(F.count(F.lit(1)).alias("n"))
-    return T.document_frequency(tokens(spark, d)).crossJoin(n).select("term", "df", F.round(F.col("df") / F.col("n"), 6).alias("ratio"))
+    c = corpus(spark, d)
+    return T.document_frequency(exploded(c)).select("term", "df", F.round(F.col("df") / c.count(), 6).alias("ratio"))
 
 
-VOCAB = "SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM (SELECT term, count(*) AS df FROM tokens WHERE period = 'Train' GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.15 * (SELECT count(*) FROM docs WHERE period = 'Train')) QUALIFY idx < 2000"
+#: The model's vocabulary and, in the same order, the keyword study's.
+VOCAB = f"SELECT term, df, row_number() OVER (ORDER BY df DESC, term) - 1 AS idx FROM (SELECT term, count(*) AS df FROM tokens WHERE period = 'Train' GROUP BY 1 HAVING count(*) >= 5 AND count(*) <= 0.15 * (SELECT count(*) FROM docs WHERE period = 'Train')) QUALIFY idx < {TOP_N_VOCAB}"
+KEYWORDS = VOCAB.replace(f"idx < {TOP_N_VOCAB}", f"idx < {KEYWORD_TERMS}")
+
+
+def vocabulary(c, top=TOP_N_VOCAB):
+    """The training vocabulary of a stored corpus, stored too: at most ``top`` terms."""
+    train = c.filter("period = 'Train'")
+    return stored(T.vocabulary(exploded(train), train.count(), 5, 0.15, top), "vocabulary")
 
 
 @query(sql("tokens", VOCAB))
 def vocab_train_top(spark, d):
-    return T.vocabulary(tokens(spark, d).filter("period = 'Train'"), docs(spark, d).filter("period = 'Train'").count(), 5, 0.15, 2000)
+    return vocabulary(corpus(spark, d))
+
+
+def _by_month(c):
+    """In how many documents of a month each term of the keyword study stands."""
+    return exploded(c).join(vocabulary(c, KEYWORD_TERMS).select("term"), "term").groupBy("month", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query(sql("tokens", f", v AS ({VOCAB}) SELECT month, term, count(*) AS df FROM tokens JOIN v USING (term) GROUP BY 1, 2"))
+@query(sql("tokens", f", v AS ({KEYWORDS}) SELECT month, term, count(*) AS df FROM tokens JOIN v USING (term) GROUP BY 1, 2"))
 def term_month_matrix(spark, d):
-    return tokens(spark, d).join(vocab_train_top(spark, d).select("term"), "term").groupBy("month", "term").agg(F.count(F.lit(1)).alias("df"))
+    return _by_month(corpus(spark, d))
 
 
-@query(sql("tokens", f""", v AS ({VOCAB}), m AS (SELECT month, count(*) AS n FROM docs GROUP BY 1), c AS (SELECT month, term, count(*) AS df FROM tokens JOIN v USING (term) GROUP BY 1, 2),
+def varying_terms(c):
+    """(term, mean, cv) of the terms whose monthly share varies enough, and the month counts and document frequencies they come from."""
+    n = c.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
+    matrix = stored(_by_month(c), "month-terms")
+    return T.variation_filter(matrix, n, 0.35), n, matrix
+
+
+@query(sql("tokens", f""", v AS ({KEYWORDS}), m AS (SELECT month, count(*) AS n FROM docs GROUP BY 1), c AS (SELECT month, term, count(*) AS df FROM tokens JOIN v USING (term) GROUP BY 1, 2),
  g AS (SELECT v.term, coalesce(c.df, 0) / m.n AS share FROM v CROSS JOIN m LEFT JOIN c ON c.term = v.term AND c.month = m.month)
  SELECT term, round(avg(share), 6) AS mean, round(stddev_samp(share) / avg(share), 6) AS cv FROM g GROUP BY 1 HAVING stddev_samp(share) / avg(share) >= 0.35"""))
 def term_cv_filter(spark, d):
     """Terms whose monthly share varies enough; absent months count as zero."""
-    n = docs(spark, d).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    return T.variation_filter(term_month_matrix(spark, d), n, 0.35)
+    return varying_terms(corpus(spark, d))[0]
 
 
 @query(sql("docs", "SELECT month, doc_id, rank FROM (SELECT month, doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train') WHERE rank <= 5"))
@@ -94,8 +115,8 @@ def systematic_subsample(spark, d):
 @query(sql("tokens", f""", v AS ({VOCAB}), n AS (SELECT count(*) AS n FROM docs WHERE period = 'Train'), w AS (SELECT doc_id, idx, ln((1 + n.n) / (1 + df)) + 1 AS idf FROM tokens JOIN v USING (term), n)
  SELECT doc_id, idx, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""))
 def tfidf_long(spark, d):
-    n = docs(spark, d).filter("period = 'Train'").count()
-    return T.tfidf(tokens(spark, d), vocab_train_top(spark, d), n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    c = corpus(spark, d)
+    return T.tfidf(exploded(c), vocabulary(c), c.filter("period = 'Train'").count()).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
 
 FIT = "f AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train') WHERE rank <= 5)"
@@ -106,20 +127,30 @@ FIT = "f AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY
  SELECT doc_id, idx, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""))
 def tfidf_sample_idf(spark, d):
     """TF-IDF as the topic model takes it: the vocabulary from all training documents, inverse document frequencies from the fit sample alone."""
-    fit = stratified_sample(spark, d).select("doc_id")
-    n = fit.count()  # five documents a month
-    df = T.document_frequency(tokens(spark, d).join(F.broadcast(fit), "doc_id", "left_semi"))
-    vocab = vocab_train_top(spark, d).select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
-    return T.tfidf(tokens(spark, d), vocab, n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    fit = stored(stratified_sample(spark, d).select("doc_id"), "sample")
+    n = fit.count()
+    c = corpus(spark, d)
+    df = T.document_frequency(exploded(c).join(fit, "doc_id", "left_semi"))
+    vocab = vocabulary(c).select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
+    return T.tfidf(exploded(c), vocab, n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
 
 
 TOPS = "SELECT lang, term, rank FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rank FROM tokens JOIN v USING (term) GROUP BY lang, term) WHERE rank <= 10"
 
 
-def _topics(spark, d, k=10):
-    """Languages play topics: their k most frequent vocabulary terms."""
-    counts = tokens(spark, d).join(vocab_train_top(spark, d).select("term"), "term").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    return first_by_rank(counts, ["lang"], [F.desc("n"), F.col("term")], k).select("lang", "term", "rank", "n")
+def counts_by_lang(c):
+    """In how many documents of each language each vocabulary term stands."""
+    return exploded(c).join(vocabulary(c).select("term"), "term").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def tops(c, k=10):
+    """Languages play topics: their k most frequent vocabulary terms, stored."""
+    return stored(first_by_rank(counts_by_lang(c), ["lang"], [F.desc("n"), F.col("term")], k).select("lang", "term", "rank", "n"), "tops")
+
+
+def _pairs(c, topics):
+    """How often the topics' terms stand together, counted once and stored: at most the square of their number."""
+    return stored(T.cooccurrence(exploded(c), topics.select("term").distinct()), "pairs")
 
 
 CO = f", v AS ({VOCAB}), t AS ({TOPS}), x AS (SELECT DISTINCT doc_id, term FROM tokens JOIN (SELECT DISTINCT term FROM t) USING (term)), co AS (SELECT a.term AS t1, b.term AS t2, count(*) AS shared FROM x a JOIN x b ON a.doc_id = b.doc_id GROUP BY 1, 2), n AS (SELECT count(*) AS n FROM docs)"
@@ -127,7 +158,8 @@ CO = f", v AS ({VOCAB}), t AS ({TOPS}), x AS (SELECT DISTINCT doc_id, term FROM
 
 @query(sql("tokens", CO + " SELECT t1, t2, shared FROM co WHERE t1 <= t2"))
 def term_cooccurrence_top(spark, d):
-    return T.cooccurrence(tokens(spark, d), _topics(spark, d).select("term").distinct())
+    c = corpus(spark, d)
+    return T.cooccurrence(exploded(c), tops(c).select("term").distinct())
 
 
 PAIRS = """, p AS (SELECT a.lang, a.term AS t1, b.term AS t2, a.rank AS r1, b.rank AS r2, coalesce(co.shared, 0) AS shared, ca.shared AS n1, cb.shared AS n2, n.n FROM t a JOIN t b ON a.lang = b.lang CROSS JOIN n LEFT JOIN co ON co.t1 = a.term AND co.t2 = b.term
@@ -137,8 +169,9 @@ PAIRS = """, p AS (SELECT a.lang, a.term AS t1, b.term AS t2, a.rank AS r1, b.ra
 
 @query(sql("tokens", CO + PAIRS + " SELECT lang, round(avg(npmi) FILTER (r1 < r2), 6) AS npmi, round(avg(ln((shared + 1) / n1)) FILTER (r1 < r2), 6) AS umass FROM q GROUP BY 1"))
 def coherence_npmi_umass(spark, d):
-    n = docs(spark, d).count()
-    return T.coherence(_topics(spark, d), term_cooccurrence_top(spark, d), n, "lang").groupBy("lang").agg(
+    c = corpus(spark, d)
+    t = tops(c)
+    return T.coherence(t, _pairs(c, t), c.count(), "lang").groupBy("lang").agg(
         F.round(F.avg(F.when(F.col("r1") < F.col("r2"), F.col("npmi"))), 6).alias("npmi"), F.round(F.avg(F.when(F.col("r1") < F.col("r2"), F.ln((F.col("shared") + 1) / F.col("n1")))), 6).alias("umass"))
 
 
@@ -146,12 +179,14 @@ def coherence_npmi_umass(spark, d):
  SELECT lang, round(avg(cos), 6) AS c_v FROM c GROUP BY 1"""))
 def coherence_cv(spark, d):
     """Mean cosine of each word's NPMI vector with the sum of all of them."""
-    return T.coherence_cv(T.coherence(_topics(spark, d), term_cooccurrence_top(spark, d), docs(spark, d).count(), "lang"), "lang").select("lang", F.round("c_v", 6).alias("c_v"))
+    c = corpus(spark, d)
+    t = tops(c)
+    return T.coherence_cv(stored(T.coherence(t, _pairs(c, t), c.count(), "lang"), "npmi"), "lang").select("lang", F.round("c_v", 6).alias("c_v"))
 
 
 @query(sql("tokens", f", v AS ({VOCAB}), c AS (SELECT lang, term, count(*) AS n FROM tokens JOIN v USING (term) GROUP BY 1, 2), p AS (SELECT lang, n / sum(n) OVER (PARTITION BY lang) AS p FROM c) SELECT lang, round(exp(-sum(p * ln(p))), 6) AS effective_vocab, count(*) AS terms FROM p WHERE p > 1e-15 GROUP BY 1"))
 def effective_vocab_entropy(spark, d):
-    counts = tokens(spark, d).join(vocab_train_top(spark, d).select("term"), "term").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts_by_lang(corpus(spark, d))
     p = counts.select("lang", (F.col("n") / F.sum("n").over(Window.partitionBy("lang"))).alias("p")).filter("p > 1e-15")
     return p.groupBy("lang").agg(F.round(F.exp(-F.sum(F.col("p") * F.ln("p"))), 6).alias("effective_vocab"), F.count(F.lit(1)).alias("terms"))
 
@@ -221,11 +256,12 @@ def value_counts_summary(spark, d):
     return e.groupBy("event_type", (F.col("user_id") % 5).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.round(F.percentile("value", F.lit(0.5)), 6).alias("middle"), F.max("value").alias("high"))
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+@query("SELECT event_id, path, json_extract_string(props, '$.' || path) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS path FROM events)")
 def json_flatten(spark, d):
-    """Top-level paths and values of a JSON column."""
-    e = table(spark, d, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("path", "value"))
-    return e.filter("path = 'k'").select("event_id", F.col("value").cast("long").alias("k"))
+    """Every path and value of a JSON column."""
+    from tidemark.sources.readers import flatten_json
+
+    return flatten_json(table(spark, d, "events"), "event_id", "props")
 
 
 @query("SELECT count(*) AS docs, count(*) FILTER (n_chars > 200) AS predicted, count(*) FILTER (n_chars > 200 AND quality = 1) AS tp, count(*) FILTER (n_chars > 200 AND quality = 0) AS fp, count(*) FILTER (n_chars <= 200 AND quality = 1) AS fn, count(*) FILTER (n_chars <= 200 AND quality = 0) AS tn, round(count(*) FILTER (n_chars > 200 AND quality = 1) / nullif(count(*) FILTER (n_chars > 200), 0), 6) AS precision, round(count(*) FILTER (n_chars > 200 AND quality = 1) / nullif(count(*) FILTER (quality = 1), 0), 6) AS recall FROM documents JOIN labels USING (doc_id)")
@@ -237,31 +273,28 @@ def label_confusion(spark, d):
     return c.select((F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("docs"), (F.col("tp") + F.col("fp")).alias("predicted"), "tp", "fp", "fn", "tn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-def _top_set(spark, d, lang):
-    return _topics(spark, d, 25).filter(F.col("lang") == lang).select("term", "n")
-
-
 TOPS25 = TOPS.replace("rank <= 10", "rank <= 25").replace("SELECT lang, term, rank FROM (SELECT lang, term,", "SELECT lang, term, rank, n FROM (SELECT lang, term, count(*) AS n,")
 
 
 @query(sql("tokens", f", v AS ({VOCAB}), t AS ({TOPS25}) SELECT a.lang AS a, b.lang AS b, count(*) FILTER (a.term = b.term) AS common, round(count(*) FILTER (a.term = b.term) / (50 - count(*) FILTER (a.term = b.term)), 6) AS jaccard FROM t a JOIN t b ON a.lang < b.lang GROUP BY 1, 2"))
 def topk_jaccard(spark, d):
     """Jaccard of the top 25 terms of each pair of languages."""
-    return T.topk_jaccard(_topics(spark, d, 25).groupBy("lang").agg(F.collect_set("term").alias("terms")), "lang", "terms")
+    return T.topk_jaccard(tops(corpus(spark, d), 25).groupBy("lang").agg(F.collect_set("term").alias("terms")), "lang", "terms")
 
 
-@query(sql("tokens", f", v AS ({VOCAB}), c AS (SELECT lang, term, count(*) AS n FROM tokens JOIN v USING (term) WHERE lang IN ('de', 'en') GROUP BY 1, 2), t AS (SELECT DISTINCT term FROM (SELECT term, row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) AS r FROM c) WHERE r <= 25), g AS (SELECT t.term, coalesce(a.n, 0) AS x, coalesce(b.n, 0) AS y FROM t LEFT JOIN c a ON a.term = t.term AND a.lang = 'de' LEFT JOIN c b ON b.term = t.term AND b.lang = 'en'), s AS (SELECT x / sum(x) OVER () AS x, y / sum(y) OVER () AS y FROM g) SELECT round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS weighted_jaccard, count(*) AS terms FROM s"))
+@query(sql("tokens", f""", v AS ({VOCAB}), c AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM tokens JOIN v USING (term) GROUP BY 1, 2), t AS (SELECT lang, term FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 25),
+ l AS (SELECT a.lang AS a, b.lang AS b FROM (SELECT DISTINCT lang FROM t) a JOIN (SELECT DISTINCT lang FROM t) b ON a.lang < b.lang), u AS (SELECT DISTINCT a, b, term FROM l JOIN t ON t.lang IN (a, b)),
+ g AS (SELECT u.a, u.b, coalesce(x.n, 0) AS x, coalesce(y.n, 0) AS y FROM u LEFT JOIN c x ON x.lang = u.a AND x.term = u.term LEFT JOIN c y ON y.lang = u.b AND y.term = u.term), s AS (SELECT a, b, x / sum(x) OVER w AS x, y / sum(y) OVER w AS y FROM g WINDOW w AS (PARTITION BY a, b))
+ SELECT a, b, round(sum(least(x, y)) / sum(greatest(x, y)), 6) AS weighted_jaccard, count(*) AS terms FROM s GROUP BY 1, 2"""))
 def weighted_jaccard(spark, d):
-    """Ruzicka similarity of two languages over the union of their top terms, weights from their full counts."""
-    counts = tokens(spark, d).filter("lang IN ('de', 'en')").join(vocab_train_top(spark, d).select("term"), "term").groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n"))
-    return T.weighted_jaccard(counts, "lang", "de", "en", 25).select(F.round("weighted_jaccard", 6).alias("weighted_jaccard"), "terms")
+    """Ruzicka similarity of every two languages over the union of their top terms, weights from their full counts."""
+    return T.weighted_jaccard(stored(counts_by_lang(corpus(spark, d)), "counts"), "lang", 25).withColumn("weighted_jaccard", F.round("weighted_jaccard", 6))
 
 
-@query(sql("tokens", f", v AS ({VOCAB}), t AS ({TOPS25}) SELECT term, CASE WHEN max(lang) = 'de' THEN 'removed' ELSE 'added' END AS change FROM t WHERE lang IN ('de', 'en') GROUP BY 1 HAVING count(*) = 1"))
+@query(sql("tokens", f", v AS ({VOCAB}), t AS MATERIALIZED ({TOPS25}) SELECT lang, term, 'added' AS change FROM t WHERE lang <> 'de' AND term NOT IN (SELECT term FROM t WHERE lang = 'de') UNION ALL SELECT l.lang, b.term, 'removed' FROM (SELECT DISTINCT lang FROM t WHERE lang <> 'de') l JOIN t b ON b.lang = 'de' WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.lang = l.lang AND x.term = b.term)"))
 def topk_terms_diff(spark, d):
-    """Terms of English and not of German tops, and the reverse."""
-    a, b = (_top_set(spark, d, x).select("term") for x in ("de", "en"))
-    return b.join(a, "term", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "term", "left_anti").withColumn("change", F.lit("removed")))
+    """What each language's top terms have beyond the baseline's (German) and lack of them."""
+    return T.terms_diff(tops(corpus(spark, d), 25), "lang", "de")
 
 
 @query()

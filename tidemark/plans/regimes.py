@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import regimes as R
 from tidemark.operators.windows import first_by_rank
-from tidemark.plans.base import REGIMES, docs, shares, sql, table, tokens
-from tidemark.plans.corpus import VOCAB, vocab_train_top
+from tidemark.plans.base import REGIMES, corpus, exploded, shares, sql
+from tidemark.plans.corpus import VOCAB, vocabulary
+from tidemark.tables import stored
 
 Q, O = {}, {}
 
@@ -38,30 +39,34 @@ def query(oracle=None):
     return add
 
 
-def _claims(spark, d):
-    return R.claim_terms(vocab_train_top(spark, d).select("term"), R.domain_pairs(spark, DICTIONARY))
+def _claims(spark, c):
+    """Which keyword claims each vocabulary term of a stored corpus; stored."""
+    return stored(R.claim_terms(vocabulary(c).select("term"), R.domain_pairs(spark, DICTIONARY)), "claims")
 
 
-def _weights(spark, d):
-    """Sources play topics: a term's documents are its weight."""
-    return tokens(spark, d).join(vocab_train_top(spark, d).select("term"), "term").groupBy(F.col("source").alias("topic"), "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def weights_and_claims(spark, d):
+    """Sources play topics: a term's documents are its weight; and the claims. Words are cut once, the vocabulary is built once."""
+    c = corpus(spark, d)
+    vocab = vocabulary(c).select("term")
+    w = exploded(c).join(vocab, "term").groupBy(F.col("source").alias("topic"), "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return stored(w, "weights"), stored(R.claim_terms(vocab, R.domain_pairs(spark, DICTIONARY)), "claims")
 
 
 @query(sql("tokens", ", " + CLAIMS + " SELECT term, keyword, domain, grp FROM claims"))
 def term_claim_domain(spark, d):
-    return _claims(spark, d)
+    return _claims(spark, corpus(spark, d))
 
 
 @query(sql("tokens", ", " + CLAIMS + WEIGHTS + MAPPING + GROUPS + " SELECT topic, best, round(best_mass, 6) AS best_mass, round(best_share, 6) AS best_share, second, round(mass_ratio, 6) AS mass_ratio, round(1 - mass_ratio, 6) AS confidence, status, dominant_group FROM mapping LEFT JOIN g USING (topic)"))
 def topic_mapping_status(spark, d):
-    w, c = _weights(spark, d), _claims(spark, d)
+    w, c = weights_and_claims(spark, d)
     m = R.map_topics(w, c).join(R.dominant_group(w, c), "topic", "left")
     return m.select("topic", "best", *[F.round(x, 6).alias(x) for x in ("best_mass", "best_share", "mass_ratio", "confidence")], "second", "status", "dominant_group")
 
 
 @query(sql("tokens", ", " + CLAIMS + WEIGHTS + MAPPING + GROUPS + ", s AS (SELECT best AS domain, count(*) AS topics, array_to_string(list_sort(list(DISTINCT dominant_group)), ';') AS groups FROM mapping LEFT JOIN g USING (topic) WHERE status = 'assigned' GROUP BY 1) SELECT domain, coalesce(topics, 0) AS topics, coalesce(groups, '') AS groups, CASE WHEN topics IS NULL THEN 'unsupported' WHEN domain = 'motion' AND groups = 'ring' THEN 'ring only' ELSE 'supported' END AS support FROM (SELECT DISTINCT domain FROM pairs) LEFT JOIN s USING (domain)"))
 def domain_support(spark, d):
-    w, c = _weights(spark, d), _claims(spark, d)
+    w, c = weights_and_claims(spark, d)
     domains = R.domain_pairs(spark, DICTIONARY).select("domain").distinct()
     return R.domain_support(R.map_topics(w, c), R.dominant_group(w, c), domains, {"motion": "ring"})
 
@@ -133,7 +138,8 @@ EVID = ", " + CLAIMS + ", e AS (SELECT doc_id, month, domain, count(*) AS n FROM
 @query(sql("tokens", EVID + " SELECT month, doc_id, round(least(a, b), 6) AS both_share, rank FROM (SELECT month, doc_id, coalesce(a, 0) AS a, coalesce(b, 0) AS b, row_number() OVER (PARTITION BY month ORDER BY round(least(coalesce(a, 0), coalesce(b, 0)), 12) DESC, doc_id) AS rank FROM s) WHERE rank <= 2"))
 def compound_top_articles(spark, d):
     """Each month's two documents that carry two domains most evenly: min of both shares."""
-    e = tokens(spark, d).join(_claims(spark, d), "term").groupBy("doc_id", "month").pivot("domain", ["thermal", "motion", "place", "other"]).agg(F.count(F.lit(1)))
+    c = corpus(spark, d)
+    e = exploded(c).join(_claims(spark, c), "term").groupBy("doc_id", "month").pivot("domain", ["thermal", "motion", "place", "other"]).agg(F.count(F.lit(1)))
     total = F.coalesce("thermal", F.lit(0)) + F.coalesce("motion", F.lit(0)) + F.coalesce("place", F.lit(0)) + F.coalesce("other", F.lit(0))
     s = e.withColumn("both", F.least(F.coalesce("thermal", F.lit(0)) / total, F.coalesce("motion", F.lit(0)) / total))
     return first_by_rank(s, ["month"], [F.desc(F.round("both", 12)), F.col("doc_id")], 2).select("month", "doc_id", F.round("both", 6).alias("both_share"), "rank")
@@ -142,6 +148,7 @@ def compound_top_articles(spark, d):
 @query(sql("tokens", EVID + " SELECT doc_id, domain AS top_domain, round(n / total, 6) AS share FROM (SELECT doc_id, domain, n, sum(n) OVER (PARTITION BY doc_id) AS total, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, domain) AS r FROM e) WHERE r = 1"))
 def article_top_domain(spark, d):
     """Each document's domain with most claimed terms."""
-    e = tokens(spark, d).join(_claims(spark, d), "term").groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("n"))
+    c = corpus(spark, d)
+    e = exploded(c).join(_claims(spark, c), "term").groupBy("doc_id", "domain").agg(F.count(F.lit(1)).alias("n"))
     g = e.groupBy("doc_id").agg(F.sum("n").alias("total"), F.min(F.struct((-F.col("n")).alias("low"), "domain")).alias("best"))
     return g.select("doc_id", F.col("best.domain").alias("top_domain"), F.round(-F.col("best.low") / F.col("total"), 6).alias("share"))

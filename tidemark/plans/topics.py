@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from tidemark.config import MAX_DF_RATIO, N_TOPICS, NMF_MAX_ITER, PER_MONTH_SAMPLE, TOP_N_VOCAB
 from tidemark.functions.scalar import hash_order
+from tidemark.operators import regimes as R
 from tidemark.operators import text as T
 from tidemark.operators import topics as M
 from tidemark.operators.windows import first_by_rank
-from tidemark.plans.base import docs, table, tokens
+from tidemark.plans.base import corpus, docs, exploded
+from tidemark.plans.corpus import varying_terms
+from tidemark.plans.regimes import DICTIONARY
+from tidemark.tables import stored
 
 Q, O = {}, {}
 #: Least document frequency: the driver's corpora are smaller than the published one's 200.
@@ -23,16 +27,18 @@ def query(f):
 
 def _rows(spark, d, chosen):
     """The vocabulary of all training documents and every document's weights, inverse document frequencies from ``chosen`` alone."""
-    train = docs(spark, d).filter("period = 'Train'")
-    vocab = T.vocabulary(tokens(spark, d).filter("period = 'Train'"), train.count(), LEAST_DF, MAX_DF_RATIO, TOP_N_VOCAB).persist()
-    df = T.document_frequency(tokens(spark, d).join(chosen.select("doc_id"), "doc_id", "left_semi"))
+    c = corpus(spark, d)
+    train = c.filter("period = 'Train'")
+    vocab = stored(T.vocabulary(exploded(train), train.count(), LEAST_DF, MAX_DF_RATIO, TOP_N_VOCAB), "vocabulary")
+    df = T.document_frequency(exploded(c).join(chosen, "doc_id", "left_semi"))
     fit = vocab.select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
-    return vocab, M.rows_of(T.tfidf(tokens(spark, d), fit, chosen.count()))
+    return vocab, stored(M.rows_of(T.tfidf(exploded(c), fit, chosen.count())), "rows")
 
 
 def _sample(spark, d):
     """The published number of training documents a month, by hash."""
-    return first_by_rank(docs(spark, d).filter("period = 'Train'").select("doc_id", "month"), ["month"], [hash_order(F.col("doc_id")), F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id")
+    chosen = first_by_rank(docs(spark, d).filter("period = 'Train'").select("doc_id", "month"), ["month"], [hash_order(F.col("doc_id")), F.col("doc_id")], PER_MONTH_SAMPLE)
+    return stored(chosen.select("doc_id"), "sample")
 
 
 def _prepared(spark, d):
@@ -84,22 +90,47 @@ def lda_perplexity(spark, d):
 
 @query
 def topic_stability(spark, d):
-    """Ten subsamples and eleven random restarts at the published size, matched with the base and within their kind."""
+    """Ten subsamples and eleven other starts (one with filled zeros, five with random fillings, five random) at the published size, matched with the base and within their kind."""
     _, terms, _, sample = _prepared(spark, d)
-    return M.stability(sample, terms, N_TOPICS, max_iter=NMF_MAX_ITER)
+    return M.stability(sample, terms, N_TOPICS, M.study_runs(), max_iter=NMF_MAX_ITER)
+
+
+def _mapped_study(spark, d):
+    """Runs of the study with every topic's mapping and the base topic it matches; and the base's mapping."""
+    vocab, terms, _, sample = _prepared(spark, d)
+    runs = M.study_runs()
+    weights, matched = M.bases_table(spark, M.fit_study(sample, terms, N_TOPICS, runs, max_iter=NMF_MAX_ITER), vocab)
+    weights = stored(weights, "bases")
+    claims = stored(R.claim_terms(vocab.select("term"), R.domain_pairs(spark, DICTIONARY)), "claims")
+    return runs, R.mapped_runs(weights, claims, matched)
+
+
+@query
+def mapping_reproduction(spark, d):
+    """How often each base topic's status and domain come back, by kind of run."""
+    runs, mapped = _mapped_study(spark, d)
+    return R.reproduction(mapped, {r: kind for r, (kind, _, _) in enumerate(runs)})
+
+
+@query
+def regimes_reproduced(spark, d):
+    """How many of the base's regimes each run forms, and which."""
+    runs, mapped = _mapped_study(spark, d)
+    return R.regimes_formed(mapped, {r: kind for r, (kind, _, _) in enumerate(runs)})
 
 
 @query
 def nmf_convergence(spark, d):
+    """One fit at 400, 800 and 1200 iterations, and at 1600 and 2400 where it hasn't converged by then; every two against each other."""
     _, terms, _, sample = _prepared(spark, d)
-    return M.convergence(sample, terms, N_TOPICS, [400, 800, 1200])
+    return M.convergence(sample, terms, N_TOPICS, [400, 800, 1200], [1600, 2400])
 
 
 @query
 def exploratory_topics(spark, d):
     """First documents of each month instead of a random sample; raw weights are averaged before they are normalised."""
-    first = first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id", "month")
-    vocab, rows = _rows(spark, d, first)
+    first = stored(first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id", "month"), "sample")
+    vocab, rows = _rows(spark, d, first.select("doc_id"))
     part = rows.join(first.select("doc_id"), "doc_id", "left_semi")
     weights = M.transform(part, M.fit_nmf(part, vocab.count(), N_TOPICS, NMF_MAX_ITER), raw=True)
     return M.mean_shares(first.join(weights, "doc_id", "left"), "month", N_TOPICS)
@@ -108,9 +139,6 @@ def exploratory_topics(spark, d):
 @query
 def keyword_clusters(spark, d):
     """Twelve clusters of the terms whose monthly share varies, by their movement; at most the capped vocabulary's terms."""
-    from tidemark.plans.corpus import term_cv_filter, term_month_matrix
-
-    n = docs(spark, d).groupBy("month").agg(F.count(F.lit(1)).alias("n"))
-    terms = term_cv_filter(spark, d).select("term")
-    grid = terms.crossJoin(n).join(term_month_matrix(spark, d), ["term", "month"], "left")
+    varying, n, matrix = varying_terms(corpus(spark, d))
+    grid = varying.select("term").crossJoin(F.broadcast(n)).join(matrix, ["term", "month"], "left")  # capped terms by calendar months
     return M.keyword_clusters(grid.select("term", "month", (F.coalesce("df", F.lit(0)) / F.col("n")).alias("share")), 12)
