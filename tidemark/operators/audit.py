@@ -56,6 +56,20 @@ def manifest(rows: DataFrame, part: str, facts: list, total: str = "all") -> Dat
     return parts.unionByName(whole).crossJoin(F.broadcast(sums))
 
 
+def file_manifest(df: DataFrame) -> DataFrame:
+    """file, bytes, rows of every file that a scan reads, from Spark's file metadata; files without rows aren't seen."""
+    return df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).groupBy("file", "bytes").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def reconcile(found: DataFrame, expected: DataFrame, total: int | None = None) -> DataFrame:
+    """One row: files, rows, missing and extra files, files with other row counts, and whether all agrees (with ``total``, its sum too). Both sides have (file, rows)."""
+    f, e = found.select("file", F.col("rows").alias("found")), expected.select("file", F.col("rows").alias("expected"))
+    g = f.join(e, "file", "full").agg(
+        F.count("found").alias("files"), F.coalesce(F.sum("found"), F.lit(0)).alias("rows"), F.count_if(F.col("found").isNull()).alias("missing"), F.count_if(F.col("expected").isNull()).alias("extra"), F.count_if(F.col("found") != F.col("expected")).alias("different"))
+    sums = F.lit(True) if total is None else F.col("rows") == total
+    return g.withColumn("total_ok", (F.col("missing") == 0) & (F.col("extra") == 0) & (F.col("different") == 0) & sums)
+
+
 def file_hash(path: str | Path) -> str:
     h = hashlib.sha256()
     with open(path, "rb") as f:

@@ -33,9 +33,12 @@ def claim_terms(terms: DataFrame, pairs: DataFrame) -> DataFrame:
     """term, keyword, domain, grp: the keyword that claims each term.
 
     A keyword claims a term it equals or, from two letters on, stands in; the longest wins, then
-    the domain's order, then the keyword. The dictionary is small by construction and broadcast."""
-    hit = (F.col("keyword") == F.col("term")) | ((F.length("keyword") >= 2) & F.col("term").contains(F.col("keyword")))
-    found = terms.join(F.broadcast(pairs), hit)
+    the domain's order, then the keyword. Terms are cut into their parts of the keywords' lengths, so keywords
+    are looked up, not tried one by one; the dictionary is small by construction and broadcast."""
+    lengths = [r[0] for r in pairs.select(F.length("keyword")).distinct().collect()]  # a few
+    cut = lambda n: F.when(F.length("term") >= n, F.transform(F.sequence(F.lit(1), F.length("term") - n + 1), lambda i: F.substring(F.col("term"), i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    parts = F.array_distinct(F.flatten(F.array(F.array("term"), *[cut(n) for n in lengths if n >= 2])))
+    found = terms.select("term", F.explode(parts).alias("keyword")).join(F.broadcast(pairs), "keyword")
     best = F.min(F.struct((-F.length("keyword")).alias("len"), "domain_rank", "keyword", "domain", "grp")).alias("b")
     return found.groupBy("term").agg(best).select("term", "b.keyword", "b.domain", "b.grp")
 
@@ -57,6 +60,42 @@ def map_topics(weights: DataFrame, claims: DataFrame, min_share: float = 0.01, t
     return out.select("topic", "best", "best_mass", share.alias("best_share"), "second", "second_mass", mass_ratio.alias("mass_ratio"), (1 - mass_ratio).alias("confidence"), status.alias("status"))
 
 
+def map_topics_again(weights: DataFrame, pairs: DataFrame, min_share: float = 0.01, tie: float = 0.90) -> DataFrame:
+    """topic, status, domain, best_mass by a second rule of its own, in SQL: to hold ``map_topics`` against.
+
+    The dictionary becomes one list in the order of precedence; each term looks for the first entry that stands in it,
+    and a topic's masses are sorted as a list, where equal masses go by the domain's name."""
+    ordered = pairs.agg(F.sort_array(F.collect_list(F.struct((-F.length("keyword")).alias("n"), "domain_rank", "keyword", "domain"))).alias("dictionary"))
+    return weights.sparkSession.sql(
+        """WITH owned AS (SELECT topic, weight, get(filter(dictionary, k -> k.keyword = term OR (length(k.keyword) >= 2 AND contains(term, k.keyword))), 0).domain AS domain FROM {w} CROSS JOIN {d}),
+        sums AS (SELECT topic, domain, sum(weight) AS mass FROM owned GROUP BY topic, domain),
+        lists AS (SELECT topic, sum(mass) AS total, array_sort(collect_list(CASE WHEN domain IS NOT NULL THEN named_struct('low', -mass, 'domain', domain) END)) AS m FROM sums GROUP BY topic),
+        two AS (SELECT topic, total, coalesce(-get(m, 0).low, 0D) AS best_mass, coalesce(-get(m, 1).low, 0D) AS next_mass, get(m, 0).domain AS best FROM lists),
+        said AS (SELECT topic, best, best_mass, CASE WHEN best_mass <= 0 OR best_mass <= {least} * total THEN 'residual' WHEN next_mass >= {tie} * best_mass THEN 'ambiguous' ELSE 'assigned' END AS status FROM two)
+        SELECT topic, status, CASE WHEN status = 'assigned' THEN best END AS domain, best_mass FROM said""",
+        w=weights, d=ordered, least=min_share, tie=tie)
+
+
+def permuted(weights: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
+    """Copies of a basis with its topics renumbered at random, as (struct of copy and number as topic, term, weight), and which topic each number stands for."""
+    topics = weights.select(F.col("topic").alias("own")).distinct()
+    each = topics.select("own", F.explode(F.sequence(F.lit(1), F.lit(copies))).alias("copy"))
+    order = Window.partitionBy("copy").orderBy(F.md5(F.concat_ws("-", F.col("copy"), F.col("own").cast("string"))), "own")  # a few topics
+    names = each.withColumn("number", F.row_number().over(order))
+    moved = weights.withColumnRenamed("topic", "own").join(F.broadcast(names), "own").select(F.struct("copy", "number").alias("topic"), "term", "weight")
+    return moved, names
+
+
+def equivariance(weights: DataFrame, claims: DataFrame, copies: int = 5) -> DataFrame:
+    """copy, topics, changed: how many topics have another status or domain after a renumbering, all copies mapped at once and brought back."""
+    moved, names = permuted(weights, copies)
+    said = F.when(F.col("status") == "assigned", F.col("best"))
+    base = map_topics(weights, claims).select(F.col("topic").alias("own"), F.col("status").alias("own_status"), said.alias("own_domain"))
+    back = map_topics(moved, claims).select("topic.*", "status", said.alias("domain")).join(F.broadcast(names), ["copy", "number"]).join(F.broadcast(base), "own")
+    changed = ~(F.col("status").eqNullSafe(F.col("own_status")) & F.col("domain").eqNullSafe(F.col("own_domain")))
+    return back.groupBy("copy").agg(F.count(F.lit(1)).alias("topics"), F.count_if(changed).alias("changed"))
+
+
 def dominant_group(weights: DataFrame, claims: DataFrame) -> DataFrame:
     """The dictionary group with most mass in each topic; ties by name."""
     g = weights.join(claims.select("term", "grp"), "term").groupBy("topic", "grp").agg(F.sum("weight").alias("mass"))

@@ -7,7 +7,7 @@ import importlib
 FLAGSHIP = "regime_activation"
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("corpus", "regimes", "panels", "statistics", "comparisons", "topics"):
+for _name in ("corpus", "regimes", "panels", "statistics", "comparisons", "topics", "checks"):
     _m = importlib.import_module(f"tidemark.plans.{_name}")
     QUERIES |= _m.Q
     ORACLES |= _m.O

@@ -11,9 +11,13 @@ from tidemark.operators import panels as P
 from tidemark.operators import regimes as R
 from tidemark.operators import stats as S
 from tidemark.operators import text as T
-from tidemark.plans.base import REGIMES, corpus, docs, exploded, months, shares, ship_months, slug, sql, table
+from tidemark.plans.base import REGIMES, corpus, docs, exploded, months, shares, ship_months, slug, sql, table, weeks
 from tidemark.plans.corpus import TOPS, VOCAB, stratified_sample, tops, vocabulary
+from tidemark.operators.windows import ordered
 from tidemark.plans.panels import DER, derivatives
+from tidemark.plans.regimes import DICTIONARY
+from tidemark.plans.statistics import SPLITS, _weekly_diffs
+from tidemark.tables import stored
 
 Q, O = {}, {}
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -148,23 +152,42 @@ def report_recheck(spark, d):
     return A.recheck(report, computed, ["month"], ["level", "revenue"], 2).groupBy("column").agg(F.count(F.lit(1)).alias("cells"), F.count_if(~F.col("ok")).alias("wrong"))
 
 
-@query(sql("tokens z", f""", v AS ({VOCAB}), f AS (SELECT period FROM (SELECT period, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS r FROM docs WHERE period = 'Train') WHERE r <= 5),
- c AS (SELECT term, count(*) AS n FROM tokens WHERE period = 'Train' GROUP BY 1), m AS (SELECT regime, avg(share) AS mean, stddev_samp(share) AS sd FROM z WHERE period = 'Train' GROUP BY 1)
+@query(sql("tokens z months weeks", SPLITS + f""", v AS ({VOCAB}), f AS (SELECT doc_id, period FROM (SELECT doc_id, period, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS r FROM docs WHERE period = 'Train') WHERE r <= 5),
+ c AS (SELECT term, count(*) AS n FROM tokens WHERE period = 'Train' GROUP BY 1), m AS (SELECT regime, avg(share) AS mean, stddev_samp(share) AS sd FROM z WHERE period = 'Train' GROUP BY 1),
+ wk AS (SELECT week, period, lag(period) OVER (ORDER BY week) AS before FROM weeks)
  SELECT 'split' AS audit, count(*) AS checked, count(*) FILTER ((period = 'Train') <> (month <= '2024-12')) AS leaks FROM docs UNION ALL SELECT 'vocabulary', count(*), count(*) FILTER (v.df <> coalesce(c.n, 0)) FROM v LEFT JOIN c ON c.term = v.term
- UNION ALL SELECT 'fit sample', count(*), count(*) FILTER (period <> 'Train') FROM f UNION ALL SELECT 'z scores', count(*), count(*) FILTER (abs(z - (share - mean) / sd) > 1e-9) FROM z JOIN m USING (regime)"""))
+ UNION ALL SELECT 'fit sample', count(*), count(*) FILTER (period <> 'Train') FROM f UNION ALL SELECT 'basis cells', count(*), count(*) FILTER (f.period <> 'Train') FROM tokens JOIN f USING (doc_id) JOIN v USING (term)
+ UNION ALL SELECT 'mapping', count(DISTINCT source), 0 FROM tokens JOIN v USING (term) WHERE period = 'Train' UNION ALL SELECT 'z scores', count(*), count(*) FILTER (abs(z - (share - mean) / sd) > 1e-9) FROM z JOIN m USING (regime)
+ UNION ALL SELECT 'regression window', count(*), count(*) FILTER (month > '1998-12') FROM months WHERE period = 'Train' UNION ALL SELECT 'weekly differences', count(*), count(*) FILTER (before <> period) FROM df JOIN wk USING (week) WHERE split <> 'Full' AND dn IS NOT NULL"""))
 def leakage_audit(spark, d):
-    """What was learned, checked against the training period: rows looked at and rows that leak, recomputed another way."""
+    """What was learned, checked against the training period at eight stages: rows looked at and rows that leak, recomputed another way."""
     all_docs = corpus(spark, d)
     t = exploded(all_docs)
     leaks = lambda c: [F.count(F.lit(1)).alias("checked"), F.count_if(F.coalesce(c, F.lit(False))).alias("leaks")]
     split = all_docs.agg(*leaks((F.col("period") == "Train") != (F.col("month") <= TRAIN_END)))
     again = T.document_frequency(t.filter("period = 'Train'")).select("term", F.col("df").alias("again"))
-    vocab = vocabulary(all_docs).join(again, "term", "left").agg(*leaks(F.col("df") != F.coalesce("again", F.lit(0))))
-    sample = stratified_sample(spark, d).join(all_docs.select("doc_id", "period"), "doc_id").agg(*leaks(F.col("period") != "Train"))
+    v = vocabulary(all_docs)
+    vocab = v.join(again, "term", "left").agg(*leaks(F.col("df") != F.coalesce("again", F.lit(0))))
+    chosen = stored(stratified_sample(spark, d).select("doc_id"), "sample")
+    sample = chosen.join(all_docs.select("doc_id", "period"), "doc_id").agg(*leaks(F.col("period") != "Train"))
+    cells = t.join(chosen, "doc_id", "left_semi").join(v.select("term"), "term", "left_semi").agg(*leaks(F.col("period") != "Train"))
+    with_all, alone = (_train_mapping(spark, c) for c in (all_docs, stored(all_docs.filter("period = 'Train'"), "train")))
+    moved = with_all.join(alone.select("topic", F.col("status").alias("s"), F.col("best").alias("b")), "topic", "full").agg(*leaks(~(F.col("status").eqNullSafe(F.col("s")) & F.col("best").eqNullSafe(F.col("b")))))
     s = shares(spark, d)
     moments = s.filter("period = 'Train'").groupBy("regime").agg(F.avg("share").alias("mean"), F.stddev_samp("share").alias("sd"))
     z = R.regime_zscores(s).join(F.broadcast(moments), "regime").agg(*leaks(F.abs(F.col("z") - (F.col("share") - F.col("mean")) / F.col("sd")) > 1e-9))
-    return A.checks(*[f.select(F.lit(n).alias("audit"), "checked", "leaks") for n, f in (("split", split), ("vocabulary", vocab), ("fit sample", sample), ("z scores", z))])
+    window = months(spark, d).filter("period = 'Train'").agg(*leaks(F.col("month") > "1998-12"))
+    before = weeks(spark, d).select("week", "period", F.lag("period").over(ordered("week")).alias("before"))
+    differences = _weekly_diffs(spark, d).filter("split <> 'Full' AND dn IS NOT NULL").join(before, "week").agg(*leaks(F.col("before") != F.col("period")))
+    stages = {"split": split, "vocabulary": vocab, "fit sample": sample, "basis cells": cells, "mapping": moved, "z scores": z, "regression window": window, "weekly differences": differences}
+    return A.checks(*[f.select(F.lit(n).alias("audit"), "checked", "leaks") for n, f in stages.items()])
+
+
+def _train_mapping(spark, c):
+    """Sources as topics, mapped by what a stored corpus says of its training documents."""
+    vocab = vocabulary(c).select("term")
+    w = exploded(c.filter("period = 'Train'")).join(vocab, "term").groupBy(F.col("source").alias("topic"), "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return R.map_topics(stored(w, "weights"), stored(R.claim_terms(vocab, R.domain_pairs(spark, DICTIONARY)), "claims"))
 
 
 @query("SELECT coalesce(source, 'all') AS part, count(*) AS rows, count(DISTINCT lang) AS langs, min(doc_id) AS first, max(doc_id) AS last, true AS total_ok FROM documents GROUP BY ROLLUP (source) HAVING source IS NOT NULL OR grouping(source) = 1")
