@@ -344,11 +344,37 @@ def test_copies_pass_through_unshuffled(spark):
     from tidemark.llm.exact_dedup import _plan
 
     df = spark.createDataFrame([(i, f"text {i}") for i in range(5000)] + [(9000, "text 7")], "doc_id long, text string")
-    flagged = _plan(df, "doc_id", "text")[2]
+    flagged = _plan(df, "doc_id", "text")[0]
     n = flagged.filter("maybe").count()
     assert 2 <= n <= 200
 
 
+@pytest.mark.parametrize("most", [0, 16 << 10, 128 << 20])
+def test_documents_without_copies_never_move(spark, monkeypatch, most):
+    """Whether every task may be handed no filter, one for the repeated digests alone, or one for all rows: the same result; with a filter nothing but its finds is exchanged."""
+    from tidemark.llm import exact_dedup as E
+
+    monkeypatch.setattr(E, "FILTER_BYTES", most)
+    rows = [(i, f"text {i}") for i in range(20_000)] + [(30_000 + i, f"text {i}") for i in range(50)] + [(40_000 + i, "hot") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = E.exact_dedup(df).groupBy("kept").count().collect()
+    assert {r["kept"]: r["count"] for r in got} == {True: 20_001, False: 50 + 2999}
+    kept = E.drop_exact_copies(df)
+    plan = kept._jdf.queryExecution().sparkPlan()
+    unions = [p for p in iter_plans(plan) if p.nodeName() == "Union"]
+    assert bool(unions) == bool(most)  # without a filter all rows go one way
+    for u in unions:
+        names = {p.nodeName() for p in iter_plans(u.children().apply(0))}
+        assert "BroadcastHashJoin" in names and not any(x in n for n in names for x in ("SortMergeJoin", "ShuffledHash", "Aggregate"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted([*range(50, 20_000), *range(30_000, 30_050), 42_999])
+
+
+def iter_plans(node):
+    yield node
+    for i in range(node.children().length()):
+        yield from iter_plans(node.children().apply(i))
+
+
 def test_decontamination(spark, none):
     from tidemark.llm import decontaminate as D
 

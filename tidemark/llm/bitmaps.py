@@ -35,15 +35,16 @@ def keys_seen_twice(keys: DataFrame, bits: int, hashes: int = 1) -> DataFrame:
     return bitmap(pos.groupBy("pos").count().filter("count > 1"))
 
 
-def keys_present(keys: DataFrame, bits: int) -> DataFrame:
-    return bitmap(keys.select(positions(col(keys.columns[0]), bits).alias("pos")))
+def keys_present(keys: DataFrame, bits: int, hashes: int = 1) -> DataFrame:
+    key = col(keys.columns[0])
+    return bitmap(keys.select(F.explode(F.array(*[positions(key, bits, i) for i in range(hashes)])).alias("pos")))
 
 
-def flag(rows: DataFrame, key: Column, marked: DataFrame, bits: int, hashes: int = 1, mixed: bool = False) -> tuple[DataFrame, str]:
-    """The rows with one more column, and its name: whether all bits of the key are set. Rows are shuffled only if the bitmap is too large to broadcast.
+def flag(rows: DataFrame, key: Column, marked: DataFrame, bits: int, hashes: int = 1, mixed: bool = False, most: int = BROADCAST_BYTES) -> tuple[DataFrame, str]:
+    """The rows with one more column, and its name: whether all bits of the key are set. Rows are shuffled only if the bitmap is too large to broadcast (``most`` bytes).
 
     A key that is ``mixed``, a well-mixed 64-bit hash itself, stands at its own low bits."""
-    small = bits // 8 <= BROADCAST_BYTES
+    small = bits // 8 <= most
     columns, holds = rows.columns, F.lit(True)
     out, *names = fresh(columns, "maybe", *[f"{x}{i}" for i in range(hashes) for x in ("at", "bucket", "bits")])
     for i in range(hashes):
