@@ -257,14 +257,12 @@ def test_diversity(spark):
     assert got == {(1, "x"): (1.0, 0.5), (1, "y"): (1.0, 0.5), (2, "x"): (0.5, 0.75), (2, "y"): (0.5, 0.75)}
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_nmf_ways_agree(spark, bound):
-    """One task and Spark's sums run the same iterations; the start is the library's definition by a dense decomposition."""
+def test_nmf_ways_agree(spark, monkeypatch):
+    """All tasks together and one task by itself run the same iterations; the start is the library's definition by a dense decomposition."""
     rng = np.random.default_rng(3)
     x = rng.random((60, 3)) @ rng.random((3, 12)) * (rng.random((60, 12)) < 0.7)
     rows = [(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)]
     df = spark.createDataFrame(rows, "doc_id int, idx array<int>, w array<double>").repartition(20)
-    model = topics.fit_nmf(df, 12, 3, 1, task_cells=bound)
     u, s, vt = np.linalg.svd(x, full_matrices=False)
     h = np.zeros((3, 12))
     h[0] = np.sqrt(s[0]) * np.abs(vt[0])
@@ -273,10 +271,16 @@ def test_nmf_ways_agree(spark, bound):
         a, b = max(pairs, key=lambda p: np.linalg.norm(p[0]) * np.linalg.norm(p[1]))
         h[i] = np.sqrt(s[i] * np.linalg.norm(a) * np.linalg.norm(b)) * b / np.linalg.norm(b)
     w = topics.nnls_rows(x @ h.T, h @ h.T, np.zeros((60, 3)), 2000)
-    assert model.objective[0] == pytest.approx(((x - w @ h) ** 2).sum(), rel=1e-3)
-    again = topics.fit_nmf(df, 12, 3, 20, task_cells=bound)
-    assert len(again.objective) > 1 and again.objective[-1] < model.objective[0]
-    assert (topics.fit_nmf(df.limit(0), 12, 3, 2, task_cells=bound).h == 0).all()
+    alone = topics.fit_runs(df.withColumn("run", F.lit(0)), 12, 3, [("nndsvd", None)], [1, 20])[0]
+    for cells in (25_000, 4):  # one block, and more tasks than are added at once
+        monkeypatch.setattr(topics, "LEAST_CELLS", cells)
+        monkeypatch.setattr(topics, "BLOCK_ROWS", 7)
+        monkeypatch.setattr(topics, "FAN", 2)
+        one, more = topics.fit_nmf_steps(df, 12, 3, [1, 20])
+        assert one.objective[0] == pytest.approx(((x - w @ h) ** 2).sum(), rel=1e-3)
+        assert len(more.objective) > 1 and more.objective[-1] < one.objective[0]
+        assert np.allclose(one.h, alone[0].h, atol=1e-6) and more.objective == pytest.approx(alone[1].objective, rel=1e-6)
+        assert (topics.fit_nmf(df.limit(0), 12, 3, 2).h == 0).all()
 
 
 def test_matched_bases():
@@ -295,15 +299,14 @@ def test_stability_and_convergence(spark):
     assert [(r["base_iter"], r["max_iter"]) for r in c] == [(5, 5), (5, 10), (10, 10)] and all(r["converged"] and r["same_order"] and r["h_change"] < 1e-6 for r in c)
 
 
-@pytest.mark.parametrize("bound", [0, 1_000_000])
-def test_a_continued_fit_equals_separate_fits(spark, bound):
+def test_a_continued_fit_equals_separate_fits(spark):
     rng = np.random.default_rng(8)
     x = rng.random((40, 3)) @ rng.random((3, 9)) * (rng.random((40, 9)) < 0.8)
     df = spark.createDataFrame([(i, [int(j) for j in np.flatnonzero(r)], [float(v) for v in r[r > 0]]) for i, r in enumerate(x)], "doc_id int, idx array<int>, w array<double>").coalesce(2)
     for start in ("nndsvd", "nndsvdar"):
-        steps = topics.fit_nmf_steps(df, 9, 3, [1, 2, 4], 0.0, start, 3, bound)
+        steps = topics.fit_nmf_steps(df, 9, 3, [1, 2, 4], 0.0, start, 3)
         for m, n in zip(steps, (1, 2, 4), strict=True):
-            alone = topics.fit_nmf(df, 9, 3, n, 0.0, start, 3, bound)
+            alone = topics.fit_nmf(df, 9, 3, n, 0.0, start, 3)
             assert np.allclose(m.h, alone.h) and len(m.objective) == n and np.allclose(m.objective, alone.objective)
     assert len(topics.convergence(df, 9, 3, [1, 2], [3], tol=0.0).collect()) == 6
 
@@ -439,3 +442,21 @@ def test_bootstrap_by_prefix_moments(spark):
     assert math.isclose(got["low95"], np.quantile(r, 0.025), rel_tol=1e-9) and math.isclose(got["high99"], np.quantile(r, 0.995), rel_tol=1e-9)
     flat = spark.createDataFrame([(i, 1.0, float(i)) for i in range(8)], "t int, x double, y double")
     assert stats.block_bootstrap(flat, "t", "x", "y", [2], 5).collect()[0]["high95"] == 0
+
+
+def test_references_as_the_standard_library_resolves_them(spark):
+    import html
+    import html.entities
+    import random
+
+    rng = random.Random(4)
+    some = rng.sample(sorted(html.entities.html5), 150)
+    texts = ["", "no reference", "&", "&;", "&#;", "&#x;", "&amp", "&ampx", "&notit;", "&notin;", "&copy&reg;x", "&unknown;", "&#65;&#x41;&#X41", "&#0;", "&#128;&#x9f;&#x81;", "&#xD800;", "&#x110000;", "&#99999999999999;", "&#13;&#11;&#1;", "&#x1F600;", "&#xFFFE;&#xfdd0;", "&#xFEFF;a", "&#0000065;", "a &lt;b&gt; &quot;c&quot;", "&&amp;&", "&CounterClockwiseContourIntegral;", "&a" * 3]
+    texts += ["".join(rng.choice([f"&{rng.choice(some)}", f"&{rng.choice(some)[:-1]}", " ", "x", ";", f"&#{rng.randint(0, 70000)};", f"&#x{rng.randint(0, 70000):x}"]) for _ in range(6)) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(-1, None)], "id int, t string")
+    got = dict(df.select("id", text.unescape(F.col("t"))).collect())
+    assert got.pop(-1) is None
+    bad = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not bad
+    tags = text.unescape_html(spark.createDataFrame([(1, "<p class='x'>a&nbsp;b</p>&lt;i&gt;")], "id int, h string"), "id", "h").head()
+    assert tags["text"] == " a b <i>"

@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import html
-import re
+import html.entities
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,11 +138,42 @@ def cosine_matrix(vectors: DataFrame, key: str, values: str) -> DataFrame:
     return x.crossJoin(F.broadcast(y)).select("a", "b", clip(ratio(dot, norm(F.col("a_v")) * norm(F.col("b_v"))), 0.0, 1.0).alias("cosine"))
 
 
-def unescape_html(pages: DataFrame, key: str, column: str) -> DataFrame:
-    """Text of pages: tags out, entities resolved by the standard library."""
+#: Fixed value: what a character reference looks like.
+REFERENCE = r"&(#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+def _character(code: Column) -> Column:
+    """The character of a number, with the standard's replacements: code page 1252 between 128 and 159, a sign for what is no character, nothing for control signs and the like."""
+    known = F.create_map(*[F.lit(x) for n in range(0x80, 0xA0) for x in (n, bytes([n]).decode("cp1252", "ignore") or chr(n))], F.lit(13), F.lit("\r"), F.lit(0xFEFF), F.lit("\ufeff"))
+    dropped = code.between(1, 8) | code.between(0xE, 0x1F) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | (code == 11) | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+    wide = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    special = F.try_element_at(known, code.cast("int"))
+    return F.when(special.isNotNull(), special).when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(dropped, "").otherwise(wide)
+
 
-    @F.pandas_udf("string")
-    def clean(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else html.unescape(re.sub(r"<[^>]*>", " ", x)))
+def unescape(c: Column) -> Column:
+    """Character references resolved as HTML 5 says: numbers, names with and without semicolon, the longest known beginning of a name; others stay. In expressions alone."""
+    named = F.create_map(*[F.lit(x) for pair in html.entities.html5.items() for x in pair])
+    short = F.create_map(*[F.lit(x) for k, v in html.entities.html5.items() if not k.endswith(";") for x in (k, v)])  # known without semicolon: the only beginnings there are
 
-    return pages.select(key, clean(column).alias("text"))
+    def one(ref):
+        name = F.substr(ref, F.lit(2))
+        digits = F.regexp_replace(F.lower(name), "[#x;]", "")
+        sized = F.greatest(F.length(F.regexp_replace(digits, "^0+", "")), F.lit(1))
+        hexed = F.conv(F.right(F.lpad(digits, 8, "0"), F.lit(8)), 16, 10).cast("long")
+        plain = F.right(F.lpad(digits, 10, "0"), F.lit(10)).cast("long")
+        code = F.when(F.lower(name).startswith("#x"), F.when(sized > 8, 0x110000).otherwise(hexed)).otherwise(F.when(sized > 10, 0x110000).otherwise(plain))
+        begins = F.transform(F.sequence(F.greatest(F.length(name), F.lit(2)), F.lit(2), F.lit(-1)), lambda n: F.substr(name, F.lit(1), n))
+        begin = F.get(F.filter(begins, lambda b: F.map_contains_key(short, b)), 0)
+        whole = F.try_element_at(named, name)
+        other = F.when(whole.isNotNull(), whole).when((F.length(name) > 1) & begin.isNotNull(), F.concat(F.try_element_at(short, begin), F.substr(name, F.length(begin) + 1))).otherwise(ref)
+        return F.when(name.startswith("#"), _character(code)).otherwise(other)
+
+    refs = F.regexp_extract_all(c, F.lit(REFERENCE), F.lit(0))
+    between = F.split(c, REFERENCE, -1)
+    return F.array_join(F.zip_with(between, F.transform(refs, one), lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+
+
+def unescape_html(pages: DataFrame, key: str, column: str) -> DataFrame:
+    """Text of pages: each tag becomes a blank, character references are resolved; null stays null."""
+    return pages.select(key, unescape(F.regexp_replace(column, "<[^>]*>", " ")).alias("text"))

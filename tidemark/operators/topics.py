@@ -18,8 +18,10 @@ def rows_of(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     return weights.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("x")).select(key, F.col("x.idx").alias("idx"), F.col("x.weight").alias("w"))
 
 
-#: Non-zero cells that one task solves for alone (16 bytes each); larger samples are summed by Spark jobs.
-TASK_CELLS = 20_000_000
+#: Non-zero cells of the samples whose many runs a study gives a task each (16 bytes a cell); with larger samples every run is fitted by all tasks, one after the other.
+TASK_CELLS = 4_000_000
+#: A fit's blocks: cells that a task has at least, documents of a block, and partial sums that are added at once.
+LEAST_CELLS, BLOCK_ROWS, FAN = 25_000, 4096, 16
 
 
 def _csr(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -43,6 +45,8 @@ def _transposed_times(csr, dense: np.ndarray, n_terms: int) -> np.ndarray:
 def nnls_rows(xh: np.ndarray, hh: np.ndarray, start: np.ndarray, sweeps: int = 200, tol: float = 1e-10) -> np.ndarray:
     """min |x - w H| with w >= 0 for every row, by cyclic coordinate descent; rows don't touch each other."""
     w = start.copy()
+    if not len(w):
+        return w
     for _ in range(sweeps):
         most = 0.0
         for k in range(len(hh)):
@@ -57,6 +61,11 @@ def nnls_rows(xh: np.ndarray, hh: np.ndarray, start: np.ndarray, sweeps: int = 2
     return w
 
 
+def unconstrained(xh: np.ndarray, hh: np.ndarray) -> np.ndarray:
+    """Where descent starts: the least-squares solution without bounds, cut off at zero."""
+    return np.maximum(0, xh @ np.linalg.pinv(hh, hermitian=True))
+
+
 def nndsvd(total, n_terms: int, k: int, rounds: int = 6, extra: int = 10, seed: int = 0) -> np.ndarray:
     """The non-negative start of H (Boutsidis and Gallopoulos 2008) from a randomised decomposition.
 
@@ -98,7 +107,8 @@ class TopicModel:
         self.h, self.objective, self.converged = h, objective, converged
 
     def project(self, rows: np.ndarray, idx: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        return nnls_rows(_times((rows, idx, w), n, self.h.T), self.h @ self.h.T, np.zeros((n, len(self.h))))
+        xh, hh = _times((rows, idx, w), n, self.h.T), self.h @ self.h.T
+        return nnls_rows(xh, hh, unconstrained(xh, hh))
 
     def table(self, spark, vocab: DataFrame) -> DataFrame:
         """topic, idx, term, weight of the basis."""
@@ -136,7 +146,8 @@ def _alternate(total, n_terms: int, k: int, limits: list[int], tol: float, start
 
         def step(csr, n, h=h):
             hh = h @ h.T
-            ww = nnls_rows(_times(csr, n, h.T), hh, np.zeros((n, k)), tol=1e-8)
+            xh = _times(csr, n, h.T)
+            ww = nnls_rows(xh, hh, unconstrained(xh, hh), tol=1e-8)
             wx, wtw = _transposed_times(csr, ww, n_terms), ww.T @ ww
             return [wtw, wx, np.array([csr[2] @ csr[2] - 2 * (wx.T * h).sum() + (wtw * hh).sum()])]
 
@@ -193,49 +204,71 @@ def cells(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()[0]
 
 
-def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None, task_cells: int = TASK_CELLS) -> TopicModel:
+def _packed(rows: DataFrame) -> DataFrame:
+    """Blocks of documents as bytes (n, lengths, idx, w), dealt evenly over tasks: what a fit keeps on the executors."""
+    spark, n = rows.sparkSession, cells(rows)
+    tasks = max(1, min(-(-n // LEAST_CELLS), max(spark.sparkContext.defaultParallelism, n // (40 * LEAST_CELLS))))
+
+    def run(batches):
+        for b in batches:
+            for part in pa.Table.from_batches([b]).to_batches(max_chunksize=BLOCK_ROWS):
+                row, idx, w = _csr(part)
+                lengths = np.bincount(row, minlength=part.num_rows).astype("<i4")
+                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (lengths, idx.astype("<i4"), w.astype("<f8"))]], names=["n", "lengths", "idx", "w"])
+
+    return rows.select("idx", "w").repartition(tasks).mapInArrow(run, "n int, lengths binary, idx binary, w binary")
+
+
+def _spark_sums(blocks: DataFrame):
+    """``total(make)`` for ``_alternate``: every task adds up what ``make(csr, n)`` gives for its blocks; the tasks' sums, of fixed size, are added ``FAN`` at a time until ``FAN`` are left for the driver."""
+    n_parts = blocks.rdd.getNumPartitions()
+    kind = "sums array<binary>, shapes array<string>"
+
+    def read(sums, shapes):
+        return [np.frombuffer(x).reshape([int(n) for n in d.split(",")]) for x, d in zip(sums, shapes, strict=True)]
+
+    def add(key, table):
+        sums, shapes = table.column("sums").to_pylist(), table.column("shapes").to_pylist()
+        out = _summed(read(s, d) for s, d in zip(sums, shapes, strict=True))
+        return pa.table({"part": [key[0].as_py() // FAN], "sums": [[x.tobytes() for x in out]], "shapes": [shapes[0]]}, schema=pa.schema([("part", pa.int64()), ("sums", pa.list_(pa.binary())), ("shapes", pa.list_(pa.string()))]))
+
+    def total(make):
+        def run(batches):
+            def each():
+                for b in batches:
+                    for n, *parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                        lengths, idx, w = (np.frombuffer(x, t) for x, t in zip(parts, ("<i4", "<i4", "<f8"), strict=True))
+                        yield make((np.repeat(np.arange(n), lengths), idx.astype(np.int64), w), n)
+
+            got = _summed(each())
+            if got is not None:
+                yield pa.RecordBatch.from_pydict({"sums": [[x.astype("<f8").tobytes() for x in got]], "shapes": [[",".join(map(str, x.shape)) for x in got]]})
+
+        parts, left = blocks.mapInArrow(run, kind), n_parts
+        if left > FAN:
+            parts = parts.withColumn("part", F.floor(F.spark_partition_id() / FAN).cast("long"))
+            while left > FAN:
+                parts, left = parts.groupBy("part").applyInArrow(add, "part long, " + kind), -(-left // FAN)
+        return _summed(read(r["sums"], r["shapes"]) for r in parts.select("sums", "shapes").collect())
+
+    return total
+
+
+def fit_nmf(rows: DataFrame, n_terms: int, k: int, max_iter: int = 400, tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None) -> TopicModel:
     """X ~ W H by alternating non-negative least squares; without rows the basis is zero."""
-    return fit_nmf_steps(rows, n_terms, k, [max_iter], tol, start, seed, task_cells)[0]
+    return fit_nmf_steps(rows, n_terms, k, [max_iter], tol, start, seed)[0]
 
 
-def fit_nmf_steps(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None, task_cells: int = TASK_CELLS) -> list[TopicModel]:
+def fit_nmf_steps(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol: float = 1e-4, start: str = "nndsvd", seed: int | None = None) -> list[TopicModel]:
     """The models of one fit at each of the rising limits of iterations: what separate fits would give, for the work of the longest.
 
-    A sample of up to ``task_cells`` non-zero cells is solved by one task. Beyond, each sum is a Spark
-    job: partitions send K x V sums, which are added in groups of 16 until one is left, and the driver
-    sweeps H. Both ways run the same iterations."""
-    spark, rows = rows.sparkSession, rows.select("idx", "w").persist()  # read once, not in every iteration
+    The sample's blocks stay on the executors; an iteration is a Spark job that sends K x V sums. W is solved anew in every
+    block from its least-squares solution, so nothing but the blocks has to be kept or, after a loss, made again."""
+    blocks = _packed(rows).persist()
     try:
-        if cells(rows) <= task_cells:
-            models = fit_runs(rows.withColumn("run", F.lit(0)), n_terms, k, [(start, seed)], limits, tol).get(0)
-            return models or [TopicModel(np.zeros((k, n_terms)), [], True)] * len(limits)
-
-        def total(make):
-            def run(batches):
-                got = _summed(make(_csr(b), b.num_rows) for b in batches)
-                if got is not None:
-                    yield pa.RecordBatch.from_pydict({"sums": [[x.astype("<f8").tobytes() for x in got]], "shapes": [[",".join(map(str, x.shape)) for x in got]]})
-
-            def read(row_sums, row_shapes):
-                return [np.frombuffer(x).reshape([int(n) for n in d.split(",")]) for x, d in zip(row_sums, row_shapes, strict=True)]
-
-            def add(key, table):
-                sums, shapes = table.column("sums").to_pylist(), table.column("shapes").to_pylist()
-                out = _summed(read(s, d) for s, d in zip(sums, shapes, strict=True))
-                return pa.table({"part": [key[0].as_py() // 16], "sums": [[x.tobytes() for x in out]], "shapes": [shapes[0]]}, schema=pa.schema([("part", pa.int64()), ("sums", pa.list_(pa.binary())), ("shapes", pa.list_(pa.string()))]))
-
-            kind, left = "sums array<binary>, shapes array<string>", rows.rdd.getNumPartitions()
-            parts = rows.mapInArrow(run, kind).withColumn("part", F.floor(F.spark_partition_id() / 16).cast("long"))
-            while True:
-                parts, left = parts.groupBy("part").applyInArrow(add, "part long, " + kind), -(-left // 16)
-                if left <= 1:
-                    break
-            got = parts.collect()
-            return read(got[0]["sums"], got[0]["shapes"]) if got else None
-
-        return _alternate(total, n_terms, k, limits, tol, start, seed)
+        return _alternate(_spark_sums(blocks), n_terms, k, limits, tol, start, seed)
     finally:
-        rows.unpersist()
+        blocks.unpersist()
 
 
 def transform(rows: DataFrame, model: TopicModel, key: str = "doc_id", raw: bool = False) -> DataFrame:
