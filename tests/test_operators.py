@@ -460,3 +460,29 @@ def test_references_as_the_standard_library_resolves_them(spark):
     assert not bad
     tags = text.unescape_html(spark.createDataFrame([(1, "<p class='x'>a&nbsp;b</p>&lt;i&gt;")], "id int, h string"), "id", "h").head()
     assert tags["text"] == " a b <i>"
+
+
+def test_keyword_sets_merge_in_order_and_are_capped(spark):
+    rows = [("r", 1, 1, "b"), ("r", 1, 2, "a"), ("r", 2, 1, "a"), ("r", 2, 2, "c"), ("s", 1, 1, "a")]
+    df = spark.createDataFrame(rows, "regime string, g int, k int, word string")
+    got = sorted((r["regime"], r["position"], r["word"]) for r in regimes.merge_keyword_sets(df, "regime", "g", "k", "word", 3).collect())
+    assert got == [("r", 0, "b"), ("r", 1, "a"), ("r", 2, "c"), ("s", 0, "a")]
+    with pytest.raises(Exception, match="r: 3 keywords; the cap is 2"):
+        regimes.merge_keyword_sets(df, "regime", "g", "k", "word", 2).collect()
+
+
+def test_texts_of_a_report(spark):
+    from tidemark.functions import scalar as C
+
+    df = spark.createDataFrame([(1.23456, 2, 5), (-0.5, 0, 0), (None, 1, 3), (0.0, 3, 3)], "x double, a int, b int")
+    got = [tuple(r) for r in df.select(C.signed(F.col("x")), C.number_text(F.col("x")), C.percent_text(F.col("x")), C.change_word(F.col("x")), C.ratio_text(F.col("a"), F.col("b"))).collect()]
+    assert got == [("+1.23", "1.2346", "+1.23%", "less error", "40.0% (2/5)"), ("-0.50", "-0.5000", "-0.50%", "more error", "undefined"), ("N/A", "N/A", "N/A", "N/A", "33.3% (1/3)"), ("+0.00", "0.0000", "+0.00%", "equal", "100.0% (3/3)")]
+
+
+def test_a_stored_sample_is_replayed(spark):
+    from tidemark.operators.corpus import replay
+
+    rows = spark.createDataFrame([(i, f"m{i % 3}") for i in range(30)], "id int, month string").repartition(6)
+    sample = spark.createDataFrame([(0, 5), (1, 3), (2, 99)], "place long, id int")
+    order = sorted(range(30), key=lambda i: (f"m{i % 3}", i))
+    assert sorted(tuple(r) for r in replay(rows, sample, "id", ["month", "id"]).collect()) == [(0, 5, order.index(5)), (1, 3, order.index(3)), (2, 99, None)]

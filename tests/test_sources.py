@@ -95,3 +95,11 @@ def test_workbook_glossary(spark, tmp_path):
     book = R.write_xlsx({"one": spark.createDataFrame([(1,)], "share int")}, tmp_path / "g.xlsx", {"share": "part of the month"})
     with zipfile.ZipFile(book) as z:
         assert "part of the month" in z.read("xl/worksheets/sheet1.xml").decode() and 'name="glossary" sheetId="1"' in z.read("xl/workbook.xml").decode()
+
+
+def test_a_report_has_sections_and_never_overwrites(spark, tmp_path):
+    table = spark.createDataFrame([("a", 1.5), ("b|c", None)], "name string, value double").orderBy("name")
+    first = R.markdown_report(tmp_path / "r.md", "Title", [("Text", "One line."), ("List", ["x", "y"]), ("Table", table)], 2)
+    second = R.markdown_report(tmp_path / "r.md", "Title", [])
+    assert first.read_text() == "# Title\n\n## Text\n\nOne line.\n\n## List\n\n- x\n- y\n\n## Table\n\n| name | value |\n| --- | --- |\n| a | 1.50 |\n| b\\|c | N/A |\n"
+    assert second.name == "r_v2.md" and second.read_text() == "# Title\n"

@@ -129,4 +129,29 @@ def typed_kind(c: Column, field: Column) -> Column:
 
 def signed(c: Column, digits: int = 2) -> Column:
     """+1.23, or N/A."""
-    return F.coalesce(F.format_string(f"%+.{digits}f", c.cast("double")), F.lit("N/A"))
+    return F.when(c.isNotNull(), F.format_string(f"%+.{digits}f", c.cast("double"))).otherwise("N/A")
+
+
+def number_text(c: Column, digits: int = 4) -> Column:
+    """1.2345, or N/A."""
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", c.cast("double"))).otherwise("N/A")
+
+
+def percent_text(c: Column, digits: int = 2) -> Column:
+    """+1.23%, or N/A."""
+    return F.when(c.isNotNull(), F.concat(F.format_string(f"%+.{digits}f", c.cast("double")), F.lit("%"))).otherwise("N/A")
+
+
+def ratio_text(a: Column, b: Column) -> Column:
+    """40.0% (2/5), or undefined."""
+    return F.when(b == 0, "undefined").otherwise(F.concat(F.format_string("%.1f", 100 * ratio(a, b)), F.lit("% ("), a.cast("long").cast("string"), F.lit("/"), b.cast("long").cast("string"), F.lit(")")))
+
+
+def change_word(c: Column) -> Column:
+    """What an improvement says: less error, more error, equal, or N/A."""
+    return F.when(c.isNull() | F.isnan(c.cast("double")), "N/A").when(c > 0, "less error").when(c < 0, "more error").otherwise("equal")
+
+
+def labelled(pairs: Column) -> Column:
+    """Names with their z, as in ``high(z=+0.61), low(z=-1.20)``, from an array of (name, z); none when empty."""
+    return joined_or_none(F.transform(pairs, lambda p: F.concat(p["name"], F.lit("(z="), signed(p["z"]), F.lit(")"))), ", ")

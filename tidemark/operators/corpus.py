@@ -41,3 +41,13 @@ def load_order(corpus: DataFrame) -> DataFrame:
     """Complete rows, one per article: the first by (month, article_id, keywords)."""
     d = corpus.dropna(subset=["article_id", "month", "keywords"]).filter(F.length(F.trim("keywords")) > 0)
     return first_by_rank(d, ["article_id"], [F.col("month"), F.col("article_id"), F.col("keywords")]).drop("rank")
+
+
+def replay(rows: DataFrame, sample: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """place, key, position: a stored sample's rows, in the sample's order, with their positions in the whole in its stable order; an id that is gone has a null position.
+
+    ``sample`` has (place, key). Positions are numbers within range partitions after the sizes of those before."""
+    from tidemark.operators.text import systematic_sample
+
+    positions = systematic_sample(rows.select(key, *[c for c in order if c != key]), order, 1).select(key, F.col("pos").alias("position"))
+    return sample.select("place", key).join(positions, key, "left").select("place", key, "position")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import joined_or_none, ratio
+from tidemark.functions.scalar import joined_or_none, labelled, ratio, signed
 from tidemark.operators.windows import first_by_rank, train_zscore
 
 
@@ -21,12 +21,13 @@ def domain_pairs(spark: SparkSession, dictionary: dict[str, dict[str, list[str]]
     return spark.createDataFrame(rows, "keyword string, domain string, grp string, domain_rank int")
 
 
-def merge_keyword_sets(groups: dict[str, list[str]], cap: int = 20) -> list[str]:
-    """A regime's keywords, each once, in order; more than ``cap`` raise."""
-    out = list(dict.fromkeys(k for g in groups.values() for k in g))
-    if len(out) > cap:
-        raise ValueError(f"{len(out)} keywords; the cap is {cap}")
-    return out
+def merge_keyword_sets(keywords: DataFrame, regime: str, group: str, rank: str, keyword: str, cap: int = 20) -> DataFrame:
+    """regime, keyword, position: the keywords of a regime's groups, each once, in the order of groups and ranks; a regime with more than ``cap`` raises."""
+    first = keywords.groupBy(regime, keyword).agg(F.min(F.struct(group, rank)).alias("at"))
+    sets = first.groupBy(regime).agg(F.array_sort(F.collect_list(F.struct("at", keyword))).alias("k"))  # bounded by the cap, or an error
+    too_many = F.raise_error(F.concat(F.col(regime).cast("string"), F.lit(": "), F.size("k").cast("string"), F.lit(f" keywords; the cap is {cap}")))
+    kept = sets.select(regime, F.when(F.size("k") <= cap, F.col("k")).otherwise(too_many.cast(sets.schema["k"].dataType)).alias("k"))
+    return kept.select(regime, F.posexplode("k").alias("position", "one")).select(regime, F.col(f"one.{keyword}").alias(keyword), F.col("position").cast("long").alias("position"))
 
 
 def claim_terms(terms: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -167,6 +168,15 @@ def activation(z: DataFrame, regimes: list[str], threshold: float = 0.5) -> Data
     return g.select("month", "period", F.col("best.regime").alias("argmax"), (-F.col("best.low")).alias("max_z"), F.coalesce(hurdle, F.lit("none")).alias("hurdle"), F.size("active").cast("long").alias("n_active"), joined_or_none(F.col("active")).alias("active"), F.size(omitted).cast("long").alias("n_omitted"), joined_or_none(omitted).alias("omitted"))
 
 
+def active_labels(z: DataFrame, act: DataFrame, regimes: list[str], threshold: float = 0.5) -> DataFrame:
+    """month, argmax, active and omitted regimes with their z as text, in the given order."""
+    order = F.array_position(F.array(*map(F.lit, regimes)), F.col("regime"))
+    on = F.when(F.col("z") >= threshold, F.struct(order.alias("pos"), F.col("regime").alias("name"), "z"))
+    g = z.groupBy("month").agg(F.array_sort(F.collect_list(on)).alias("on")).join(act.select("month", "argmax", "max_z", "hurdle"), "month")
+    others = F.filter("on", lambda p: p["name"] != F.col("hurdle"))
+    return g.select("month", F.concat("argmax", F.lit("(z="), signed(F.col("max_z")), F.lit(")")).alias("top"), labelled(F.col("on")).alias("active"), labelled(others).alias("omitted"))
+
+
 def overlapping_splits(period: Column) -> Column:
     """Rows count for the whole and for their own period."""
     return F.explode(F.array(F.lit("Full"), period))

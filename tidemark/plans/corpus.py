@@ -250,6 +250,16 @@ def replay_sample_positions(spark, d):
     return first_by_rank(rest, ["month"], [hash_order(F.col("doc_id"), 1042), F.col("doc_id")], 2).select("month", "doc_id", "rank")
 
 
+@query(sql("docs", ", t AS (SELECT doc_id, row_number() OVER (ORDER BY month, doc_id) - 1 AS position FROM docs WHERE period = 'Train'), s AS (SELECT doc_id, row_number() OVER (ORDER BY month, rank) - 1 AS place FROM (SELECT month, doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train') WHERE rank <= 5) SELECT place, doc_id, position FROM s LEFT JOIN t USING (doc_id)"))
+def replay_stored_sample(spark, d):
+    """The stored fit sample replayed: each of its ids, in its order, with its row position among the training documents."""
+    from tidemark.operators.corpus import replay
+
+    train = docs(spark, d).filter("period = 'Train'").select("doc_id", "month")
+    chosen = stratified_sample(spark, d).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("month", "rank")) - 1)  # five a month
+    return replay(stored(train, "train"), stored(chosen.select("place", "doc_id"), "sample"), "doc_id", ["month", "doc_id"])
+
+
 @query("SELECT event_type, user_id % 5 AS bucket, count(*) AS n, min(value) AS low, round(quantile_cont(value, 0.5), 6) AS middle, max(value) AS high FROM events GROUP BY 1, 2")
 def value_counts_summary(spark, d):
     e = table(spark, d, "events")

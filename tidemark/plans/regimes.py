@@ -71,10 +71,14 @@ def domain_support(spark, d):
     return R.domain_support(R.map_topics(w, c), R.dominant_group(w, c), domains, {"motion": "ring"})
 
 
-@query("SELECT domain, keyword FROM (" + PAIRS_SQL + ")")
+@query(sql("tokens", f""", v AS ({VOCAB}), c AS (SELECT lang, source, term, count(*) AS n FROM tokens JOIN v USING (term) GROUP BY 1, 2, 3), g AS (SELECT lang, source, term, row_number() OVER (PARTITION BY lang, source ORDER BY n DESC, term) AS rank FROM c), t AS (SELECT * FROM g WHERE rank <= 2 AND source IN ('src0', 'src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8')),
+ f AS (SELECT lang, term, min({{'s': source, 'r': rank}}) AS place FROM t GROUP BY 1, 2) SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY place, term) - 1 AS position FROM f"""))
 def keyword_set_merge(spark, d):
-    rows = [(domain, k) for domain, groups in DICTIONARY.items() for k in R.merge_keyword_sets(groups)]
-    return spark.createDataFrame(rows, "domain string, keyword string")
+    """Languages play regimes and nine sources their groups: two keywords of each, merged in order and at most twenty a regime."""
+    c = corpus(spark, d)
+    n = exploded(c).join(vocabulary(c).select("term"), "term").groupBy("lang", "source", "term").agg(F.count(F.lit(1)).alias("n"))
+    best = first_by_rank(n, ["lang", "source"], [F.desc("n"), F.col("term")], 2).filter(F.col("source").isin([f"src{i}" for i in range(9)]))
+    return R.merge_keyword_sets(best, "lang", "source", "rank", "term")
 
 
 @query(sql("shares", ", mp(topic, regime) AS (VALUES ('urgent', 'fast'), ('high', 'fast'), ('medium', 'slow'), ('low', 'slow'), ('not_specified', 'residual')) SELECT month, period, mp.regime, round(sum(share), 6) AS share FROM shares JOIN mp ON mp.topic = shares.regime GROUP BY 1, 2, 3"))
@@ -97,6 +101,14 @@ def regime_activation(spark, d):
     return _act(spark, d).withColumn("max_z", F.round("max_z", 6))
 
 
+@query(sql("z", ACT + """, l AS (SELECT month, regime, pos, z, regime || '(z=' || printf('%+.2f', z) || ')' AS t FROM z WHERE z >= 0.5)
+ SELECT a.month, argmax || '(z=' || printf('%+.2f', max_z) || ')' AS top, coalesce(string_agg(t, ', ' ORDER BY l.pos), 'none') AS active, coalesce(string_agg(t, ', ' ORDER BY l.pos) FILTER (l.regime <> a.hurdle), 'none') AS omitted FROM acts a LEFT JOIN l ON l.month = a.month GROUP BY 1, 2"""))
+def activation_labels(spark, d):
+    """Each month's strongest, active and omitted regimes as a report writes them."""
+    z = R.regime_zscores(shares(spark, d))
+    return R.active_labels(z, R.activation(z, list(REGIMES)), list(REGIMES))
+
+
 @query(sql("z", ACT + ", s AS (SELECT unnest(['Full', period]) AS split, * FROM acts) SELECT split, count(*) AS months, count(*) FILTER (n_active >= 2) AS multi, count(*) FILTER (n_active = 0) AS inactive, CAST(sum(n_active) AS BIGINT) AS active, CAST(sum(n_omitted) AS BIGINT) AS omitted, round(100.0 * count(*) FILTER (n_active >= 2) / count(*), 6) AS multi_pct, round(100.0 * sum(n_omitted) / nullif(sum(n_active), 0), 6) AS omitted_pct FROM s GROUP BY 1"))
 def single_vs_multi_metrics(spark, d):
     return R.single_vs_multi(_act(spark, d)).withColumns({c: F.round(c, 6) for c in ("multi_pct", "omitted_pct")})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.scalar import improvement
+from tidemark.functions.scalar import change_word, improvement, number_text, percent_text
 from tidemark.operators import panels as P
 from tidemark.operators import stats as S
 from tidemark.operators import windows as W
@@ -198,6 +198,17 @@ def forecast_grid_falls(spark, d):
     return S.confusion(p, F.col("p"), F.col("a"), ["model"]).select("model", "tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "specificity", "balanced_accuracy")])
 
 
+@query(sql("months z", _grid_sql() + """, gm AS (SELECT model, split_part(model, ' ', 1) AS target, sqrt(avg((forecast - actual) ** 2)) AS rmse, count(forecast) = count(*) AS whole FROM gz GROUP BY 1, 2), ge AS (SELECT m.model, CASE WHEN m.whole THEN m.rmse END AS rmse, CASE WHEN m.whole AND b.rmse <> 0 THEN 100 * (b.rmse - m.rmse) / b.rmse END AS i FROM gm m JOIN gm b ON b.model = m.target || ' zero')
+ SELECT model, CASE WHEN rmse IS NULL THEN 'N/A' ELSE printf('%.4f', rmse) END AS rmse, CASE WHEN model LIKE '% zero' THEN 'base' WHEN i IS NULL THEN 'N/A (N/A)' ELSE printf('%+.2f', i) || '% (' || CASE WHEN i > 0 THEN 'less error' WHEN i < 0 THEN 'more error' ELSE 'equal' END || ')' END AS against_zero FROM ge""").replace("WITH ", "WITH RECURSIVE ", 1))
+def forecast_report_cells(spark, d):
+    """The grid's errors as a report writes them: four digits, N/A where a forecast is missing, and what each model gains on the zero forecast in words."""
+    m = S.errors(_grid(spark, d).withColumn("error", F.col("forecast") - F.col("actual")).withColumn("target", F.split("model", " ")[0]), "error", ["target", "model"])
+    base = m.filter("model LIKE '% zero'").select("target", F.col("rmse").alias("base"))
+    gain = improvement(F.col("base"), F.col("rmse"))
+    words = F.when(F.col("model").endswith(" zero"), "base").otherwise(F.concat(percent_text(gain), F.lit(" ("), change_word(gain), F.lit(")")))
+    return m.join(F.broadcast(base), "target").select("model", number_text(F.col("rmse")).alias("rmse"), words.alias("against_zero"))
+
+
 def _models(spark, d):
     e, f = (S.ar1_forecasts(_returns(spark, d), "month", "ret", 47, x) for x in (True, False))
     zero = e.select("month", "actual", F.lit(0.0).alias("forecast"))

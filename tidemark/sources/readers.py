@@ -201,6 +201,17 @@ def markdown(df: DataFrame, digits: int = 4, most: int = 1000) -> str:
     return "\n".join(["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
+def markdown_report(path: str | Path, title: str, sections: list[tuple[str, DataFrame | str | list[str]]], digits: int = 4) -> Path:
+    """A report with headed sections, each a paragraph, a list or a table of a small frame; an existing file is kept and the report gets the next free name."""
+    out = [f"# {title}"]
+    for heading, body in sections:
+        out += ["", f"## {heading}", ""]
+        out.append("\n".join(f"- {x}" for x in body) if isinstance(body, list) else body if isinstance(body, str) else markdown(body, digits))
+    target = versioned(path)
+    target.write_text("\n".join(out) + "\n", encoding="utf-8")
+    return target
+
+
 #: Limits of the file format.
 SHEET_ROWS, CELL_CHARS = 1_048_576, 32_767
 
