@@ -337,3 +337,18 @@ def test_language_model_score_is_the_formula(spark):
             total += to[before, c] + math.log10(count.get(h, 0) + M.DELTA) - math.log10(n_class[c] + M.DELTA * (v_class[c] + 1))
             before = c
         assert math.isclose(total, r["score"], abs_tol=1e-6)
+
+
+def test_of_several_labels_the_larger_counts(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.llm.quality import score_quality
+    from tidemark.llm.toxicity import score_toxicity
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    low = labels.withColumns({"quality": F.lit(0), "toxic": F.lit(0)})
+    odd = labels.unionByName(low.filter("doc_id % 2 = 0")).unionByName(labels.select("doc_id", F.lit(None).cast("long").alias("quality"), F.lit(7).cast("long").alias("toxic")).limit(9)).repartition(3)
+    for f in (score_quality, score_toxicity):
+        plain, mixed = ({r["doc_id"]: r["score"] for r in f(docs, x).collect()} for x in (labels, odd))
+        assert plain.keys() == mixed.keys() and max(abs(plain[i] - mixed[i]) for i in plain) < 1e-9

@@ -180,10 +180,10 @@ def bounded_sample(labels: DataFrame, key: str, most: int) -> DataFrame:
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = 100_000, threshold: float = 0.3) -> DataFrame:
-    """id, held_out, score and predicted of every document; learns only from rows whose crc32(id) mod 5 isn't 0."""
+    """id, held_out, score and predicted of every document; learns only from rows whose crc32(id) mod 5 isn't 0. Of several labels of one id the larger counts."""
     stats = written(document_statistics(docs, id_col, text_col), "quality-stats")
     fold = F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(5)).cast("int")
-    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).withColumn("fold", fold).filter("fold != 0 AND label IN (0, 1)").dropDuplicates([id_col])
+    known = labels.select(F.col(id_col), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy(id_col).agg(F.max("label").alias("label")).withColumn("fold", fold).filter("fold != 0")
     sample = bounded_sample(known, id_col, max_labelled)
     model = fit(written(stats.join(sample, id_col).select("stats", "label", "fold").repartition(16), "quality-fit"))
 

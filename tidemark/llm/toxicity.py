@@ -213,7 +213,7 @@ class ToxicityModel:
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, max_labelled: int, max_postings: int, k: int, delta: bool) -> ToxicityModel:
     fold = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)).cast("int")
-    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).withColumn("fold", fold).filter("fold != 0 AND label IN (0, 1)").dropDuplicates(["id"])
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1)").groupBy("id").agg(F.max("label").alias("label")).withColumn("fold", fold).filter("fold != 0")  # of several labels the larger
     sample = written(bounded_sample(known, "id", max_labelled), "toxicity-labels")  # at most max_labelled rows of 16 bytes: broadcast
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id").select("id", "label", "fold", "text")
 
