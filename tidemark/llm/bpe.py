@@ -152,10 +152,10 @@ class Codec:
             total = np.concatenate([[0], np.cumsum(self.starts[numbers + 1] - self.starts[numbers])])
             yield total[at[1:]] - total[at[:-1]]
 
-    def encode(self, column: pa.Array):
-        """For runs of rows: first, last, all their ids (uint32), and the n+1 id offsets of the rows."""
+    def encode(self, column: pa.Array, most: int = SEGMENT):
+        """For runs of rows with about ``most`` bytes: first, last, all their ids (uint32), and the n+1 id offsets of the rows."""
         data, offsets = utf8(column)
-        for first, last in segments(offsets, SEGMENT):
+        for first, last in segments(offsets, most):
             rows = offsets[first : last + 1] - offsets[first]
             numbers, at = self.lookup(data[offsets[first] : offsets[last]], rows)
             begin = self.starts[numbers]
@@ -166,10 +166,22 @@ class Codec:
 
 
 _codecs: dict[str, Codec] = {}
+#: Tasks that this worker has ended since it last asked for a codec.
+_idle = 0
+
+
+def task_ended() -> None:
+    """Called after each task: a worker that goes on to other work gives its codecs up."""
+    global _idle
+    _idle += 1
+    if _idle > 1:
+        _codecs.clear()
 
 
 def codec(path: str) -> Codec:
-    """The worker's codec for a tokenizer file."""
+    """The worker's codec for a tokenizer file; kept for the next task."""
+    global _idle
+    _idle = 0
     if path not in _codecs:
         _codecs[path] = Codec(path)
     return _codecs[path]

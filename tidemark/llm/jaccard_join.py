@@ -54,6 +54,8 @@ from .components import components
 from .shared import col, drop_written, fresh, lean, tree_sum, written
 from .textcore import hashed_words, mix
 
+#: Bytes of text whose words are hashed at a time.
+SEGMENT = 1 << 19
 #: Counters of the sketch, and the rows it is sent in; word counts that are told apart (the last stands for all above).
 SKETCH, SLICES, WORD_COUNTS = 1 << 24, 64, 4096
 #: A list is short while it has at most so many pairs between components for each member; WIDER times as many after
@@ -154,7 +156,7 @@ def sketch_counts(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     def count(batches):
         total, words_of = np.zeros(SKETCH, np.uint32), np.zeros(WORD_COUNTS, np.int64)
         for b in batches:
-            for _, _, words, at in hashed_words(b.column(0)):
+            for _, _, words, at in hashed_words(b.column(0), most=SEGMENT):
                 _, h = shingles(words, at, k)
                 np.add.at(total, (h >> np.uint64(20)) & np.uint64(SKETCH - 1), np.uint32(1))
                 words_of += np.bincount(np.minimum(np.diff(at), WORD_COUNTS - 1), minlength=WORD_COUNTS)
@@ -323,7 +325,7 @@ class SetJoin:
         def show(batches):
             m = maker.value
             for b in batches:
-                for first, last, words, at in hashed_words(b.column(2)):
+                for first, last, words, at in hashed_words(b.column(2), most=SEGMENT):
                     row, h = m.sets(words, at)
                     s1, s2 = _sums(row, h, last - first)
                     kr, keys, places = m.keys(row, h, last - first)
@@ -412,7 +414,7 @@ class SetJoin:
         def make(batches):
             m = maker.value
             for b in batches:
-                for first, last, words, at in hashed_words(b.column(1)):
+                for first, last, words, at in hashed_words(b.column(1), most=SEGMENT):
                     row, h = m.sets(words, at)
                     offsets = pa.array(np.searchsorted(row, np.arange(last - first + 1)).astype(np.int32))
                     order = np.lexsort((h, row))

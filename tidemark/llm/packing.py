@@ -28,6 +28,8 @@ from tidemark.session import settle
 from .bpe import codec, tokenizer_path
 from .shared import lean, written
 
+#: Bytes of text that are cut into ids at a time.
+SEGMENT = 1 << 19
 SHARD_PIECES, ISLANDS, LEVELS = 2000, 2, 3
 POPULATION, GENERATIONS = 6, 8
 #: A bin is well filled if at most this share of it is free.
@@ -40,7 +42,7 @@ def pieces(docs: DataFrame, path: str, capacity: int, end_id: int = 0, id_col: s
     def run(batches):
         for b in batches:
             all_ids = b.column(0).to_pylist()
-            for first, last, ids, at in codec(path).encode(b.column(1)):
+            for first, last, ids, at in codec(path).encode(b.column(1), SEGMENT):
                 out: list[tuple] = []
                 raw, end = ids.astype("<u4").tobytes(), np.array([end_id], "<u4").tobytes()
                 for i in range(last - first):

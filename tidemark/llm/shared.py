@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -67,6 +68,9 @@ def lean(run: Callable) -> Callable:
 
     def wrapped(batches):
         yield from run(batches)
+        bpe = sys.modules.get("tidemark.llm.bpe")
+        if bpe:
+            bpe.task_ended()
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
         if trim:
