@@ -23,31 +23,37 @@ from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.exact_dedup import drop_exact_copies
 from tidemark.llm.jaccard_join import drop_near_copies
 from tidemark.llm.packing import pack_documents
-from tidemark.llm.shared import written
+from tidemark.llm.shared import tidy, written
 from tidemark.llm.toxicity import drop_toxic
 from tidemark.session import settle
 
 
+def _ready(spark: SparkSession) -> SparkSession:
+    """The session with its settings, and a driver without what the stage before has left in its memory."""
+    tidy()
+    return settle(spark)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_toxic(docs, settle(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+    return drop_toxic(docs, _ready(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    settle(spark)
+    _ready(spark)
     return drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    settle(spark)
+    _ready(spark)
     return drop_near_copies(docs, n=5, percent=80)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_contaminated(docs, settle(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return drop_contaminated(docs, _ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    settle(spark)
+    _ready(spark)
     return pack_documents(docs)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -63,6 +64,15 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
+def tidy() -> None:
+    """Give the memory that this process no longer uses back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def lean(run: Callable) -> Callable:
     """The same function over batches; when it ends, its worker, which lives on, gives unused memory back."""
 

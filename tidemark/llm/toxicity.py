@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.session import settle
 
 from .quality import bounded_sample, pav
-from .shared import lean, map_rows, written
+from .shared import lean, map_rows, tidy, written
 from .textcore import ALNUM, LOWER, segments, span_hashes, utf8, word_spans
 
 BLOCK, FREQUENT = 64, 32
@@ -271,6 +271,7 @@ MAX_LABELLED, MAX_POSTINGS, NEAREST, THRESHOLD = 5_000, 3_000_000, 21, 0.5
 def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_postings: int = MAX_POSTINGS, k: int = NEAREST, threshold: float = THRESHOLD, evidence: int = 3, delta: bool = True) -> DataFrame:
     """id, held_out, score, predicted, and the ids and cosines of the nearest examples of every document."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_postings, k, delta))
+    tidy()  # the driver's own copy
 
     def run(batches):
         m = model.value
@@ -289,6 +290,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
 def drop_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED, max_postings: int = MAX_POSTINGS, k: int = NEAREST, threshold: float = THRESHOLD, delta: bool = True) -> DataFrame:
     """The documents that score below the threshold, all columns; one pass, no shuffle."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label_col, id_col, text_col, max_labelled, max_postings, k, delta))
+    tidy()  # the driver's own copy
 
     at = docs.columns.index(text_col)
 
