@@ -484,3 +484,23 @@ def test_a_stored_sample_is_replayed(spark):
     sample = spark.createDataFrame([(0, 5), (1, 3), (2, 99)], "place long, id int")
     order = sorted(range(30), key=lambda i: (f"m{i % 3}", i))
     assert sorted(tuple(r) for r in replay(rows, sample, "id", ["month", "id"]).collect()) == [(0, 5, order.index(5)), (1, 3, order.index(3)), (2, 99, None)]
+
+
+def test_sparse_rows_without_shuffle_of_cells(spark):
+    """Rows looked up in tasks are what the joined and windowed form gives, also for ids in two rows; the plan moves no cells."""
+    vocab = spark.createDataFrame([("ab", 0, 3), ("cd", 1, 2), ("ef", 2, 1)], "term string, idx int, df long")
+    once = [(1, ["cd", "ab", "no"]), (2, ["ef"]), (3, ["no"]), (4, []), (None, ["ab", "ef"])]
+    for given in (once, [*once, (2, ["ab", "ef"]), (None, ["cd"])]):
+        docs = spark.createDataFrame(given, "doc_id long, terms array<string>")
+        rows = text.tfidf_rows(docs, vocab, 7)
+        said = topics.rows_of(text.tfidf(docs.select("doc_id", F.explode("terms").alias("term")), vocab, 7))
+        got, want = ({r[0]: (list(r[1]), [round(x, 12) for x in r[2]]) for r in x.collect()} for x in (rows, said))
+        assert got == want
+        if given is once:
+            assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_found_not_split(spark):
+    rows = spark.createDataFrame([(None,), ("",), ("ab abc\n\nABCÐ÷é 😀Œuvre no",)], "text string").select(C.words(F.col("text"), 3).alias("w"))
+    assert [r["w"] for r in rows.collect()] == [[], [], ["abc", "abcð", "œuvre"]]
+    assert "split(" not in rows._jdf.queryExecution().executedPlan().toString()

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import html.entities
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +43,38 @@ def tfidf(tokens: DataFrame, vocab: DataFrame, n_fit: int) -> DataFrame:
     return w.select("doc_id", "idx", (F.col("idf") / norm).alias("weight"))
 
 
+def tfidf_rows(docs: DataFrame, vocab: DataFrame, n_fit: int, keep: list[str] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, idx array, w array: what ``tfidf`` gives, as one sparse row for each document that has any term of the vocabulary.
+
+    ``docs`` has (doc_id, terms array). The vocabulary is capped, so every task looks its own documents' terms up and nothing
+    but ids is shuffled, to see whether any stands in two rows: those are merged first."""
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count():
+        docs = docs.groupBy("doc_id").agg(F.flatten(F.collect_list("terms")).alias("terms"), *[F.min(c).alias(c) for c in keep])
+    v = vocab.select("term", "idx", "df").toArrow()  # capped
+    idf = np.log((1.0 + n_fit) / (1 + v["df"].to_numpy().astype(float))) + 1
+    held = docs.sparkSession.sparkContext.broadcast((v["term"].combine_chunks(), v["idx"].to_numpy().astype(np.int32), idf))
+    head = ["doc_id", *keep]
+
+    def run(batches):
+        terms, idx, weight = held.value
+        for b in batches:
+            lists, n = b.column(b.num_columns - 1), b.num_rows
+            at = pc.index_in(lists.flatten(), value_set=terms)
+            known = at.is_valid().to_numpy(zero_copy_only=False)
+            at = at.drop_null().to_numpy()
+            row = np.repeat(np.arange(n), pc.list_value_length(lists).fill_null(0).to_numpy())[known]
+            order = np.lexsort((idx[at], row))
+            row, x, i = row[order], weight[at][order], idx[at][order]
+            w = x / np.sqrt(np.bincount(row, x * x, n))[row]
+            size = np.bincount(row, minlength=n)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+            out = [*b.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(i)), pa.ListArray.from_arrays(offsets, pa.array(w))]
+            yield pa.RecordBatch.from_arrays(out, names=[*head, "idx", "w"]).filter(pa.array(size > 0))
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in docs.select(*head).dtypes)
+    return docs.select(*head, "terms").mapInArrow(run, f"{kinds}, idx array<int>, w array<double>")
+
+
 def variation_filter(matrix: DataFrame, docs_per_month: DataFrame, least: float) -> DataFrame:
     """Terms whose monthly document shares have a coefficient of variation from ``least`` on.
 

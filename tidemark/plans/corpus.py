@@ -112,11 +112,16 @@ def systematic_subsample(spark, d):
     return T.systematic_sample(table(spark, d, "orders").select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"], 10).select("o_orderkey", "pos")
 
 
+def _long(rows):
+    """A row for each cell of sparse rows."""
+    return rows.select("doc_id", F.explode(F.arrays_zip("idx", "w")).alias("x")).select("doc_id", F.col("x.idx").alias("idx"), F.round("x.w", 6).alias("weight"))
+
+
 @query(sql("tokens", f""", v AS ({VOCAB}), n AS (SELECT count(*) AS n FROM docs WHERE period = 'Train'), w AS (SELECT doc_id, idx, ln((1 + n.n) / (1 + df)) + 1 AS idf FROM tokens JOIN v USING (term), n)
  SELECT doc_id, idx, round(idf / sqrt(sum(idf * idf) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""))
 def tfidf_long(spark, d):
     c = corpus(spark, d)
-    return T.tfidf(exploded(c), vocabulary(c), c.filter("period = 'Train'").count()).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    return _long(T.tfidf_rows(c, vocabulary(c), c.filter("period = 'Train'").count()))
 
 
 FIT = "f AS (SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY month ORDER BY md5('42-' || doc_id), doc_id) AS rank FROM docs WHERE period = 'Train') WHERE rank <= 5)"
@@ -132,7 +137,7 @@ def tfidf_sample_idf(spark, d):
     c = corpus(spark, d)
     df = T.document_frequency(exploded(c).join(fit, "doc_id", "left_semi"))
     vocab = vocabulary(c).select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
-    return T.tfidf(exploded(c), vocab, n).select("doc_id", "idx", F.round("weight", 6).alias("weight"))
+    return _long(T.tfidf_rows(c, vocab, n))
 
 
 TOPS = "SELECT lang, term, rank FROM (SELECT lang, term, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, term) AS rank FROM tokens JOIN v USING (term) GROUP BY lang, term) WHERE rank <= 10"
