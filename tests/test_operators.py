@@ -504,3 +504,24 @@ def test_words_are_found_not_split(spark):
     rows = spark.createDataFrame([(None,), ("",), ("ab abc\n\nABCÐ÷é 😀Œuvre no",)], "text string").select(C.words(F.col("text"), 3).alias("w"))
     assert [r["w"] for r in rows.collect()] == [[], [], ["abc", "abcð", "œuvre"]]
     assert "split(" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_laid_out_once_for_both_products():
+    """Rectangles of rows of like length give what the dense matrix gives, empty rows and columns and very long rows included; the published sample fits a study's task."""
+    rng = np.random.default_rng(5)
+    x = (rng.random((300, 50)) < rng.random((300, 1)) ** 4) * rng.random((300, 50))
+    x[7], x[:, 3], x[11] = 0, 0, 1
+    rows, idx = np.nonzero(x)
+    block = topics.Cells((rows, idx, x[rows, idx]), 300, 50)
+    h, w = rng.random((50, 4)), rng.random((300, 4))
+    assert np.allclose(block.times(h), x @ h) and np.allclose(block.transposed_times(w), x.T @ w)
+    assert block.squares == pytest.approx((x**2).sum()) and block.sum == pytest.approx(x.sum())
+    assert 48 * 3000 * 200 <= topics.TASK_CELLS
+
+
+def test_each_run_of_a_study_has_a_task_of_its_own(spark):
+    df = spark.createDataFrame([(i, r, [i % 4], [1.0]) for i in range(8) for r in range(6)], "doc_id int, run int, idx array<int>, w array<double>")
+    runs = topics.fit_runs(df, 4, 2, [("random", r) for r in range(6)], [3])
+    assert sorted(runs) == list(range(6)) and all(len(m) == 1 and m[0].h.shape == (2, 4) for m in runs.values())
+    dealt = df.repartitionById(6, "run").select("run", F.spark_partition_id().alias("p")).distinct().collect()
+    assert sorted((r["run"], r["p"]) for r in dealt) == [(r, r) for r in range(6)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import pickle
 
 import numpy as np
 import pandas as pd
@@ -19,9 +20,9 @@ def rows_of(weights: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 #: Non-zero cells of the samples whose many runs a study gives a task each (16 bytes a cell); with larger samples every run is fitted by all tasks, one after the other.
-TASK_CELLS = 4_000_000
-#: A fit's blocks: cells that a task has at least, documents of a block, and partial sums that are added at once.
-LEAST_CELLS, BLOCK_ROWS, FAN = 25_000, 4096, 16
+TASK_CELLS = 40_000_000
+#: A fit's blocks: cells that a task has at least, documents of a block, and partial sums that are added at once. Cells that a product gathers at once.
+LEAST_CELLS, BLOCK_ROWS, FAN, GATHERED = 25_000, 4096, 16, 1 << 14
 
 
 def _csr(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -30,35 +31,76 @@ def _csr(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows, idx.flatten().to_numpy().astype(np.int64), w.flatten().to_numpy().astype(float)
 
 
-def _times(csr, n: int, dense: np.ndarray) -> np.ndarray:
-    """X times a dense matrix with one row per term."""
-    rows, idx, w = csr
-    return np.column_stack([np.bincount(rows, w * col[idx], n) for col in np.ascontiguousarray(dense.T)])
+def _rectangles(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Cells in order of their rows as rectangles (rows, columns, weights) of rows of like length, short ones filled with weight 0."""
+    size = np.bincount(row, minlength=n)
+    at, order, out, i = np.cumsum(size) - size, np.argsort(-size, kind="stable"), [], 0
+    order = order[size[order] > 0]
+    while i < len(order):
+        most = int(size[order[i]])
+        part = order[i : i + max(1, GATHERED // most)]
+        part = part[: np.searchsorted(-size[part], -most / 2, "right")]
+        inside = np.arange(most) < size[part][:, None]
+        place = np.where(inside, at[part][:, None] + np.arange(most), 0)
+        out.append((part.astype(np.int32), col[place].astype(np.int32), np.where(inside, w[place], 0).astype(w.dtype)))
+        i += len(part)
+    return out
+
+
+def _product(rectangles, n: int, dense: np.ndarray) -> np.ndarray:
+    """Rows of cells times a dense matrix: gathered rows, then one small product a row."""
+    out, dense = np.zeros((n, dense.shape[1])), np.ascontiguousarray(dense, dtype=float)
+    for part, col, w in rectangles:
+        out[part] = np.matmul(w[:, None, :].astype(float), dense[col])[:, 0]
+    return out
+
+
+class Cells:
+    """The non-zero cells X of a block of ``n`` documents, laid out once by documents and once by terms for many products; ``w``, if kept, is where the next fit of its documents starts."""
+
+    def __init__(self, csr, n: int, n_terms: int, keep: bool = False):
+        rows, idx, w = csr
+        self.n, self.n_terms, self.keep, self.w = n, n_terms, keep, None
+        self.sum, self.squares = float(w.sum(dtype=float)), float((w.astype(float) ** 2).sum())
+        self.by_row = _rectangles(rows, idx, w, n)
+        order = np.argsort(idx, kind="stable")
+        self.by_term = _rectangles(idx[order], rows[order], w[order], n_terms)
+
+    def times(self, dense: np.ndarray) -> np.ndarray:
+        """X times a dense matrix with one row per term."""
+        return _product(self.by_row, self.n, dense)
 
+    def transposed_times(self, dense: np.ndarray) -> np.ndarray:
+        """X' times a dense matrix with one row per document."""
+        return _product(self.by_term, self.n_terms, dense)
 
-def _transposed_times(csr, dense: np.ndarray, n_terms: int) -> np.ndarray:
-    """X' times a dense matrix with one row per document."""
-    rows, idx, w = csr
-    return np.column_stack([np.bincount(idx, w * col[rows], n_terms) for col in np.ascontiguousarray(dense.T)])
+
+def _cells(block, n: int, n_terms: int) -> Cells:
+    """A block of ``n`` documents, given as it is or as (rows, idx, w)."""
+    return block if isinstance(block, Cells) else Cells(block, n, n_terms)
 
 
 def nnls_rows(xh: np.ndarray, hh: np.ndarray, start: np.ndarray, sweeps: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """min |x - w H| with w >= 0 for every row, by cyclic coordinate descent; rows don't touch each other."""
-    w = start.copy()
-    if not len(w):
-        return w
-    for _ in range(sweeps):
-        most = 0.0
+    """min |x - w H| with w >= 0 for every row, by cyclic coordinate descent; rows don't touch each other, and those that have settled are left out once they are half of all."""
+    w = np.array(start.T, dtype=float, order="C")
+    live, a, x = np.arange(len(start)), w.copy(), np.ascontiguousarray(xh.T, dtype=float)
+    for _ in range(sweeps if len(start) else 0):
+        most = np.zeros(len(live))
         for k in range(len(hh)):
             if hh[k, k] <= 0:
-                w[:, k] = 0
+                a[k] = 0
                 continue
-            new = np.maximum(0, w[:, k] + (xh[:, k] - w @ hh[:, k]) / hh[k, k])
-            most = max(most, float(np.abs(new - w[:, k]).max(initial=0)))
-            w[:, k] = new
-        if most < tol:
-            break
-    return w
+            new = np.maximum(0, a[k] + (x[k] - hh[k] @ a) / hh[k, k])
+            np.maximum(most, np.abs(new - a[k]), out=most)
+            a[k] = new
+        moving = most >= tol
+        if 2 * np.count_nonzero(moving) <= len(live):
+            w[:, live] = a
+            live, a, x = live[moving], a[:, moving], x[:, moving]
+            if not len(live):
+                break
+    w[:, live] = a
+    return np.ascontiguousarray(w.T)
 
 
 def unconstrained(xh: np.ndarray, hh: np.ndarray) -> np.ndarray:
@@ -75,7 +117,7 @@ def nndsvd(total, n_terms: int, k: int, rounds: int = 6, extra: int = 10, seed:
     p = min(n_terms, k + extra)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(n_terms, p)))[0]
     for _ in range(rounds):
-        got = total(lambda csr, n, q=q: [_transposed_times(csr, _times(csr, n, q), n_terms)])
+        got = total(lambda block, n, q=q: [(lambda x: x.transposed_times(x.times(q)))(_cells(block, n, n_terms))])
         if got is None:
             return np.zeros((k, n_terms))
         y = got[0]
@@ -84,7 +126,7 @@ def nndsvd(total, n_terms: int, k: int, rounds: int = 6, extra: int = 10, seed:
         q = np.linalg.qr(y)[0]
     order = np.argsort(values)[::-1][:k]
     s, v = np.sqrt(np.maximum(values[order], 0)), vectors[:, order]
-    plus, minus = total(lambda csr, n: [(lambda left: np.stack([(np.maximum(left, 0) ** 2).sum(0), (np.maximum(-left, 0) ** 2).sum(0)]))(_times(csr, n, v))])[0]
+    plus, minus = total(lambda block, n: [(lambda left: np.stack([(np.maximum(left, 0) ** 2).sum(0), (np.maximum(-left, 0) ** 2).sum(0)]))(_cells(block, n, n_terms).times(v))])[0]
     h = np.zeros((k, n_terms))
     for i in range(len(order)):
         if s[i] <= 0:
@@ -107,7 +149,7 @@ class TopicModel:
         self.h, self.objective, self.converged = h, objective, converged
 
     def project(self, rows: np.ndarray, idx: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
-        xh, hh = _times((rows, idx, w), n, self.h.T), self.h @ self.h.T
+        xh, hh = _product(_rectangles(rows, idx, w, n), n, self.h.T), self.h @ self.h.T
         return nnls_rows(xh, hh, unconstrained(xh, hh))
 
     def table(self, spark, vocab: DataFrame) -> DataFrame:
@@ -127,14 +169,14 @@ def _first_basis(total, n_terms: int, k: int, start: str, seed: int | None) -> n
         return np.abs(rng.normal(size=(k, n_terms))) * 0.1
     h = nndsvd(total, n_terms, k)
     if start != "nndsvd":
-        got = total(lambda csr, n: [np.array([csr[2].sum(), float(n)])])
+        got = total(lambda block, n: [np.array([_cells(block, n, n_terms).sum, float(n)])])
         mean = got[0][0] / (max(1.0, got[0][1]) * n_terms) if got else 0.0
         h = np.where(h > 0, h, mean if start == "nndsvda" else rng.random(h.shape) * mean / 100)
     return np.where(h.any(1, keepdims=True), h, 1.0 / n_terms)
 
 
 def _alternate(total, n_terms: int, k: int, limits: list[int], tol: float, start: str = "nndsvd", seed: int | None = None) -> list[TopicModel]:
-    """Alternating least squares where ``total(make)`` sums ``make(csr, n)`` over all blocks of documents; the model as it stands at each of the rising limits of iterations.
+    """Alternating least squares where ``total(make)`` sums ``make(block, n)`` over all blocks of documents; the model as it stands at each of the rising limits of iterations.
 
     Given H, rows of W are independent: a block solves its own and gives W'W, W'X and its squared error. The fit
     has converged when the projected gradient of H is at most ``tol`` of the first one; later limits then have the
@@ -144,12 +186,15 @@ def _alternate(total, n_terms: int, k: int, limits: list[int], tol: float, start
     first, models = None, []
     for i in range(max(limits)):
 
-        def step(csr, n, h=h):
+        def step(block, n, h=h):
+            x = _cells(block, n, n_terms)
             hh = h @ h.T
-            xh = _times(csr, n, h.T)
-            ww = nnls_rows(xh, hh, unconstrained(xh, hh), tol=1e-8)
-            wx, wtw = _transposed_times(csr, ww, n_terms), ww.T @ ww
-            return [wtw, wx, np.array([csr[2] @ csr[2] - 2 * (wx.T * h).sum() + (wtw * hh).sum()])]
+            xh = x.times(h.T)
+            ww = nnls_rows(xh, hh, unconstrained(xh, hh) if x.w is None else x.w, tol=1e-8)
+            if x.keep:
+                x.w = ww
+            wx, wtw = x.transposed_times(ww), ww.T @ ww
+            return [wtw, wx, np.array([x.squares - 2 * (wx.T * h).sum() + (wtw * hh).sum()])]
 
         got = total(step)
         if got is None:
@@ -174,10 +219,24 @@ def _summed(parts):
     return out
 
 
-def _in_task(table: pa.Table, n_terms: int, k: int, limits: list[int], tol: float, start: str, seed: int | None) -> list[TopicModel]:
-    """The whole fit over one task's documents."""
-    blocks = [(_csr(b), b.num_rows) for b in table.combine_chunks().to_batches(max_chunksize=8192)]
-    return _alternate(lambda make: _summed(make(csr, n) for csr, n in blocks), n_terms, k, limits, tol, start, seed)
+def _in_task(batches, n_terms: int, k: int, limits: list[int], tol: float, start: str, seed: int | None) -> list[TopicModel]:
+    """The whole fit over one task's documents (idx, w), whose weights are held in single precision; a block's W is the start of its next."""
+    blocks, held, n = [], [], 0
+
+    def pack():
+        row, idx, w = (np.concatenate(x) for x in zip(*held, strict=True))
+        blocks.append(Cells((row, idx, w), n, n_terms, keep=True))
+
+    for b in batches:
+        row, idx, w = _csr(b)
+        held.append((row + n, idx.astype(np.int32), w.astype(np.float32)))
+        n += b.num_rows
+        if n >= 2 * BLOCK_ROWS:
+            pack()
+            held, n = [], 0
+    if n:
+        pack()
+    return _alternate(lambda make: _summed(make(x, x.n) for x in blocks), n_terms, k, limits, tol, start, seed)
 
 
 FITTED = "run long, step int, h binary, objective array<double>, converged boolean"
@@ -188,12 +247,16 @@ def fit_runs(rows: DataFrame, n_terms: int, k: int, starts: list[tuple[str, int
 
     Every run must hold at most ``TASK_CELLS`` cells, which the caller has counted."""
 
-    def solve(key, table):
-        r = key[0].as_py()
-        got = _in_task(table, n_terms, k, limits, tol, *starts[r])
-        return pa.table({"run": pa.array([r] * len(got), pa.int64()), "step": pa.array(range(len(got)), pa.int32()), "h": pa.array([m.h.astype("<f8").tobytes() for m in got], pa.binary()), "objective": pa.array([m.objective for m in got], pa.list_(pa.float64())), "converged": [m.converged for m in got]})
+    def solve(batches):
+        first = next((b for b in batches if b.num_rows), None)
+        if first is not None:
+            r = first.column("run")[0].as_py()
+            got = _in_task(itertools.chain([first], batches), n_terms, k, limits, tol, *starts[r])
+            yield pa.RecordBatch.from_pydict({"run": pa.array([r] * len(got), pa.int64()), "step": pa.array(range(len(got)), pa.int32()), "h": pa.array([m.h.astype("<f8").tobytes() for m in got], pa.binary()), "objective": pa.array([m.objective for m in got], pa.list_(pa.float64())), "converged": [m.converged for m in got]})
 
-    got = rows.select(F.col("run").cast("long").alias("run"), "idx", "w").groupBy("run").applyInArrow(solve, FITTED).collect()  # a K x V basis each
+    # by number, not by hash, so that no task has two runs
+    dealt = rows.select(F.col("run").cast("int").alias("run"), "idx", F.col("w").cast("array<float>").alias("w")).repartitionById(len(starts), "run")
+    got = dealt.mapInArrow(solve, FITTED).collect()  # a K x V basis each
     out: dict[int, list[TopicModel]] = {}
     for r in sorted(got, key=lambda r: (r["run"], r["step"])):
         out.setdefault(r["run"], []).append(TopicModel(np.frombuffer(r["h"]).reshape(k, n_terms).copy(), list(r["objective"]), r["converged"]))
@@ -204,23 +267,21 @@ def cells(rows: DataFrame) -> int:
     return rows.agg(F.coalesce(F.sum(F.size("idx")), F.lit(0))).first()[0]
 
 
-def _packed(rows: DataFrame) -> DataFrame:
-    """Blocks of documents as bytes (n, lengths, idx, w), dealt evenly over tasks: what a fit keeps on the executors."""
+def _packed(rows: DataFrame, n_terms: int) -> DataFrame:
+    """Blocks of documents as bytes of ``Cells``, dealt evenly over tasks: what a fit keeps on the executors."""
     spark, n = rows.sparkSession, cells(rows)
     tasks = max(1, min(-(-n // LEAST_CELLS), max(spark.sparkContext.defaultParallelism, n // (40 * LEAST_CELLS))))
 
     def run(batches):
         for b in batches:
             for part in pa.Table.from_batches([b]).to_batches(max_chunksize=BLOCK_ROWS):
-                row, idx, w = _csr(part)
-                lengths = np.bincount(row, minlength=part.num_rows).astype("<i4")
-                yield pa.RecordBatch.from_arrays([pa.array([part.num_rows], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (lengths, idx.astype("<i4"), w.astype("<f8"))]], names=["n", "lengths", "idx", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(Cells(_csr(part), part.num_rows, n_terms), 5)], pa.binary())], names=["block"])
 
-    return rows.select("idx", "w").repartition(tasks).mapInArrow(run, "n int, lengths binary, idx binary, w binary")
+    return rows.select("idx", "w").repartition(tasks).mapInArrow(run, "block binary")
 
 
 def _spark_sums(blocks: DataFrame):
-    """``total(make)`` for ``_alternate``: every task adds up what ``make(csr, n)`` gives for its blocks; the tasks' sums, of fixed size, are added ``FAN`` at a time until ``FAN`` are left for the driver."""
+    """``total(make)`` for ``_alternate``: every task adds up what ``make(block, n)`` gives for its blocks; the tasks' sums, of fixed size, are added ``FAN`` at a time until ``FAN`` are left for the driver."""
     n_parts = blocks.rdd.getNumPartitions()
     kind = "sums array<binary>, shapes array<string>"
 
@@ -236,9 +297,9 @@ def _spark_sums(blocks: DataFrame):
         def run(batches):
             def each():
                 for b in batches:
-                    for n, *parts in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                        lengths, idx, w = (np.frombuffer(x, t) for x, t in zip(parts, ("<i4", "<i4", "<f8"), strict=True))
-                        yield make((np.repeat(np.arange(n), lengths), idx.astype(np.int64), w), n)
+                    for x in b.column(0):
+                        cells = pickle.loads(x.as_buffer())  # written by ``_packed``
+                        yield make(cells, cells.n)
 
             got = _summed(each())
             if got is not None:
@@ -264,7 +325,7 @@ def fit_nmf_steps(rows: DataFrame, n_terms: int, k: int, limits: list[int], tol:
 
     The sample's blocks stay on the executors; an iteration is a Spark job that sends K x V sums. W is solved anew in every
     block from its least-squares solution, so nothing but the blocks has to be kept or, after a loss, made again."""
-    blocks = _packed(rows).persist()
+    blocks = _packed(rows, n_terms).persist()
     try:
         return _alternate(_spark_sums(blocks), n_terms, k, limits, tol, start, seed)
     finally:
@@ -298,15 +359,24 @@ def fit_lda(rows: DataFrame, n_terms: int, k: int, max_iter: int = 10, seed: int
     """Online variational LDA on binary counts; the model has transform, logPerplexity and topicsMatrix."""
     from pyspark.ml.clustering import LDA
 
-    return LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="features").fit(count_vectors(rows, n_terms))
+    vectors = count_vectors(spread(rows), n_terms).persist()  # every iteration samples them
+    try:
+        return LDA(k=k, maxIter=max_iter, seed=seed, optimizer="online", featuresCol="features").fit(vectors)
+    finally:
+        vectors.unpersist()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly over all cores, four tasks each: files are as few as their bytes, not as the work that their rows make."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def count_vectors(rows: DataFrame, n_terms: int, key: str = "doc_id") -> DataFrame:
+def count_vectors(rows: DataFrame, n_terms: int, keys: list[str] = ("doc_id",)) -> DataFrame:
     """Sparse binary vectors of the terms that stand in each row."""
     from pyspark.ml.feature import CountVectorizerModel
 
     model = CountVectorizerModel.from_vocabulary([str(i) for i in range(n_terms)], inputCol="__words", outputCol="features", minTF=1.0, binary=True)
-    return model.transform(rows.select(key, F.col("idx").cast("array<string>").alias("__words"))).select(key, "features")
+    return model.transform(rows.select(*keys, F.col("idx").cast("array<string>").alias("__words"))).select(*keys, "features")
 
 
 def hungarian(cost: np.ndarray) -> np.ndarray:

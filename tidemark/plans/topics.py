@@ -25,14 +25,15 @@ def query(f):
     return f
 
 
-def _rows(spark, d, chosen):
-    """The vocabulary of all training documents and every document's weights, inverse document frequencies from ``chosen`` alone."""
+def _fitted(spark, d, chosen):
+    """The corpus, the vocabulary of all training documents, and a function from a part of the corpus to its rows of weights, inverse document frequencies from ``chosen`` alone."""
     c = corpus(spark, d)
     train = c.filter("period = 'Train'")
     vocab = stored(T.vocabulary(exploded(train), train.count(), LEAST_DF, MAX_DF_RATIO, TOP_N_VOCAB), "vocabulary")
-    df = T.document_frequency(exploded(c).join(chosen, "doc_id", "left_semi"))
-    fit = vocab.select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df"))
-    return vocab, stored(M.rows_of(T.tfidf(exploded(c), fit, chosen.count())), "rows")
+    df = T.document_frequency(exploded(c.join(chosen, "doc_id", "left_semi")))
+    fit = stored(vocab.select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df")), "frequencies")
+    n_fit = chosen.count()
+    return c, vocab, lambda part, keep=(): T.tfidf_rows(part, fit, n_fit, keep)
 
 
 def _sample(spark, d):
@@ -42,30 +43,32 @@ def _sample(spark, d):
 
 
 def _prepared(spark, d):
+    """Corpus, vocabulary and its size, the function that makes rows of weights, and the sample's rows, stored: of other documents no row is made before it is asked for."""
     chosen = _sample(spark, d)
-    vocab, rows = _rows(spark, d, chosen)
-    return vocab, vocab.count(), rows, rows.join(chosen, "doc_id", "left_semi")
+    c, vocab, rows = _fitted(spark, d, chosen)
+    return c, vocab, vocab.count(), rows, stored(rows(c.join(chosen, "doc_id", "left_semi")), "rows")
 
 
 @query
 def nmf_topics(spark, d):
     """Monthly topic shares of all documents under a basis fitted on the training sample."""
-    _, terms, rows, sample = _prepared(spark, d)
-    shares = M.transform(rows, M.fit_nmf(sample, terms, N_TOPICS, NMF_MAX_ITER))
+    c, _, terms, rows, sample = _prepared(spark, d)
+    shares = M.transform(rows(c), M.fit_nmf(sample, terms, N_TOPICS, NMF_MAX_ITER))
     return M.mean_shares(docs(spark, d).select("doc_id", "month").join(shares, "doc_id", "left"), "month", N_TOPICS)
 
 
 @query
 def nmf_top_terms(spark, d):
     """The 25 heaviest terms of each topic, ties by index: a report of fixed length."""
-    vocab, terms, _, sample = _prepared(spark, d)
+    _, vocab, terms, _, sample = _prepared(spark, d)
     model = M.fit_nmf(sample, terms, N_TOPICS, NMF_MAX_ITER)
     return first_by_rank(model.table(spark, vocab), ["topic"], [F.desc("weight"), F.col("idx")], 25)
 
 
 def _lda(spark, d):
-    _, terms, rows, sample = _prepared(spark, d)
-    return M.fit_lda(sample, terms, N_TOPICS, 10), M.count_vectors(rows, terms)
+    """The model, and all documents' binary counts with their period."""
+    c, _, terms, rows, sample = _prepared(spark, d)
+    return M.fit_lda(sample, terms, N_TOPICS, 10), M.count_vectors(M.spread(rows(c, ["period"]).drop("w")), terms, ["doc_id", "period"])
 
 
 @query
@@ -83,21 +86,20 @@ def lda_perplexity(spark, d):
     import math
 
     model, vectors = _lda(spark, d)
-    parts = vectors.join(docs(spark, d).select("doc_id", "period"), "doc_id")
-    bounds = [(p, model.logPerplexity(parts.filter(F.col("period") == p).select("features"))) for p in ("Train", "Eval")]
+    bounds = [(p, model.logPerplexity(vectors.filter(F.col("period") == p).select("features"))) for p in ("Train", "Eval")]
     return spark.createDataFrame([(p, float(b), math.exp(min(b, 700.0))) for p, b in bounds], "period string, log_perplexity double, perplexity double")
 
 
 @query
 def topic_stability(spark, d):
     """Ten subsamples and eleven other starts (one with filled zeros, five with random fillings, five random) at the published size, matched with the base and within their kind."""
-    _, terms, _, sample = _prepared(spark, d)
+    _, _, terms, _, sample = _prepared(spark, d)
     return M.stability(sample, terms, N_TOPICS, M.study_runs(), max_iter=NMF_MAX_ITER)
 
 
 def _mapped_study(spark, d):
     """Runs of the study with every topic's mapping and the base topic it matches; and the base's mapping."""
-    vocab, terms, _, sample = _prepared(spark, d)
+    _, vocab, terms, _, sample = _prepared(spark, d)
     runs = M.study_runs()
     weights, matched = M.bases_table(spark, M.fit_study(sample, terms, N_TOPICS, runs, max_iter=NMF_MAX_ITER), vocab)
     weights = stored(weights, "bases")
@@ -122,7 +124,7 @@ def regimes_reproduced(spark, d):
 @query
 def nmf_convergence(spark, d):
     """One fit at 400, 800 and 1200 iterations, and at 1600 and 2400 where it hasn't converged by then; every two against each other."""
-    _, terms, _, sample = _prepared(spark, d)
+    _, _, terms, _, sample = _prepared(spark, d)
     return M.convergence(sample, terms, N_TOPICS, [400, 800, 1200], [1600, 2400])
 
 
@@ -130,8 +132,8 @@ def nmf_convergence(spark, d):
 def exploratory_topics(spark, d):
     """First documents of each month instead of a random sample; raw weights are averaged before they are normalised."""
     first = stored(first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id", "month"), "sample")
-    vocab, rows = _rows(spark, d, first.select("doc_id"))
-    part = rows.join(first.select("doc_id"), "doc_id", "left_semi")
+    c, vocab, rows = _fitted(spark, d, first.select("doc_id"))
+    part = stored(rows(c.join(first.select("doc_id"), "doc_id", "left_semi")), "rows")
     weights = M.transform(part, M.fit_nmf(part, vocab.count(), N_TOPICS, NMF_MAX_ITER), raw=True)
     return M.mean_shares(first.join(weights, "doc_id", "left"), "month", N_TOPICS)
 
