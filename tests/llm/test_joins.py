@@ -140,6 +140,23 @@ def test_near_copies_go_by_row_not_by_id(spark):
     assert drop_near_copies(nothing).count() == 0
 
 
+def test_sets_of_unlike_sizes_make_no_list_long(spark, monkeypatch):
+    """Frequent words stand in sets of all sizes: few of those can link, so nothing has to be refined (its differences from pivots filled the disk)."""
+    from tidemark.llm import jaccard_join as J
+
+    rng = random.Random(11)
+    words, texts = [f"w{i}" for i in range(300)], []
+    for _ in range(500):
+        texts.append(rng.sample(words, int(20 * 14 ** rng.random())))
+    for t in rng.sample(texts, 60):  # at the limit of similarity and of the size filter
+        gone = len(t) // 10 if rng.random() < 0.5 else len(t) // 18
+        texts.append(rng.sample(t, len(t) - gone))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    monkeypatch.setattr(J.SetJoin, "refined", lambda *_: pytest.fail("refined"))
+    got = J.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 1, 90).collect()
+    assert collections.Counter(map(tuple, got)) == brute_components(rows, 1, 90) and len({r["component_id"] for r in got}) < len(rows) - 40
+
+
 def test_exact_copies_with_clashing_columns_and_hot_groups(spark, monkeypatch):
     from tidemark.llm import exact_dedup as E
 

@@ -18,7 +18,8 @@ Two documents link when 100 * intersection >= percent * union of their sets of w
 Lists with one member are dropped by a bitmap before anything is shuffled by key. In each list
 every member is compared with one pivot, the set with the fewest rarer shingles before the shared
 one; components of the verified links follow. Lists whose members are then all in one component
-are done. In the others, short ones have their pairs between components compared; long ones are
+are done. The others are split by the sizes of their sets (``SetJoin.banded``), so that sets of
+sizes that can't link don't make a list long. Short ones have their pairs between components compared; long ones are
 never crossed but refined: their members are posted again by how they differ from the pivot
 (``SetJoin.refined``), where copies of one text with edits of their own share nothing, and the new
 lists go through the same steps. So a group of copies costs about its size, not its square, and
@@ -58,9 +59,9 @@ from .textcore import hashed_words, mix
 SEGMENT = 1 << 19
 #: Counters of the sketch, and the rows it is sent in; word counts that are told apart (the last stands for all above).
 SKETCH, SLICES, WORD_COUNTS = 1 << 24, 64, 4096
-#: A list is short while it has at most so many pairs between components for each member; WIDER times as many after
-#: each refinement, as then few lists are left.
-FEW, WIDER = 16, 4
+#: A list is short while it has at most so many pairs between components for each member, or for ELEMENTS shingles of its
+#: members and their pivots, of which refining makes a row each; WIDER times as many after each refinement, as then few lists are left.
+FEW, ELEMENTS, WIDER = 16, 64, 4
 #: A list is long from so many members on (a power of two); at most so many shingles are demoted at once, those of the longest
 #: lists, into a table of so many bits.
 LONG, MOST_DEMOTED, DEMOTED_BITS, ANEW = 8, 1 << 22, 1 << 27, 8
@@ -396,10 +397,20 @@ class SetJoin:
     def star(self, lists: DataFrame) -> DataFrame:
         return self.pairs(lists, "", "p_")
 
+    def banded(self, lists: DataFrame) -> DataFrame:
+        """Every list as lists of members whose sizes allow links, as list j has those of bands j (``own``) and j + 1.
+
+        A band is as wide as the size filter, so sets that link are in one band or in neighbouring ones: each of their
+        pairs is in one list with an own member. (A little wider, so that no rounding parts them.)"""
+        width = max(math.log(100 / self.percent), 1e-6) * (1 + 1e-9)
+        band = F.floor(F.ln(F.col("n")) / F.lit(width))
+        split = lists.withColumn("own", F.explode(F.array(F.lit(True), F.lit(False))))
+        return split.withColumn("entry", F.xxhash64("entry", F.when(F.col("own"), band).otherwise(band - 1)))
+
     def crossed(self, lists: DataFrame) -> DataFrame:
-        """All pairs of a list in different components."""
-        x, y = (lists.select("entry", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "rest", "need", "label"))) for p in "xy")
-        return self.pairs(x.join(y, "entry").filter("xlabel <> ylabel AND xrep < yrep"), "x", "y")
+        """All pairs of a banded list in different components, with an own member of the list."""
+        x, y = (lists.select("entry", *(F.col(c).alias(f"{p}{c}") for c in ("rep", "n", "rest", "need", "label", "own"))) for p in "xy")
+        return self.pairs(x.join(y, "entry").filter("xlabel <> ylabel AND xrep < yrep AND (xown OR yown)"), "x", "y")
 
     def of(self, table: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
         """The table's rows with a wanted key, one each; rows whose bit isn't set are not shuffled."""
@@ -475,17 +486,21 @@ class SetJoin:
             labels = components(links)
             if lists is None:
                 return labels
-            rest = written(lists.filter("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
+            labelled = written(lists.filter("members > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep")), "labelled")
             drop_written(lists)
-            cost = rest.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m")).groupBy("entry").agg(F.sum("m").alias("members"), ((F.sum("m") * F.sum("m") - F.sum(F.col("m") * F.col("m"))) / 2).alias("cost"))
-            heavy = F.col("cost") > few * F.col("members")
+            rest = self.banded(labelled)
+            m, o, s = F.col("m"), F.col("o"), F.sum
+            cost = rest.groupBy("entry", "label").agg(F.count(F.lit(1)).alias("m"), F.count_if(~F.col("own")).alias("o"), s(F.col("n") + F.col("p_n")).alias("elements"))
+            apart = (s(m) * s(m) - s(m * m) - s(o) * s(o) + s(o * o)) / 2
+            cost = cost.groupBy("entry").agg(s(m).alias("members"), s("elements").alias("elements"), apart.alias("cost"))
+            heavy = F.col("cost") > few * F.greatest("members", F.col("elements") / ELEMENTS)
             cost = written(cost.filter("cost > 0").select("entry", "cost", heavy.alias("heavy")), "open")  # lists in one component are done
             total = cost.filter("heavy").agg(F.sum("cost")).first()[0] or 0
             if before is not None and total > before / 2:  # refining doesn't help any further
                 cost, total = cost.withColumn("heavy", F.lit(False)), 0
             few *= WIDER
             before, open_ = total, written(rest.join(cost.select("entry", "heavy"), "entry"), "open")
-            drop_written(rest)
+            drop_written(labelled)
             found, lists = self.crossed(open_.filter("NOT heavy")), None
             if total:
                 lists = self.refined(open_.filter("heavy"))
