@@ -367,6 +367,36 @@ def test_lda_tells_planted_topics_apart(spark):
     assert len(best) == 2 and len({b for _, b in best}) == 2 and math.exp(model.logPerplexity(v)) < 12
 
 
+def test_lda_documents_follow_the_library(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    rng = np.random.default_rng(3)
+    rows = [(i, "a" if i % 3 else "b", sorted({int(x) for x in rng.integers(0, 60, n) + 60 * rng.integers(0, 3, n) ** (i % 2)})) for i, n in enumerate(rng.integers(0, 80, 300).tolist())]
+    df = spark.createDataFrame(rows, "doc_id int, part string, idx array<int>")
+    model = topics.fit_lda(df.select("doc_id", "idx"), 240, 4, 30)
+    v = topics.count_vectors(df, 240, ["doc_id", "part"])
+    want = {r["doc_id"]: r["t"] for r in model.transform(v).select("doc_id", vector_to_array("topicDistribution").alias("t")).collect()}
+    documents = topics.lda_documents(df, model, ["doc_id", "part"])
+    got = {r["doc_id"]: r for r in documents.collect()}
+    assert got.keys() == want.keys() and all(len(got[i]["topics"]) == 4 and got[i]["n_terms"] == len(t) for i, _, t in rows)
+    assert all(sum(got[i]["topics"]) == (pytest.approx(1) if t else 0) for i, _, t in rows)
+    assert np.mean([np.abs(np.array(got[i]["topics"]) - want[i]).max() < 0.02 for i in want]) > 0.97  # the library's starts are random
+    for part, b in topics.lda_log_perplexity(documents, model, "part").items():
+        assert b == pytest.approx(model.logPerplexity(v.filter(F.col("part") == part)), rel=1e-4)
+
+
+def test_lda_queries_infer_in_blocks(spark, monkeypatch):
+    """Not by the library, whose bound makes the exponentials of all terms anew for each document."""
+    from pyspark.ml.clustering import LDAModel
+
+    from tidemark.plans import topics as plans
+
+    for name in ("logPerplexity", "transform"):
+        monkeypatch.setattr(LDAModel, name, lambda *_: pytest.fail("by the library"))
+    got = plans.Q["lda_perplexity"](spark, "/root/testdata/sf0.001").collect()
+    assert [r["period"] for r in got] == ["Train", "Eval"] and all(0 < r["log_perplexity"] < 20 for r in got)
+
+
 def test_cases_are_distinct_months(spark):
     act = spark.createDataFrame([("m1", "a", "a;b", 3.0), ("m2", "a", "a;b", 2.0), ("m3", "b", "b;c", 1.0)], "month string, hurdle string, active string, z double")
     order = [F.desc("z")]

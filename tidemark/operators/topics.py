@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import pickle
 
 import numpy as np
@@ -356,7 +357,7 @@ def mean_shares(docs: DataFrame, by: str, k: int) -> DataFrame:
 
 
 def fit_lda(rows: DataFrame, n_terms: int, k: int, max_iter: int = 10, seed: int = 42):
-    """Online variational LDA on binary counts; the model has transform, logPerplexity and topicsMatrix."""
+    """Online variational LDA on binary counts; ``lda_documents`` infers documents' topics under it."""
     from pyspark.ml.clustering import LDA
 
     vectors = count_vectors(spread(rows), n_terms).persist()  # every iteration samples them
@@ -366,6 +367,92 @@ def fit_lda(rows: DataFrame, n_terms: int, k: int, max_iter: int = 10, seed: int
         vectors.unpersist()
 
 
+def digamma(x: np.ndarray) -> np.ndarray:
+    """For positive x, by its recurrence and its series from 6 on."""
+    y = x + 6
+    v = 1 / (y * y)
+    return np.log(y) - 0.5 / y - v * (1 / 12 - v * (1 / 120 - v * (1 / 252 - v * (1 / 240 - v / 132)))) - sum(1 / (x + i) for i in range(6))
+
+
+def _lgamma(x) -> np.ndarray:
+    x = np.asarray(x, float)
+    return np.fromiter(map(math.lgamma, x.ravel()), float, x.size).reshape(x.shape)
+
+
+def _log_shares(gamma: np.ndarray) -> np.ndarray:
+    """Expected logarithms of shares with these Dirichlet weights in each row."""
+    return digamma(gamma) - digamma(gamma.sum(1, keepdims=True))
+
+
+def lda_inference(at: np.ndarray, idx: np.ndarray, beta: np.ndarray, alpha: np.ndarray, tol: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+    """For documents of the distinct terms ``idx[at[i] : at[i + 1]]``: their topics' variational weights, and the expected log probability of their words.
+
+    The fixed point that the library iterates, and its limit (a mean change of ``tol``), from weights of one, the mean of its
+    random starts. Documents of like length are solved together. ``beta``: V x K exponentials of expected logarithms."""
+    k, size = len(alpha), np.diff(at)
+    padded = np.vstack([beta, np.zeros(k)])  # the last row fills short documents
+    gamma, logs, order, first = np.tile(alpha, (len(size), 1)), np.zeros(len(size)), np.argsort(-size, kind="stable"), 0
+    order = order[size[order] > 0]
+    while first < len(order):
+        length = size[order[first]]
+        rows = order[first : first + max(1, GATHERED // length)]
+        first += len(rows)
+        place = at[rows][:, None] + np.arange(length)
+        b = padded[np.where(np.arange(length) < size[rows][:, None], idx[np.minimum(place, len(idx) - 1)], len(beta))]
+        g = np.ones((len(rows), k))
+        t, open_ = np.exp(_log_shares(g)), np.ones(len(rows), bool)
+        while True:
+            phi = np.matmul(b, t[:, :, None])[:, :, 0] + 1e-100
+            new = t * np.matmul((1 / phi)[:, None, :], b)[:, 0] + alpha
+            t = np.exp(_log_shares(new))
+            settled = open_ & (np.abs(new - g).mean(1) <= tol)
+            g = new
+            if not settled.any():
+                continue
+            done = rows[settled]
+            gamma[done] = g[settled]
+            phi = np.matmul(b[settled], t[settled][:, :, None])[:, :, 0] + 1e-100
+            logs[done] = np.where(np.arange(length) < size[done][:, None], np.log(phi), 0.0).sum(1)
+            open_ &= ~settled
+            if not open_.any():
+                break
+            if 2 * open_.sum() <= len(rows):
+                length = size[rows[open_]].max()
+                rows, b, g, t = rows[open_], np.ascontiguousarray(b[open_, :length]), g[open_], t[open_]
+                open_ = np.ones(len(rows), bool)
+    return gamma, logs
+
+
+def lda_documents(rows: DataFrame, model, keys: list[str] = ("doc_id",)) -> DataFrame:
+    """The keys of the rows (binary counts of the terms in ``idx``), shares of the model's topics, number of terms, and the document's part of the bound on the log likelihood."""
+    alpha = model.estimatedDocConcentration().toArray()
+    beta = rows.sparkSession.sparkContext.broadcast(np.exp(_log_shares(model.topicsMatrix().toArray().T)).T.copy())  # capped terms by topics
+
+    def run(batches):
+        constant = math.lgamma(alpha.sum()) - _lgamma(alpha).sum()
+        for b in batches:
+            lists = b.column(b.num_columns - 1)
+            at, idx = lists.offsets.to_numpy().astype(np.int64), lists.flatten().to_numpy().astype(np.int64)
+            gamma, logs = lda_inference(at - at[0], idx, beta.value, alpha)
+            total, size = gamma.sum(1), np.diff(at)
+            bound = logs + ((alpha - gamma) * _log_shares(gamma)).sum(1) + _lgamma(gamma).sum(1) - _lgamma(total) + constant
+            bound[size == 0] = 0.0
+            shares = np.where(size[:, None] > 0, gamma / total[:, None], 0.0)
+            topics = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * len(alpha)), pa.array(shares.ravel()))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], topics, pa.array(size), pa.array(bound)], names=[*keys, "topics", "n_terms", "bound"])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.select(*keys).dtypes)
+    return rows.select(*keys, "idx").mapInArrow(run, f"{kinds}, topics array<double>, n_terms long, bound double")
+
+
+def lda_log_perplexity(documents: DataFrame, model, by: str) -> dict:
+    """For each value of ``by`` of ``lda_documents``: the bound on the negative log likelihood of a word, the topics' own part included."""
+    lam, eta = model.topicsMatrix().toArray(), model.getTopicConcentration() if model.isSet("topicConcentration") else 1 / model.getK()
+    topics = ((eta - lam) * _log_shares(lam.T).T).sum() + (_lgamma(lam) - math.lgamma(eta)).sum() + (math.lgamma(eta * len(lam)) - _lgamma(lam.sum(0))).sum()
+    sums = documents.groupBy(by).agg(F.sum("bound").alias("bound"), F.sum("n_terms").alias("n")).collect()
+    return {r[by]: -(r["bound"] + topics) / r["n"] for r in sums if r["n"]}
+
+
 def spread(rows: DataFrame) -> DataFrame:
     """The rows dealt evenly over all cores, four tasks each: files are as few as their bytes, not as the work that their rows make."""
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)

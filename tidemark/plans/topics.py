@@ -66,18 +66,16 @@ def nmf_top_terms(spark, d):
 
 
 def _lda(spark, d):
-    """The model, and all documents' binary counts with their period."""
+    """The model, and all documents' topics and bounds under it with their period."""
     c, _, terms, rows, sample = _prepared(spark, d)
-    return M.fit_lda(sample, terms, N_TOPICS, 10), M.count_vectors(M.spread(rows(c, ["period"]).drop("w")), terms, ["doc_id", "period"])
+    model = M.fit_lda(sample, terms, N_TOPICS, 10)
+    return model, M.lda_documents(rows(c, ["period"]), model, ["doc_id", "period"])
 
 
 @query
 def lda_topics(spark, d):
     """Topic shares by online LDA on binary counts."""
-    from pyspark.ml.functions import vector_to_array
-
-    model, vectors = _lda(spark, d)
-    return model.transform(vectors).select("doc_id", vector_to_array("topicDistribution").alias("topics"))
+    return _lda(spark, d)[1].select("doc_id", "topics")
 
 
 @query
@@ -85,8 +83,9 @@ def lda_perplexity(spark, d):
     """Bound on the perplexity of a word, for training and evaluation documents apart."""
     import math
 
-    model, vectors = _lda(spark, d)
-    bounds = [(p, model.logPerplexity(vectors.filter(F.col("period") == p).select("features"))) for p in ("Train", "Eval")]
+    model, documents = _lda(spark, d)
+    bounds = M.lda_log_perplexity(documents, model, "period")
+    bounds = [(p, bounds.get(p, math.inf)) for p in ("Train", "Eval")]
     return spark.createDataFrame([(p, float(b), math.exp(min(b, 700.0))) for p, b in bounds], "period string, log_perplexity double, perplexity double")
 
 
