@@ -395,6 +395,8 @@ def test_lda_queries_infer_in_blocks(spark, monkeypatch):
         monkeypatch.setattr(LDAModel, name, lambda *_: pytest.fail("by the library"))
     got = plans.Q["lda_perplexity"](spark, "/root/testdata/sf0.001").collect()
     assert [r["period"] for r in got] == ["Train", "Eval"] and all(0 < r["log_perplexity"] < 20 for r in got)
+    shares = plans.Q["lda_topics"](spark, "/root/testdata/sf0.001").collect()
+    assert len(shares) > 100 and all(len(r["topics"]) == 14 and sum(r["topics"]) == pytest.approx(1) for r in shares)
 
 
 def test_cases_are_distinct_months(spark):

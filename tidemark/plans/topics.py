@@ -26,11 +26,11 @@ def query(f):
 
 
 def _fitted(spark, d, chosen):
-    """The corpus, the vocabulary of all training documents, and a function from a part of the corpus to its rows of weights, inverse document frequencies from ``chosen`` alone."""
+    """The corpus, the vocabulary of all training documents, and a function from a part of the corpus to its rows of weights, inverse document frequencies from ``chosen`` alone (a sample's ids, at most PER_MONTH_SAMPLE a month, so they are broadcast and the corpus isn't shuffled)."""
     c = corpus(spark, d)
     train = c.filter("period = 'Train'")
     vocab = stored(T.vocabulary(exploded(train), train.count(), LEAST_DF, MAX_DF_RATIO, TOP_N_VOCAB), "vocabulary")
-    df = T.document_frequency(exploded(c.join(chosen, "doc_id", "left_semi")))
+    df = T.document_frequency(exploded(c.join(F.broadcast(chosen), "doc_id", "left_semi")))
     fit = stored(vocab.select("term", "idx").join(df, "term", "left").select("term", "idx", F.coalesce("df", F.lit(0)).alias("df")), "frequencies")
     n_fit = chosen.count()
     return c, vocab, lambda part, keep=(): T.tfidf_rows(part, fit, n_fit, keep)
@@ -46,7 +46,7 @@ def _prepared(spark, d):
     """Corpus, vocabulary and its size, the function that makes rows of weights, and the sample's rows, stored: of other documents no row is made before it is asked for."""
     chosen = _sample(spark, d)
     c, vocab, rows = _fitted(spark, d, chosen)
-    return c, vocab, vocab.count(), rows, stored(rows(c.join(chosen, "doc_id", "left_semi")), "rows")
+    return c, vocab, vocab.count(), rows, stored(rows(c.join(F.broadcast(chosen), "doc_id", "left_semi")), "rows")
 
 
 @query
@@ -132,7 +132,7 @@ def exploratory_topics(spark, d):
     """First documents of each month instead of a random sample; raw weights are averaged before they are normalised."""
     first = stored(first_by_rank(docs(spark, d).select("doc_id", "month"), ["month"], [F.col("doc_id")], PER_MONTH_SAMPLE).select("doc_id", "month"), "sample")
     c, vocab, rows = _fitted(spark, d, first.select("doc_id"))
-    part = stored(rows(c.join(first.select("doc_id"), "doc_id", "left_semi")), "rows")
+    part = stored(rows(c.join(F.broadcast(first.select("doc_id")), "doc_id", "left_semi")), "rows")
     weights = M.transform(part, M.fit_nmf(part, vocab.count(), N_TOPICS, NMF_MAX_ITER), raw=True)
     return M.mean_shares(first.join(weights, "doc_id", "left"), "month", N_TOPICS)
 
